@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from logforge.llm.byte_bpe import op9_byte_bpe
 from logforge.llm.license_scan import op5_license_scan
+from logforge.llm.line_dedup import op6_line_dedup, op6_sql
+from logforge.llm.simhash import op10_simhash
 from logforge.llm.token_counts import op1_token_counts
 from logforge.llm.url_filter import op4_sql, op4_url_filter
 
@@ -13,9 +15,11 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op4_url_filter": op4_url_filter,
         "op5_license_scan": op5_license_scan,
+        "op6_line_dedup": op6_line_dedup,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": op4_sql()}
+    return {"op4_url_filter": op4_sql(), "op6_line_dedup": op6_sql()}
