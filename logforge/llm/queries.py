@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from logforge.llm.byte_bpe import op9_byte_bpe
+from logforge.llm.decontaminate import op8_decontaminate
+from logforge.llm.embedding_dedup import op3_embedding_dedup, op3_sql
 from logforge.llm.license_scan import op5_license_scan
 from logforge.llm.line_dedup import op6_line_dedup, op6_sql
 from logforge.llm.simhash import op10_simhash
@@ -13,13 +15,15 @@ from logforge.llm.url_filter import op4_sql, op4_url_filter
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_url_filter": op4_url_filter,
         "op5_license_scan": op5_license_scan,
         "op6_line_dedup": op6_line_dedup,
+        "op8_decontaminate": op8_decontaminate,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": op4_sql(), "op6_line_dedup": op6_sql()}
+    return {"op3_embedding_dedup": op3_sql(), "op4_url_filter": op4_sql(), "op6_line_dedup": op6_sql()}
