@@ -179,14 +179,28 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     """docs with columns ids (array of int) and decoded (binary): what the ids decode to. They replace columns of
     those names. A null or empty text has no ids. Rows are taken each by itself, whole, so repeated rows, null ids
     and an empty table need no care."""
-    return _encoded(docs, path, pattern, text_col, "ids array<int>, decoded binary",
-                    lambda ids, back: (np.frombuffer(ids, "<u4").astype("int32"), back))
+    return _encoded(docs, path, pattern, text_col, "ids array<int>, decoded binary", _ids)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """As encode(), but with n_tokens, ids_sha256 and decoded_sha256 in place of the ids and bytes themselves."""
-    return _encoded(docs, path, pattern, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string",
-                    lambda ids, back: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+    return _encoded(docs, path, pattern, text_col, _DIGESTS, _digests)
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """As encode_digests(), with the ids too: what a training run reads, and what shows that it is whole."""
+    return _encoded(docs, path, pattern, text_col, f"{_DIGESTS}, ids array<int>", lambda ids, back: (*_digests(ids, back), _ids(ids, back)[0]))
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _ids(ids: bytes, back: bytes) -> tuple:
+    return np.frombuffer(ids, "<u4").astype("int32"), back
+
+
+def _digests(ids: bytes, back: bytes) -> tuple:
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, text_col: str, schema: str, row) -> DataFrame:

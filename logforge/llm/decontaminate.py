@@ -158,8 +158,8 @@ class Searcher:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-               q: int = Q, share: float = EDIT_SHARE) -> DataFrame:
-    """docs with a column leaks, which replaces one of that name: an array of (item_id, edits, start, end), one for each
+               q: int = Q, share: float = EDIT_SHARE, out_col: str = "leaks") -> DataFrame:
+    """docs with a column leaks (or out_col), which replaces one of that name: an array of (item_id, edits, start, end), one for each
     benchmark item that stands in the text, lower-cased and with runs of white space as one space, with edits of at most
     `share` of its characters; start and end are character places in that form of the text.
 
@@ -170,14 +170,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     passes = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PASS_BYTES))
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "leaks"])
-    out = base.withColumn("leaks", F.array().cast(_FOUND))
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col])
+    out = base.withColumn(out_col, F.array().cast(_FOUND))
     for k in range(passes):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").collect()  # about PASS_BYTES
         rows = [(r.i, r.t) for r in rows]
         key = ("leaks", hashlib.sha256(repr(rows).encode()).hexdigest(), q, share)
         held = spark.sparkContext.broadcast(rows)
-        out = out.withColumn("leaks", F.concat("leaks", _finder(held, key, q, share)(F.col(text_col))))
+        out = out.withColumn(out_col, F.concat(out_col, _finder(held, key, q, share)(F.col(text_col))))
     return out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logforge.llm.common import connected_components, materialise, read_table
@@ -168,5 +168,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id. Rows without an id stay. Of rows that agree in
+    id and text one stays; rows of one id and different texts stay or go together, as an id names one document."""
+    groups = near_duplicates(docs, radius, words, id_col, text_col).select(id_col, "component_id")
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__lf_id")).distinct()
+    same = Window.partitionBy("__lf_id", "__lf_text").orderBy("__lf_id")
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__lf_id"))
+    named = named.withColumn("__lf_text", F.xxhash64(text_col)).withColumn("__lf_row", F.row_number().over(same)).where("__lf_row = 1")
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
