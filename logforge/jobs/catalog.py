@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from logforge.jobs import measure_queries, prepare_queries
+from logforge.jobs import learn_queries, measure_queries, prepare_queries
 
 
 def queries() -> dict:
-    return {**prepare_queries.QUERIES, **measure_queries.QUERIES}
+    return {**prepare_queries.QUERIES, **measure_queries.QUERIES, **learn_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**prepare_queries.SQL, **measure_queries.SQL}
+    return {**prepare_queries.SQL, **measure_queries.SQL, **learn_queries.SQL}
