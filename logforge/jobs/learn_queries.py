@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.functions.lineage import scratch_dir
+from logforge.functions.lineage import materialise, scratch_dir
 from logforge.jobs import pipelines
 from logforge.jobs.prepare_queries import masked, rounded
 from logforge.operators import anomaly, balance, cluster, knn, models, sampling
@@ -45,11 +45,12 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return dr.to_vector(documents(spark, d), DOC_FEATURES).select("id", "label", "features")
+    # texts are read once; fits go over their numbers
+    return dr.to_vector(materialise(documents(spark, d)), DOC_FEATURES).select("id", "label", "features")
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    return balance.matrix(documents(spark, d), "id", "label", DOC_FEATURES)
+    return balance.matrix(materialise(documents(spark, d)), "id", "label", DOC_FEATURES)
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,7 @@ def lof(spark, d):
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    split = sampling.train_test_split(vectors(spark, d), "label", "id").persist()
+    split = materialise(sampling.train_test_split(vectors(spark, d), "label", "id"))
     return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
 
 
@@ -202,7 +203,7 @@ def ward_two_stage(spark, d):
 @query("dbscan")
 def dbscan(spark, d):
     p = points(spark, d)
-    return cluster.dbscan_labels(p, cluster.materialise(cluster.within(p.select("id", "x"), 0.6)), 0.6, 2)
+    return cluster.dbscan_labels(p, materialise(cluster.within(p.select("id", "x"), 0.6)), 0.6, 2)
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +219,7 @@ def prepare_pipeline(spark, d):
 
 @query("model_pipeline")
 def model_pipeline(spark, d):
-    table, again = pipelines.model(documents(spark, d), DOC_FEATURES, "id", "label")
+    table, again = pipelines.model(materialise(documents(spark, d)), DOC_FEATURES, "id", "label")
     return table.unionByName(again)
 
 

@@ -60,9 +60,9 @@ def model(df: DataFrame, names: list[str], id_col: str, label: str) -> tuple[Dat
     """Measures of every model family on held-out rows, and of a retrained forest. Splits are stratified; scalers and
     weights are fitted on training rows; the threshold is tuned on validation rows."""
     rows = to_vector(missing.fill_numeric(df, "zero", names), names).select(col(id_col).cast("long").alias("id"), "features", col(label).cast("int").alias("label"))
-    split = sampling.train_test_split(rows, "label", "id").persist()
+    split = materialise(sampling.train_test_split(rows, "label", "id"))
     train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
-    inner = sampling.train_test_split(train, "label", "id", seed=43).persist()
+    inner = materialise(sampling.train_test_split(train, "label", "id", seed=43))
     table, _ = models.train_and_compare(train, test)
     again = models.retrain(inner.where("split = 'train'").drop("split"), inner.where("split = 'test'").drop("split"), test)
     return table, again

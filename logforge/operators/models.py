@@ -35,10 +35,10 @@ def estimators(seed: int = 42) -> dict:
     """One untuned estimator of each family."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": LogisticRegression(maxIter=100, weightCol="weight", **common),
-        "tree": DecisionTreeClassifier(maxDepth=10, weightCol="weight", seed=seed, **common),
-        "forest": RandomForestClassifier(numTrees=50, maxDepth=10, weightCol="weight", seed=seed, **common),
-        "boosting": GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **common),
+        "logistic": LogisticRegression(maxIter=50, weightCol="weight", **common),
+        "tree": DecisionTreeClassifier(maxDepth=8, weightCol="weight", seed=seed, **common),
+        "forest": RandomForestClassifier(numTrees=20, maxDepth=8, weightCol="weight", seed=seed, **common),
+        "boosting": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
     }
 
 
