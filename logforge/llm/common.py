@@ -1,13 +1,12 @@
-"""Helpers shared by the operators: reading tables, cutting lineage, connected components."""
+"""Helpers shared by the operators: reading tables, what a worker keeps, cutting lineage, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from logforge.functions.lineage import materialise, scratch_dir
+from logforge.operators.graph import connected_components
+from logforge.sources.tables import read_table
 
+__all__ = ["connected_components", "materialise", "once", "read_table", "scratch_dir"]
 
 _MADE: dict = {}
 
@@ -17,62 +16,3 @@ def once(key, make):
     if key not in _MADE:
         _MADE[key] = make()
     return _MADE[key]
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of this machine only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="logforge-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, so lost executors
-    cost no recomputation, and the planner knows the size of what follows."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/logforge-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that has an edge; component is the smallest node reachable.
-
-    edges has two long columns a and b; nulls and loops are ignored, repeated edges and both directions are fine.
-    Alternates the large-star and small-star steps (Kiveris et al. 2014), which needs a number of rounds that is
-    logarithmic in the number of nodes, whatever the diameter. Each step takes the minimum of a node's neighbours
-    by a pre-aggregated groupBy and joins it back, so a hub's neighbours are never gathered in one row or task.
-    """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    pairs = pairs.where(F.col("a") != F.col("b"))
-    # u is the larger end
-    pairs = materialise(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(max_rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        found = materialise(small.where(F.col("u") != F.col("v")).distinct())
-        # done when the edges form stars: no parent is a child and no child has two parents
-        parents = found.select(F.col("v").alias("u")).distinct().withColumn("parent", F.lit(1))
-        kinds = found.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(parents, "u", "left")
-        open_ = kinds.where((F.col("n") > 1) | F.col("parent").isNotNull()).limit(1).count()
-        pairs = found
-        if not open_:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    children = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return children.union(roots)

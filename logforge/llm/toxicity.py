@@ -64,13 +64,13 @@ class Linear:
     """Logistic regression on terms and a few dense columns."""
 
     def __init__(self, width: int, extra: int):
-        self.weights, self.extra, self.bias = np.zeros(width), np.zeros(extra), 0.0
+        self.weights, self.extra, self.bias, self.share = np.zeros(width), np.zeros(extra), 0.0, 0.0
 
     def fit(self, rows: _Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, rounds: int = 200, rate: float = 0.15, decay: float = 2e-5) -> Linear:
         """Full-batch Adam on the rows that `use` marks."""
         weight = use / max(1, use.sum())
         share = min(max(float((y * weight).sum()), 1e-4), 1 - 1e-4)
-        self.bias = float(np.log(share / (1 - share)))
+        self.share, self.bias = float((y * weight).sum()), float(np.log(share / (1 - share)))
         if share <= 1e-4 or share >= 1 - 1e-4:
             return self  # one class: its share is all there is to learn
         params = np.concatenate((self.weights, self.extra, [self.bias]))
@@ -87,7 +87,9 @@ class Linear:
         return self
 
     def predict(self, rows: _Rows, dense: np.ndarray) -> np.ndarray:
-        return _sigmoid(rows.dot(self.weights) + dense @ self.extra + self.bias)
+        """Probabilities; a row without any known term has the label's share in training."""
+        known = np.bincount(rows.row, minlength=rows.n) > 0
+        return np.where(known, _sigmoid(rows.dot(self.weights) + dense @ self.extra + self.bias), self.share)
 
 
 class Chain:
@@ -177,8 +179,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with a struct of each category's probability, which replaces a column of that name. Null and empty texts
-    have no terms. Each whole text is scored by itself."""
+    """docs with a struct of each category's probability, which replaces a column of that name. Texts without a
+    known term, such as null and empty ones, get the labels' shares in training. Each whole text is scored by itself."""
     held = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by TERMS and the categories
     schema = ", ".join(f"`{c}` double" for c in chain.categories)
 
