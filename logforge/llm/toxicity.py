@@ -157,7 +157,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[k : k + 256] for b in batches for k in range(0, len(b), 256)):  # few rows' terms at a time
             found = [terms(t) for t in batch["text"]]
             marks = [[int(y and not own.isdisjoint(words[c])) for c in words] + [int(y)] for y, own in zip(batch["y"], found)]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "marks": marks, "terms": [sorted(f) for f in found]})
