@@ -21,6 +21,10 @@ from logforge.llm.common import materialise, read_table
 MAX_TRAIN = 20_000
 #: Terms (words and beginnings of words) that models see, folds, and the least probability of a toxic document.
 TERMS, FOLDS, THRESHOLD = 800, 3, 0.4
+#: The least log-likelihood ratio of a term: under it, a difference of that size often comes by chance.
+LEAST_GAIN = 3.0
+#: The penalty of a term whose ratio is SURE_GAIN; terms of smaller ratios, up to a tenth, are penalised more.
+DECAY, SURE_GAIN = 5e-5, 20.0
 #: Beginnings of words, in characters, that are terms beside whole words.
 PREFIXES = (4, 5, 6)
 #: The categories before the whole: a toxic document is of one if it has such a word. Without any, as in a language that
@@ -66,7 +70,7 @@ class Linear:
     def __init__(self, width: int, extra: int):
         self.weights, self.extra, self.bias, self.share = np.zeros(width), np.zeros(extra), 0.0, 0.0
 
-    def fit(self, rows: _Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, rounds: int = 200, rate: float = 0.15, decay: float = 2e-5) -> Linear:
+    def fit(self, rows: _Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, decay: np.ndarray, rounds: int = 200, rate: float = 0.15) -> Linear:
         """Full-batch Adam on the rows that `use` marks."""
         weight = use / max(1, use.sum())
         share = min(max(float((y * weight).sum()), 1e-4), 1 - 1e-4)
@@ -76,6 +80,7 @@ class Linear:
         params = np.concatenate((self.weights, self.extra, [self.bias]))
         first, second = np.zeros_like(params), np.zeros_like(params)
         w, e = len(self.weights), len(self.extra)
+        decay = np.concatenate((decay, np.full(e, DECAY)))
         for t in range(1, rounds + 1):
             error = (_sigmoid(rows.dot(params[:w]) + dense @ params[w : w + e] + params[-1]) - y) * weight
             grad = np.concatenate((rows.gather(error), dense.T @ error, [error.sum()]))
@@ -95,19 +100,20 @@ class Linear:
 class Chain:
     """The models of the categories in their order, and the places of the terms that they see."""
 
-    def __init__(self, categories: list[str], places: dict[str, int]):
-        self.categories, self.places = categories, places
+    def __init__(self, categories: list[str], gains: dict[str, float]):
+        self.categories, self.places = categories, {t: k for k, t in enumerate(gains)}
+        self.decay = DECAY * np.minimum(10, SURE_GAIN / np.array(list(gains.values()), dtype=float))
         self.models: list[Linear] = []
 
     def fit(self, rows: _Rows, labels: np.ndarray, fold: np.ndarray, folds: int) -> Chain:
         dense = np.zeros((rows.n, 0))
         for k in range(len(self.categories)):
             y = labels[:, k].astype(float)
-            self.models.append(Linear(rows.width, k).fit(rows, dense, y, np.ones(rows.n)))
+            self.models.append(Linear(rows.width, k).fit(rows, dense, y, np.ones(rows.n), self.decay))
             if k + 1 < len(self.categories):
                 own = np.zeros(rows.n)
                 for f in range(folds):  # each row by a model that did not see it
-                    out = Linear(rows.width, k).fit(rows, dense, y, (fold != f).astype(float)).predict(rows, dense)
+                    out = Linear(rows.width, k).fit(rows, dense, y, (fold != f).astype(float), self.decay).predict(rows, dense)
                     own = np.where(fold == f, out, own)
                 dense = np.hstack([dense, own[:, None]])
         return self
@@ -124,13 +130,13 @@ class Chain:
         return dense
 
 
-def choose_terms(train: DataFrame, limit: int = TERMS) -> list[str]:
-    """The terms whose share differs most between toxic and other rows, by the log-likelihood ratio; ties by the term.
+def choose_terms(train: DataFrame, limit: int = TERMS) -> dict[str, float]:
+    """The terms, and their ratios, whose share differs most between toxic and other rows, by the log-likelihood ratio; ties by the term.
     train: terms (array of string) and y."""
     total = train.agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = float(total.pos or 0), float((total.n or 0) - (total.pos or 0))
     if not pos or not neg:
-        return []
+        return {}
     df = train.select("y", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("y").cast("double").alias("a"), F.sum(F.lit(1) - F.col("y")).cast("double").alias("b")).where("a + b >= 3")
     both = F.col("a") + F.col("b")
@@ -140,7 +146,8 @@ def choose_terms(train: DataFrame, limit: int = TERMS) -> list[str]:
 
     gain = (part(F.col("a"), both * pos / (pos + neg)) + part(F.col("b"), both * neg / (pos + neg))
             + part(pos - F.col("a"), (pos + neg - both) * pos / (pos + neg)) + part(neg - F.col("b"), (pos + neg - both) * neg / (pos + neg)))
-    return [r.term for r in df.orderBy(F.round(gain, 6).desc(), "term").limit(limit).select("term").collect()]
+    df = df.withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= LEAST_GAIN)
+    return {r.term: r.gain for r in df.orderBy(F.desc("gain"), "term").limit(limit).select("term", "gain").collect()}
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -163,8 +170,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "marks": marks, "terms": [sorted(f) for f in found]})
 
     train = materialise(rows.mapInPandas(featured, "id long, y int, marks array<int>, terms array<string>"))
-    places = {t: k for k, t in enumerate(choose_terms(train))}
-    chain = Chain(names, places)
+    chain = Chain(names, choose_terms(train))
+    places = chain.places
     held = train.sparkSession.sparkContext.broadcast(places)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
