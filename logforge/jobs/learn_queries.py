@@ -124,6 +124,10 @@ def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
 
 
+def _folds(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return materialise(sampling.folds(vectors(spark, d), "label", "id", k))
+
+
 @query("train_models")
 def train_models(spark, d):
     return models.train_and_compare(*_split(spark, d))[0]
@@ -136,19 +140,19 @@ def model_compare(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows = sampling.folds(vectors(spark, d), "label", "id", 3)
-    grid = models.draw(models.grids(4000)["logistic"], 4)
+    rows = _folds(spark, d, 2)
+    grid = models.draw(models.grids(4000)["logistic"], 2)
     return models.search(rows, models.estimators()["logistic"], grid)[1]
 
 
 @query("cv_report")
 def cv_report(spark, d):
-    return models.cross_validate(sampling.folds(vectors(spark, d), "label", "id", 5), models.estimators()["logistic"], "logistic")
+    return models.cross_validate(_folds(spark, d, 3), models.estimators()["logistic"], "logistic")
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return models.learning_curve(sampling.folds(vectors(spark, d), "label", "id", 2), models.estimators()["tree"], (0.25, 0.5, 1.0))
+    return models.learning_curve(_folds(spark, d, 2), models.estimators()["tree"], (0.5, 1.0))
 
 
 @query("importance")
@@ -230,8 +234,8 @@ def cluster_pipeline(spark, d):
     return pipelines.cluster_all(flat, "label")
 
 
-@query("stream_volume", """SELECT date_trunc('hour', ts)::timestamp AS bucket, count(*) AS n FROM events GROUP BY 1
-    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+@query("stream_volume", """WITH h AS (SELECT date_trunc('hour', ts)::timestamp AS bucket, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(ts) AS last FROM events)
+    SELECT bucket, n FROM h, m WHERE bucket + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR""")
 def stream_volume(spark, d):
     base = f"{scratch_dir(spark)}/logforge-stream-{uuid.uuid4().hex}"
     schema = read_table(spark, d, "events").schema

@@ -35,7 +35,7 @@ def estimators(seed: int = 42) -> dict:
     """One untuned estimator of each family."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": LogisticRegression(maxIter=50, weightCol="weight", **common),
+        "logistic": LogisticRegression(maxIter=25, weightCol="weight", **common),
         "tree": DecisionTreeClassifier(maxDepth=8, weightCol="weight", seed=seed, **common),
         "forest": RandomForestClassifier(numTrees=20, maxDepth=8, weightCol="weight", seed=seed, **common),
         "boosting": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
@@ -79,14 +79,19 @@ def scores(model, df: DataFrame) -> DataFrame:
     return out.select("id", "label", score.alias("score"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def measures(scored: DataFrame) -> dict[str, float]:
-    """Accuracy, precision, recall, F1, area under ROC and average precision; numbers, from a few counts."""
+MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
+
+
+def measures(scored: DataFrame, names: Sequence[str] = MEASURES) -> dict[str, float]:
+    """The named measures of scored rows: numbers, from a few counts."""
     kept = scored.persist()
     try:
         row = ev.metrics(ev.confusion(kept), 6).first()
-        out = {k: float(row[k]) for k in ("accuracy", "precision", "recall", "f1")}
-        out["roc_auc"] = ev.roc_auc(kept).first()[0]
-        out["average_precision"] = ev.average_precision(kept).first()[0]
+        out = {k: float(row[k]) for k in names if k in row}
+        if "roc_auc" in names:
+            out["roc_auc"] = ev.roc_auc(kept).first()[0]
+        if "average_precision" in names:
+            out["average_precision"] = ev.average_precision(kept).first()[0]
     finally:
         kept.unpersist()
     return out
@@ -140,7 +145,7 @@ def cross_validate(df: DataFrame, estimator, name: str, resample: bool = False,
         if resample:
             dense = train.select("id", vector_to_array("features").alias("x"), "label")
             train = smote(dense, seed=seed).select("id", array_to_vector("x").alias("features"), "label")
-        found.append({"fold": k} | measures(scores(pipeline(estimator).fit(weighted(train)), rows.where(F.col("fold") == k))))
+        found.append({"fold": k} | measures(scores(pipeline(estimator).fit(weighted(train)), rows.where(F.col("fold") == k)), ("accuracy", "f1", "roc_auc")))
     rows.unpersist()
     table = _table(df.sparkSession, found, "fold int, accuracy double, f1 double, roc_auc double")
     long = table.unpivot(["fold"], ["accuracy", "f1", "roc_auc"], "metric", "value")
@@ -155,7 +160,7 @@ def learning_curve(df: DataFrame, estimator, shares: Sequence[float] = (0.1, 0.2
         for fold in range(df.agg(F.max("fold")).first()[0] + 1):
             train = steps.where((F.col("step") <= k) & (F.col("fold") != fold))
             model = pipeline(estimator).fit(weighted(train))
-            found.append((float(share), train.count(), measures(scores(model, train))["f1"], measures(scores(model, steps.where(F.col("fold") == fold)))["f1"]))
+            found.append((float(share), train.count(), measures(scores(model, train), ("f1",))["f1"], measures(scores(model, steps.where(F.col("fold") == fold)), ("f1",))["f1"]))
     steps.unpersist()
     table = df.sparkSession.createDataFrame(found, "share double, n long, train_f1 double, valid_f1 double")
     return table.groupBy("share").agg(F.avg("n").alias("rows"), F.avg("train_f1").alias("train_f1"), F.stddev_pop("train_f1").alias("train_std"),
