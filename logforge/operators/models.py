@@ -18,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logforge.functions.lineage import materialise
 from logforge.operators import evaluate as ev
 from logforge.operators.balance import class_weights, smote
 from logforge.operators.sampling import learning_steps
@@ -144,7 +145,7 @@ def cross_validate(df: DataFrame, estimator, name: str, resample: bool = False,
         train = rows.where(F.col("fold") != k)
         if resample:
             dense = train.select("id", vector_to_array("features").alias("x"), "label")
-            train = smote(dense, seed=seed).select("id", array_to_vector("x").alias("features"), "label")
+            train = materialise(smote(dense, seed=seed)).select("id", array_to_vector("x").alias("features"), "label")
         found.append({"fold": k} | measures(scores(pipeline(estimator).fit(weighted(train)), rows.where(F.col("fold") == k)), ("accuracy", "f1", "roc_auc")))
     rows.unpersist()
     table = _table(df.sparkSession, found, "fold int, accuracy double, f1 double, roc_auc double")
@@ -185,7 +186,8 @@ def retrain(train: DataFrame, valid: DataFrame, test: DataFrame, estimator=None,
     estimator = estimator or estimators(seed)["forest"]
     base = pipeline(estimator).fit(weighted(train))
     dense = train.select("id", vector_to_array("features").alias("x"), "label")
-    more = smote(dense, seed=seed).select("id", array_to_vector("x").alias("features"), "label")
+    # a fit reads its rows many times, and neighbours are to be found once
+    more = materialise(smote(dense, seed=seed)).select("id", array_to_vector("x").alias("features"), "label")
     again = pipeline(estimator).fit(weighted(more))
     edge = tune_threshold(scores(base, valid))
     scored = scores(base, test)
