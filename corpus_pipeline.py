@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that an earlier one has; n_chars is counted anew."""
-    out = line_dedup.dedup_lines(docs)
+    """All documents, without the runs of two lines or more that an earlier one has; n_chars is counted anew."""
+    out = line_dedup.dedup_lines(docs, runs=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

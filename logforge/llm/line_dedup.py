@@ -4,6 +4,9 @@ A rolling hash over each line and the lines before it decides whether a chunk en
 nearby lines alone: text that is put in or taken out elsewhere shifts no other boundary. A chunk of several lines that
 occurs again, anywhere in the corpus, is removed but for its first occurrence. Chunks are found equal by a hash, and
 their bytes are compared before anything goes.
+
+Boundaries leave many chunks of one line, which stay. With runs, overlapping pairs of neighbouring lines take the place
+of chunks, so a repeated run of two lines or more goes whole.
 """
 
 from __future__ import annotations
@@ -25,37 +28,45 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(_MODULUS - 1))
 
 
-def _chunks(text: Column, window: int, divisor: int, least: int) -> Column:
-    """array<struct<chunk_no, first_line, n_lines, solid>>: all chunks of a text; solid: it has the lines it needs."""
+def _chunks(lines: Column, window: int, divisor: int, least: int) -> Column:
+    """array<struct<chunk_no, first_line, n_lines, solid>>: all chunks of a text's lines; solid: it has the lines it needs."""
+    hashes = F.transform(lines, _line_hash)
+
+    def ends(hashed: Column) -> Column:
+        def rolled(i: Column) -> Column:
+            value = F.lit(0).cast("long")
+            for back in range(window - 1, -1, -1):
+                at = F.when(i >= back, F.get(hashed, i - back)).otherwise(F.lit(0).cast("long"))
+                value = (value * F.lit(_BASE) + at) % F.lit(_MODULUS)
+            return value
 
-    def of_lines(lines: Column) -> Column:
-        hashes = F.transform(lines, _line_hash)
+        last = F.size(hashed) - 1
+        # the high bits: the low ones hang on the last line alone
+        cut = lambda i: (i == last) | (F.shiftright(rolled(i), 8) % F.lit(divisor) == 0)
+        return F.filter(F.sequence(F.lit(0), last), cut)
 
-        def ends(hashed: Column) -> Column:
-            def rolled(i: Column) -> Column:
-                value = F.lit(0).cast("long")
-                for back in range(window - 1, -1, -1):
-                    at = F.when(i >= back, F.get(hashed, i - back)).otherwise(F.lit(0).cast("long"))
-                    value = (value * F.lit(_BASE) + at) % F.lit(_MODULUS)
-                return value
+    def chunk(stops: Column) -> Column:
+        def one(stop: Column, k: Column) -> Column:
+            first = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
+            n = stop - first + 1
+            some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: F.length(F.trim(x)) > 0))
+            return F.struct(k.alias("chunk_no"), first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
 
-            last = F.size(hashed) - 1
-            # the high bits: the low ones hang on the last line alone
-            cut = lambda i: (i == last) | (F.shiftright(rolled(i), 8) % F.lit(divisor) == 0)
-            return F.filter(F.sequence(F.lit(0), last), cut)
+        return F.transform(stops, one)
 
-        def chunk(stops: Column) -> Column:
-            def one(stop: Column, k: Column) -> Column:
-                first = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
-                n = stop - first + 1
-                some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: F.length(F.trim(x)) > 0))
-                return F.struct(k.alias("chunk_no"), first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
+    return _let(_let(hashes, ends), chunk)
 
-            return F.transform(stops, one)
 
-        return _let(_let(hashes, ends), chunk)
+def _pairs(lines: Column) -> Column:
+    """The same of each two neighbouring lines that are not blank, with the blank ones between them."""
 
-    return _let(F.split(text, "\n", -1), of_lines)
+    def pair(full: Column) -> Column:
+        one = lambda i, k: F.struct(
+            k.alias("chunk_no"), i.alias("first_line"), (F.get(full, k + 1) - i + 1).alias("n_lines"), F.lit(True).alias("solid"))
+        return F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), one)
+
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    return _let(F.filter(numbers, lambda i: F.get(lines, i).rlike(r"\S")), pair)
 
 
 def _let(value: Column, body) -> Column:
@@ -68,33 +79,42 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
+                divisor: int = DIVISOR, least_lines: int = LEAST_LINES, runs: bool = False) -> DataFrame:
     """docs with the repeated chunks of several lines cut from the text, and n_lines and n_removed (long): the lines of
     the text as it was, and those removed. They replace columns of those names.
 
     The occurrence of the smallest (id, chunk number) stays; a null id comes last. Rows that agree in id and text are
     one document: they keep and lose the same chunks. A null text stays null with 0 lines; an empty text has one
     (empty) line. Single lines and blank ones are never removed by themselves. An empty table gives an empty table.
+
+    With runs, the repeated pairs of neighbouring lines are cut in place of chunks, and window, divisor and least_lines
+    do nothing. An occurrence that overlaps the first one stays. A line's first occurrence is never removed.
     """
+    units = _pairs if runs else lambda x: _chunks(x, window, divisor, least_lines)
+    split = lambda text: F.split(text, "\n", -1)
     names = {"n_lines", "n_removed"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     base = base.withColumn("__lf_hash", F.xxhash64(text_col))
     ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__lf_hash").alias("hash"))
 
-    lines = F.split(F.col("__lf_text"), "\n", -1)
+    def keys(lines: Column) -> Column:
+        one = lambda c: _let(_chunk_text(lines, c), lambda x: F.struct(
+            c["chunk_no"].alias("chunk_no"), F.xxhash64(x).alias("key"), F.octet_length(x).alias("size")))
+        return F.transform(F.filter(units(lines), lambda c: c["solid"]), one)
+
     found = (
         base.where(F.col(text_col).isNotNull())
-        .select(ident.alias("doc"), F.col(text_col).alias("__lf_text"))
-        .withColumn("chunk", F.explode(F.filter(_chunks(F.col("__lf_text"), window, divisor, least_lines), lambda c: c["solid"])))
-        .withColumn("__lf_text", _chunk_text(lines, F.col("chunk")))
-        .select("doc", F.col("chunk.chunk_no").alias("chunk_no"), F.xxhash64("__lf_text").alias("key"),
-                F.octet_length("__lf_text").alias("size"))
+        .select(ident.alias("doc"), F.explode(_let(split(F.col(text_col)), keys)).alias("chunk"))
+        .select("doc", "chunk.*")
     )
     found = materialise(found)  # a few numbers for each chunk
     where = F.struct("doc", "chunk_no")
     first = found.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1").drop("n")
+    stays = where == F.col("first")
+    if runs:
+        stays = stays | ((F.col("doc") == F.col("first.doc")) & (F.col("chunk_no") == F.col("first.chunk_no") + 1))
     asked = found.join(first, ["key", "size"]).groupBy("doc").agg(
-        F.collect_set(F.struct("chunk_no", (where == F.col("first")).alias("stays"), "first")).alias("asked"))
+        F.collect_set(F.struct("chunk_no", stays.alias("stays"), "first")).alias("asked"))
 
     # one shuffle of the texts: each document meets the list of its chunks that occur again
     met = base.withColumn("__lf_doc", ident).join(
@@ -102,13 +122,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = materialise(met)
 
     # byte comparison: of chunks with one hash, those of other bytes than the first have a first occurrence of their own
+    def asked_bytes(lines: Column) -> Column:
+        return _let(units(lines), lambda all_: F.transform("__lf_asked", lambda a: F.struct(
+            a["chunk_no"].alias("chunk_no"), a["first"].alias("first"), _chunk_text(lines, F.get(all_, a["chunk_no"])).alias("bytes"))))
+
     cut = (
         met.where(F.col("__lf_asked").isNotNull())
-        .select(F.col("__lf_doc").alias("doc"), F.col(text_col).alias("__lf_text"), "__lf_asked")
-        .withColumn("chunks", _chunks(F.col("__lf_text"), window, divisor, least_lines))
-        .withColumn("ask", F.explode("__lf_asked"))
-        .select("doc", F.col("ask.chunk_no").alias("chunk_no"), F.col("ask.first").alias("first"),
-                _chunk_text(lines, F.get("chunks", F.col("ask.chunk_no"))).alias("bytes"))
+        .select(F.col("__lf_doc").alias("doc"), F.explode(_let(split(F.col(text_col)), asked_bytes)).alias("ask"))
+        .select("doc", "ask.*")
     )
     other = cut.groupBy("first", "bytes").agg(F.min(where).alias("own")).where("own != first")
     spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set("own.chunk_no").alias("__lf_spared")))
@@ -116,17 +137,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = F.transform(F.filter(F.col("__lf_asked"), lambda a: ~a["stays"]), lambda a: a["chunk_no"])
     gone = F.array_except(gone, F.coalesce("__lf_spared", F.array().cast("array<int>")))
     text = F.col(text_col)
-    left = F.filter(_chunks(text, window, divisor, least_lines), lambda c: ~F.array_contains(F.col("__lf_gone"), c["chunk_no"]))
-    own_lines = F.split(text, "\n", -1)
+
+    def left(lines: Column) -> Column:
+        at = lambda c: F.sequence(c["first_line"], c["first_line"] + c["n_lines"] - 1)
+        numbers = lambda all_: F.flatten(F.transform("__lf_gone", lambda k: at(F.get(all_, k))))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _let(units(lines), numbers))
+        return F.transform(kept, lambda i: F.get(lines, i))
+
     out = (
         met.join(spared, "__lf_doc", "left")
         .withColumn("__lf_gone", F.when(F.col("__lf_asked").isNotNull(), gone))
-        .withColumn("__lf_left", F.when(F.size("__lf_gone") > 0, left))
-        .withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(own_lines)).cast("long"))
-        .withColumn("n_removed", F.coalesce(
-            F.col("n_lines") - F.aggregate("__lf_left", F.lit(0), lambda n, c: n + c["n_lines"]), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("__lf_left").isNotNull(), F.array_join(
-            F.transform("__lf_left", lambda c: _chunk_text(own_lines, c)), "\n")).otherwise(text))
+        .withColumn("__lf_left", F.when(F.size("__lf_gone") > 0, _let(split(text), left)))
+        .withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(split(text))).cast("long"))
+        .withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("__lf_left"), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("__lf_left").isNotNull(), F.array_join("__lf_left", "\n")).otherwise(text))
     )
     return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "__lf_hash"], "n_lines", "n_removed")
 

@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logforge.llm import common, embedding_dedup, line_dedup, quality, simhash, toxicity
 
 
@@ -151,6 +152,27 @@ def test_line_dedup_is_sql(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    docs, want = [], {}
+    for n in (2, 3, 4, 5):
+        for _ in range(20):
+            passage = "\n\n".join(prose(60 // n + 1) for _ in range(n))
+            for copy in range(2):
+                i, before, after = len(docs), prose(12), prose(12)
+                docs.append((i, f"{before}\n{passage}\n{after}"))
+                want[i] = f"{before}\n{after}" if copy else docs[-1][1]
+    odd = {1000: "same\nsame\nsame", 1001: "one\r\n\r\ntwo\r", 1002: "one\r\n\r\nthree\r", 1003: "x\nx\ny\ny\nx\nx", 1004: "single", 1005: "single", 1006: "\n\n"}
+    want |= odd | {1003: "x\nx\ny\ny"}
+    rows = spark.createDataFrame(docs + list(odd.items()), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, "").collect()}
+    whole = sum(got[i] == want[i] for i in want if i < 1000 and i % 2)
+    assert whole == 80, whole
+    assert got == want
+
+
+
 def test_isotonic():
     rng = np.random.default_rng(7)
     y, w = rng.normal(size=60), rng.uniform(1, 3, 60)
