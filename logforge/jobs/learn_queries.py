@@ -189,19 +189,19 @@ def rff_svm(spark, d):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, d):
-    return cluster.kmeans_sweep(points(spark, d), range(2, 6), 2)[0]
+    return cluster.kmeans_sweep(points(spark, d))[0]
 
 
 @query("gmm_bic")
 def gmm_bic(spark, d):
     p = dr.to_vector(points(spark, d), ["x"])
     flat = dr.Pca(p, "features", 4).transform(p)
-    return cluster.gmm_sweep(flat.select("id", F.array("PC_1", "PC_2", "PC_3", "PC_4").alias("x")), range(2, 5), 1)[0]
+    return cluster.gmm_sweep(flat.select("id", F.array("PC_1", "PC_2", "PC_3", "PC_4").alias("x")))[0]
 
 
 @query("ward_two_stage")
 def ward_two_stage(spark, d):
-    return cluster.ward_two_stage(points(spark, d), range(2, 7), 60)[0]
+    return cluster.ward_two_stage(points(spark, d))[0]
 
 
 @query("dbscan")
@@ -210,6 +210,11 @@ def dbscan(spark, d):
     return cluster.dbscan_labels(p, materialise(cluster.within(p.select("id", "x"), 0.6)), 0.6, 2)
 
 
+@query("dbscan_sweep")
+def dbscan_sweep(spark, d):
+    return cluster.dbscan_sweep(points(spark, d))[0]
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     # events come twice now and then, as in a real log
     ev = masked(spark, d)

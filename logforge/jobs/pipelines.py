@@ -72,8 +72,8 @@ def cluster_all(df: DataFrame, label: str | None = None) -> DataFrame:
     """(algorithm, metric, value) of k-means, a Gaussian mixture, Ward and DBSCAN. df: id, x and perhaps a label."""
     rows = materialise(df)
     found = {
-        "kmeans": cluster.kmeans_sweep(rows, range(2, 5), 1)[1], "mixture": cluster.gmm_sweep(rows, range(2, 4), 1)[1],
-        "ward": cluster.ward_two_stage(rows, range(2, 5), 60)[1], "dbscan": cluster.dbscan_sweep(rows, (0.5,), (5,))[1]}
+        "kmeans": cluster.kmeans_sweep(rows)[1], "mixture": cluster.gmm_sweep(rows)[1],
+        "ward": cluster.ward_two_stage(rows)[1], "dbscan": cluster.dbscan_sweep(rows)[1]}
     out: dict[str, dict[str, float]] = {}
     for name, labels in found.items():
         both = materialise(rows.join(labels, "id"))

@@ -19,7 +19,7 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.select("id", "x", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
 
 
-def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), restarts: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), restarts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(k, inertia, silhouette) for each k, best of some restarts by inertia; and (id, cluster) of the best silhouette."""
     rows = _vectors(df).persist()
     judge, found, best = ClusteringEvaluator(predictionCol="cluster"), [], None
@@ -35,8 +35,9 @@ def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), restarts: int = 3, see
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double"), labels
 
 
-def gmm_sweep(df: DataFrame, ks: range = range(2, 9), restarts: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(k, log_likelihood, bic) for each k, best of some restarts; and (id, cluster) of the least BIC."""
+def gmm_sweep(df: DataFrame, ks: range = range(2, 9), restarts: int = 3, seed: int = 42, final: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(k, log_likelihood, bic) for each k, best of some restarts; and (id, cluster) of the least BIC, best of `final`
+    restarts."""
     rows = _vectors(df).persist()
     n, d = rows.count(), rows.select(F.size("x")).first()[0]
     found, best = [], None
@@ -47,8 +48,9 @@ def gmm_sweep(df: DataFrame, ks: range = range(2, 9), restarts: int = 2, seed: i
         bic = -2 * model.summary.logLikelihood + free * np.log(n)
         found.append((k, float(model.summary.logLikelihood), float(bic)))
         if best is None or bic < best[0]:
-            best = bic, model
-    labels = best[1].transform(rows).select("id", "cluster")
+            best = bic, model, k
+    more = [GaussianMixture(k=best[2], seed=seed + r, predictionCol="cluster", maxIter=50).fit(rows) for r in range(restarts, final)]
+    labels = max([best[1], *more], key=lambda m: m.summary.logLikelihood).transform(rows).select("id", "cluster")
     return df.sparkSession.createDataFrame(found, "k int, log_likelihood double, bic double"), labels
 
 
@@ -56,21 +58,21 @@ def _ward(centres: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
     """Merges weighted points, always the pair that adds least to the within-cluster squares, down to `wanted` groups."""
     c, n = centres.astype(float).copy(), sizes.astype(float).copy()
     group = np.arange(len(c))
-    alive = list(range(len(c)))
-    while len(alive) > wanted:
-        a = np.array(alive)
-        d = ((c[a, None, :] - c[None, a, :]) ** 2).sum(axis=2) * (n[a, None] * n[None, a] / (n[a, None] + n[None, a]))
-        np.fill_diagonal(d, np.inf)
-        i, j = divmod(int(d.argmin()), len(a))
-        keep, gone = sorted((alive[i], alive[j]))
+    cost = lambda i: ((c[i, None, :] - c[None, :, :]) ** 2).sum(axis=2) * (n[i, None] * n[None, :] / (n[i, None] + n[None, :]))
+    d = np.vstack([cost(np.array([i])) for i in range(len(c))])
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(c) - wanted):
+        keep, gone = sorted(divmod(int(d.argmin()), len(c)))
         c[keep] = (c[keep] * n[keep] + c[gone] * n[gone]) / (n[keep] + n[gone])
         n[keep] += n[gone]
         group[group == gone] = keep
-        alive.remove(gone)
+        d[gone], d[:, gone] = np.inf, np.inf
+        left = np.isfinite(d[keep])
+        d[keep, left] = d[left, keep] = cost(np.array([keep]))[0, left]
     return np.searchsorted(np.unique(group), group)
 
 
-def ward_two_stage(df: DataFrame, ks: range = range(2, 7), micro: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def ward_two_stage(df: DataFrame, ks: range = range(2, 7), micro: int = 300, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(k, silhouette), and (id, cluster) of the best. Rows go to at most `micro` small clusters by k-means, which Ward's
     criterion then merges; so the merging doesn't grow with the table."""
     rows = _vectors(df).persist()
