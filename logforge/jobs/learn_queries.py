@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,19 +141,23 @@ def model_compare(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows = _folds(spark, d, 2)
-    grid = models.draw(models.grids(4000)["logistic"], 2)
-    return models.search(rows, models.estimators()["logistic"], grid)[1]
+    rows = _folds(spark, d, 5)
+    found = []
+    for family, grid in models.grids(rows.where("fold <> 0").count()).items():
+        # forest and boosting are drawn from, 20 combinations at most
+        own = models.draw(grid, 20) if family in ("forest", "boosting") else grid
+        found.append(models.search(rows, models.estimators()[family], own)[1].select(F.lit(family).alias("family"), "parameters", "f1"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("cv_report")
 def cv_report(spark, d):
-    return models.cross_validate(_folds(spark, d, 3), models.estimators()["logistic"], "logistic")
+    return models.cross_validate(_folds(spark, d, 5), models.estimators()["logistic"], "logistic")
 
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    return models.learning_curve(_folds(spark, d, 2), models.estimators()["tree"], (0.5, 1.0))
+    return models.learning_curve(_folds(spark, d, 5), models.estimators()["tree"], [round(0.1 + 0.9 * k / 7, 6) for k in range(8)])
 
 
 @query("importance")

@@ -36,7 +36,7 @@ def estimators(seed: int = 42) -> dict:
     """One untuned estimator of each family."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": LogisticRegression(maxIter=25, weightCol="weight", **common),
+        "logistic": LogisticRegression(maxIter=50, weightCol="weight", **common),
         "tree": DecisionTreeClassifier(maxDepth=8, weightCol="weight", seed=seed, **common),
         "forest": RandomForestClassifier(numTrees=20, maxDepth=8, weightCol="weight", seed=seed, **common),
         "boosting": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
@@ -44,7 +44,7 @@ def estimators(seed: int = 42) -> dict:
 
 
 def grids(rows: int) -> dict[str, list[dict]]:
-    """The parameter combinations of a full search of each family."""
+    """The parameter combinations of a full search of each family. rows: those that a model is trained on."""
 
     def every(**options) -> list[dict]:
         return [dict(zip(options, values)) for values in product(*options.values())]

@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import cluster
+from logforge.operators import cluster, models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,3 +45,27 @@ def test_ward_merges_the_nearest():
         parts[i] += parts.pop(j)
     got = cluster._ward(c, n, 4)
     assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())} == {frozenset(p) for p in parts}
+
+
+def test_searches_are_whole(spark, monkeypatch):
+    seen = {}
+
+    def search(rows, estimator, combinations):
+        seen[type(estimator).__name__] = rows, list(combinations)
+        return None, spark.createDataFrame([("{}", 1.0)], "parameters string, f1 double")
+
+    monkeypatch.setattr(models, "search", search)
+    assert {r.family for r in learn_queries.QUERIES["grid_search"](spark, DATA).collect()} == {"logistic", "tree", "forest", "boosting"}
+    assert {k: len(c) for k, (_, c) in seen.items()} == {
+        "LogisticRegression": 8, "DecisionTreeClassifier": 24, "RandomForestClassifier": 12, "GBTClassifier": 20}
+    rows, logistic = seen["LogisticRegression"]
+    assert {r.fold for r in rows.select("fold").distinct().collect()} == set(range(5))
+    n = rows.where("fold <> 0").count()
+    assert sorted({c["regParam"] for c in logistic}) == sorted(1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0))
+
+    calls = {}
+    monkeypatch.setattr(models, "cross_validate", lambda rows, *a: calls.setdefault("cv", rows))
+    monkeypatch.setattr(models, "learning_curve", lambda rows, e, shares: calls.setdefault("curve", (rows, shares))[0])
+    folds = [learn_queries.QUERIES[q](spark, DATA).selectExpr("max(fold)").first()[0] for q in ("cv_report", "learning_curve")]
+    assert folds == [4, 4] and len(calls["curve"][1]) == 8 and calls["curve"][1][0] == 0.1 and calls["curve"][1][-1] == 1.0
+    assert models.estimators()["logistic"].getMaxIter() == 50
