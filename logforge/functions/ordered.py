@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logforge.functions.lineage import materialise
+
 
 def running_totals(df: DataFrame, bucket: Column, order: Sequence[Column], sums: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """df with a running total for each of sums, in ascending order of (bucket, order) within keys.
@@ -34,3 +37,55 @@ def hash_rank(df: DataFrame, id_col: str, seed: int, keys: Sequence[str] = (), o
     row_number; the work is spread over 2^bits buckets of the hash for each key."""
     h = F.xxhash64(F.col(id_col), F.lit(seed))
     return running_totals(df, F.shiftright(h, 64 - bits), [h, F.col(id_col)], {out: F.lit(1).cast("long")}, keys)
+
+
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _edges(buckets: int) -> Column:
+    """Rough quantiles of x. Buckets are right for any edges; good ones make them of one size."""
+    return F.array_sort(F.percentile_approx("x", [k / buckets for k in range(1, buckets)], 1000)).alias("edges")
+
+
+def _bucket() -> Column:
+    return F.size(F.filter("edges", lambda e: e <= F.col("x")))
+
+
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], buckets: int = 128) -> dict[str, list[float] | None]:
+    """The quantiles of each column, as F.percentile gives them: interpolated between neighbours. None without values.
+
+    Distinct values are counted and ranked in parallel; only the values at the wanted ranks are collected."""
+    names = list(columns)
+    if not names:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), columns[c].cast("double").alias("x")) for k, c in enumerate(names)])
+    counted = materialise(df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")))
+    fitted = counted.groupBy("k").agg(F.sum("n").alias("rows"), _edges(buckets)).collect()  # a row for each column
+    if not fitted:
+        return dict.fromkeys(names)
+    where = {r.k: [((r.rows - 1) * s, math.floor((r.rows - 1) * s), math.ceil((r.rows - 1) * s)) for s in shares] for r in fitted}
+    small = df.sparkSession.createDataFrame(
+        [(r.k, r.edges, sorted({p for _, *both in where[r.k] for p in both})) for r in fitted], "k int, edges array<double>, at array<long>")
+    met = counted.join(F.broadcast(small), "k").select("k", "x", "n", "at", _bucket().alias("b"))  # a row for each column
+    ranked = running_totals(met, F.col("b"), [F.col("x")], {"upto": F.col("n")}, ["k"])
+    own = F.filter("at", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
+    at = {(r.k, r.p): r.x for r in ranked.select("k", "x", F.explode(own).alias("p")).collect()}  # two for each share and column
+
+    def value(k: int, place: float, low: int, high: int) -> float:
+        a, b = at[k, low], at[k, high]
+        return a if low == high or a == b else (high - place) * a + (place - low) * b
+
+    return {c: [value(k, *w) for w in where[k]] if k in where else None for k, c in enumerate(names)}
+
+
+def grouped_medians(df: DataFrame, buckets: int = 128) -> DataFrame:
+    """(key, median) of the columns key and x, without nulls. A key of many rows is ranked in many tasks."""
+    counted = materialise(df.where("key is not null and x is not null").groupBy("key", "x").agg(F.count(F.lit(1)).alias("n")))
+    edges = counted.agg(_edges(buckets))
+    met = counted.crossJoin(F.broadcast(edges)).select("key", "x", "n", _bucket().alias("b"))  # a single row
+    ranked = running_totals(met, F.col("b"), [F.col("x")], {"upto": F.col("n")}, ["key"])
+    rows = counted.groupBy("key").agg(F.sum("n").alias("rows"))
+    at = lambda p: F.max(F.when((p < F.col("upto")) & (p >= F.col("upto") - F.col("n")), F.col("x")))
+    half = (F.col("rows") - 1) * 0.5
+    found = ranked.join(rows, "key").groupBy("key").agg(at(F.floor(half)).alias("a"), at(F.ceil(half)).alias("b"))
+    return found.select("key", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0.5 * F.col("a") + 0.5 * F.col("b")).alias("median"))

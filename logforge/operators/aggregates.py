@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logforge.functions.ordered import QUARTILES, exact_quantiles, grouped_medians
 from logforge.functions.stats import kurtosis_corrected, skew_corrected
 from logforge.operators.missing import batches, col, numeric_columns
 from logforge.operators.quality import _long
@@ -51,18 +52,21 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def grouped_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     x = col(value).cast("double")
-    return df.where(col(key).isNotNull()).groupBy(col(key).alias("key")).agg(
-        F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"), F.count(x).alias("n"))
+    rows = df.where(col(key).isNotNull()).select(col(key).alias("key"), x.alias("x"))
+    out = rows.groupBy("key").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("x").alias("n"))
+    return out.join(grouped_medians(rows), "key", "left").select("key", "mean", "median", "std", "n")
 
 
 def numeric_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Describe, missing values, bias-corrected skewness and excess kurtosis of each numeric column."""
     parts = []
     for part in batches(numeric_columns(df) if names is None else names, 40):
+        found = exact_quantiles(df, {c: col(c) for c in part}, QUARTILES)
+
         def stats(c):
             x = col(c).cast("double")
             return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max"),
+                            F.array(*[F.lit(v).cast("double") for v in found[c] or [None] * 3]).alias("q"), F.max(x).alias("max"),
                             F.count_if(x.isNull()).alias("missing"), skew_corrected(x).alias("skewness"), kurtosis_corrected(x).alias("kurtosis"))
 
         wide = df.agg(*[stats(c).alias(str(k)) for k, c in enumerate(part)])
@@ -112,8 +116,7 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, name: str) -> DataFrame:
     """Quartiles, and whiskers: the outermost values within 1.5 interquartile ranges; how many lie beyond."""
     x = col(name).cast("double")
-    q = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = df.sparkSession.createDataFrame([exact_quantiles(df, {name: x}, QUARTILES)[name] or [None] * 3], "q1 double, median double, q3 double")
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     met = df.where(x.isNotNull()).select(x.alias("x")).crossJoin(F.broadcast(q))  # a single row
     inside = F.col("x").between(low, high)

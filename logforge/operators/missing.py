@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logforge.functions.ordered import exact_quantiles
+
 #: Columns that one aggregation takes at most, so that wide tables stay within generated code's limits.
 BATCH = 150
 
@@ -56,7 +58,11 @@ def fit_medians(df: DataFrame, names: list[str] | None = None, exact: bool = Tru
     out: dict[str, float] = {}
     for part in batches(names):
         clean = [F.when(~is_missing(df, c), col(c).cast("double")) for c in part]
-        row = df.agg(*[(F.median(c) if exact else F.percentile_approx(c, 0.5, 10_000)).alias(str(k)) for k, c in enumerate(clean)]).first()
+        if exact:
+            found = exact_quantiles(df, {str(k): c for k, c in enumerate(clean)}, (0.5,))
+            row = [(found[str(k)] or [None])[0] for k in range(len(part))]
+        else:
+            row = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(str(k)) for k, c in enumerate(clean)]).first()
         out |= {c: row[k] if row[k] is not None else 0.0 for k, c in enumerate(part)}
     return out
 
@@ -135,7 +141,7 @@ def subset(df: DataFrame, kind: str, target: str = "actor_is_bot") -> DataFrame:
     """A named subset of rows: bot_events, human_events, high_activity (events at or over the upper quartile of
     actor_event_count), weekend_events, programmatic."""
     if kind == "high_activity":
-        edge = df.agg(F.percentile("actor_event_count", 0.75)).first()[0]
+        edge = (exact_quantiles(df, {"n": F.col("actor_event_count")}, (0.75,))["n"] or [None])[0]
         return df.where(F.col("actor_event_count") >= F.lit(edge))
     column, value = {"bot_events": (target, 1), "human_events": (target, 0), "weekend_events": ("is_weekend", 1), "programmatic": ("is_programmatic", 1)}[kind]
     return df.where(F.col(column) == value)
