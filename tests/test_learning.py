@@ -5,7 +5,7 @@ import inspect
 import numpy as np
 
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import cluster, models
+from logforge.operators import anomaly, cluster, models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,3 +69,9 @@ def test_searches_are_whole(spark, monkeypatch):
     folds = [learn_queries.QUERIES[q](spark, DATA).selectExpr("max(fold)").first()[0] for q in ("cv_report", "learning_curve")]
     assert folds == [4, 4] and len(calls["curve"][1]) == 8 and calls["curve"][1][0] == 0.1 and calls["curve"][1][-1] == 1.0
     assert models.estimators()["logistic"].getMaxIter() == 50
+
+
+def test_trees_draw_from_the_whole_table(spark):
+    dealt = anomaly._deal(spark.range(30_000).selectExpr("id", "array(double(id)) as x"), 30_000, 250, 42)
+    ids, rows = dealt.selectExpr("count(distinct id)", "count(*)").first()
+    assert ids > 25_000 and 60_000 < rows < 68_000
