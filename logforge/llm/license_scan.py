@@ -87,8 +87,13 @@ class Scanner:
         for k, own in windows.items():
             _, label, _, pattern = self.notices[k]
             for low, high in own:
-                for m in pattern.finditer(joined, low, min(high, len(joined))):
-                    found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                # the best match comes first; others may stand on either side of it
+                open_ = [(low, min(high, len(joined)))]
+                while open_:
+                    low, high = open_.pop()
+                    if m := pattern.search(joined, low, high):
+                        found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        open_ += [(low, m.start()), (m.end(), high)]
         return sorted(found, key=lambda x: (x[1], x[2], x[0], x[3]))
 
     def __call__(self, text: str | None) -> tuple:

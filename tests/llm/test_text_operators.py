@@ -132,6 +132,14 @@ def test_license_notices_with_errors():
     assert scan("nothing to see")[5] == "" and scan(None)[0] == 0
 
 
+def test_license_weaker_notice_before_the_best():
+    scan = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    text = "x released undr the mit licence y z released under the mit license w"
+    spans = scan(text)[-1]
+    assert [e for *_, e in spans] == [2, 0], spans
+    assert spans[0][1] < text.index(" y z ") and text[spans[1][1] : spans[1][2]] == "released under the mit license"
+
+
 def _edits(item, text):
     prev = np.zeros(len(text) + 1, int)
     other = np.array([ord(c) for c in text])
