@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of this machine if all of Spark runs in
+    it; on a cluster, where executors would not see each other's files, that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="logforge-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
