@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.functions.skew import hot_keys, spread_join
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v), of which there are about `total`, with m: the least v of the same u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return spread_join(edges, least.drop("n"), ["u"], hot_keys(least, ["u"], total), ["v"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +21,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges has two long columns a and b; nulls and loops are ignored, repeated edges and both directions are fine.
     Alternates the large-star and small-star steps (Kiveris et al. 2014), which needs a number of rounds that is
     logarithmic in the number of nodes, whatever the diameter. Each step takes the minimum of a node's neighbours
-    by a pre-aggregated groupBy and joins it back, so a hub's neighbours are never gathered in one row or task.
+    by a pre-aggregated groupBy and joins it back; in that join a hub's neighbours are dealt over many tasks.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     pairs = pairs.where(F.col("a") != F.col("b"))
@@ -22,11 +29,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = materialise(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        total = 2 * pairs.count()
+        large = _with_least(both, total).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        small = _with_least(large, total).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = materialise(small.where(F.col("u") != F.col("v")).distinct())
