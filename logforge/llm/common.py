@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from logforge.functions.lineage import materialise, scratch_dir
+from logforge.functions.skew import hot_keys, spread_join
 from logforge.operators.graph import connected_components
 from logforge.sources.tables import read_table
 
-__all__ = ["connected_components", "materialise", "once", "read_table", "scratch_dir"]
+__all__ = ["connected_components", "hot_keys", "materialise", "once", "read_table", "scratch_dir", "spread_join"]
 
 _MADE: dict = {}
 
 
-def once(key, make):
-    """What make() gives, made once in each worker process: tasks that follow in the same process find it."""
+def once(key, make, alone: bool = False):
+    """What make() gives, made once in each worker process: tasks that follow in the same process find it. With alone,
+    the key is a tuple, and what was made for another key of the same first member is dropped."""
     if key not in _MADE:
+        if alone:
+            for other in [k for k in _MADE if k[0] == key[0]]:
+                del _MADE[other]
         _MADE[key] = make()
     return _MADE[key]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logforge.llm.common import connected_components, materialise, read_table
+from logforge.llm.common import connected_components, hot_keys, materialise, read_table, spread_join
 
 #: Rows of a bucket that are compared in one task; larger buckets are cut into pairs of blocks of about this size.
 BLOCK = 1024
@@ -153,19 +153,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     """For each row of docs: the id, fingerprint (16 hexadecimal digits) and component_id, the smallest id that links
     of at most `radius` differing bits reach.
 
-    Documents of one fingerprint are one node, so a group of copies costs no more than a single document. Null and
+    Documents of one fingerprint are one node, so a group of copies costs no more than a single document; the rows of a
+    large group, and the fingerprints of a large component, are dealt over many tasks when they get their labels. Null and
     empty texts have fingerprint zero and link with each other. A null id keeps its row, never becomes a component_id,
     and a component of null ids alone has a null one. Repeated rows each keep their row. Ties don't arise.
     """
     prints = materialise(with_fingerprints(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__lf_text")), "__lf_text", words)
                          .select(id_col, "fp"))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
+    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")))
     labels = connected_components(link_fingerprints(classes.select("fp"), radius))
-    classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(named.drop("low"), lowest.drop("n"), ["component"], hot_keys(lowest, ["component"], classes.count()), ["fp"])
+    found = spread_join(prints, named.select("fp", "component_id"), ["fp"], hot_keys(classes, ["fp"], prints.count()), [id_col])
+    return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
