@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.llm.common import connected_components, materialise, read_table
+from logforge.llm.common import connected_components, hot_keys, materialise, read_table, spread_join
 
-#: Rows of an interval of the sequence, and of the pieces at which halving ends.
-INTERVAL, LEAF = 512, 128
+#: Bytes of an interval of the sequence, at 8 for each component, and rows of the pieces at which halving ends.
+INTERVAL_BYTES, LEAF = 2 << 20, 128
 #: Principal dimensions; vectors that the rotation is fitted on, which no result depends on.
 DIMENSIONS, ROTATION_SAMPLE = 8, 4096
 _SLACK = 1e-6  # what rounding may take from a distance
@@ -32,53 +32,55 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _rotation(classes: DataFrame, size: int, dimensions: int, sample: int) -> np.ndarray:
     """Leading principal dimensions of a bounded sample (by hash) of the vectors of one size."""
-    rows = classes.where(F.col("size") == size).select("vector").orderBy(F.xxhash64("low"), "low").limit(sample).collect()
+    rows = classes.where(F.col("size") == size).select("vector").orderBy("key", "low").limit(sample).collect()
     units = _unit(np.array([r[0] for r in rows], dtype=float))
     _, axes = np.linalg.eigh(np.cov(units, rowvar=False, bias=True).reshape(size, size))
     return axes[:, ::-1][:, : min(dimensions, size)]
 
 
-def _projector(axes: dict[int, np.ndarray], epsilon: float):
+def _projector(axes: dict[int, np.ndarray], epsilon: float, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for size, part in rows.groupby("size"):
-                units = _unit(np.stack(part["vector"].to_numpy()).astype(float))
-                cells = np.floor(units @ axes[size] / epsilon).astype("int32")
+                vectors = np.stack(part["vector"].to_numpy()).astype(kind)
+                cells = np.floor(_unit(vectors.astype(float)) @ axes[size] / epsilon).astype("int32")
                 padded = np.zeros((len(part), DIMENSIONS), dtype="int32")
                 padded[:, : min(DIMENSIONS, cells.shape[1])] = cells[:, :DIMENSIONS]
-                yield pd.DataFrame({"label": part["label"].to_numpy(), "size": part["size"].to_numpy(), "low": part["low"].to_numpy(),
-                                    "copies": part["copies"].to_numpy(), "unit": [u.astype("<f8").tobytes() for u in units],
-                                    "cells": list(padded)})
+                yield part[["label", "size", "low", "key", "copies"]].assign(raw=[v.tobytes() for v in vectors], cells=list(padded))
 
     return run
 
 
-def _intervals(axes: dict[int, np.ndarray], epsilon: float, length: int):
+def _packed(values: pd.Series) -> list[bytes]:
+    return [values.to_numpy().astype("<i8").tobytes()]
+
+
+def _intervals(axes: dict[int, np.ndarray], epsilon: float, length: int | None, kind: str):
     """Cuts the sorted rows of a partition into intervals of one label and vector size."""
 
     def made(rows: pd.DataFrame, number: int) -> pd.DataFrame:
         size = int(rows["size"].iloc[0])
-        units = np.frombuffer(b"".join(rows["unit"]), "<f8").reshape(-1, size)
-        places = units @ axes[size]
+        raw = b"".join(rows["raw"])
+        places = _unit(np.frombuffer(raw, kind).reshape(-1, size).astype(float)) @ axes[size]
         low, high = places.min(axis=0), places.max(axis=0)
+        cells = [[int(np.floor(v / epsilon)) for v in (*bounds[:2], 0.0)[:2]] for bounds in (low - _SLACK, high + _SLACK)]
         return pd.DataFrame({
             "label": rows["label"].iloc[:1].to_numpy(), "size": [size], "interval": [(TaskContext.get().partitionId() << 32) + number],
-            "low": [low], "high": [high], "from_cell": [int(np.floor((low[0] - _SLACK) / epsilon))],
-            "to_cell": [int(np.floor((high[0] + _SLACK) / epsilon))],
-            "ids": [rows["low"].to_numpy().astype("<i8").tobytes()], "copies": [rows["copies"].to_numpy().astype("<i8").tobytes()],
-            "units": [units.tobytes()]})
+            "low": [low], "high": [high], "from_cells": [cells[0]], "to_cells": [cells[1]],
+            "ids": _packed(rows["low"]), "keys": _packed(rows["key"]), "copies": _packed(rows["copies"]), "raw": [raw]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, number = None, 0
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             rest = None
-            key = rows[["label", "size"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            group = rows[["label", "size"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
             for a, b in zip(cuts, cuts[1:]):
-                while b - a >= length:
-                    yield made(rows.iloc[a : a + length], number)
-                    a, number = a + length, number + 1
+                most = (length or max(1, INTERVAL_BYTES // (8 * int(rows["size"].iloc[a])))) if a < b else 1
+                while b - a >= most:
+                    yield made(rows.iloc[a : a + most], number)
+                    a, number = a + most, number + 1
                 if a < b and b < len(rows):
                     yield made(rows.iloc[a:b], number)
                     number += 1
@@ -91,11 +93,11 @@ def _intervals(axes: dict[int, np.ndarray], epsilon: float, length: int):
 
 
 class _Side:
-    """One interval: vectors, ids and copies, and the places that bounds are taken of."""
+    """One interval: unit vectors, ids, keys and copies, and the places that bounds are taken of."""
 
-    def __init__(self, size: int, units: bytes, ids: bytes, copies: bytes, axes: np.ndarray):
-        self.units = np.frombuffer(units, "<f8").reshape(-1, size)
-        self.ids, self.copies = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8")
+    def __init__(self, axes: np.ndarray, size: int, kind: str, ids: bytes, keys: bytes, copies: bytes, raw: bytes):
+        self.units = _unit(np.frombuffer(raw, kind).reshape(-1, size).astype(float))
+        self.ids, self.keys, self.copies = (np.frombuffer(x, "<i8") for x in (ids, keys, copies))
         self.places = self.units @ axes
         self.links = np.zeros(len(self.ids), dtype="int64")
 
@@ -149,27 +151,32 @@ def _ego_join(s: _Side, t: _Side, least: float, epsilon: float, leaf: int) -> li
     return edges
 
 
-def _compare(axes: dict[int, np.ndarray], least: float, epsilon: float, leaf: int):
+_HELD = ("ids", "keys", "copies", "raw")
+_FOUND = "a long, k long, b long, n long"
+
+
+def _compare(axes: dict[int, np.ndarray], least: float, epsilon: float, leaf: int, kind: str):
+    """Links between two intervals, or within one where only one is given: rows (a, k, null, n) count the links of the
+    class of smallest id a and key k, rows (a, null, b, 0) connect ids."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples(index=False):
-                s = _Side(r.size, r.units_a, r.ids_a, r.copies_a, axes[r.size])
-                t = s if r.interval_a == r.interval_b else _Side(r.size, r.units_b, r.ids_b, r.copies_b, axes[r.size])
+                s = _Side(axes[r.size], r.size, kind, *(getattr(r, f"{c}_a") for c in _HELD))
+                t = _Side(axes[r.size], r.size, kind, *(getattr(r, f"{c}_b") for c in _HELD)) if hasattr(r, "raw_b") else s
                 edges = _ego_join(s, t, least, epsilon, leaf)
                 sides = [s] if s is t else [s, t]
-                ids = np.concatenate([x.ids[x.links > 0] for x in sides])
-                links = np.concatenate([x.links[x.links > 0] for x in sides])
-                out = pd.DataFrame({"a": ids, "b": pd.array([None] * len(ids), dtype="Int64"), "n": links})
-                if edges:
-                    joined = pd.DataFrame(edges, columns=["a", "b"])
-                    out = pd.concat([out, joined.assign(n=0)], ignore_index=True)
-                yield out.astype({"b": "Int64", "n": "int64"})
+                some = [(x, x.links > 0) for x in sides]
+                out = pd.DataFrame({"a": np.concatenate([x.ids[m] for x, m in some]), "k": np.concatenate([x.keys[m] for x, m in some]),
+                                    "n": np.concatenate([x.links[m] for x, m in some])})
+                out = pd.concat([out.assign(b=None), pd.DataFrame(edges, columns=["a", "b"]).assign(k=None, n=0)], ignore_index=True)
+                yield out[["a", "k", "b", "n"]].astype({"a": "int64", "k": "Int64", "b": "Int64", "n": "int64"})
 
     return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    least_cosine: float = 0.93, interval: int = INTERVAL, leaf: int = LEAF, dimensions: int = DIMENSIONS) -> DataFrame:
+                    least_cosine: float = 0.93, interval: int | None = None, leaf: int = LEAF, dimensions: int = DIMENSIONS) -> DataFrame:
     """For each row of vectors: the id, n_links (other rows linked directly), component_id (smallest id that links
     reach) and kept (the id is its component's).
 
@@ -177,62 +184,69 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     and zero vectors, vectors with null or non-finite components, and rows with a null label or id link with nothing:
     n_links 0, component_id their own id, kept true. Vectors of different sizes don't link. Equal vectors are one node
     that counts its copies, so a large group of copies costs one comparison. Rows that share an id are one node of the
-    components. An empty table gives an empty table.
+    components, while each counts its own vector's links. An empty table gives an empty table. interval: rows of an
+    interval, by default as many as INTERVAL_BYTES hold.
     """
     dimensions = min(dimensions, DIMENSIONS)
     epsilon = float(np.sqrt(2 - 2 * least_cosine))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
+    vector = F.col(vector_col) if kind == "<f4" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(fit, F.col("vector")))
-    classes = materialise(
-        rows.where(F.col("vector").isNotNull()).groupBy("label", "vector")
-        .agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("vector")))
+    alone = rows.where(~fit).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.where(fit)
+    classes = materialise(rows.groupBy("label", "vector").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumns(
+        {"size": F.size("vector"), "key": F.xxhash64("label", "vector")}))
     sizes = [r[0] for r in classes.select("size").distinct().collect()]  # vectors of one column: one size, or few
     if not sizes:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return alone
     axes = {n: _rotation(classes, n, dimensions, ROTATION_SAMPLE) for n in sizes}
 
     label = dict(vectors.dtypes)[label_col]
-    placed = classes.mapInPandas(_projector(axes, epsilon), f"label {label}, size int, low long, copies long, unit binary, cells array<int>")
-    order = ["label", "size", *[F.col("cells")[k] for k in range(DIMENSIONS)], "low"]
+    placed = classes.mapInPandas(_projector(axes, epsilon, kind), f"label {label}, size int, low long, key long, copies long, raw binary, cells array<int>")
+    order = ["label", "size", *[F.col("cells")[k] for k in range(DIMENSIONS)], "low", "key"]
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("cells")
     intervals = materialise(placed.mapInPandas(
-        _intervals(axes, epsilon, interval),
-        f"label {label}, size int, interval long, low array<double>, high array<double>, from_cell int, to_cell int, "
-        "ids binary, copies binary, units binary"))
-
-    # pairs of intervals whose bounds are within epsilon; each pair is found in one cell of the first dimension
-    left = intervals.select("label", "size", F.col("interval").alias("interval_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"),
-                            F.col("from_cell").alias("from_a"), F.explode(F.sequence("from_cell", "to_cell")).alias("cell"))
-    right = intervals.select("label", "size", F.col("interval").alias("interval_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"),
-                             F.col("from_cell").alias("from_b"), F.explode(F.sequence(F.col("from_cell") - 1, F.col("to_cell") + 1)).alias("cell"))
+        _intervals(axes, epsilon, interval, kind),
+        f"label {label}, size int, interval long, low array<double>, high array<double>, from_cells array<int>, to_cells array<int>, "
+        "ids binary, keys binary, copies binary, raw binary"))
+
+    # pairs of intervals whose bounds are within epsilon; each pair is found in one cell of the first two dimensions
+    def cells(side: str, more: int) -> DataFrame:
+        out = intervals.select("label", "size", *[F.col(c).alias(f"{c}_{side}") for c in ("interval", "low", "high", "from_cells", "to_cells")])
+        for k in (0, 1):
+            out = out.withColumn(f"cell{k}", F.explode(F.sequence(F.col(f"from_cells_{side}")[k] - more, F.col(f"to_cells_{side}")[k] + more)))
+        return out.drop(f"to_cells_{side}")
+
+    keys = ["label", "size", "cell0", "cell1"]
+    left, right = cells("a", 0), cells("b", 1)
+    many = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     below = F.zip_with("low_a", "high_b", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     above = F.zip_with("low_b", "high_a", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     gap = F.aggregate(F.zip_with(below, above, lambda x, y: F.greatest(x, y)), F.lit(0.0), lambda t, x: t + x * x)
-    pairs = materialise(
-        left.join(right, ["label", "size", "cell"])
-        .where((F.col("interval_a") <= F.col("interval_b")) & (F.col("cell") == F.greatest("from_a", F.col("from_b") - 1)))
-        .where(gap <= (epsilon + _SLACK) ** 2).select("interval_a", "interval_b"))
-    held = ["ids", "copies", "units"]
-    a = intervals.select("size", F.col("interval").alias("interval_a"), *[F.col(c).alias(f"{c}_a") for c in held])
-    b = intervals.select(F.col("interval").alias("interval_b"), *[F.col(c).alias(f"{c}_b") for c in held])
-    # a task holds few pairs of intervals at a time
-    tasks = max(1, -(-pairs.count() // 16))
-    met = pairs.join(a, "interval_a").join(b, "interval_b").repartition(tasks, F.xxhash64("interval_a", "interval_b"))
-    found = materialise(met.mapInPandas(_compare(axes, least_cosine, epsilon, leaf), "a long, b long, n long"))
-
-    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("low")).agg(F.sum("n").alias("n"))
-    # the ids of classes may repeat where ids of rows do; each class then adds to its own count only
+    here = [F.col(f"cell{k}") == F.greatest(F.col("from_cells_a")[k], F.col("from_cells_b")[k] - 1) for k in (0, 1)]
+    met = spread_join(left, right, keys, hot_keys(many, keys, left.count()), ["interval_a"])
+    met = met.where((F.col("interval_a") < F.col("interval_b")) & here[0] & here[1] & (gap <= (epsilon + _SLACK) ** 2))
+    # either may be the one that travels, so that none is asked for by all that follow it
+    turn = F.xxhash64("interval_a", "interval_b") % 2 == 0
+    pairs = materialise(met.select(F.when(turn, F.col("interval_a")).otherwise(F.col("interval_b")).alias("interval_a"),
+                                   F.when(turn, F.col("interval_b")).otherwise(F.col("interval_a")).alias("interval_b")))
+    a = intervals.select("size", F.col("interval").alias("interval_a"), *[F.col(c).alias(f"{c}_a") for c in _HELD])
+    b = intervals.select(F.col("interval").alias("interval_b"), *[F.col(c).alias(f"{c}_b") for c in _HELD])
+    compare = _compare(axes, least_cosine, epsilon, leaf, kind)
+    within = a.drop("interval_a").mapInPandas(compare, _FOUND)
+    between = pairs.join(a, "interval_a").join(b, "interval_b").drop("interval_a", "interval_b").mapInPandas(compare, _FOUND)
+    found = materialise(within.unionByName(between))
+
+    counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("low"), F.col("k").alias("key")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b"))
-    named = classes.select("label", "vector", "low", "copies").join(counts, "low", "left").join(
-        components.withColumnRenamed("node", "low"), "low", "left")
-    named = named.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
-                         F.coalesce("component", "low").alias("component"))
-    out = rows.join(named, ["label", "vector"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-                      component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    named = classes.join(counts, ["low", "key"], "left").join(components.withColumnRenamed("node", "low"), "low", "left")
+    named = named.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
+    copies = classes.select("label", "vector", F.col("copies").alias("n"))
+    out = spread_join(rows, named, ["label", "vector"], hot_keys(copies, ["label", "vector"], rows.count()), ["id"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id",
+                      (F.col("id") == F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
