@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.llm.common import materialise, read_table
+from logforge.llm.common import hot_keys, materialise, read_table, spread_join
 
 #: Lines that a boundary depends on, and the mean number of lines of a chunk.
 WINDOW, DIVISOR = 2, 2
 #: Lines with other characters than white space that a chunk needs.
 LEAST_LINES = 2
 _BASE, _MODULUS = 1_000_003, 1 << 31
+#: What a line has that is not blank, in Spark's and SQL engines' expressions alike.
+_MARK = r"[^\x09-\x0D\x20]"
 
 
 def _line_hash(line: Column) -> Column:
@@ -49,7 +51,7 @@ def _chunks(lines: Column, window: int, divisor: int, least: int) -> Column:
         def one(stop: Column, k: Column) -> Column:
             first = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
             n = stop - first + 1
-            some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: F.length(F.trim(x)) > 0))
+            some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: x.rlike(_MARK)))
             return F.struct(k.alias("chunk_no"), first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
 
         return F.transform(stops, one)
@@ -66,7 +68,7 @@ def _pairs(lines: Column) -> Column:
         return F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), one)
 
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    return _let(F.filter(numbers, lambda i: F.get(lines, i).rlike(r"\S")), pair)
+    return _let(F.filter(numbers, lambda i: F.get(lines, i).rlike(_MARK)), pair)
 
 
 def _let(value: Column, body) -> Column:
@@ -74,6 +76,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _hash(text: Column) -> Column:
+    """The hash that chunks are found equal by; a collision costs a comparison of bytes, no more."""
+    return F.xxhash64(text)
+
+
 def _chunk_text(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["first_line"] + 1, chunk["n_lines"]), "\n")
 
@@ -81,7 +88,8 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                 divisor: int = DIVISOR, least_lines: int = LEAST_LINES, runs: bool = False) -> DataFrame:
     """docs with the repeated chunks of several lines cut from the text, and n_lines and n_removed (long): the lines of
-    the text as it was, and those removed. They replace columns of those names.
+    the text as it was, and those removed. They replace columns of those names. Lines end at a line feed; a line of
+    nothing but spaces, tabs, carriage returns and the like is blank.
 
     The occurrence of the smallest (id, chunk number) stays; a null id comes last. Rows that agree in id and text are
     one document: they keep and lose the same chunks. A null text stays null with 0 lines; an empty text has one
@@ -99,7 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def keys(lines: Column) -> Column:
         one = lambda c: _let(_chunk_text(lines, c), lambda x: F.struct(
-            c["chunk_no"].alias("chunk_no"), F.xxhash64(x).alias("key"), F.octet_length(x).alias("size")))
+            c["chunk_no"].alias("chunk_no"), c["first_line"].alias("first_line"), c["n_lines"].alias("n_lines"),
+            _hash(x).alias("key"), F.octet_length(x).alias("size")))
         return F.transform(F.filter(units(lines), lambda c: c["solid"]), one)
 
     found = (
@@ -109,12 +118,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     found = materialise(found)  # a few numbers for each chunk
     where = F.struct("doc", "chunk_no")
-    first = found.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1").drop("n")
+    first = found.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
     stays = where == F.col("first")
     if runs:
         stays = stays | ((F.col("doc") == F.col("first.doc")) & (F.col("chunk_no") == F.col("first.chunk_no") + 1))
-    asked = found.join(first, ["key", "size"]).groupBy("doc").agg(
-        F.collect_set(F.struct("chunk_no", stays.alias("stays"), "first")).alias("asked"))
+    # a very common chunk's places are dealt over many tasks
+    again = spread_join(found, first.drop("n"), ["key", "size"], hot_keys(first, ["key", "size"], found.count()), ["doc", "chunk_no"])
+    asked = again.groupBy("doc").agg(F.collect_set(F.struct("chunk_no", "first_line", "n_lines", stays.alias("stays"), "first")).alias("asked"))
 
     # one shuffle of the texts: each document meets the list of its chunks that occur again
     met = base.withColumn("__lf_doc", ident).join(
@@ -123,8 +133,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # byte comparison: of chunks with one hash, those of other bytes than the first have a first occurrence of their own
     def asked_bytes(lines: Column) -> Column:
-        return _let(units(lines), lambda all_: F.transform("__lf_asked", lambda a: F.struct(
-            a["chunk_no"].alias("chunk_no"), a["first"].alias("first"), _chunk_text(lines, F.get(all_, a["chunk_no"])).alias("bytes"))))
+        return F.transform("__lf_asked", lambda a: F.struct(
+            a["chunk_no"].alias("chunk_no"), a["first"].alias("first"), _chunk_text(lines, a).alias("bytes")))
 
     cut = (
         met.where(F.col("__lf_asked").isNotNull())
@@ -134,14 +144,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = cut.groupBy("first", "bytes").agg(F.min(where).alias("own")).where("own != first")
     spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set("own.chunk_no").alias("__lf_spared")))
 
-    gone = F.transform(F.filter(F.col("__lf_asked"), lambda a: ~a["stays"]), lambda a: a["chunk_no"])
-    gone = F.array_except(gone, F.coalesce("__lf_spared", F.array().cast("array<int>")))
+    spared_here = F.coalesce("__lf_spared", F.array().cast("array<int>"))
+    gone = F.filter(F.col("__lf_asked"), lambda a: ~a["stays"] & ~F.array_contains(spared_here, a["chunk_no"]))
     text = F.col(text_col)
 
     def left(lines: Column) -> Column:
-        at = lambda c: F.sequence(c["first_line"], c["first_line"] + c["n_lines"] - 1)
-        numbers = lambda all_: F.flatten(F.transform("__lf_gone", lambda k: at(F.get(all_, k))))
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _let(units(lines), numbers))
+        numbers = F.flatten(F.transform("__lf_gone", lambda c: F.sequence(c["first_line"], c["first_line"] + c["n_lines"] - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
         return F.transform(kept, lambda i: F.get(lines, i))
 
     out = (
@@ -176,7 +185,7 @@ def op6_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_
                 PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM rolled),
         chunks AS (
             SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY i) AS bytes, count(*) AS n,
-                   count(*) FILTER (length(trim(line, ' ')) > 0) >= {LEAST_LINES} AS solid
+                   count(*) FILTER (regexp_matches(line, '{_MARK}')) >= {LEAST_LINES} AS solid
             FROM cut GROUP BY ALL),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY solid, bytes ORDER BY doc_id, chunk_no) AS k FROM chunks),
