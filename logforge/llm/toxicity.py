@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -27,15 +28,27 @@ LEAST_GAIN = 3.0
 DECAY, SURE_GAIN = 5e-5, 20.0
 #: Beginnings of words, in characters, that are terms beside whole words.
 PREFIXES = (4, 5, 6)
-#: The categories before the whole: a toxic document is of one if it has such a word. Without any, as in a language that
-#: the lists lack, the chain's last model still learns from the label.
-CATEGORIES: Mapping[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"),
-    "contempt": ("pathetic", "worthless", "disgusting", "useless", "ridiculous", "shameful"),
-    "dehumanising": ("scum", "trash", "garbage", "vermin", "parasite", "filth"),
-}
+#: The weight of words at which a toxic document is of a category.
+LEAST_WEIGHT = 2
+
+
+def read_categories(text: str) -> dict[str, dict[str, int]]:
+    """{category: {word: weight}} of a vocabulary: lines of category, language, word, weight; # begins a remark."""
+    out: dict[str, dict[str, int]] = {}
+    for line in text.splitlines():
+        if line and not line.startswith("#"):
+            category, _, word, weight = line.split("\t")
+            own = out.setdefault(category, {})
+            own[word.lower()] = max(int(weight), own.get(word.lower(), 0))
+    return out
+
+
+#: The categories before the whole, of the vocabulary that comes with this package: a toxic document is of one if it has
+#: its words. Where it has none, as in a language that the lists lack, the chain's last model learns from the label alone.
+CATEGORIES: Mapping[str, Mapping[str, int]] = read_categories(files(__package__).joinpath("vocabulary/toxicity.tsv").read_text("utf-8"))
 _WORD = re.compile(r"[^\W\d_]+")
-_TRAIN_TASKS = 12
+#: Words whose terms a worker remembers.
+_REMEMBERED = 400_000
 
 
 def terms(text: str | None) -> set[str]:
@@ -119,8 +132,20 @@ class Chain:
         return self
 
     def find(self, text: str | None) -> np.ndarray:
-        places = self.places
-        return np.array(sorted({p for t in terms(text) if (p := places.get(t)) is not None}), dtype=np.int64)
+        """The places of a whole text's terms; what a word gives is remembered, as most words come again."""
+        known, found = self.__dict__.setdefault("words", {}), set()
+        if len(known) > _REMEMBERED:
+            known.clear()
+        for w in set(_WORD.findall((text or "").lower())):
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(p for t in terms(w) if (p := self.places.get(t)) is not None)
+            if own:
+                found.update(own)
+        return np.array(sorted(found), dtype=np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
 
     def predict(self, texts) -> np.ndarray:
         rows = _Rows([self.find(t) for t in texts], len(self.places))
@@ -151,14 +176,18 @@ def choose_terms(train: DataFrame, limit: int = TERMS) -> dict[str, float]:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-              categories: Mapping[str, tuple[str, ...]] = CATEGORIES, max_train: int = MAX_TRAIN) -> Chain:
-    """A chain for the categories and, last, the label. Null ids, labels and texts are not learned from; without both
-    classes every probability is the label's share, 0 without labels."""
+              categories: Mapping[str, Mapping[str, int]] = CATEGORIES, max_train: int = MAX_TRAIN) -> Chain:
+    """A chain for the categories and, last, the label, fitted on at most about max_train labelled documents, chosen by
+    a hash of the id; categories: {category: {word in lower case: weight}}.
+
+    Null ids, labels and texts are not learned from; without both classes, or from empty tables, every probability is
+    the label's share, 0 without labels. A row that repeats an id counts as often as it stands there, and all rows of an
+    id are of one fold. Terms of equal gain are taken in their order, so ties don't depend on partitions."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     n = known.count()
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
-    words = {c: frozenset(w) for c, w in categories.items()}
+    words = {c: dict(w) for c, w in categories.items()}
     names = [*words, label_col]
     # at most about max_train ids and labels are broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")
@@ -166,7 +195,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[k : k + 256] for b in batches for k in range(0, len(b), 256)):  # few rows' terms at a time
             found = [terms(t) for t in batch["text"]]
-            marks = [[int(y and not own.isdisjoint(words[c])) for c in words] + [int(y)] for y, own in zip(batch["y"], found)]
+            marks = [[int(y and sum(words[c][w] for w in own & words[c].keys()) >= LEAST_WEIGHT) for c in words] + [int(y)] for y, own in zip(batch["y"], found)]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "marks": marks, "terms": [sorted(f) for f in found]})
 
     train = materialise(rows.mapInPandas(featured, "id long, y int, marks array<int>, terms array<string>"))
@@ -187,7 +216,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with a struct of each category's probability, which replaces a column of that name. Texts without a
-    known term, such as null and empty ones, get the labels' shares in training. Each whole text is scored by itself."""
+    known term, such as null and empty ones, get the labels' shares in training. Each whole text, however long, is scored
+    by itself, so repeated rows, null ids and an empty table need no care; a chain without terms gives shares to all."""
     held = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by TERMS and the categories
     schema = ", ".join(f"`{c}` double" for c in chain.categories)
 
