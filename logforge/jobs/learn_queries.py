@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from logforge.functions.lineage import materialise, scratch_dir
 from logforge.jobs import pipelines
 from logforge.jobs.prepare_queries import masked, rounded
-from logforge.operators import anomaly, balance, cluster, knn, models, sampling
+from logforge.operators import anomaly, balance, cluster, knn, models, sampling, typing_rules
 from logforge.operators import reduce as dr
-from logforge.sources.tables import read_prepared, read_table
+from logforge.sources.tables import read_prepared, read_table, write_csv
 from logforge.streaming import volume
 
 QUERIES: dict = {}
@@ -77,14 +77,49 @@ def knn_classify(spark, d):
     return rounded(knn.vote(near, p.select("id", (F.col("label") % 2).alias("label"))), "probability")
 
 
-@query("smote")
+_SIZE = "greatest(length(text), 1)"
+_SHARE = "(length(text) - length(regexp_replace(text, '{}', '', 'g'))) / " + _SIZE
+_DOCS = f"""(SELECT doc_id AS id, [n_chars, len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')), len(string_split(text, chr(10))), {_SHARE.format('[A-Z]')}, {_SHARE.format('[!|#$%&*]')},
+        {_SIZE} / len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'))]::double[] AS x, 1 - quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"""
+
+
+def _drawn(part: int, *ids: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(ids)}, 42, {part})), 1, 13))::bigint"
+
+
+#: The smaller class, synthetic points between a row and one of its five nearest of the class; {wanted}: (n, anchor, id).
+_RESAMPLE = f"""
+    WITH d AS {_DOCS}, c AS (SELECT label, count(*) AS n FROM d GROUP BY label), low AS (SELECT arg_min(label, (n, -label)) AS label, min(n) AS m, max(n) AS most FROM c),
+         minor AS ({{minor}}),
+         near AS (SELECT *, max(rank) OVER (PARTITION BY anchor) AS k FROM (
+             SELECT a.id AS anchor, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS rank FROM minor a, minor b WHERE a.id <> b.id) WHERE rank <= 5),
+         {{wanted}},
+         made AS (SELECT w.id, a.x AS p, b.x AS q, {_drawn(2, 'n', 'w.anchor')} / 2.0 ** 52 AS share FROM wanted w JOIN near e ON e.anchor = w.anchor AND e.rank = {_drawn(1, 'n', 'w.anchor')} % e.k + 1
+             JOIN minor a ON a.id = w.anchor JOIN minor b ON b.id = e.neighbour),
+         every AS (SELECT id, x, label, false AS synthetic FROM d UNION ALL
+             SELECT made.id, list_transform(list_zip(p, q), lambda z: z[1] + share * (z[2] - z[1])), low.label, true FROM made, low)
+    SELECT id, label, synthetic, {', '.join(f'round(x[{k + 1}], 6) AS {c}' for k, c in enumerate(DOC_FEATURES))} FROM every"""
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select("id", "label", "synthetic", *[F.round(F.col("x")[k], 6).alias(c) for k, c in enumerate(DOC_FEATURES)])
+
+
+@query("smote", _RESAMPLE.format(
+    minor="SELECT row_number() OVER (ORDER BY md5(concat_ws(':', id, 42)), id) - 1 AS id, x FROM d JOIN low USING (label)",
+    wanted=f"wanted AS (SELECT n, {_drawn(0, 'n')} % m AS anchor, -n - 1 AS id FROM (SELECT unnest(range(most - m)) AS n, m FROM low))"))
 def smote(spark, d):
-    return balance.smote(dense(spark, d))
+    return _flat(balance.smote(dense(spark, d)))
 
 
-@query("adasyn")
+@query("adasyn", _RESAMPLE.format(
+    minor="SELECT id, x FROM d JOIN low USING (label)",
+    wanted=f"""r AS (SELECT id, avg((other <> (SELECT label FROM low))::int) AS r FROM (
+             SELECT a.id, b.label AS other, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS rank FROM minor a, d b WHERE a.id <> b.id) WHERE rank <= 5 GROUP BY id),
+         g AS (SELECT id, round_even(CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE 1.0 / m END * (most - m), 0)::bigint AS k FROM r, low),
+         wanted AS (SELECT n, anchor, -{_drawn(3, 'n', 'anchor')} - 1 AS id FROM (SELECT id AS anchor, unnest(range(1, k + 1)) AS n FROM g WHERE k > 0))"""))
 def adasyn(spark, d):
-    return balance.adasyn(dense(spark, d))
+    return _flat(balance.adasyn(dense(spark, d)))
 
 
 @query("smote_sizes", """WITH c AS (SELECT 1 - quality AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1)
@@ -115,9 +150,16 @@ def isolation_forest(spark, d):
     return anomaly.isolation_forest(points(spark, d))
 
 
-@query("lof")
+@query("lof", f"""
+    WITH e AS {_E},
+         near AS (SELECT query, neighbour, distance FROM (SELECT a.id AS query, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM e a, e b WHERE a.id <> b.id)
+             QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) <= 20),
+         far AS (SELECT query AS neighbour, max(distance) AS kdist FROM near GROUP BY 1),
+         lrd AS (SELECT query, 1.0 / (avg(greatest(distance, kdist)) + 1e-10) AS lrd FROM near JOIN far USING (neighbour) GROUP BY 1),
+         s AS (SELECT near.query AS id, avg(b.lrd) / any_value(a.lrd) AS score FROM near JOIN lrd a ON a.query = near.query JOIN lrd b ON b.query = near.neighbour GROUP BY 1)
+    SELECT id, round(score, 6) AS score, score > (SELECT quantile_cont(score, 0.95) FROM s) AS outlier_lof FROM s""")
 def lof(spark, d):
-    return anomaly.local_outlier_factor(points(spark, d))
+    return rounded(anomaly.local_outlier_factor(points(spark, d)), "score")
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -136,23 +178,19 @@ def train_models(spark, d):
 
 @query("model_compare")
 def model_compare(spark, d):
-    return models.compare_long(train_models(spark, d))
+    train, test = _split(spark, d)
+    cv = models.cross_validate(materialise(sampling.folds(train, "label", "id")), models.families())
+    return models.compare_long(models.with_cv(models.train_and_compare(train, test)[0], cv))
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows = _folds(spark, d, 5)
-    found = []
-    for family, grid in models.grids(rows.where("fold <> 0").count()).items():
-        # forest and boosting are drawn from, 20 combinations at most
-        own = models.draw(grid, 20) if family in ("forest", "boosting") else grid
-        found.append(models.search(rows, models.estimators()[family], own)[1].select(F.lit(family).alias("family"), "parameters", "f1"))
-    return reduce(DataFrame.unionByName, found)
+    return models.search_all(_folds(spark, d, 5))[1]
 
 
 @query("cv_report")
 def cv_report(spark, d):
-    return models.cross_validate(_folds(spark, d, 5), models.estimators()["logistic"], "logistic")
+    return models.cross_validate(_folds(spark, d, 5), models.families())
 
 
 @query("learning_curve")
@@ -185,11 +223,7 @@ def model_roundtrip(spark, d):
 
 @query("rff_svm")
 def rff_svm(spark, d):
-    train, test = _split(spark, d)
-    scaler = models.StandardScaler(withMean=True, inputCol="features", outputCol="s").fit(train)
-    scaled = [scaler.transform(p).drop("features").withColumnRenamed("s", "features") for p in (train, test)]
-    found = models.kernel_svm(*scaled)
-    return spark.createDataFrame([(k, v) for k, v in found.items()], "metric string, value double")
+    return models.train_and_compare(*_split(spark, d), {"svm": models.KernelSvm()})[0].unpivot(["model"], list(models.MEASURES), "metric", "value")
 
 
 @query("kmeans_sweep")
@@ -209,10 +243,24 @@ def ward_two_stage(spark, d):
     return cluster.ward_two_stage(points(spark, d))[0]
 
 
-@query("dbscan")
+def _dbscan_sql(eps: float, least: int, source: str) -> str:
+    return f"""
+    WITH RECURSIVE e AS {source}, near AS (SELECT a.id AS a, b.id AS b FROM e a, e b WHERE a.id <> b.id AND list_distance(a.x, b.x) <= {eps}),
+         core AS (SELECT id FROM e LEFT JOIN near ON a = id GROUP BY id HAVING count(b) + 1 >= {least}),
+         inside AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+         reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, i.b FROM reach r JOIN inside i ON r.b = i.a),
+         cores AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1)
+    SELECT e.id, coalesce(any_value(c.cluster), min(o.cluster), -1) AS cluster FROM e LEFT JOIN cores c ON c.id = e.id LEFT JOIN near ON near.a = e.id LEFT JOIN cores o ON o.id = near.b GROUP BY 1"""
+
+
+#: Two coordinates of each vector, where neighbourhoods are neither empty nor everything.
+_FLAT = "(SELECT vec_id AS id, [embedding[1], embedding[2]]::double[] AS x FROM embeddings)"
+
+
+@query("dbscan", _dbscan_sql(0.02, 5, _FLAT))
 def dbscan(spark, d):
-    p = points(spark, d)
-    return cluster.dbscan_labels(p, materialise(cluster.within(p.select("id", "x"), 0.6)), 0.6, 2)
+    p = points(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
+    return cluster.dbscan_labels(p, materialise(cluster.within(p, 0.02)), 0.02, 5)
 
 
 @query("dbscan_sweep")
@@ -220,21 +268,43 @@ def dbscan_sweep(spark, d):
     return cluster.dbscan_sweep(points(spark, d))[0]
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
-    # events come twice now and then, as in a real log
+@query("dbscan_clusters", "SELECT id, cluster FROM (" + _dbscan_sql(0.3, 3, _FLAT) + ")")
+def dbscan_clusters(spark, d):
+    """The clustering that a sweep chooses, of the pairs it is given."""
+    p = points(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
+    return cluster.dbscan_sweep(p, (0.3,), (3,), (0.3, 3))[1]
+
+
+RULES = typing_rules.TypingRules(datetimes=("ts",), identifiers=("event_id", "actor"), categories=("action", "category"), booleans=("value", "sparse", "label"))
+
+
+def _prepared(spark: SparkSession, d: str) -> pipelines.Prepared:
+    # events come twice now and then, as in a real log, and as a raw CSV file
     ev = masked(spark, d)
-    return ev.unionByName(ev.where("event_id % 10 = 0"))
+    ev = ev.unionByName(ev.where("event_id % 10 = 0"))
+    path = f"{scratch_dir(spark)}/logforge-log-{uuid.uuid4().hex}"
+    write_csv(ev.select(*[F.col(c).cast("string").alias(c) for c in ev.columns]), path)
+    log = pipelines.read_log(spark, path, RULES, ev.columns)
+    return pipelines.prepare(log, pipelines.LogColumns("event_id", "ts", "actor", "action", "label"))
 
 
 @query("prepare_pipeline")
 def prepare_pipeline(spark, d):
-    return pipelines.prepare(_log(spark, d), pipelines.LogColumns("event_id", "ts", "actor", "action", "label"))
+    return _prepared(spark, d).table
+
+
+@query("prepare_reports")
+def prepare_reports(spark, d):
+    """All reports of the workload in one form: the report, what identifies a row in it, and its values as JSON."""
+    found = _prepared(spark, d).reports
+    parts = [df.select(F.lit(n).alias("report"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row")) for n, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("model_pipeline")
 def model_pipeline(spark, d):
-    table, again = pipelines.model(materialise(documents(spark, d)), DOC_FEATURES, "id", "label")
-    return table.unionByName(again)
+    table, again = pipelines.model(materialise(documents(spark, d)), DOC_FEATURES, "id", "label", f"{scratch_dir(spark)}/logforge-model-{uuid.uuid4().hex}")
+    return table.unionByName(again, allowMissingColumns=True)
 
 
 @query("cluster_pipeline")

@@ -63,9 +63,29 @@ def pca_2d(spark, d):
     return dr.Pca(emb, "features", 2).transform(emb).select("vec_id", "label", "PC_1", "PC_2")
 
 
-@query("bind_scores", f"SELECT l_orderkey, l_linenumber, {', '.join(LINE)} FROM lineitem")
+_PCS = [f"PC_{k + 1}" for k in range(len(LINE))]
+
+
+@query("bind_scores", f"""SELECT l_orderkey, l_linenumber, {', '.join(LINE)}, round({' + '.join(f'((({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem)) ** 2)' for c in LINE)}, 6) AS norm FROM lineitem""")
 def bind_scores(spark, d):
-    return pca_scores(spark, d).select("l_orderkey", "l_linenumber", *LINE)
+    """Scores beside the rows they belong to: all components together keep each row's distance from the mean."""
+    norm = reduce(lambda a, b: a + b, [F.col(p) * F.col(p) for p in _PCS])
+    return pca_scores(spark, d).select("l_orderkey", "l_linenumber", *LINE, F.round(norm, 6).alias("norm"))
+
+
+@query("pca_axes", f"""WITH z AS (SELECT {', '.join(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}' for c in LINE)} FROM lineitem),
+         r AS ({' UNION ALL '.join(f'SELECT covar_samp({a}, {b}) AS r FROM z' for a in LINE for b in LINE)})
+    SELECT round(sum(r * r), 6) AS squares, 0.0::double AS apart, {len(LINE)}.0::double AS variance, true AS ordered FROM r""")
+def pca_axes(spark, d):
+    """What components must have, whatever their signs: no covariance, falling variances whose sum is the number of
+    features, and squares that add up to those of the correlations."""
+    c = pca_scores(spark, d)
+    pairs = [(a, b) for i, a in enumerate(_PCS) for b in _PCS[i + 1 :]]
+    row = c.agg(*[F.var_samp(p).alias(p) for p in _PCS], *[F.covar_samp(a, b).alias(f"{a}{b}") for a, b in pairs])
+    squares = reduce(lambda a, b: a + b, [F.col(p) * F.col(p) for p in _PCS])
+    apart = F.greatest(*[F.abs(f"{a}{b}") for a, b in pairs])
+    ordered = reduce(lambda a, b: a & b, [F.col(a) >= F.col(b) for a, b in zip(_PCS, _PCS[1:])])
+    return row.select(F.round(squares, 6).alias("squares"), F.abs(F.round(apart, 6)).alias("apart"), F.round(reduce(lambda a, b: a + b, map(F.col, _PCS)), 6).alias("variance"), ordered.alias("ordered"))
 
 
 # outliers
@@ -241,21 +261,28 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), (F.col("label") % 4).alias("y"), F.col("embedding").alias("x"))
 
 
-@query("silhouette")
+_SILHOUETTE = """
+    WITH e AS (SELECT vec_id, label AS cluster, embedding::double[] AS x FROM embeddings),
+         d AS (SELECT a.vec_id, a.cluster AS own, b.cluster, sum(list_distance(a.x, b.x) ** {power}) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
+         m AS (SELECT vec_id, max(s / nullif(n - 1, 0)) FILTER (own = cluster) AS a, min(s / n) FILTER (own <> cluster) AS b, max(n) FILTER (own = cluster) AS size FROM d GROUP BY vec_id)
+    SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m"""
+
+
+@query("silhouette", _SILHOUETTE.format(power=2))
 def silhouette(spark, d):
-    value = cq.silhouette(clustered(spark, d))
-    return spark.createDataFrame([(value,)], "silhouette double")
+    return spark.createDataFrame([(round(cq.silhouette(clustered(spark, d)), 6),)], "silhouette double")
 
 
-@query("silhouette_by_clusters", """
-    WITH e AS (SELECT vec_id, label AS cluster, embedding::double[] AS x FROM embeddings),
-         d AS (SELECT a.vec_id, a.cluster AS own, b.cluster, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
-         m AS (SELECT vec_id, max(s / nullif(n - 1, 0)) FILTER (own = cluster) AS a, min(s / n) FILTER (own <> cluster) AS b, max(n) FILTER (own = cluster) AS size FROM d GROUP BY vec_id)
-    SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m""")
+@query("silhouette_by_clusters", _SILHOUETTE.format(power=2))
 def silhouette_by_clusters(spark, d):
     return rounded(cq.silhouette_by_clusters(clustered(spark, d), "vec_id"), "silhouette")
 
 
+@query("silhouette_euclidean", _SILHOUETTE.format(power=1))
+def silhouette_euclidean(spark, d):
+    return rounded(cq.euclidean_silhouette(clustered(spark, d), "vec_id"), "silhouette")
+
+
 @query("davies_bouldin", f"""
     WITH c AS {_CENTRES},
          s AS (SELECT cluster, avg(r) AS s FROM (SELECT cluster, vec_id, sqrt(sum((v - m) * (v - m))) AS r FROM {_X} JOIN c USING (cluster, i) GROUP BY ALL) GROUP BY 1),

@@ -155,8 +155,12 @@ def action_cardinality(spark, d):
     return quality.category_profile(read_table(spark, d, "events"), "event_type")
 
 
-@query("schema_diff", """SELECT * FROM (VALUES ('added', 'event_dayofweek'), ('added', 'event_hour'), ('added', 'event_month'), ('added', 'event_year'),
-    ('added', 'is_weekend'), ('dropped', 'props')) t(change, "column"), (SELECT count(*) AS rows_before FROM events), (SELECT count(*) AS rows_after FROM events)""")
+@query("schema_diff", """
+    WITH after AS (SELECT * EXCLUDE (props), hour(ts) AS event_hour, isodow(ts) AS event_dayofweek, month(ts) AS event_month, year(ts) AS event_year, isodow(ts) > 5 AS is_weekend FROM events),
+         b AS (SELECT DISTINCT name FROM (UNPIVOT (SELECT any_value(COLUMNS(*)::varchar) FROM events) ON COLUMNS(*) INTO NAME name VALUE v)),
+         a AS (SELECT DISTINCT name FROM (UNPIVOT (SELECT any_value(COLUMNS(*)::varchar) FROM after) ON COLUMNS(*) INTO NAME name VALUE v))
+    SELECT change, "column", (SELECT count(*) FROM events) AS rows_before, (SELECT count(*) FROM after) AS rows_after FROM (
+        SELECT 'added' AS change, name AS "column" FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'dropped', name FROM (FROM b EXCEPT FROM a))""")
 def schema_diff(spark, d):
     ev = read_table(spark, d, "events")
     return quality.shape_diff(ev, features.time_features(ev.drop("props"), "ts"))
@@ -264,24 +268,34 @@ def top_actions(spark, d):
     return ag.top(found, "n", "value", 15)
 
 
-# samples; their order is that of a hash which DuckDB lacks: tests check sizes, disjointness and determinism
+# samples, in the order of a hash of the id
 
-@query("stratified_sample")
+def by_hash(source: str, label: str | None = None, id_col: str = "event_id", seed: int = 42) -> str:
+    """The rows of a source with their rank in hash order, within the label's classes, and the class's size."""
+    over = f"PARTITION BY {label}" if label else ""
+    where = f"WHERE {label} IS NOT NULL" if label else ""
+    return f"""(SELECT *, row_number() OVER ({over} ORDER BY md5(concat_ws(':', {id_col}, {seed})), {id_col}) AS place, count(*) OVER ({over}) AS size FROM {source} {where})"""
+
+
+_SPLIT = f"(SELECT * EXCLUDE (place, size), CASE WHEN place <= round_even(size * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM {by_hash(MASKED_SQL, 'label')})"
+
+
+@query("stratified_sample", f"SELECT * EXCLUDE (place, size) FROM {by_hash(MASKED_SQL, 'label')} WHERE place <= round_even(size * 0.8, 0)")
 def stratified_sample(spark, d):
     return sampling.stratified_sample(masked(spark, d), "label", "event_id", 0.8)
 
 
-@query("random_sample")
+@query("random_sample", f"SELECT * EXCLUDE (place, size) FROM {by_hash('events')} WHERE place <= 2000")
 def random_sample(spark, d):
     return sampling.random_sample(read_table(spark, d, "events"), "event_id", 2000)
 
 
-@query("capped_sample")
+@query("capped_sample", f"SELECT * EXCLUDE (place, size) FROM {by_hash(f'(SELECT * FROM {MASKED_SQL} WHERE actor + value + sparse + label IS NOT NULL AND category IS NOT NULL)')} WHERE place <= 1000")
 def capped_sample(spark, d):
     return sampling.capped_sample(masked(spark, d), "event_id", 1000)
 
 
-@query("train_test_split")
+@query("train_test_split", f"SELECT * FROM {_SPLIT}")
 def train_test_split(spark, d):
     return sampling.train_test_split(masked(spark, d), "label", "event_id")
 
@@ -293,12 +307,12 @@ def split_sizes(spark, d):
     return train_test_split(spark, d).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("model_subsample")
+@query("model_subsample", f"SELECT * EXCLUDE (place, size) FROM {by_hash(f"(SELECT * FROM {_SPLIT} WHERE split = 'train')")} WHERE place <= 2000")
 def model_subsample(spark, d):
     return sampling.random_sample(train_test_split(spark, d).where("split = 'train'"), "event_id", 2000)
 
 
-@query("folds")
+@query("folds", f"SELECT * EXCLUDE (place, size), ((place - 1) % 5)::int AS fold FROM {by_hash(MASKED_SQL, 'label')}")
 def folds(spark, d):
     return sampling.folds(masked(spark, d), "label", "event_id")
 
@@ -380,9 +394,14 @@ def drop_constant(spark, d):
     return missing.drop_constant(event_features(spark, d).select("event_id", "event_hour", "event_year"))
 
 
-@query("key_columns", """SELECT * FROM (VALUES (0, 'value'), (1, 'event_hour'), (2, 'actor_event_count'), (3, 'actor_event_velocity')) t(k, name)""")
+_KEY = ("value", "event_hour", "actor_event_count", "actor_event_velocity")
+
+
+@query("key_columns", f"""SELECT (row_number() OVER (ORDER BY v DESC, name) - 1)::int AS k, name FROM (
+    UNPIVOT (SELECT {', '.join(f'var_samp({c}) AS {c}' for c in _KEY)} FROM {FEATURES_SQL}) ON {', '.join(_KEY)} INTO NAME name VALUE v) QUALIFY k < 3""")
 def key_columns(spark, d):
-    names = missing.key_columns(event_features(spark, d), exclude=("label", "actor_bot_ratio"))
+    """The three key columns of largest variance."""
+    names = missing.key_columns(event_features(spark, d), exclude=("label", "actor_bot_ratio"), most=3)
     return spark.createDataFrame(list(enumerate(names)), "k int, name string")
 
 
@@ -398,7 +417,7 @@ def label_encode(spark, d):
     return encode.apply_codes(ev, encode.fit_codes(ev, narrow), narrow).select("event_id", *[f"{c}_code" for c in narrow])
 
 
-@query("label_encode_all", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_name) - 1)::int AS c_name_code FROM customer")
+@query("label_encode_all", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name_code FROM customer")
 def label_encode_all(spark, d):
     customer = read_table(spark, d, "customer").select("c_custkey", "c_name")
     return encode.apply_wide_codes(customer, encode.fit_wide_codes(customer, "c_name"), "c_name").select("c_custkey", "c_name_code")

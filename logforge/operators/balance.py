@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logforge.functions.ordered import hash_rank
+from logforge.functions.ordered import hash_rank, hashed
 from logforge.operators.aggregates import stage_class_counts
 from logforge.operators.knn import nearest
 from logforge.operators.missing import col, fill_numeric, numeric_columns
 
 
+#: Bits of a draw.
+DRAW_BITS = 52
+
+
 def _draw(seed: int, part: int, *ids: str) -> Column:
-    """A non-negative number that depends on the ids, the seed and which of a row's draws it is."""
-    return F.pmod(F.xxhash64(*ids, F.lit(seed), F.lit(part)), F.lit((1 << 53)))
+    """A non-negative number of DRAW_BITS that depends on the ids, the seed and which of a row's draws it is."""
+    return F.conv(F.substring(hashed(part, *ids, F.lit(seed)), 1, DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def _classes(df: DataFrame) -> tuple[int | None, int, int]:
@@ -32,7 +36,7 @@ def _between(wanted: DataFrame, rows: DataFrame, near: DataFrame, seed: int) ->
     picked = wanted.join(some, F.col("anchor") == F.col("query"), "left").drop("query")
     picked = picked.withColumn("rank", (F.pmod(_draw(seed, 1, "n", "anchor"), F.coalesce("k", F.lit(1))) + 1).cast("int"))
     picked = picked.join(near.select(F.col("query").alias("anchor"), "rank", "neighbour"), ["anchor", "rank"], "left")
-    picked = picked.withColumn("neighbour", F.coalesce("neighbour", "anchor")).withColumn("share", _draw(seed, 2, "n", "anchor") / F.lit(float(1 << 53)))
+    picked = picked.withColumn("neighbour", F.coalesce("neighbour", "anchor")).withColumn("share", _draw(seed, 2, "n", "anchor") / F.lit(float(1 << DRAW_BITS)))
     met = picked.join(rows.select(F.col("id").alias("anchor"), F.col("x").alias("from")), "anchor").join(
         rows.select(F.col("id").alias("neighbour"), F.col("x").alias("to")), "neighbour")
     point = F.zip_with("from", "to", lambda a, b: a + F.col("share") * (b - a))
@@ -71,7 +75,7 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     n = r.crossJoin(F.broadcast(total)).select(F.col("id").alias("anchor"), F.bround(share * (most - m)).cast("long").alias("n"))  # a single row
     wanted = n.where("n > 0").select("anchor", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("n"))
     made = _between(wanted, rows, nearest(rows, rows, k), seed)
-    ident = -F.abs(F.xxhash64("anchor", "n", F.lit(seed)) % F.lit(1 << 62)) - 1
+    ident = -_draw(seed, 3, "n", "anchor") - 1
     return original.unionByName(made.select(ident.alias("id"), "x", F.lit(low).cast(dict(df.dtypes)["label"]).alias("label"), F.lit(True).alias("synthetic")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.operators.cluster_quality import silhouette_by_clusters
 from logforge.operators.graph import connected_components
 from logforge.operators.knn import within
 
@@ -31,7 +31,8 @@ def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), restarts: int = 10, se
         found.append((k, float(model.summary.trainingCost), float(value)))
         if best is None or value > best[0]:
             best = value, model
-    labels = best[1].transform(rows).select("id", "cluster")
+    labels = materialise(best[1].transform(rows).select("id", "cluster"))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double"), labels
 
 
@@ -50,7 +51,8 @@ def gmm_sweep(df: DataFrame, ks: range = range(2, 9), restarts: int = 3, seed: i
         if best is None or bic < best[0]:
             best = bic, model, k
     more = [GaussianMixture(k=best[2], seed=seed + r, predictionCol="cluster", maxIter=50).fit(rows) for r in range(restarts, final)]
-    labels = max([best[1], *more], key=lambda m: m.summary.logLikelihood).transform(rows).select("id", "cluster")
+    labels = materialise(max([best[1], *more], key=lambda m: m.summary.logLikelihood).transform(rows).select("id", "cluster"))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, log_likelihood double, bic double"), labels
 
 
@@ -90,7 +92,9 @@ def ward_two_stage(df: DataFrame, ks: range = range(2, 7), micro: int = 300, see
         found.append((k, float(value)))
         if best is None or value > best[0]:
             best = value, labelled.select("id", "cluster")
-    return df.sparkSession.createDataFrame(found, "k int, silhouette double"), best[1]
+    labels = materialise(best[1])
+    out.unpersist(), rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "k int, silhouette double"), labels
 
 
 def dbscan_labels(df: DataFrame, edges: DataFrame, eps: float, least: int) -> DataFrame:
@@ -111,25 +115,21 @@ def dbscan_labels(df: DataFrame, edges: DataFrame, eps: float, least: int) -> Da
 def dbscan_sweep(df: DataFrame, eps: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0, 1.5), least: tuple[int, ...] = (3, 5, 10),
                  fallback: tuple[float, int] = (0.5, 5)) -> tuple[DataFrame, DataFrame]:
     """(eps, least, n_clusters, noise, silhouette) for each pair of parameters, and (id, cluster) of the best silhouette
-    without noise. Pairs of rows are found once, for the largest eps."""
+    without noise. Pairs of rows are found once, for the largest eps. Any number of clusters is counted and judged in the
+    same way; with fewer than two there is no silhouette."""
     rows = df.select("id", "x")
     edges = materialise(within(rows, max(eps)))
-    judge, found, best = ClusteringEvaluator(predictionCol="code"), [], None
+    found, best = [], None
     for e in eps:
         for m in least:
             labels = materialise(dbscan_labels(rows, edges, e, m))
-            ids = [r.cluster for r in labels.where("cluster >= 0").select("cluster").distinct().orderBy("cluster").limit(10_000).collect()]
-            noise = labels.where("cluster < 0").count()
-            value = None
-            if 1 < len(ids) < 10_000:
-                code = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("cluster")).cast("int") if len(ids) <= 200 else F.xxhash64("cluster").cast("int")
-                inside = labels.where("cluster >= 0").join(rows, "id").select(F.abs(code).alias("code"), array_to_vector("x").alias("features"))
-                value = float(judge.evaluate(inside))
-            found.append((float(e), int(m), len(ids), int(noise), value))
+            n, noise = labels.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.count_if(F.col("cluster") < 0)).first()
+            value = silhouette_by_clusters(rows.join(labels, "id"), "id").first()[0] if n > 1 else None
+            found.append((float(e), int(m), int(n), int(noise), value))
             if value is not None and (best is None or value > best[0]):
                 best = value, labels
     labels = best[1] if best else dbscan_labels(rows, edges, *fallback)
-    return df.sparkSession.createDataFrame(found, "eps double, least int, n_clusters int, noise int, silhouette double"), labels
+    return df.sparkSession.createDataFrame(found, "eps double, least int, n_clusters long, noise long, silhouette double"), labels
 
 
 def compare(metrics: dict[str, dict[str, float]], df: DataFrame) -> DataFrame:

@@ -3,16 +3,20 @@ or null, is noise and is left out."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logforge.functions.lineage import materialise
+from logforge.operators.knn import block_pairs, distances
 from logforge.operators.missing import col
 
 
 def _members(df: DataFrame, cluster: str, vector: str) -> DataFrame:
-    x = df.select(col(cluster).cast("int").alias("cluster"), col(vector).cast("array<double>").alias("x"))
+    x = df.select(col(cluster).cast("long").alias("cluster"), col(vector).cast("array<double>").alias("x"))
     return x.where("cluster is not null and cluster >= 0 and x is not null")
 
 
@@ -32,15 +36,27 @@ def _square(a: Column, b: Column) -> Column:
 
 
 def davies_bouldin(df: DataFrame, cluster: str = "cluster", vector: str = "x") -> DataFrame:
-    """Mean over clusters of the worst ratio of their spread to the distance of centroids; null for one cluster."""
+    """Mean over clusters of the worst ratio of their spread to the distance of centroids; null for one cluster. Blocks of
+    clusters meet, however many clusters there are."""
     rows = _members(df, cluster, vector)
     c = centroids(df, cluster, vector)
     spread = rows.join(c, "cluster").groupBy("cluster", "centroid").agg(F.avg(F.sqrt(_square(F.col("x"), F.col("centroid")))).alias("s"))
-    a, b = spread.alias("a"), spread.alias("b")
-    r = (F.col("a.s") + F.col("b.s")) / F.sqrt(_square(F.col("a.centroid"), F.col("b.centroid")))
-    # pairs of clusters, whose number the caller chose
-    worst = a.join(b, F.col("a.cluster") != F.col("b.cluster")).groupBy("a.cluster").agg(F.max(r).alias("r"))
-    return worst.agg(F.avg("r").alias("davies_bouldin"))
+    spread = materialise(spread.select(F.col("cluster").alias("id"), F.col("centroid").alias("x"), "s"))
+
+    def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            for at, d in distances(np.stack(a["own_x"].to_numpy()), np.stack(b["other_x"].to_numpy())):
+                part = a.iloc[at : at + len(d)]
+                other = part["own"].to_numpy()[:, None] != b["other"].to_numpy()[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = (part["own_s"].to_numpy()[:, None] + b["other_s"].to_numpy()[None, :]) / d
+                out.append(pd.DataFrame({"id": part["own"].to_numpy(), "r": np.where(other, r, -np.inf).max(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "r": []})
+
+    pairs, _ = block_pairs(spread, spread, own=("s",), other=("s",))
+    worst = pairs.applyInPandas(local, "id long, r double").groupBy("id").agg(F.max("r").alias("r"))
+    return worst.where(F.col("r") >= 0).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def calinski_harabasz(df: DataFrame, cluster: str = "cluster", vector: str = "x") -> DataFrame:
@@ -57,28 +73,72 @@ def calinski_harabasz(df: DataFrame, cluster: str = "cluster", vector: str = "x"
 
 
 def silhouette(df: DataFrame, cluster: str = "cluster", vector: str = "x") -> float | None:
-    """Mean silhouette under squared Euclidean distance, in linear work; None for fewer than two clusters."""
+    """Mean silhouette under squared Euclidean distance, by Spark ML, which holds the clusters' sums in each task; None for
+    fewer than two clusters. Clusters are numbers below 2^53."""
     rows = _members(df, cluster, vector)
     if rows.select("cluster").distinct().limit(2).count() < 2:
         return None
-    return ClusteringEvaluator(predictionCol="cluster", featuresCol="v").evaluate(rows.select("cluster", array_to_vector("x").alias("v")))
+    return ClusteringEvaluator(predictionCol="cluster", featuresCol="v").evaluate(rows.select(F.col("cluster").cast("double").alias("cluster"), array_to_vector("x").alias("v")))
+
+
+def _mean_silhouette(each: DataFrame) -> DataFrame:
+    """each: a row's mean distance to its own cluster (a) and to the nearest other one (b), and size, its cluster's rows."""
+    s = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.where("b is not null").agg(F.avg(s).alias("silhouette"))
 
 
 def silhouette_by_clusters(df: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "x") -> DataFrame:
     """The same from sums alone: each row's mean squared distance to each cluster follows from the cluster's size, sum and
-    sum of squared norms, so rows meet clusters, never each other."""
+    sum of squared norms. Blocks of rows meet blocks of clusters, however many clusters there are; null for one cluster.
+    Clusters are any long numbers, such as ids of rows; ids are unique."""
+    rows = df.select(col(id_col).cast("long").alias("id"), col(cluster).cast("long").alias("c"), col(vector).cast("array<double>").alias("x"))
+    rows = rows.where("c is not null and c >= 0 and x is not null")
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    rows = df.select(col(id_col).alias("id"), col(cluster).cast("int").alias("cluster"), col(vector).cast("array<double>").alias("x"))
-    rows = rows.where("cluster is not null and cluster >= 0 and x is not null").withColumn("q", norm)
-    c = centroids(rows, "cluster", "x").join(rows.groupBy("cluster").agg(F.sum("q").alias("sq")), "cluster")
+    sums = centroids(rows, "c", "x").join(rows.groupBy(F.col("c").alias("cluster")).agg(F.sum(norm).alias("sq")), "cluster")
+    sums = materialise(sums.select(F.col("cluster").alias("id"), F.col("centroid").alias("x"), "n", "sq"))
+
+    def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in ("id", "a", "b", "size")})
+        x, m, n = np.stack(a["own_x"].to_numpy()), np.stack(b["other_x"].to_numpy()), b["other_n"].to_numpy(dtype=float)
+        total = np.maximum(0.0, n * (x * x).sum(axis=1)[:, None] + b["other_sq"].to_numpy() - 2 * n * (x @ m.T))
+        own = a["own_c"].to_numpy()[:, None] == b["other"].to_numpy()[None, :]
+        other = np.where(own, np.inf, total / n).min(axis=1)
+        mine, at = own.any(axis=1), own.argmax(axis=1)
+        size = n[at]
+        inner = total[np.arange(len(x)), at] / np.maximum(1, size - 1)
+        return pd.DataFrame({"id": a["own"], "a": np.where(mine, inner, np.nan), "b": np.where(np.isfinite(other), other, np.nan), "size": np.where(mine, size, np.nan)})
+
+    pairs, _ = block_pairs(rows, sums, own=("c",), other=("n", "sq"))
+    each = pairs.applyInPandas(local, "id long, a double, b double, size double")
+    clean = lambda f, c: f(F.when(~F.isnan(c), F.col(c))).alias(c)
+    return _mean_silhouette(each.groupBy("id").agg(clean(F.max, "a"), clean(F.min, "b"), clean(F.max, "size")))
+
+
+def euclidean_silhouette(df: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "x") -> DataFrame:
+    """Mean silhouette under Euclidean distance, whose means don't follow from sums: every block of rows meets every
+    other, so the work grows with the square of the table. Each pair of blocks leaves a row for each row and cluster."""
+    rows = df.select(col(id_col).cast("long").alias("id"), col(cluster).cast("long").alias("c"), col(vector).cast("array<double>").alias("x"))
+    rows = rows.where("c is not null and c >= 0 and x is not null")
+
+    def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            found, code = np.unique(b["other_c"].to_numpy(), return_inverse=True)
+            member = np.zeros((len(b), len(found)))
+            member[np.arange(len(b)), code] = 1
+            n = member.sum(axis=0)
+            for at, d in distances(np.stack(a["own_x"].to_numpy()), np.stack(b["other_x"].to_numpy())):
+                part = a.iloc[at : at + len(d)]
+                out.append(pd.DataFrame({"id": np.repeat(part["own"].to_numpy(), len(found)), "own": np.repeat(part["own_c"].to_numpy(), len(found)),
+                                         "cluster": np.tile(found, len(d)), "s": (d @ member).ravel(), "n": np.tile(n, len(d))}))
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("id", "own", "cluster", "s", "n")})
+
+    pairs, _ = block_pairs(rows, rows, own=("c",), other=("c",))
+    sums = pairs.applyInPandas(local, "id long, own long, cluster long, s double, n double").groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("own") == F.col("cluster")
-    dot = F.aggregate(F.zip_with("x", "centroid", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    total = F.col("n") * F.col("q") + F.col("sq") - 2 * F.col("n") * dot
-    met = rows.withColumnRenamed("cluster", "own").crossJoin(F.broadcast(c))  # a row for each cluster, whose number the caller chose
-    d = met.groupBy("id", "own").agg(
-        F.max(F.when(own, F.try_divide(total, F.col("n") - 1))).alias("a"), F.min(F.when(~own, total / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("size"))
-    s = F.when(F.col("size") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return d.agg(F.avg(s).alias("silhouette"))
+    return _mean_silhouette(sums.groupBy("id", "own").agg(
+        F.max(F.when(own, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("size")))
 
 
 def contingency(df: DataFrame, label: str, cluster: str) -> DataFrame:

@@ -3,15 +3,18 @@ and running totals are taken in buckets of the score."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logforge.functions.ordered import running_totals
+from logforge.functions.ordered import in_ranges, running_totals
 
 
-def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted", keys: Sequence[str] = ()) -> DataFrame:
+    """Counts of the four cases, for each of the keys."""
     y, p = F.col(label) == 1, F.col(predicted) == 1
-    return df.agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
+    return df.groupBy(*keys).agg(F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -34,13 +37,15 @@ def class_report(df: DataFrame, label: str = "label", predicted: str = "predicte
     return metrics(own.unionByName(other)).select("class", "precision", "recall", "f1", "support")
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Distinct scores, highest first, with positives and negatives at or over each, and in total."""
-    n = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+def _by_score(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores, highest first, with positives and negatives at or over each, and in total, within keys. Running
+    totals are taken in ranges of the scores that are of one size, however near each other scores are."""
+    n = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    run = running_totals(n, -F.floor(F.col("score") * 1000), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
-    total = n.agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
-    return run.crossJoin(F.broadcast(total))  # a single row
+    n = in_ranges(n, F.desc("score"))
+    run = running_totals(n, F.col("range"), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")}, keys).drop("range")
+    total = n.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    return run.join(F.broadcast(total), list(keys)) if keys else run.crossJoin(F.broadcast(total))  # a row for each of few keys
 
 
 def _previous(df: DataFrame, names: list[str]) -> DataFrame:
@@ -54,20 +59,20 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     return _by_score(df, label, score).select("score", _ratio(F.col("tp"), F.col("pos")).alias("tpr"), _ratio(F.col("fp"), F.col("neg")).alias("fpr"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Area under the ROC curve by trapezoids, ties included; null with one class only."""
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve by trapezoids, ties included; null with one class only. One row for each of the keys."""
     step = F.col("q") * (F.col("tp") + F.col("before_tp")) / 2.0
-    return _previous(_by_score(df, label, score), ["tp"]).agg(F.try_divide(F.sum(step), F.first("pos") * F.first("neg")).alias("auc"))
+    return _previous(_by_score(df, label, score, keys), ["tp"]).groupBy(*keys).agg(F.try_divide(F.sum(step), F.first("pos") * F.first("neg")).alias("auc"))
 
 
 def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     return _by_score(df, label, score).select("score", _ratio(F.col("tp"), F.col("pos")).alias("recall"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
-def average_precision(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Sum of the gains in recall times the precision there; null without positives."""
+def average_precision(df: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
+    """Sum of the gains in recall times the precision there; null without positives. One row for each of the keys."""
     gain = F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return _by_score(df, label, score).where("pos > 0").agg(F.sum(gain).alias("average_precision"))
+    return _by_score(df, label, score, keys).where("pos > 0").groupBy(*keys).agg(F.sum(gain).alias("average_precision"))
 
 
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", low: float = 0.01, high: float = 0.99, steps: int = 200) -> DataFrame:

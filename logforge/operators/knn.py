@@ -3,7 +3,7 @@ its own, whose memory is that of two blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ def _matrix(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_numpy()).astype(float)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Euclidean distances from differences, which near-duplicates need; by slices of a."""
     step = max(1, _AT_ONCE // max(1, b.size))
     for k in range(0, len(a), step):
@@ -30,35 +30,44 @@ def _blocks(df: DataFrame, block: int) -> int:
     return max(1, -(-df.count() // block))
 
 
-def _pairs(queries: DataFrame, data: DataFrame, block: int):
-    """Queries and rows, dealt to every pair of their blocks; the number of blocks of rows."""
+def _side(df: DataFrame, name: str, seed: str, blocks: int, kept: Sequence[str]) -> DataFrame:
+    """The rows with names of their own, as both sides may come from one table, and the block that a hash deals them to."""
+    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int").alias(f"{name}_block")
+    return df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("x", *kept)], block)
+
+
+def block_pairs(queries: DataFrame, data: DataFrame, block: int = BLOCK, own: Sequence[str] = (), other: Sequence[str] = ()):
+    """Queries and rows, dealt to every pair of their blocks (a cogroup), and the number of blocks of rows. Columns of the
+    sides: own, own_x, own_<c> and other, other_x, other_<c> for the further columns named."""
     q, b = _blocks(queries, block), _blocks(data, block)
-    # every column gets a name of its own: both sides may come from one table
-    left = queries.select(F.col("id").alias("own"), F.col("x").alias("own_x"), F.pmod(F.xxhash64("id", F.lit("q")), F.lit(q)).cast("int").alias("own_q"))
-    left = left.withColumn("own_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    right = data.select(F.col("id").alias("other"), F.col("x").alias("other_x"), F.pmod(F.xxhash64("id", F.lit("b")), F.lit(b)).cast("int").alias("other_b"))
-    right = right.withColumn("other_q", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    return left.groupBy("own_q", "own_b").cogroup(right.groupBy("other_q", "other_b")), b
+    left = _side(queries, "own", "q", q, own).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    right = _side(data, "other", "b", b, other).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    return left.groupBy("own_block", "pair").cogroup(right.groupBy("pair", "other_block")), b
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query, rank, neighbour, distance): the k nearest rows of each query, Euclidean, ties by the neighbour's id. A row
     is no neighbour of a query of its own id. Both tables have id (long) and x (array of double, without nulls)."""
+    names = ["query", "part", "neighbour", "distance"]
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(a) and len(b):
-            ids, own = b["other"].to_numpy(), a["own"].to_numpy()
-            for at, d in _distances(_matrix(a["own_x"]), _matrix(b["other_x"])):
-                d[own[at : at + len(d), None] == ids[None, :]] = np.inf
-                for i, row in enumerate(d):
-                    edge = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    near = np.flatnonzero((row <= edge) & np.isfinite(row))
-                    near = near[np.lexsort((ids[near], row[near]))][:k]
-                    out.append(pd.DataFrame({"query": own[at + i], "part": a["own_b"].iloc[0], "neighbour": ids[near], "distance": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "part": [], "neighbour": [], "distance": []})
-
-    pairs, b = _pairs(queries, data, block)
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        ids, own = b["other"].to_numpy(), a["own"].to_numpy()
+        query, near, far = [], [], []
+        for at, d in distances(_matrix(a["own_x"]), _matrix(b["other_x"])):
+            d[own[at : at + len(d), None] == ids[None, :]] = np.inf
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+            i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+            order = np.lexsort((ids[j], d[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)  # of equal distances the smallest ids stay
+            i, j = i[place < k], j[place < k]
+            query.append(own[at + i]), near.append(ids[j]), far.append(d[i, j])
+        found = np.concatenate(query)
+        return pd.DataFrame({"query": found, "part": np.full(len(found), a["pair"].iloc[0]), "neighbour": np.concatenate(near), "distance": np.concatenate(far)})
+
+    pairs, b = block_pairs(queries, data, block)
     found = pairs.applyInPandas(local, "query long, part int, neighbour long, distance double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     if b > 16:  # lists of blocks are merged in two steps, so that none grows with the table
@@ -69,18 +78,25 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, block: int = BLOCK) ->
 
 
 def within(data: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance), a < b, for all pairs of rows at most `radius` apart."""
+    """(a, b, distance), a < b, for all pairs of rows at most `radius` apart. Each pair of blocks meets once."""
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(a) and len(b):
             ids, own = b["other"].to_numpy(), a["own"].to_numpy()
-            for at, d in _distances(_matrix(a["own_x"]), _matrix(b["other_x"])):
-                i, j = np.nonzero((d <= radius) & (own[at : at + len(d), None] < ids[None, :]))
-                out.append(pd.DataFrame({"a": own[at + i], "b": ids[j], "distance": d[i, j]}))
+            same = a["own_block"].iloc[0] == b["other_block"].iloc[0]
+            for at, d in distances(_matrix(a["own_x"]), _matrix(b["other_x"])):
+                close = d <= radius
+                if same:
+                    close &= own[at : at + len(d), None] < ids[None, :]
+                i, j = np.nonzero(close)
+                out.append(pd.DataFrame({"a": np.minimum(own[at + i], ids[j]), "b": np.maximum(own[at + i], ids[j]), "distance": d[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
-    return _pairs(data, data, block)[0].applyInPandas(local, "a long, b long, distance double")
+    b = _blocks(data, block)
+    left = _side(data, "own", "b", b, ()).withColumn("pair", F.explode(F.sequence(F.col("own_block"), F.lit(b - 1))))
+    right = _side(data, "other", "b", b, ()).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("other_block"))))
+    return left.groupBy("own_block", "pair").cogroup(right.groupBy("pair", "other_block")).applyInPandas(local, "a long, b long, distance double")
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:

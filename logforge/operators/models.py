@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from itertools import product
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from logforge.functions.lineage import materialise
 from logforge.operators import evaluate as ev
 from logforge.operators.balance import class_weights, smote
+from logforge.operators.knn import nearest, vote
 from logforge.operators.sampling import learning_steps
 
 #: Spark's trees are at most this deep; "no limit" means this.
@@ -33,7 +36,7 @@ def weighted(df: DataFrame) -> DataFrame:
 
 
 def estimators(seed: int = 42) -> dict:
-    """One untuned estimator of each family."""
+    """One untuned estimator of each family that Spark ML has."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
         "logistic": LogisticRegression(maxIter=50, weightCol="weight", **common),
@@ -43,6 +46,11 @@ def estimators(seed: int = 42) -> dict:
     }
 
 
+def families(seed: int = 42) -> dict:
+    """One untuned estimator of each of the six families."""
+    return estimators(seed) | {"svm": KernelSvm(seed=seed), "neighbours": Neighbours()}
+
+
 def grids(rows: int) -> dict[str, list[dict]]:
     """The parameter combinations of a full search of each family. rows: those that a model is trained on."""
 
@@ -55,6 +63,8 @@ def grids(rows: int) -> dict[str, list[dict]]:
         "tree": every(maxDepth=[3, 5, 10, DEEPEST], minInstancesPerNode=[1, 5, 10], impurity=["gini", "entropy"]),
         "forest": every(numTrees=[100, 200], maxDepth=[10, 20, DEEPEST], minInstancesPerNode=[1, 5]),
         "boosting": every(maxIter=[50, 100], maxDepth=[3, 5, 7], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0]),
+        "svm": every(c=[1.0, 10.0]),
+        "neighbours": every(k=[5, 11], by_distance=[False, True]),
     }
 
 
@@ -70,32 +80,99 @@ def pipeline(estimator) -> Pipeline:
     return Pipeline(stages=[scaled, estimator.copy().setFeaturesCol("scaled")])
 
 
+def fit(estimator, train: DataFrame):
+    """A fitted model, classes weighted; its scaler is fitted on the training rows alone."""
+    return estimator.fit(train) if isinstance(estimator, (KernelSvm, Neighbours)) else pipeline(estimator).fit(weighted(train))
+
+
 def scores(model, df: DataFrame) -> DataFrame:
     """(id, label, score, predicted) of each row."""
+    if hasattr(model, "scores"):
+        return model.scores(df)
     out = model.transform(df)
     if "probability" in out.columns:
-        score = vector_to_array("probability")[1]
+        score = F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0))  # one class in training: no second place
     else:
-        score = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        score = 1 / (1 + F.exp(-F.coalesce(F.get(vector_to_array("rawPrediction"), 1), F.lit(-30.0))))
     return out.select("id", "label", score.alias("score"), F.col("prediction").cast("int").alias("predicted"))
 
 
+def _scaler(train: DataFrame):
+    return StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled").fit(train)
+
+
+class Neighbours:
+    """k-nearest-neighbour classifier on standardised features; votes are equal, or by the inverse of the distance."""
+
+    def __init__(self, k: int = 5, by_distance: bool = False):
+        self.k, self.by_distance = k, by_distance
+
+    def fit(self, train: DataFrame) -> Neighbours:
+        self.scaler = _scaler(train)
+        self.rows = materialise(self._scaled(train))
+        return self
+
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        return self.scaler.transform(df).select("id", vector_to_array("scaled").alias("x"), "label")
+
+    def near(self, df: DataFrame) -> DataFrame:
+        return nearest(self._scaled(df).select("id", "x"), self.rows.select("id", "x"), self.k)
+
+    def voted(self, near: DataFrame, df: DataFrame, k: int, by_distance: bool) -> DataFrame:
+        votes = vote(near.where(F.col("rank") <= k), self.rows.select("id", "label"), by_distance)
+        return df.select("id", "label").join(votes, F.col("id") == F.col("query")).select("id", "label", F.col("probability").alias("score"), "predicted")
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        return self.voted(self.near(df), df, self.k, self.by_distance)
+
+
+class KernelSvm:
+    """A linear SVM on random Fourier features of standardised features, which approximates an RBF SVM with gamma
+    1 / (p var(X)). Scaler and gamma are fitted on training rows."""
+
+    def __init__(self, c: float = 1.0, n: int = 256, seed: int = 42):
+        self.c, self.n, self.seed = c, n, seed
+
+    def fit(self, train: DataFrame) -> KernelSvm:
+        self.scaler = _scaler(train)
+        scaled = self.scaler.transform(train)
+        self.size = len(self.scaler.mean)
+        spread = scaled.select(F.explode(vector_to_array("scaled")).alias("v")).agg(F.var_pop("v")).first()[0]
+        self.gamma = 1 / (self.size * spread) if spread else 1.0 / self.size
+        rows = materialise(weighted(self._mapped(train)))
+        self.model = LinearSVC(featuresCol="fourier", weightCol="weight", regParam=1 / (self.c * max(1, rows.count())), maxIter=50).fit(rows)
+        return self
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        return fourier_features(self.scaler.transform(df), "scaled", self.size, self.gamma, self.n, self.seed).drop("scaled")
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        return scores(self.model, self._mapped(df))
+
+
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
 
 
+def measures_by(scored: DataFrame, keys: Sequence[str], names: Sequence[str] = MEASURES) -> DataFrame:
+    """The named measures of scored rows, a row for each of the keys: all models and folds in the same few passes."""
+    out = ev.metrics(ev.confusion(scored, keys=keys), 6).select(*keys, *[n for n in names if n not in ("roc_auc", "average_precision")])
+    if "roc_auc" in names:
+        out = out.join(ev.roc_auc(scored, keys=keys).withColumnRenamed("auc", "roc_auc"), list(keys), "left")
+    if "average_precision" in names:
+        out = out.join(ev.average_precision(scored, keys=keys), list(keys), "left")
+    return out.select(*keys, *names)
+
+
 def measures(scored: DataFrame, names: Sequence[str] = MEASURES) -> dict[str, float]:
-    """The named measures of scored rows: numbers, from a few counts."""
-    kept = scored.persist()
-    try:
-        row = ev.metrics(ev.confusion(kept), 6).first()
-        out = {k: float(row[k]) for k in names if k in row}
-        if "roc_auc" in names:
-            out["roc_auc"] = ev.roc_auc(kept).first()[0]
-        if "average_precision" in names:
-            out["average_precision"] = ev.average_precision(kept).first()[0]
-    finally:
-        kept.unpersist()
-    return out
+    """The same of one model's rows, as numbers."""
+    row = measures_by(materialise(scored.withColumn("one", F.lit(1))), ["one"], names).first()
+    return {n: float(row[n]) if row and row[n] is not None else None for n in names}
+
+
+def _together(jobs: Sequence, most: int = 4) -> list:
+    """Calls the functions, a few at a time; each starts Spark jobs of its own."""
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(lambda job: job(), jobs))
 
 
 _METRICS = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double, average_precision double"
@@ -106,12 +183,15 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
 
-def train_and_compare(train: DataFrame, test: DataFrame, models: dict | None = None) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """A row of measures on the test rows for each model, and the fitted models."""
-    train = weighted(train).persist()
-    fitted = {name: pipeline(e).fit(train) for name, e in (models or estimators()).items()}
+def train_and_compare(train: DataFrame, test: DataFrame, models: dict | None = None) -> tuple[DataFrame, dict]:
+    """A row of measures on the test rows for each model, and the fitted models; by default all six families."""
+    models = families() if models is None else models
+    train = train.persist()
+    fitted = dict(zip(models, _together([partial(fit, e, train) for e in models.values()])))
+    scored = reduce(DataFrame.unionByName, [scores(m, test).withColumn("model", F.lit(n)) for n, m in fitted.items()])
+    table = measures_by(materialise(scored), ["model"])
     train.unpersist()
-    return _table(train.sparkSession, [{"model": n} | measures(scores(m, test)) for n, m in fitted.items()], _METRICS), fitted
+    return table, fitted
 
 
 def compare_long(table: DataFrame) -> DataFrame:
@@ -132,40 +212,110 @@ def search(df: DataFrame, estimator, combinations: Sequence[dict], parallelism:
     judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     found = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(rows)
     rows.unpersist()
-    table = df.sparkSession.createDataFrame([(json.dumps(c, sort_keys=True), float(f)) for c, f in zip(combinations, found.avgMetrics)], "parameters string, f1 double")
-    return found.bestModel, table
+    return found.bestModel, _searched(df.sparkSession, combinations, found.avgMetrics)
+
+
+def _searched(spark: SparkSession, combinations: Sequence[dict], f1: Sequence[float]) -> DataFrame:
+    return spark.createDataFrame([(json.dumps(c, sort_keys=True), float(f)) for c, f in zip(combinations, f1)], "parameters string, f1 double")
+
+
+def search_own(df: DataFrame, family: str, combinations: Sequence[dict]):
+    """As search(), for the two families that Spark ML lacks. Neighbours are sought once for each fold, for the largest k."""
+    rows = df.withColumn("fold", F.col("fold").cast("int")).persist()
+    folds, scored = range(rows.agg(F.max("fold")).first()[0] + 1), []
+
+    def of_fold(fold: int) -> list[DataFrame]:
+        train, valid = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        if family == "svm":
+            found = [scores(KernelSvm(**c).fit(train), valid) for c in combinations]
+        else:
+            model = Neighbours(k=max(c["k"] for c in combinations)).fit(train)
+            near = materialise(model.near(valid))
+            found = [model.voted(near, valid, **c) for c in combinations]
+        return [f.select(F.lit(k).alias("combination"), F.lit(fold).alias("fold"), "id", "label", "score", "predicted") for k, f in enumerate(found)]
+
+    for found in _together([partial(of_fold, fold) for fold in folds]):
+        scored += found
+    each = measures_by(materialise(reduce(DataFrame.unionByName, scored)), ["combination", "fold"], ("f1",))
+    f1 = {r.combination: r.f1 for r in each.groupBy("combination").agg(F.avg("f1").alias("f1")).collect()}  # a row for each combination
+    best = max(range(len(combinations)), key=lambda k: (f1[k], -k))
+    model = (KernelSvm if family == "svm" else Neighbours)(**combinations[best]).fit(rows)
+    rows.unpersist()
+    return model, _searched(df.sparkSession, combinations, [f1[k] for k in range(len(combinations))])
+
+
+def search_all(df: DataFrame, seed: int = 42) -> tuple[dict, DataFrame]:
+    """The best model of every family, and (family, parameters, f1) of all combinations searched: whole grids, but for
+    forest and boosting 20 combinations that are drawn, or all if there are fewer."""
+    found = {}
+    for family, grid in grids(df.where("fold <> 0").count()).items():
+        own = draw(grid, 20, seed) if family in ("forest", "boosting") else grid
+        found[family] = search_own(df, family, own) if family in ("svm", "neighbours") else search(df, estimators(seed)[family], own)
+    table = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("family"), "parameters", "f1") for n, (_, t) in found.items()])
+    return {n: m for n, (m, _) in found.items()}, table
+
+
+def tuned(searched: DataFrame, seed: int = 42) -> dict:
+    """An estimator of each family with its best parameters, from a table of search_all(); ties to the first in order."""
+    out, plain = {}, families(seed)
+    for r in searched.orderBy("family", F.desc("f1"), "parameters").collect():  # a row for each combination
+        if r.family not in out:
+            own = json.loads(r.parameters)
+            base = plain[r.family]
+            out[r.family] = type(base)(**own) if r.family in ("svm", "neighbours") else base.copy({base.getParam(k): v for k, v in own.items()})
+    return out
 
 
-def cross_validate(df: DataFrame, estimator, name: str, resample: bool = False, seed: int = 42) -> DataFrame:
-    """(model, metric, mean, std) over the folds in column fold; std is the population's. With resample, synthetic rows are
-    made inside each fold's training rows only."""
+def cross_validate(df: DataFrame, models: dict, resample: bool = False, seed: int = 42) -> DataFrame:
+    """(model, metric, mean, std) of each of the models (name: estimator) over the folds in column fold; std is the
+    population's. With resample, synthetic rows are made inside each fold's training rows only."""
     rows = df.persist()
-    found = []
-    for k in range(rows.agg(F.max("fold")).first()[0] + 1):
-        train = rows.where(F.col("fold") != k)
+
+    def of_fold(fold: int, name: str, estimator) -> DataFrame:
+        train = rows.where(F.col("fold") != fold)
         if resample:
             dense = train.select("id", vector_to_array("features").alias("x"), "label")
             train = materialise(smote(dense, seed=seed)).select("id", array_to_vector("x").alias("features"), "label")
-        found.append({"fold": k} | measures(scores(pipeline(estimator).fit(weighted(train)), rows.where(F.col("fold") == k)), ("accuracy", "f1", "roc_auc")))
+        return scores(fit(estimator, train), rows.where(F.col("fold") == fold)).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
+
+    folds = range(rows.agg(F.max("fold")).first()[0] + 1)
+    scored = _together([partial(of_fold, k, n, e) for n, e in models.items() for k in folds])
+    names = ("accuracy", "f1", "roc_auc")
+    each = measures_by(materialise(reduce(DataFrame.unionByName, scored)), ["model", "fold"], names)
+    long = each.unpivot(["model", "fold"], list(names), "metric", "value")
+    out = materialise(long.groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
     rows.unpersist()
-    table = _table(df.sparkSession, found, "fold int, accuracy double, f1 double, roc_auc double")
-    long = table.unpivot(["fold"], ["accuracy", "f1", "roc_auc"], "metric", "value")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).select(F.lit(name).alias("model"), "metric", "mean", "std")
+    return out
+
+
+def with_cv(table: DataFrame, cv: DataFrame) -> DataFrame:
+    """A row of measures for each model, with cv_<metric>_mean and cv_<metric>_std beside those on test rows."""
+    wide = cv.groupBy("model").pivot("metric", ["accuracy", "f1", "roc_auc"]).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+    short = {"accuracy": "acc", "f1": "f1", "roc_auc": "roc"}
+    return table.join(wide.select("model", *[F.col(f"{m}_{s}").alias(f"cv_{n}_{s}") for m, n in short.items() for s in ("mean", "std")]), "model", "left")
 
 
 def learning_curve(df: DataFrame, estimator, shares: Sequence[float] = (0.1, 0.25, 0.5, 1.0), seed: int = 42) -> DataFrame:
     """(share, rows, train_f1, valid_f1, their deviations) over growing stratified samples and the folds in column fold."""
-    steps = learning_steps(df, "label", "id", list(shares), seed).persist()
-    found = []
-    for k, share in enumerate(shares):
-        for fold in range(df.agg(F.max("fold")).first()[0] + 1):
-            train = steps.where((F.col("step") <= k) & (F.col("fold") != fold))
-            model = pipeline(estimator).fit(weighted(train))
-            found.append((float(share), train.count(), measures(scores(model, train), ("f1",))["f1"], measures(scores(model, steps.where(F.col("fold") == fold)), ("f1",))["f1"]))
-    steps.unpersist()
-    table = df.sparkSession.createDataFrame(found, "share double, n long, train_f1 double, valid_f1 double")
-    return table.groupBy("share").agg(F.avg("n").alias("rows"), F.avg("train_f1").alias("train_f1"), F.stddev_pop("train_f1").alias("train_std"),
-                                      F.avg("valid_f1").alias("valid_f1"), F.stddev_pop("valid_f1").alias("valid_std"))
+    steps = materialise(learning_steps(df, "label", "id", list(shares), seed))
+    scored = []
+
+    def of_step(k: int, fold: int) -> list[DataFrame]:
+        train, valid = steps.where((F.col("step") <= k) & (F.col("fold") != fold)), steps.where(F.col("fold") == fold)
+        model = fit(estimator, train)
+        return [scores(model, rows).select(F.lit(k).alias("k"), F.lit(fold).alias("fold"), F.lit(part).alias("part"), "label", "score", "predicted")
+                for part, rows in (("train", train), ("valid", valid))]
+
+    folds = range(steps.agg(F.max("fold")).first()[0] + 1)
+    for found in _together([partial(of_step, k, fold) for k in range(len(shares)) for fold in folds]):
+        scored += found
+    counts = ev.confusion(materialise(reduce(DataFrame.unionByName, scored)), keys=["k", "fold", "part"])
+    each = ev.metrics(counts, 6).withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("k"))
+    of = lambda part, c: F.when(F.col("part") == part, F.col(c))
+    return each.groupBy(share.alias("share")).agg(
+        F.avg(of("train", "n")).alias("rows"), F.avg(of("train", "f1")).alias("train_f1"), F.stddev_pop(of("train", "f1")).alias("train_std"),
+        F.avg(of("valid", "f1")).alias("valid_f1"), F.stddev_pop(of("valid", "f1")).alias("valid_std"))
 
 
 def importance(spark: SparkSession, model: PipelineModel, names: Sequence[str], most: int = 15) -> DataFrame:
@@ -209,14 +359,8 @@ def load(path: str, spark: SparkSession) -> tuple[PipelineModel, list[str]]:
     return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/features").first()[0])
 
 
-def fourier_features(df: DataFrame, n: int = 256, gamma: float | None = None, seed: int = 42) -> DataFrame:
-    """df with column fourier (vector): random features whose products approximate the RBF kernel of the features, for
-    gamma 1 / (p var(X)) unless given."""
-    arrays = vector_to_array("features")
-    size = df.select(F.size(arrays)).first()[0]
-    if gamma is None:
-        long = df.select(F.explode(arrays).alias("v")).agg(F.var_pop("v")).first()[0]
-        gamma = 1 / (size * long) if long else 1.0 / size
+def fourier_features(df: DataFrame, features: str, size: int, gamma: float, n: int = 256, seed: int = 42) -> DataFrame:
+    """df with column fourier (vector): random features whose products approximate the RBF kernel of a vector of `size`."""
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2 * gamma), (size, n)), rng.uniform(0, 2 * np.pi, n)
 
@@ -224,14 +368,4 @@ def fourier_features(df: DataFrame, n: int = 256, gamma: float | None = None, se
     def mapped(x: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(2 / n) * np.cos(np.stack(x.to_numpy()) @ w + b)) if len(x) else [], dtype=object)
 
-    return df.withColumn("fourier", array_to_vector(mapped(arrays)))
-
-
-def kernel_svm(train: DataFrame, test: DataFrame, c: float = 1.0, n: int = 256, seed: int = 42) -> dict[str, float]:
-    """Measures of a linear SVM on random Fourier features, which approximates an RBF SVM."""
-    both = fourier_features(train.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1))), n, seed=seed).persist()
-    rows = weighted(both.where("part = 0"))
-    model = LinearSVC(featuresCol="fourier", weightCol="weight", regParam=1 / (c * max(1, train.count())), maxIter=50).fit(rows)
-    out = measures(scores(model, both.where("part = 1")))
-    both.unpersist()
-    return out
+    return df.withColumn("fourier", array_to_vector(mapped(vector_to_array(features))))

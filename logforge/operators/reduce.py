@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logforge.operators.missing import col, fill_numeric, variances
+from logforge.operators.missing import batches, col, fill_numeric, variances
 
 
 def to_vector(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:
@@ -63,19 +63,19 @@ def variance_filter(df: DataFrame, names: list[str], threshold: float) -> list[s
 
 
 def anova_f(df: DataFrame, names: list[str], target: str) -> DataFrame:
-    """(feature, f): one-way analysis of variance, from one aggregation by class. Rows without a target are left out."""
-    sums = df.where(col(target).isNotNull()).groupBy(col(target)).agg(
-        *[f.alias(f"{k}{t}") for k, c in enumerate(names) for t, f in (
-            ("n", F.count(col(c)).cast("double")), ("s", F.sum(col(c).cast("double"))), ("q", F.sum(col(c).cast("double") * col(c))))])
+    """(feature, f): one-way analysis of variance. Rows without a target are left out. The rows are read once for each
+    batch of features: a row of sums for each class, which are then turned into a row for each feature and class."""
     parts = []
-    for k, c in enumerate(names):
-        n, s, q = F.col(f"{k}n"), F.col(f"{k}s"), F.col(f"{k}q")
-        total = sums.where(n > 0).agg(
-            F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(q).alias("q"), F.sum(s * s / n).alias("b"), F.count(F.lit(1)).alias("c"))
-        between = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("c") - 1)
-        within = (F.col("q") - F.col("b")) / (F.col("n") - F.col("c"))
-        parts.append(total.select(F.lit(c).alias("feature"), F.try_divide(between, within).alias("f")))
-    return reduce(DataFrame.unionByName, parts)
+    for part in batches(names):
+        triples = [F.struct(F.lit(c).alias("feature"), F.count(col(c)).cast("double").alias("n"), F.sum(col(c).cast("double")).alias("s"),
+                            F.sum(col(c).cast("double") * col(c)).alias("q")).alias(str(k)) for k, c in enumerate(part)]
+        sums = df.where(col(target).isNotNull()).groupBy(col(target)).agg(*triples)
+        parts.append(sums.select(F.explode(F.array(*[F.col(str(k)) for k in range(len(part))])).alias("e")).select("e.*"))
+    total = reduce(DataFrame.unionByName, parts).where("n > 0").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count(F.lit(1)).alias("c"))
+    between = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("c") - 1)
+    within = (F.col("q") - F.col("b")) / (F.col("n") - F.col("c"))
+    return total.select("feature", F.try_divide(between, within).alias("f"))
 
 
 def anova_top(df: DataFrame, names: list[str], target: str, k: int = 20) -> DataFrame:

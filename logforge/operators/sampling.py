@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logforge.functions.ordered import hash_rank
+from logforge.functions.ordered import hash_rank, hashed
 from logforge.operators.missing import col
 
 
@@ -24,7 +24,7 @@ def stratified_sample(df: DataFrame, label: str, id_col: str, fraction: float, s
 
 def random_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, or all if there are fewer; the n smallest hashes, which Spark takes by partial top lists."""
-    return df.orderBy(F.xxhash64(col(id_col), F.lit(seed)), col(id_col)).limit(n)
+    return df.orderBy(hashed(seed, col(id_col)), col(id_col)).limit(n)
 
 
 def capped_sample(df: DataFrame, id_col: str, cap: int = 1000, seed: int = 42) -> DataFrame:

@@ -20,6 +20,13 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = Non
     return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
 
 
+def load_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame | None:
+    """read_raw_csv(), or None where nothing is at the path, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
+    return read_raw_csv(spark, path, columns) if there is not None and len(there) else None
+
+
 def write_features(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """The final feature table, by day where a partition column is given."""
     writer = df.write.mode("overwrite")

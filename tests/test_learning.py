@@ -1,11 +1,16 @@
 """The sweeps and searches of the registered queries cover what the survey names."""
 
 import inspect
+import json
 
 import numpy as np
+import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 
+from logforge.functions import lineage
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import anomaly, cluster, models
+from logforge.operators import anomaly, cluster, models, sampling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,6 +28,8 @@ def test_sweeps_are_whole(spark, monkeypatch):
     pipelines.cluster_all(plain)
     for name in ("kmeans_sweep", "gmm_bic", "ward_two_stage", "dbscan_sweep"):
         learn_queries.QUERIES[name](spark, DATA)
+    learn_queries.QUERIES["dbscan_clusters"](spark, DATA)
+    assert (seen["dbscan_sweep"].pop()["eps"]) == (0.3,)  # a single pair, whose labels SQL repeats
     assert all(len(calls) == 2 for calls in seen.values()) and len(seen) == 4
     assert all((a["ks"], a["restarts"]) == (range(2, 11), 10) for a in seen["kmeans_sweep"])
     assert all((a["ks"], a["restarts"], a["final"]) == (range(2, 9), 3, 5) for a in seen["gmm_sweep"])
@@ -50,27 +57,97 @@ def test_ward_merges_the_nearest():
 def test_searches_are_whole(spark, monkeypatch):
     seen = {}
 
-    def search(rows, estimator, combinations):
-        seen[type(estimator).__name__] = rows, list(combinations)
+    def search(rows, family, combinations):
+        seen[family if isinstance(family, str) else type(family).__name__] = rows, list(combinations)
         return None, spark.createDataFrame([("{}", 1.0)], "parameters string, f1 double")
 
     monkeypatch.setattr(models, "search", search)
-    assert {r.family for r in learn_queries.QUERIES["grid_search"](spark, DATA).collect()} == {"logistic", "tree", "forest", "boosting"}
+    monkeypatch.setattr(models, "search_own", search)
+    assert {r.family for r in learn_queries.QUERIES["grid_search"](spark, DATA).collect()} == {"logistic", "tree", "forest", "boosting", "svm", "neighbours"}
     assert {k: len(c) for k, (_, c) in seen.items()} == {
-        "LogisticRegression": 8, "DecisionTreeClassifier": 24, "RandomForestClassifier": 12, "GBTClassifier": 20}
+        "LogisticRegression": 8, "DecisionTreeClassifier": 24, "RandomForestClassifier": 12, "GBTClassifier": 20, "svm": 2, "neighbours": 4}
     rows, logistic = seen["LogisticRegression"]
     assert {r.fold for r in rows.select("fold").distinct().collect()} == set(range(5))
     n = rows.where("fold <> 0").count()
     assert sorted({c["regParam"] for c in logistic}) == sorted(1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0))
 
     calls = {}
-    monkeypatch.setattr(models, "cross_validate", lambda rows, *a: calls.setdefault("cv", rows))
+    monkeypatch.setattr(models, "cross_validate", lambda rows, all_: calls.setdefault("cv", (rows, all_))[0])
     monkeypatch.setattr(models, "learning_curve", lambda rows, e, shares: calls.setdefault("curve", (rows, shares))[0])
     folds = [learn_queries.QUERIES[q](spark, DATA).selectExpr("max(fold)").first()[0] for q in ("cv_report", "learning_curve")]
     assert folds == [4, 4] and len(calls["curve"][1]) == 8 and calls["curve"][1][0] == 0.1 and calls["curve"][1][-1] == 1.0
+    assert set(calls["cv"][1]) == set(models.families()) and len(models.families()) == 6
     assert models.estimators()["logistic"].getMaxIter() == 50
 
 
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(loc=3.0 * (i % 3 == 0), size=3)], int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int")
+    return df.select("id", array_to_vector("x").alias("features"), "label")
+
+
+def test_own_families(spark, blobs):
+    """Searches of the families that Spark ML lacks: every combination over every fold, against plain numpy votes."""
+    folds = lineage.materialise(sampling.folds(blobs, "label", "id"))
+    model, table = models.search_own(folds, "neighbours", models.grids(100)["neighbours"])
+    got = {tuple(sorted(json.loads(r.parameters).items())): r.f1 for r in table.collect()}
+    rows = folds.select("id", vector_to_array("features").alias("x"), "label", "fold").orderBy("id").toPandas()
+    x, y, fold = np.stack(rows.x), rows.label.to_numpy(), rows.fold.to_numpy()
+    for k in (5, 11):
+        for weighted in (False, True):
+            f1 = []
+            for f in range(5):
+                t = fold != f
+                mean, std = x[t].mean(axis=0), x[t].std(axis=0, ddof=1)
+                a, b = (x[~t] - mean) / std, (x[t] - mean) / std
+                d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                w = 1 / np.take_along_axis(d, near, axis=1) if weighted else np.ones_like(near, dtype=float)
+                p = (w * y[t][near]).sum(axis=1) > w.sum(axis=1) / 2
+                tp = (p & (y[~t] == 1)).sum()
+                f1.append(2 * tp / (p.sum() + (y[~t] == 1).sum()))
+            assert abs(got[("by_distance", weighted), ("k", k)] - np.mean(f1)) < 1e-5
+    assert set(models.tuned(table.selectExpr("'neighbours' as family", "parameters", "f1"))) == {"neighbours"}
+    _, table = models.search_own(folds, "svm", models.grids(100)["svm"])
+    assert all(r.f1 > 0.85 for r in table.collect())
+
+
+def test_kernel_svm_fits_on_training_rows(spark, blobs):
+    train = blobs.where("id % 5 <> 0")
+    model = models.KernelSvm().fit(train)
+    rows = np.stack([r[0] for r in train.select(vector_to_array("features")).collect()])
+    scaled = (rows - rows.mean(axis=0)) / rows.std(axis=0, ddof=1)
+    assert abs(model.gamma - 1 / (3 * scaled.var())) < 1e-9
+    out = model.scores(blobs.where("id % 5 = 0")).collect()
+    assert sum(r.predicted == r.label for r in out) >= 27
+
+
+def test_measures_by_model(spark):
+    rng = np.random.default_rng(9)
+    rows = [(m, int(rng.integers(2)), float(round(rng.random(), 1))) for m in "abc" for _ in range(40)]
+    df = spark.createDataFrame(rows, "model string, label int, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    got = {r.model: r for r in models.measures_by(df, ["model"]).collect()}
+    for m in "abc":
+        own = [(y, s) for n, y, s in rows if n == m]
+        pos, neg = [s for y, s in own if y], [s for y, s in own if not y]
+        auc = np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg])
+        tp, fp = sum(s >= 0.5 for s in pos), sum(s >= 0.5 for s in neg)
+        assert abs(got[m].roc_auc - auc) < 1e-9 and abs(got[m].f1 - 2 * tp / (tp + fp + len(pos))) < 1e-6
+        assert models.measures(df.where(F.col("model") == m)) == pytest.approx({k: got[m][k] for k in models.MEASURES})
+
+
+def test_dbscan_of_many_clusters(spark):
+    """Hundreds and thousands of clusters are found, counted and judged like few."""
+    for n, eps in ((300, 0.5), (12_000, 0.5)):
+        rows = spark.range(3 * n).selectExpr("id", "array(double(id div 3) * 4 + double(id % 3) * 0.1, 0.0D) as x")
+        table, labels = cluster.dbscan_sweep(rows.withColumn("x", F.expr("array(x[0] % 400, double(int(x[0] / 400)) * 4)")), (eps,), (3,))
+        r = table.first()
+        assert (r.n_clusters, r.noise) == (n, 0) and 0.99 < r.silhouette <= 1
+        assert labels.where("cluster <> id - id % 3").count() == 0
+
+
 def test_trees_draw_from_the_whole_table(spark):
     dealt = anomaly._deal(spark.range(30_000).selectExpr("id", "array(double(id)) as x"), 30_000, 250, 42)
     ids, rows = dealt.selectExpr("count(distinct id)", "count(*)").first()
