@@ -9,20 +9,21 @@ verified by an alignment that stays in the band.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.llm.common import once, read_table
+from logforge.llm.common import materialise, once, read_table
 
 #: Length of the q-grams, and edits as a share of an item's characters.
 Q, EDIT_SHARE = 8, 0.08
-#: Bytes of items that are sought in one pass; larger benchmarks are taken in as many passes as they need.
+#: Bytes of items that the driver and a worker hold, and that are sought in one pass; larger benchmarks are taken in as
+#: many passes, one after another, as they need.
 PASS_BYTES = 4 << 20
 _HITS = 1 << 20  # pairs of equal q-grams that are held at once
-_FOUND = "array<struct<item_id long, edits int, start int, end int>>"
 
 
 def normalise(text: str | None) -> str:
@@ -69,7 +70,7 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, anywhere: boo
 class Searcher:
     """Finds the items of one pass in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, share: float):
+    def __init__(self, items: list[tuple], q: int, share: float):
         self.q = q
         self.items = [(i, normalise(t)) for i, t in items]
         self.short = [(i, t) for i, t in self.items if t and len(t) < q]  # shorter than a q-gram: found as they are
@@ -132,10 +133,10 @@ class Searcher:
         good = total >= self.bound[item]
         return [(int(k >> 40), int((k & ((1 << 40) - 1)) - (1 << 39))) for k in keys[good]]
 
-    def __call__(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def __call__(self, text: str | None) -> list[tuple]:
         """(item_id, edits, start, end) of each item found, at its best place; places in the normalised text."""
         plain = normalise(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict = {}
         for i, t in self.short:
             if (at := plain.find(t)) >= 0:
                 best[i] = (0, at, at + len(t))
@@ -163,30 +164,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     benchmark item that stands in the text, lower-cased and with runs of white space as one space, with edits of at most
     `share` of its characters; start and end are character places in that form of the text.
 
-    Null and empty texts have no leaks; items of null or empty text, or with a null id, are never found. Of several
-    places of an item the one of fewest edits is given, of those the first found. Items that repeat an id count as one.
-    Rows are taken each by itself, whole, so repeated rows and null ids need no care; empty tables give empty results.
+    Null and empty texts have no leaks; items of null or empty text, or with a null id, are never found. Item ids are
+    numbers or strings. Of several places of an item the one of fewest edits is given, of those the first found. Items
+    that repeat an id count as one. Rows are taken each by itself, whole, so repeated rows and null ids need no care;
+    empty tables give empty results. A benchmark of over PASS_BYTES is sought slice by slice: the texts are written
+    once with a row number, each slice's finds are written before the next slice is read, and its searcher is dropped.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    kind = dict(benchmark.dtypes)[item_col]
+    schema = f"array<struct<item_id: {kind}, edits: int, start: int, end: int>>"
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     passes = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PASS_BYTES))
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col])
-    out = base.withColumn(out_col, F.array().cast(_FOUND))
+    if passes == 1:
+        return base.withColumn(out_col, _finder(items, schema, q, share)(F.col(text_col)))
+    base = materialise(base.withColumn("__lf_row", F.monotonically_increasing_id()))
+    finds = []
     for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").collect()  # about PASS_BYTES
-        rows = [(r.i, r.t) for r in rows]
-        key = ("leaks", hashlib.sha256(repr(rows).encode()).hexdigest(), q, share)
-        held = spark.sparkContext.broadcast(rows)
-        out = out.withColumn(out_col, F.concat(out_col, _finder(held, key, q, share)(F.col(text_col))))
-    return out
-
-
-def _finder(held, key, q: int, share: float):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
+        found = base.select("__lf_row", _finder(part, schema, q, share)(F.col(text_col)).alias("f")).where(F.size("f") > 0)
+        finds.append(materialise(found))
+    leaks = reduce(DataFrame.unionByName, finds).groupBy("__lf_row").agg(F.array_sort(F.flatten(F.collect_list("f"))).alias("f"))
+    # texts of one item id may have stood in different slices
+    best = F.filter("f", lambda x, k: (k == 0) | (F.get("f", k - 1)["item_id"] != x["item_id"]))
+    leaks = leaks.select("__lf_row", best.alias(out_col))
+    none = F.array().cast(schema)
+    return base.join(leaks, "__lf_row", "left").withColumn(out_col, F.coalesce(out_col, none)).drop("__lf_row")
+
+
+def _finder(items: DataFrame, schema: str, q: int, share: float):
+    """A function of texts that gives the items found. items (i, t) are collected: they are one slice of a benchmark."""
+    rows = [(r.i, r.t) for r in items.orderBy("i", "t").collect()]  # about PASS_BYTES
+    key = ("leaks", hashlib.sha256(repr(rows).encode()).hexdigest(), q, share)
+    held = items.sparkSession.sparkContext.broadcast(rows)
     names = ("item_id", "edits", "start", "end")
 
-    @F.pandas_udf(_FOUND)
+    @F.pandas_udf(schema)
     def found(texts: pd.Series) -> pd.Series:
-        search = once(key, lambda: Searcher(held.value, q, share))
+        search = once(key, lambda: Searcher(held.value, q, share), alone=True)
         return pd.Series([[dict(zip(names, row)) for row in search(t)] for t in texts], dtype=object)
 
     return found
