@@ -2,12 +2,14 @@
 
 A notice of k allowed edits is cut into k + 1 pieces; a text within k edits of it holds at least one piece unchanged
 (the pigeonhole principle). An Aho-Corasick automaton finds the pieces; around each, the regex library's bounded-error
-matching verifies the edits and reports the span.
+matching verifies the edits and reports the span. A match begins and ends with a word of the text, and the words that
+tell one licence from another must stand as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import ahocorasick
 import pandas as pd
@@ -19,20 +21,27 @@ from logforge.llm.common import once, read_table
 
 #: Phrase and label of the base; every place of the phrase's words counts.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Short notice (words in lower case), label and allowed edits.
+#: Short notice (words in lower case), label and allowed edits. Words in brackets allow none: they tell licences apart.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 4),
-    ("released under the mit license", "mit", 2),
-    ("licensed under the apache license version 2 0", "apache", 3),
-    ("licensed under the gnu general public license", "gpl", 3),
-    ("under the terms of the gnu general public license", "gpl", 3),
-    ("licensed under cc by nc 4 0", "cc-by-nc", 1),
-    ("licensed under cc by 4 0", "cc-by", 0),
-    ("licensed under cc by sa 4 0", "cc-by-sa", 1),
+    ("released under the [mit] license", "mit", 2),
+    ("licensed under the [apache] license version 2 0", "apache", 3),
+    ("licensed under the gnu [general public] license", "gpl", 3),
+    ("under the terms of the gnu [general public] license", "gpl", 3),
+    ("licensed under the gnu [lesser general public] license", "lgpl", 3),
+    ("under the terms of the gnu [lesser general public] license", "lgpl", 3),
+    ("licensed under the gnu [affero general public] license", "agpl", 3),
+    ("under the terms of the gnu [affero general public] license", "agpl", 3),
+    ("licensed under [cc by] 4 0", "cc-by", 1),
+    ("licensed under [cc by sa] 4 0", "cc-by-sa", 1),
+    ("licensed under [cc by nd] 4 0", "cc-by-nd", 1),
+    ("licensed under [cc by nc] 4 0", "cc-by-nc", 1),
+    ("licensed under [cc by nc sa] 4 0", "cc-by-nc-sa", 1),
+    ("licensed under [cc by nc nd] 4 0", "cc-by-nc-nd", 1),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 4),
-    ("subject to the terms of the mozilla public license", "mpl", 3),
-    ("this is free and unencumbered software released into the public domain", "unlicense", 4),
-    ("all rights reserved", "all-rights-reserved", 1),
+    ("subject to the terms of the [mozilla] public license", "mpl", 3),
+    ("this is free and unencumbered software released into the [public domain]", "unlicense", 4),
+    ("[all] rights reserved", "all-rights-reserved", 1),
 )
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -42,11 +51,31 @@ SCHEMA = (
 )
 
 
+def _parts(notice: str) -> list[tuple[str, bool]]:
+    """The notice's parts that may have errors (False) and those that may not (True), which have the spaces beside them."""
+    cut = [(p, k % 2 == 1) for k, p in enumerate(regex.split(r"( ?\[[^]]*\] ?)", notice))]
+    return [(p.replace("[", "").replace("]", ""), fixed) for p, fixed in cut if p]
+
+
+def _shares(edits: int, n: int) -> list[tuple[int, ...]]:
+    """The ways to deal all of the edits to n parts."""
+    return [c for c in product(range(edits + 1), repeat=n) if sum(c) == edits]
+
+
+def pattern(notice: str, edits: int) -> str:
+    """A regular expression for the notice, from word to word, with at most so many edits in the parts that may have them."""
+    parts, ways = _parts(notice), []
+    for share in _shares(edits, sum(not fixed for _, fixed in parts)):
+        left = iter(share)
+        ways.append("".join(regex.escape(p, literal_spaces=True) if fixed else f"(?:{regex.escape(p, literal_spaces=True)}){{e<={next(left)}}}" for p, fixed in parts))
+    return f"(?b)(?<![^ ])(?:{'|'.join(ways)})(?![^ ])"
+
+
 class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str, int]]):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.last = [p.split()[-1].encode() for p, _ in phrases]
-        self.notices = [(text, label, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")) for text, label, edits in notices]
+        self.notices = [("".join(p for p, _ in _parts(n)), label, edits, regex.compile(pattern(n, edits))) for n, label, edits in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, (text, _, edits, _) in enumerate(self.notices):
             cuts = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
