@@ -48,7 +48,7 @@ def read_categories(text: str) -> dict[str, dict[str, int]]:
 CATEGORIES: Mapping[str, Mapping[str, int]] = read_categories(files(__package__).joinpath("vocabulary/toxicity.tsv").read_text("utf-8"))
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 100_000
 
 
 def terms(text: str | None) -> set[str]:
