@@ -79,6 +79,7 @@ class Model:
         self.w = rng.normal(size=(len(mean), features)) / np.sqrt(len(mean))
         self.phase = rng.uniform(0, 2 * np.pi, features)
         self.weights = np.zeros(features + len(mean) + 1)
+        self.left_out: list[np.ndarray] = []  # weights of all folds but one
         self.knots = np.array([0.0]), np.array([0.5])
 
     def map(self, stats: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ def fit(train: DataFrame, features: int = FEATURES, folds: int = FOLDS, ridge: f
 
     whole = total.sum(axis=0)
     model.weights = solve(whole)
-    left_out = [solve(whole - part) for part in total]
+    left_out = model.left_out = [solve(whole - part) for part in total]
 
     def held_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,9 +168,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     and predicted (1 if the score is at least `threshold`).
 
     The model is fitted on labelled rows that are not held out, at most about `max_train` of them, chosen by a hash of
-    the id; scores depend on nothing but the text. Null labels and ids are not learned from; a label that repeats an id
-    counts as often as it stands there. Null and empty texts have statistics zero and a score as any other. Without
-    labels every score is 0.5; an empty table gives an empty table.
+    the id; scores depend on nothing but the text, which is taken whole, however long. Null labels and ids are not learned
+    from; a label that repeats an id counts as often as it stands there, and all rows of an id are of one fold. Null and
+    empty texts have statistics zero and a score as any other; repeated rows are scored each by itself, and equal texts
+    alike. Without labels every score is 0.5; an empty table gives an empty table. Other columns of docs are not read.
     """
     scored = materialise(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "stats"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").where(~held_out_ids("id"))

@@ -97,6 +97,33 @@ def test_large_buckets_in_blocks(spark):
     assert got == want
 
 
+def test_simhash_of_odd_tables(spark):
+    """An empty table, a very long text, and a large group of copies whose rows are dealt over tasks."""
+    rng = random.Random(16)
+    long = " ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(300_000))
+    rows = [(1, long), (2, long), (3, None), (4, "")] + [(10 + i, "the same short text again") for i in range(500)] + [(None, "the same short text again")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id is None or r.doc_id >= 10} == {10}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert int(next(r.fingerprint for r in got if r.doc_id == 1), 16) == _fingerprint(long)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df.where("doc_id < 20")).collect()) == [1, 3, 10]
+
+
+def test_hot_keys_are_spread(spark):
+    """A hub of a graph, and a join in which one key has most rows."""
+    edges = spark.range(5000).selectExpr("0L as a", "id + 1 as b").union(spark.range(300).selectExpr("10000 + id as a", "10001 + id as b"))
+    got = common.connected_components(edges)
+    assert got.groupBy("component").count().orderBy("component").collect() == [(0, 5001), (10000, 301)]
+    rows = spark.range(4000).selectExpr("id", "if(id < 3000, 7, id) as k", "if(id % 50 = 0, null, 'x') as other")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(counts, ["k"], 4000)
+    assert [tuple(r) for r in hot.collect()] == [(7, 47)]
+    out = common.spread_join(rows, counts, ["k"], hot, ["id"], "left")
+    assert out.count() == 4000 and out.where("n <> if(k = 7, 3000, 1)").count() == 0 and set(out.columns) == {"id", "k", "other", "n"}
+
+
 def test_drop_near_duplicates_keeps_one(spark):
     rows = [(1, "a b c d e f", "m"), (2, "a b c d e f", "n"), (3, "something else that is long enough", "o"), (2, "a b c d e f", "n"), (3, "something else that is long enough", "o"), (None, "a b c d e f", "p")]
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
@@ -130,6 +157,13 @@ def test_embedding_links(spark):
     for i in range(len(rows)):
         assert got[i].n_links == sum(i in e for e in links), i
         assert got[i].component_id == want[i] and got[i].kept == (want[i] == i)
+    whole = {r.vec_id: r for r in embedding_dedup.near_duplicates(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()}
+    assert whole == got
+    # repeated ids: one node of the components, while each row counts its own vector's links
+    twice = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.0, 2.0, 0.1], 0), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1), (None, [1.0, 0.0, 0.0], 0)]
+    rows = embedding_dedup.near_duplicates(spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rows) == [
+        (0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
     assert embedding_dedup.near_duplicates(df.where("embedding is null")).count() == 1
 
@@ -152,6 +186,35 @@ def test_line_dedup_is_sql(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_blank_lines(spark):
+    """Blank lines of documents that end lines with a carriage return, as of others, stay: the same lines go from both."""
+    rng = random.Random(21)
+    lines = ["".join(rng.choice("abcdef") for _ in range(12)) for _ in range(40)]
+    plain = [(i, "\n".join(x for _ in range(12) for x in (rng.choice(lines), "", " "))) for i in range(12)]
+    for end in ("\r", "\t", " ", "\x0b", ""):
+        docs = [(i, t.replace("\n", end + "\n")) for i, t in plain]
+        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_removed").toPandas()
+        documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
+        pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), duckdb.sql(line_dedup.op6_sql()).df().sort_values("doc_id", ignore_index=True), check_dtype=False)
+    heads = [(i, f"head {i}\r\n\r\n\r\n\r\ntail {i}\r") for i in range(6)]
+    for runs in (False, True):
+        got = line_dedup.dedup_lines(spark.createDataFrame(heads, "doc_id long, text string"), runs=runs)
+        assert {r.doc_id: r.text for r in got.collect()} == dict(heads)
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With a hash on which most chunks collide, the result is the same."""
+    rng = random.Random(22)
+    words = [f"{c}{k}" for c in "ab" for k in range(10, 13)]
+    docs = [(i, "\n".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(60)] + [(60, "long\n" * 20_000), (61, "long\n" * 20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {runs: sorted(map(tuple, line_dedup.dedup_lines(df, runs=runs).collect())) for runs in (False, True)}
+    assert sum(r[3] for r in want[False]) > 0
+    monkeypatch.setattr(line_dedup, "_hash", lambda text: F.length(text) % 2)
+    for runs in (False, True):
+        assert sorted(map(tuple, line_dedup.dedup_lines(df, runs=runs).collect())) == want[runs]
+
+
 def test_line_dedup_takes_whole_runs(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
@@ -197,6 +260,108 @@ def test_quality_scores_hold_out(spark):
     assert quality.score_quality(df.limit(0), lab).count() == 0
 
 
+def test_quality_is_ridge(spark):
+    """Summed normal equations, and those that leave a fold out, against direct solutions; the cosines against the kernel."""
+    rng = np.random.default_rng(13)
+    n = len(quality.STATISTICS)
+    stats = rng.normal(size=(300, n)) * rng.uniform(0.1, 5, n) + rng.normal(size=n)
+    y = (stats[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in x], int(t)) for i, (x, t) in enumerate(zip(stats, y))], "id long, stats array<double>, y int").repartition(5)
+    model = quality.fit(df)
+    fold = {r.id: r.f for r in df.select("id", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(quality.FOLDS)).alias("f")).collect()}
+    fold = np.array([fold[i] for i in range(300)])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.scale, stats.std(axis=0))
+    z = model.map(stats)
+
+    def ridge(use):
+        # the penalty as rows of their own
+        penalty = np.sqrt(np.r_[1e-9, np.full(z.shape[1] - 1, quality.RIDGE * use.sum())])
+        return np.linalg.lstsq(np.vstack([z[use], np.diag(penalty)]), np.r_[y[use], np.zeros(z.shape[1])], rcond=None)[0]
+
+    assert np.allclose(z @ model.weights, z @ ridge(np.ones(300, bool)), atol=1e-5)
+    for k, weights in enumerate(model.left_out):
+        assert np.allclose(z @ weights, z @ ridge(fold != k), atol=1e-5)
+    raw = np.array([z[i] @ model.left_out[fold[i]] for i in range(300)])
+    bins = np.floor(np.clip(raw, -1, 2) * quality.BINS)
+    means = [(raw[bins == b].mean(), y[bins == b].mean(), (bins == b).sum()) for b in np.unique(bins)]
+    steps = quality.isotonic(np.array([m[1] for m in means]), np.array([m[2] for m in means], dtype=float))
+    assert np.allclose(model.score(stats), np.clip(np.interp(z @ model.weights, [m[0] for m in means], steps), 0, 1), atol=1e-6)
+
+    wide = quality.Model(np.zeros(n), np.ones(n), 20_000)
+    x = rng.normal(size=(20, n))
+    waves = wide.map(x)[:, n + 1 :]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * n))
+    assert np.abs(waves @ waves.T - kernel).max() < 0.05
+
+
+def test_learned_scores_of_odd_tables(spark):
+    """Very long texts, repeated rows and columns of the results' names, for both learned scores."""
+    long = "stupid words and more words " * 40_000
+    rows = [(i, f"some words of text number {i} idiot" if i % 3 == 0 else f"some words of text number {i}", "x") for i in range(60)] + [(70, long, "x"), (70, long, "x"), (71, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumns({"toxicity": F.lit(1), "held_out": F.lit("y"), "stats": F.lit(2), "y": F.lit(3)})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0), "z") for i in range(60)] * 2, "doc_id long, toxic int, quality int, text string")
+    scored = quality.score_quality(docs, labels).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored if r.doc_id == 70}) == 1
+    got = toxicity.score_toxicity(docs, toxicity.fit_chain(docs, labels))
+    assert got.columns == [*[c for c in docs.columns if c != "toxicity"], "toxicity"] or set(got.columns) == set(docs.columns)
+    rows_ = got.collect()
+    assert len(rows_) == len(rows) and len({tuple(r.toxicity) for r in rows_ if r.doc_id == 70}) == 1
+    assert all((r.toxicity.toxic >= toxicity.THRESHOLD) == (r.doc_id % 3 == 0) for r in rows_ if r.doc_id < 60)
+
+
+def test_toxicity_terms_are_those_of_brute_force(spark):
+    rng = random.Random(14)
+    words = ["apple", "applesauce", "bad", "badly", "house", "houses", "stone"]
+    rows = [(i, int(i % 4 == 0), sorted(toxicity.terms(" ".join(rng.choice(words) for _ in range(3)) + (" badly" if i % 4 == 0 and i % 8 else "")))) for i in range(120)]
+    got = toxicity.choose_terms(spark.createDataFrame(rows, "id long, y int, terms array<string>"), 10)
+    pos, neg = sum(y for _, y, _ in rows), sum(1 - y for _, y, _ in rows)
+    want = {}
+    for t in {t for *_, own in rows for t in own}:
+        table = [[sum(t in own for _, y, own in rows if y == v) for v in (1, 0)]]
+        table.append([pos - table[0][0], neg - table[0][1]])
+        gain = sum(x * math.log(x * (pos + neg) / (sum(line) * of)) for line in table for x, of in zip(line, (pos, neg)) if x)
+        if sum(table[0]) >= 3 and gain >= toxicity.LEAST_GAIN:
+            want[t] = gain
+    want = dict(sorted(want.items(), key=lambda e: (-round(e[1], 6), e[0]))[:10])
+    assert list(got) == list(want) and all(abs(got[t] - want[t]) < 1e-5 for t in want) and "badly" in got
+
+
+def test_toxicity_chain_is_that_of_a_dense_twin():
+    """Later models of the chain see predictions of models that did not see the row: against plain dense numpy."""
+    rng = np.random.default_rng(15)
+    n, width, folds = 90, 12, 3
+    x = rng.random((n, width)) < 0.3
+    labels = np.stack([x[:, 0], x[:, 1] | x[:, 0], x[:, 0] | x[:, 2]], axis=1).astype(int)
+    labels[::7] ^= 1
+    fold = np.arange(n) % folds
+    gains = {f"t{k}": float(30 - k) for k in range(width)}
+    chain = toxicity.Chain(["a", "b", "toxic"], gains).fit(toxicity._Rows([np.flatnonzero(r) for r in x], width), labels, fold, folds)
+
+    z = x / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+    decay = toxicity.DECAY * np.minimum(10, toxicity.SURE_GAIN / np.array(list(gains.values())))
+
+    def fitted(dense, y, use):
+        m, w = np.hstack([z, dense, np.ones((n, 1))]), use / use.sum()
+        share = (y * w).sum()
+        params = np.r_[np.zeros(width + dense.shape[1]), np.log(share / (1 - share))]
+        first, second = np.zeros_like(params), np.zeros_like(params)
+        for t in range(1, 201):
+            grad = m.T @ ((1 / (1 + np.exp(-(m @ params))) - y) * w)
+            grad[:-1] += np.r_[decay, np.full(dense.shape[1], toxicity.DECAY)] * params[:-1]
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+            params = params - 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        return np.where(x.any(axis=1), 1 / (1 + np.exp(-(m @ params))), share), params
+
+    dense = np.zeros((n, 0))
+    for k, model in enumerate(chain.models):
+        _, params = fitted(dense, labels[:, k], np.ones(n))
+        assert np.allclose(np.r_[model.weights, model.extra, model.bias], params, atol=1e-6)
+        own = np.zeros(n)
+        for f in range(folds):
+            own[fold == f] = fitted(dense, labels[:, k], (fold != f).astype(float))[0][fold == f]
+        dense = np.hstack([dense, own[:, None]])
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(9)
     plain = ["river", "house", "walk", "green", "table", "window", "seven", "paper"]
