@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,31 +64,52 @@ def _bucket() -> Column:
     return F.size(F.filter("edges", lambda e: e <= F.col("x")))
 
 
-def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], buckets: int = 128) -> dict[str, list[float] | None]:
+#: What percentile_approx may be off by, as a share of the rows, is one in so many.
+ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list[float] | None]:
     """The quantiles of each column, as F.percentile gives them: interpolated between neighbours. None without values.
 
-    Distinct values are counted and ranked in parallel; only the values at the wanted ranks are collected."""
-    names = list(columns)
+    Approximate quantiles bracket each wanted rank; the values below a bracket are only counted, so just the few rows
+    inside the brackets are shuffled, and ranked in ranges. A bracket that missed its rank is opened to all values.
+    df is read three times."""
+    names, values = list(columns), [c.cast("double") for c in columns.values()]
     if not names:
         return {}
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), columns[c].cast("double").alias("x")) for k, c in enumerate(names)])
-    counted = materialise(df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")))
-    fitted = counted.groupBy("k").agg(F.sum("n").alias("rows"), _edges(buckets)).collect()  # a row for each column
-    if not fitted:
+    # each rank lies between two approximate quantiles that are a few errors apart
+    marks = [v for s in shares for v in (max(0.0, s - 3 / accuracy), min(1.0, s + 3 / accuracy))]
+    rough = df.agg(*[F.struct(F.count(x), F.percentile_approx(x, marks, accuracy)).alias(str(k)) for k, x in enumerate(values)]).first()
+    rows = [rough[k][0] for k in range(len(names))]
+    places = {(k, j): (rows[k] - 1) * s for k in range(len(names)) if rows[k] for j, s in enumerate(shares)}
+    if not places:
         return dict.fromkeys(names)
-    where = {r.k: [((r.rows - 1) * s, math.floor((r.rows - 1) * s), math.ceil((r.rows - 1) * s)) for s in shares] for r in fitted}
-    small = df.sparkSession.createDataFrame(
-        [(r.k, r.edges, sorted({p for _, *both in where[r.k] for p in both})) for r in fitted], "k int, edges array<double>, at array<long>")
-    met = counted.join(F.broadcast(small), "k").select("k", "x", "n", "at", _bucket().alias("b"))  # a row for each column
-    ranked = running_totals(met, F.col("b"), [F.col("x")], {"upto": F.col("n")}, ["k"])
+    brackets = {(k, j): (rough[k][1][2 * j], rough[k][1][2 * j + 1]) for k, j in places}
+    counts = df.agg(*[F.struct(F.count_if(values[k] < low), F.count_if(values[k] <= high)).alias(f"{k}_{j}") for (k, j), (low, high) in brackets.items()]).first()
+    below = {}
+    for (k, j), place in places.items():
+        under, upto = counts[f"{k}_{j}"]
+        if not under <= math.floor(place) <= math.ceil(place) < upto:
+            brackets[k, j], under = None, 0
+        below[k, j] = under
+    inside = {key: values[key[0]].isNotNull() if b is None else values[key[0]].between(*b) for key, b in brackets.items()}
+    some = [F.when(c, F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), values[k].alias("x"))) for (k, j), c in inside.items()]
+    near = df.where(reduce(lambda a, b: a | b, inside.values())).select(F.explode(F.array_compact(F.array(*some))).alias("p")).select("p.*")
+    near = in_ranges(near.groupBy("k", "j", "x").agg(F.count(F.lit(1)).alias("n")), F.col("x"))
+    ranked = running_totals(near, F.col("range"), [F.col("x")], {"upto": F.col("n")}, ["k", "j"])
+    wanted = [(k, j, sorted({math.floor(p) - below[k, j], math.ceil(p) - below[k, j]})) for (k, j), p in places.items()]
+    small = df.sparkSession.createDataFrame(wanted, "k int, j int, at array<long>")
     own = F.filter("at", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
-    at = {(r.k, r.p): r.x for r in ranked.select("k", "x", F.explode(own).alias("p")).collect()}  # two for each share and column
+    met = ranked.join(F.broadcast(small), ["k", "j"])  # a row for each column and share
+    at = {(r.k, r.j, r.p): r.x for r in met.select("k", "j", "x", F.explode(own).alias("p")).collect()}  # two for each
 
-    def value(k: int, place: float, low: int, high: int) -> float:
-        a, b = at[k, low], at[k, high]
+    def value(k: int, j: int) -> float:
+        place = places[k, j]
+        low, high = math.floor(place), math.ceil(place)
+        a, b = at[k, j, low - below[k, j]], at[k, j, high - below[k, j]]
         return a if low == high or a == b else (high - place) * a + (place - low) * b
 
-    return {c: [value(k, *w) for w in where[k]] if k in where else None for k, c in enumerate(names)}
+    return {c: [value(k, j) for j in range(len(shares))] if rows[k] else None for k, c in enumerate(names)}
 
 
 def grouped_medians(df: DataFrame, buckets: int = 128) -> DataFrame:

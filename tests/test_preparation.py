@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logforge.functions.ordered import hash_rank, running_totals
+from logforge.jobs import pipelines
 from logforge.operators import aggregates, encode, features, missing, quality, sampling, scale, typing_rules
 from logforge.sources import tables
 
@@ -154,3 +155,50 @@ def test_csv_keeps_quotes_and_line_ends(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'say "hi"\nthere'), (None, "x")], "a string, b string")
     tables.write_csv(df, str(tmp_path / "t"))
     assert {tuple(r) for r in tables.read_raw_csv(spark, str(tmp_path / "t")).collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_missing_file_is_none(spark, tmp_path):
+    assert tables.load_raw_csv(spark, f"{tmp_path}/none.csv") is None and pipelines.read_log(spark, f"{tmp_path}/none.csv") is None
+    (tmp_path / "some.csv").write_text('a.b,A B\n1,"x ""y"""\n')
+    assert tables.load_raw_csv(spark, f"{tmp_path}/some.csv").collect() == [("1", 'x "y"')]
+    with pytest.raises(ValueError, match="a_b"):
+        pipelines.read_log(spark, f"{tmp_path}/some.csv")
+
+
+def test_load_prepared(spark):
+    rows = [(1, "b", "p", 2.0, 0.5, 1), (2, "a", None, None, 0.5, 0), (3, "b", "q", 4.0, 0.5, None), (4, None, "q", 6.0, 0.1, 1)]
+    df = spark.createDataFrame(rows, "id long, kind string, name string, x double, actor_bot_ratio double, label int")
+    out, names = pipelines.load_prepared(df, "label", "id")
+    assert names == ["x", "kind_code", "name_code"]
+    got = {r.id: (r.features.toArray().tolist(), r.label) for r in out.collect()}
+    # codes are ranks of sorted values; gaps get the median of the labelled rows
+    assert got == {1: ([2.0, 1.0, 0.0], 1), 2: ([4.0, 0.0, 0.5], 0), 4: ([6.0, 0.5, 1.0], 1)}
+
+
+def test_prepare_workload(spark, tmp_path):
+    """From a raw CSV file to a table without nulls, doubles and unlabelled rows, and its reports."""
+    lines = ["Event ID,ts,actor,action,value,sparse,label"]
+    for i in range(240):
+        ts = "soon" if i == 5 else f"2024-01-{1 + i % 28:02d} {i % 24:02d}:00:00"
+        value = "" if i % 9 == 0 else "900" if i == 7 else str(20 + i % 13)
+        lines.append(f"{i},{ts},{'' if i % 11 == 0 else 'u' + str(i % 6)},{'rare' if i == 3 else 'ab'[i % 2]},{value},{i if i % 4 == 0 else ''},{'' if i % 17 == 0 else int(i % 5 == 0)}")
+    lines += lines[11:14]  # repeated rows
+    path = tmp_path / "log.csv"
+    path.write_text("\n".join(lines) + "\n")
+    rules = typing_rules.TypingRules(datetimes=("ts",), identifiers=("Event ID", "actor"), categories=("action",), booleans=("value", "sparse", "label"))
+    log = pipelines.read_log(spark, str(path), rules)
+    done = pipelines.prepare(log, pipelines.LogColumns("event_id", "ts", "actor", "action", "label"))
+    rows = done.table.toPandas()
+    labelled = [i for i in range(240) if i % 17]
+    counts = {v: sum(int(i % 5 == 0) == v for i in labelled) for v in (0, 1)}
+    assert len(rows) == sum(round(0.8 * n) for n in counts.values()) and rows.event_id.is_unique
+    assert "sparse" not in rows.columns and {"action_code", "value", "event_hour", "actor_event_count", "is_outlier", "label"} <= set(rows.columns)
+    reports = {n: df.collect() for n, df in done.reports.items()}
+    assert set(reports) == {"quality", "duplicates", "actors", "actions", "hours", "summary", "correlation", "classes", "severity", "outliers", "nulls"}
+    assert reports["duplicates"][0].duplicate_rows == sum(i % 17 != 0 for i in (10, 11, 12))
+    assert sum(r.n for r in reports["severity"]) == len(rows)
+    assert {r["column"] for r in reports["nulls"]} <= {"event_hour", "event_dayofweek", "event_month", "event_year", "is_weekend"}
+    classes = {r.label: r.asDict() for r in reports["classes"]}
+    assert classes[1]["smote"] == classes[0]["smote"] == classes[0]["original"] > classes[1]["original"]
+    if 7 in set(rows.event_id.astype(int)):
+        assert rows.set_index(rows.event_id.astype(int)).loc[7, "is_outlier"] == 1
