@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logforge.functions.ordered import QUARTILES, exact_quantiles, grouped_medians
@@ -83,12 +83,19 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) for every pair a < b in the order of names: Pearson's r over rows that have both, in one pass."""
+    """(a, b, r) for every pair a < b in the order of names: Pearson's r over rows that have both, in one pass; null where
+    a column doesn't vary."""
+
+    def pearson(a: str, b: str) -> Column:
+        x, y = col(a).cast("double"), col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
     pairs = [(a, b) for a, b in combinations(names, 2)]
     parts = []
     for k in range(0, len(pairs), 100):
         part = pairs[k : k + 100]
-        wide = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(part)])
+        wide = df.agg(*[pearson(a, b).alias(str(i)) for i, (a, b) in enumerate(part)])
         rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(part)])
         parts.append(wide.select(F.explode(rows).alias("p")).select("p.*"))
     return reduce(DataFrame.unionByName, parts)
