@@ -11,21 +11,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logforge.llm.common import once, read_table
 
 #: Pre-tokens that a worker remembers at most, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 40
+REMEMBERED, REMEMBERED_CHARS = 250_000, 40
 #: Pairs of tokens whose compatibility a worker remembers at most.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
+#: Texts whose ids a worker holds at once.
+AT_ONCE = 256
 
 
 def read_ranks(lines: bytes) -> dict[bytes, int]:
@@ -175,56 +179,63 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text))) if text else b""
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """docs with columns ids (array of int) and decoded (binary): what the ids decode to. They replace columns of
-    those names. A null or empty text has no ids. Rows are taken each by itself, whole, so repeated rows, null ids
-    and an empty table need no care."""
-    return _encoded(docs, path, pattern, text_col, "ids array<int>, decoded binary", _ids)
+    those names. keep: the columns of docs that stay, all by default. A null or empty text has no ids. Rows are taken each
+    by itself, whole, so repeated rows, null ids and an empty table need no care."""
+    return _encoded(docs, path, pattern, text_col, keep, {"ids": _IDS, "decoded": ("binary", pa.binary())}, lambda ids, back: (_ids(ids), back))
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """As encode(), but with n_tokens, ids_sha256 and decoded_sha256 in place of the ids and bytes themselves."""
-    return _encoded(docs, path, pattern, text_col, _DIGESTS, _digests)
+    return _encoded(docs, path, pattern, text_col, keep, _DIGESTS, _digests)
 
 
-def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """As encode_digests(), with the ids too: what a training run reads, and what shows that it is whole."""
-    return _encoded(docs, path, pattern, text_col, f"{_DIGESTS}, ids array<int>", lambda ids, back: (*_digests(ids, back), _ids(ids, back)[0]))
+    return _encoded(docs, path, pattern, text_col, keep, {**_DIGESTS, "ids": _IDS}, lambda ids, back: (*_digests(ids, back), _ids(ids)))
 
 
-_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_IDS = "array<int>", pa.list_(pa.int32())
+_DIGESTS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def _ids(ids: bytes, back: bytes) -> tuple:
-    return np.frombuffer(ids, "<u4").astype("int32"), back
+def _ids(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u4").astype("int32")
 
 
 def _digests(ids: bytes, back: bytes) -> tuple:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, text_col: str, schema: str, row) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, text_col: str, keep: Sequence[str] | None, new: dict[str, tuple[str, pa.DataType]], row) -> DataFrame:
+    """docs' columns and the new ones (Spark's and Arrow's type of each). Batches pass through as Arrow, so columns keep
+    their types, and are encoded a slice at a time, so a worker never holds a whole batch's ids."""
     with open(path, "rb") as f:
         lines = f.read()
     key = ("byte bpe", pattern, hashlib.sha256(lines).hexdigest())
     lines = docs.sparkSession.sparkContext.broadcast(lines)  # bounded by the vocabulary
-    names = [part.split()[0] for part in schema.split(", ")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    read = docs.select(*[F.col(f"`{c}`") for c in kept if c != text_col], F.col(f"`{text_col}`"))
 
-    @F.pandas_udf(schema)
-    def encoded(texts: pd.Series) -> pd.DataFrame:
-        encoder = once(key, lambda: Encoder(read_ranks(lines.value), pattern))
-        rows = []
-        for text in texts:
-            ids = encoder.encode(text)
-            rows.append(row(ids, encoder.codec.decode(np.frombuffer(ids, "<u4").tolist())))
-        return pd.DataFrame(rows, columns=names)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoder = once(key, lambda: Encoder(read_ranks(lines.value), pattern))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                found = map(encoder.encode, part.column(text_col).to_pylist())
+                rows = [row(ids, encoder.codec.decode(np.frombuffer(ids, "<u4").tolist())) for ids in found]
+                own = [pa.array(values, type_) for values, (_, type_) in zip(zip(*rows), new.values())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + own, names=[*kept, *new])
 
-    own = "__lf_encoded"
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.withColumn(own, encoded(F.col(text_col))).select(*kept, *[F.col(f"{own}.{n}").alias(n) for n in names])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, _SPARK[t]) for n, (t, _) in new.items()])
+    return read.mapInArrow(encoded, schema)
+
+
+_SPARK = {"array<int>": T.ArrayType(T.IntegerType()), "binary": T.BinaryType(), "long": T.LongType(), "string": T.StringType()}
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_digests(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_digests(docs, path, public_tokenizers.PATTERN, keep=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

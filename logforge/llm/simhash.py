@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logforge.llm.common import connected_components, hot_keys, materialise, read_table, spread_join
+from logforge.llm.common import connected_components, hot_keys, materialise, read_table, release, spread_join
 
 #: Rows of a bucket that are compared in one task; larger buckets are cut into pairs of blocks of about this size.
 BLOCK = 1024
@@ -47,6 +47,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4) -
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn("fp", fp(F.col(text_col)))
@@ -136,7 +137,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, block: int = BLOCK)
     rows = distinct.select("fp", F.posexplode(masks).alias("table", "mask")).select(
         F.col("table").cast("short").alias("table"), F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp")
     sizes = rows.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = rows.join(sizes, ["table", "bucket"])
+    # merged: sizes grow with the rows, and a small shuffle of them would still be a large relation to broadcast
+    shared = rows.join(sizes.hint("merge"), ["table", "bucket"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     groups = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("block_a"), F.lit(0).alias("block_b")))).otherwise(

@@ -8,6 +8,7 @@ learn how far to trust them. The last category is toxicity as a whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Mapping
 from importlib.resources import files
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.llm.common import materialise, read_table
+from logforge.llm.common import materialise, once, read_table, release
 
 #: Labelled rows that the chain is fitted on at most, chosen by a hash of the id.
 MAX_TRAIN = 20_000
@@ -47,6 +48,8 @@ def read_categories(text: str) -> dict[str, dict[str, int]]:
 #: its words. Where it has none, as in a language that the lists lack, the chain's last model learns from the label alone.
 CATEGORIES: Mapping[str, Mapping[str, int]] = read_categories(files(__package__).joinpath("vocabulary/toxicity.tsv").read_text("utf-8"))
 _WORD = re.compile(r"[^\W\d_]+")
+#: Texts that are scored at once.
+_AT_ONCE = 512
 #: Words whose terms a worker remembers.
 _REMEMBERED = 100_000
 
@@ -193,6 +196,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in (b.iloc[k : k + 256] for b in batches for k in range(0, len(b), 256)):  # few rows' terms at a time
             found = [terms(t) for t in batch["text"]]
             marks = [[int(y and sum(words[c][w] for w in own & words[c].keys()) >= LEAST_WEIGHT) for c in words] + [int(y)] for y, own in zip(batch["y"], found)]
@@ -219,11 +223,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text", out: s
     known term, such as null and empty ones, get the labels' shares in training. Each whole text, however long, is scored
     by itself, so repeated rows, null ids and an empty table need no care; a chain without terms gives shares to all."""
     held = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by TERMS and the categories
+    key = ("toxicity", uuid.uuid4().hex)
     schema = ", ".join(f"`{c}` double" for c in chain.categories)
 
     @F.pandas_udf(schema)
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(held.value.predict(texts), columns=held.value.categories)
+        own = once(key, lambda: held.value, alone=True)
+        parts = [own.predict(texts.iloc[k : k + _AT_ONCE]) for k in range(0, len(texts), _AT_ONCE)]
+        return pd.DataFrame(np.vstack(parts) if parts else np.zeros((0, len(own.categories))), columns=own.categories)
 
     return docs.withColumn(out, scored(F.col(text_col)))
 

@@ -65,6 +65,11 @@ def test_bpe_is_tiktokens(spark):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    # other columns keep their types, and slices of a batch their order
+    odd = _docs(spark, ["a b"] * 1000).selectExpr("doc_id", "text", "timestamp'2024-01-02 03:04:05' as t", "array(named_struct('x', doc_id)) as s", "cast(null as decimal(5,2)) as d", "'old' as ids")
+    out = byte_bpe.encode(odd, path, public_tokenizers.PATTERN)
+    assert dict(out.drop("ids", "decoded").dtypes) == dict(odd.drop("ids").dtypes) and out.where("s[0].x = doc_id and d is null and size(ids) = 2").count() == 1000
+    assert byte_bpe.encode_digests(odd.limit(0), path, public_tokenizers.PATTERN, keep=["doc_id"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     decoded = byte_bpe.encode(_docs(spark, texts), path, public_tokenizers.PATTERN).collect()
     assert all(bytes(r.decoded) == (texts[r.doc_id] or "").encode() for r in decoded)
 
