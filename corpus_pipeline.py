@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, with digests of them and of what they decode to. A null text is encoded as an empty one,
     which has no ids; every row, repeated or without an id, has a row."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.encode_checked(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select(
+    return byte_bpe.encode_checked(docs, path, public_tokenizers.PATTERN, keep=["doc_id"]).select(
         "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
