@@ -169,7 +169,7 @@ def measures(scored: DataFrame, names: Sequence[str] = MEASURES) -> dict[str, fl
     return {n: float(row[n]) if row and row[n] is not None else None for n in names}
 
 
-def _together(jobs: Sequence, most: int = 4) -> list:
+def _together(jobs: Sequence, most: int = 8) -> list:
     """Calls the functions, a few at a time; each starts Spark jobs of its own."""
     with ThreadPoolExecutor(most) as pool:
         return list(pool.map(lambda job: job(), jobs))
@@ -201,7 +201,7 @@ def compare_long(table: DataFrame) -> DataFrame:
     return long.crossJoin(F.broadcast(best)).select("model", "metric", "value", (F.col("model") == F.col("best")).alias("is_best"))  # a single row
 
 
-def search(df: DataFrame, estimator, combinations: Sequence[dict], parallelism: int = 4):
+def search(df: DataFrame, estimator, combinations: Sequence[dict], parallelism: int = 8):
     """The best combination by F1 of the positive class over the folds in column fold, refitted on all rows; and
     (parameters, f1) of each combination."""
     rows = weighted(df).withColumn("fold", F.col("fold").cast("int")).persist()
