@@ -1,12 +1,13 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A rolling hash over each line and the lines before it decides whether a chunk ends there, so boundaries depend on
-nearby lines alone: text that is put in or taken out elsewhere shifts no other boundary. A chunk of several lines that
-occurs again, anywhere in the corpus, is removed but for its first occurrence. Chunks are found equal by a hash, and
-their bytes are compared before anything goes.
-
-Boundaries leave many chunks of one line, which stay. With runs, overlapping pairs of neighbouring lines take the place
-of chunks, so a repeated run of two lines or more goes whole.
+A hash rolls over a document's lines, two neighbouring ones at a time (those that are not blank, with the blank ones
+between them), and a chunk's boundaries are where it stops recurring: a chunk is a run of lines whose every window
+occurs elsewhere in the corpus too. So boundaries depend on nearby lines alone, and text that is put in or taken out
+elsewhere shifts no other boundary. A chunk has two lines or more and is removed but for its first occurrence. Windows are
+found equal by a hash, and their bytes are compared before anything goes.
+
+With runs=False boundaries are where the rolling hash of a line and those before it falls on a fixed value, wherever
+text recurs or not. They seldom are where a repeated passage begins and ends, so short passages mostly stay.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logforge.llm.common import hot_keys, materialise, read_table, spread_join
 
-#: Lines that a boundary depends on, and the mean number of lines of a chunk.
+#: Without runs: lines that a boundary depends on, and the mean number of lines of a chunk.
 WINDOW, DIVISOR = 2, 2
 #: Lines with other characters than white space that a chunk needs.
 LEAST_LINES = 2
@@ -31,7 +32,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def _chunks(lines: Column, window: int, divisor: int, least: int) -> Column:
-    """array<struct<chunk_no, first_line, n_lines, solid>>: all chunks of a text's lines; solid: it has the lines it needs."""
+    """array<struct<first_line, n_lines, solid>>: all chunks of a text's lines; solid: it has the lines it needs."""
     hashes = F.transform(lines, _line_hash)
 
     def ends(hashed: Column) -> Column:
@@ -52,7 +53,7 @@ def _chunks(lines: Column, window: int, divisor: int, least: int) -> Column:
             first = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
             n = stop - first + 1
             some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: x.rlike(_MARK)))
-            return F.struct(k.alias("chunk_no"), first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
+            return F.struct(first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
 
         return F.transform(stops, one)
 
@@ -64,7 +65,7 @@ def _pairs(lines: Column) -> Column:
 
     def pair(full: Column) -> Column:
         one = lambda i, k: F.struct(
-            k.alias("chunk_no"), i.alias("first_line"), (F.get(full, k + 1) - i + 1).alias("n_lines"), F.lit(True).alias("solid"))
+            i.alias("first_line"), (F.get(full, k + 1) - i + 1).alias("n_lines"), F.lit(True).alias("solid"))
         return F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), one)
 
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
@@ -86,17 +87,18 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                divisor: int = DIVISOR, least_lines: int = LEAST_LINES, runs: bool = False) -> DataFrame:
-    """docs with the repeated chunks of several lines cut from the text, and n_lines and n_removed (long): the lines of
+                divisor: int = DIVISOR, least_lines: int = LEAST_LINES, runs: bool = True) -> DataFrame:
+    """docs with the repeated chunks of two lines or more cut from the text, and n_lines and n_removed (long): the lines of
     the text as it was, and those removed. They replace columns of those names. Lines end at a line feed; a line of
     nothing but spaces, tabs, carriage returns and the like is blank.
 
-    The occurrence of the smallest (id, chunk number) stays; a null id comes last. Rows that agree in id and text are
-    one document: they keep and lose the same chunks. A null text stays null with 0 lines; an empty text has one
-    (empty) line. Single lines and blank ones are never removed by themselves. An empty table gives an empty table.
+    The occurrence of the smallest (id, place) stays; a null id comes last. An occurrence that overlaps the first one
+    stays, so a line's first occurrence is never removed. Rows that agree in id and text are one document: they keep and
+    lose the same lines. A null text stays null with 0 lines; an empty text has one (empty) line. Single lines and blank
+    ones are never removed by themselves. An empty table gives an empty table.
 
-    With runs, the repeated pairs of neighbouring lines are cut in place of chunks, and window, divisor and least_lines
-    do nothing. An occurrence that overlaps the first one stays. A line's first occurrence is never removed.
+    window, divisor and least_lines are those of runs=False: lines that a boundary depends on, the mean number of lines
+    of a chunk, and the lines that are not blank which a chunk needs.
     """
     units = _pairs if runs else lambda x: _chunks(x, window, divisor, least_lines)
     split = lambda text: F.split(text, "\n", -1)
@@ -107,8 +109,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def keys(lines: Column) -> Column:
         one = lambda c: _let(_chunk_text(lines, c), lambda x: F.struct(
-            c["chunk_no"].alias("chunk_no"), c["first_line"].alias("first_line"), c["n_lines"].alias("n_lines"),
-            _hash(x).alias("key"), F.octet_length(x).alias("size")))
+            c["first_line"].alias("first_line"), c["n_lines"].alias("n_lines"), _hash(x).alias("key")))
         return F.transform(F.filter(units(lines), lambda c: c["solid"]), one)
 
     found = (
@@ -117,14 +118,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc", "chunk.*")
     )
     found = materialise(found)  # a few numbers for each chunk
-    where = F.struct("doc", "chunk_no")
-    first = found.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
+    where = F.struct("doc", "first_line", "n_lines")
+    first = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
     stays = where == F.col("first")
-    if runs:
-        stays = stays | ((F.col("doc") == F.col("first.doc")) & (F.col("chunk_no") == F.col("first.chunk_no") + 1))
+    if runs:  # the next window begins with the last line of the first one
+        stays = stays | ((F.col("doc") == F.col("first.doc")) & (F.col("first_line") == F.col("first.first_line") + F.col("first.n_lines") - 1))
     # a very common chunk's places are dealt over many tasks
-    again = spread_join(found, first.drop("n"), ["key", "size"], hot_keys(first, ["key", "size"], found.count()), ["doc", "chunk_no"])
-    asked = again.groupBy("doc").agg(F.collect_set(F.struct("chunk_no", "first_line", "n_lines", stays.alias("stays"), "first")).alias("asked"))
+    again = spread_join(found, first.drop("n"), ["key"], hot_keys(first, ["key"], found.count()), ["doc", "first_line"])
+    asked = again.groupBy("doc").agg(F.collect_set(F.struct("first_line", "n_lines", stays.alias("stays"), "first")).alias("asked"))
 
     # one shuffle of the texts: each document meets the list of its chunks that occur again
     met = base.withColumn("__lf_doc", ident).join(
@@ -134,7 +135,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # byte comparison: of chunks with one hash, those of other bytes than the first have a first occurrence of their own
     def asked_bytes(lines: Column) -> Column:
         return F.transform("__lf_asked", lambda a: F.struct(
-            a["chunk_no"].alias("chunk_no"), a["first"].alias("first"), _chunk_text(lines, a).alias("bytes")))
+            a["first_line"].alias("first_line"), a["n_lines"].alias("n_lines"), a["first"].alias("first"), _chunk_text(lines, a).alias("bytes")))
 
     cut = (
         met.where(F.col("__lf_asked").isNotNull())
@@ -142,12 +143,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc", "ask.*")
     )
     other = cut.groupBy("first", "bytes").agg(F.min(where).alias("own")).where("own != first")
-    spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set("own.chunk_no").alias("__lf_spared")))
+    spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set(F.struct("own.first_line", "own.n_lines")).alias("__lf_spared")))
 
-    spared_here = F.coalesce("__lf_spared", F.array().cast("array<int>"))
-    gone = F.filter(F.col("__lf_asked"), lambda a: ~a["stays"] & ~F.array_contains(spared_here, a["chunk_no"]))
     text = F.col(text_col)
 
+    def spared_too(lines: Column, a: Column) -> Column:
+        """Whether a is a first occurrence by its bytes, or overlaps one in its own document."""
+        beside = lambda o: (a["first_line"] == o["first_line"] + o["n_lines"] - 1) & (_chunk_text(lines, o) == _chunk_text(lines, a))
+        return F.exists("__lf_spared", lambda o: (o["first_line"] == a["first_line"]) | (beside(o) if runs else F.lit(False)))
+
+    # collisions are rare: elsewhere nothing is spared
+    gone = F.when(F.col("__lf_spared").isNull(), F.filter("__lf_asked", lambda a: ~a["stays"])).otherwise(
+        _let(split(text), lambda lines: F.filter("__lf_asked", lambda a: ~a["stays"] & ~spared_too(lines, a))))
+
     def left(lines: Column) -> Column:
         numbers = F.flatten(F.transform("__lf_gone", lambda c: F.sequence(c["first_line"], c["first_line"] + c["n_lines"] - 1)))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
@@ -171,6 +179,25 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_removed") -> str:
     """The same in DuckDB, for unique ids."""
+    return f"""
+        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {source} WHERE text IS NOT NULL),
+        lines AS (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+        windows AS (
+            SELECT doc_id, i, lead(i) OVER w AS j, array_to_string(lines[i : lead(i) OVER w], chr(10)) AS bytes, row_number() OVER w AS k
+            FROM lines WHERE regexp_matches(line, '{_MARK}') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        firsts AS (SELECT *, arg_min(doc_id, (doc_id, k)) OVER (PARTITION BY bytes) AS first_doc, arg_min(k, (doc_id, k)) OVER (PARTITION BY bytes) AS first_k FROM windows WHERE j IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM firsts WHERE NOT (doc_id = first_doc AND k - first_k IN (0, 1))),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (g.i IS NULL) AS left_text, count(*) AS n_lines, count(g.i) AS n_removed
+            FROM lines LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+        SELECT {columns} FROM (
+            SELECT d.* EXCLUDE (text), CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END AS text,
+                   coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+            FROM {source} d LEFT JOIN kept k USING (doc_id))"""
+
+
+def chunk_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_removed") -> str:
+    """dedup_lines(runs=False) in DuckDB, for unique ids."""
     return f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i

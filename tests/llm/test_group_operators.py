@@ -175,11 +175,14 @@ def test_line_dedup_is_sql(spark):
     docs = [(i, "\n".join([rng.choice(lines) for _ in range(rng.randint(0, 12))] + (passage if i % 3 == 0 else []) + [rng.choice(lines) for _ in range(rng.randint(0, 5))])) for i in range(80)]
     docs += [(100, None), (101, ""), (102, "\n\n\n"), (103, docs[3][1]), (104, "one")]
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_lines int")
-    got = line_dedup.dedup_lines(df).select("doc_id", "text", "n_lines", "n_removed").toPandas().sort_values("doc_id", ignore_index=True)
+    docs += [(105, "same\nsame\nsame\nsame"), (106, "x\nx\ny\ny\nx\nx"), (107, "\n\nx\n\ny\n"), (108, "x\n\ny\n\n\nx\n\ny")]
+    df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_lines int")
     documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
-    want = duckdb.sql(line_dedup.op6_sql()).df().sort_values("doc_id", ignore_index=True)
-    pd.testing.assert_frame_equal(got, want, check_dtype=False)
-    assert got.n_removed.sum() > 100
+    for runs, sql in ((True, line_dedup.op6_sql()), (False, line_dedup.chunk_sql())):
+        got = line_dedup.dedup_lines(df, runs=runs).select("doc_id", "text", "n_lines", "n_removed").toPandas().sort_values("doc_id", ignore_index=True)
+        want = duckdb.sql(sql).df().sort_values("doc_id", ignore_index=True)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+        assert got.n_removed.sum() > 100
     again = line_dedup.dedup_lines(df.union(df.where("doc_id = 3")).unionByName(df.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long"))))
     rows = again.collect()
     assert len({r.text for r in rows if r.doc_id == 3}) == 1 and len(rows) == len(docs) + 2
@@ -193,9 +196,9 @@ def test_line_dedup_keeps_blank_lines(spark):
     plain = [(i, "\n".join(x for _ in range(12) for x in (rng.choice(lines), "", " "))) for i in range(12)]
     for end in ("\r", "\t", " ", "\x0b", ""):
         docs = [(i, t.replace("\n", end + "\n")) for i, t in plain]
-        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_removed").toPandas()
+        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), runs=False).select("doc_id", "text", "n_lines", "n_removed").toPandas()
         documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
-        pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), duckdb.sql(line_dedup.op6_sql()).df().sort_values("doc_id", ignore_index=True), check_dtype=False)
+        pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), duckdb.sql(line_dedup.chunk_sql()).df().sort_values("doc_id", ignore_index=True), check_dtype=False)
     heads = [(i, f"head {i}\r\n\r\n\r\n\r\ntail {i}\r") for i in range(6)]
     for runs in (False, True):
         got = line_dedup.dedup_lines(spark.createDataFrame(heads, "doc_id long, text string"), runs=runs)
