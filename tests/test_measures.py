@@ -178,5 +178,5 @@ def test_models(spark, tmp_path):
     assert models.importance(spark, fitted, ["a", "b"]).count() == 2
     ring = np.vstack([rng.normal(0, 0.4, (100, 2)), [[3 * np.cos(t), 3 * np.sin(t)] for t in np.linspace(0, 6.28, 100)]])
     rows = reduce.to_vector(points(spark, ring, label=[0] * 100 + [1] * 100), ["x"]).select("id", "features", "label")
-    assert models.kernel_svm(rows, rows, n=64)["accuracy"] > 0.95
+    assert models.measures(models.KernelSvm(n=64).fit(rows).scores(rows))["accuracy"] > 0.95
     assert len(models.grids(10)["logistic"]) == 8 and len(models.grids(10)["tree"]) == 24
