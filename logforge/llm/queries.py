@@ -9,6 +9,7 @@ from logforge.llm.license_scan import op5_license_scan
 from logforge.llm.line_dedup import op6_line_dedup, op6_sql
 from logforge.llm.quality import op2_quality
 from logforge.llm.simhash import op10_simhash
+from logforge.llm.spelling import op11_spelling, op11_sql
 from logforge.llm.token_counts import op1_token_counts
 from logforge.llm.toxicity import op7_toxicity
 from logforge.llm.url_filter import op4_sql, op4_url_filter
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash": op10_simhash,
+        "op11_spelling": op11_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": op3_sql(), "op4_url_filter": op4_sql(), "op6_line_dedup": op6_sql()}
+    return {"op3_embedding_dedup": op3_sql(), "op4_url_filter": op4_sql(), "op6_line_dedup": op6_sql(), "op11_spelling": op11_sql()}
