@@ -120,7 +120,9 @@ class Scanner:
                 open_ = [(low, min(high, len(joined)))]
                 while open_:
                     low, high = open_.pop()
-                    if m := pattern.search(joined, low, high):
+                    if high < len(joined) and joined[high] != " ":
+                        high = joined.rfind(" ", low, high)  # to the end of a word, as the pattern takes it for the text's
+                    if high > low and (m := pattern.search(joined, low, high)):
                         found.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                         open_ += [(low, m.start()), (m.end(), high)]
         return sorted(found, key=lambda x: (x[1], x[2], x[0], x[3]))

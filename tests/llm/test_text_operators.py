@@ -174,18 +174,21 @@ def test_license_notices_are_those_of_brute_force():
     notices = [(*_notice(n), label, k) for n, label, k in license_scan.NOTICES]
     scan = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
     texts = ["licensed under cc by nd 4 0", "licensed under cc by nc nd 4 0", "small rights reserved", "ball rights reserved", "all rights reserve", "a ll rights reserved",
-             "released under the mpl license", "released under the smit license", "released under the isc license", "nothing to see", "reserved"]
-    for chars, loose, _, k in notices * 8:
+             "released under the mpl license", "released under the smit license", "released under the isc license", "nothing to see", "reserved",
+             "released under the mit licensexyzabc", "all rights reservedabc", "all rights reservedabc all rights reserved", "released under the mit licens e"]
+    for chars, loose, _, k in notices * 14:
         spoilt = list(chars)
         for _ in range(rng.randint(0, k + 1)):
             at = rng.randrange(len(spoilt))
             spoilt[at : at + 1] = rng.choice([[], ["q"], [spoilt[at], "z"], [" "]])
-        texts.append(" ".join((rng.choice(["", "zz", "x the"]) + " " + "".join(spoilt) + rng.choice(["", "s", " y"])).split()))
+        texts.append(" ".join((rng.choice(["", "zz", "x the"]) + " " + "".join(spoilt) + rng.choice(["", "s", " y", "xyzabcdefgh", "xyz abc", "x" * 40 + " all"])).split()))
     right = wrong = 0
     for text in texts:
         found = {label for label, *_ in scan(text)[7]}
         want = {label for chars, loose, label, k in notices if _notice_edits(chars, loose, text) <= k}
         assert found == want, (text, found, want)
+        for _, start, end, _ in scan(text)[7]:  # from the beginning of a word to the end of one
+            assert (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ") and text[start] != " " != text[end - 1], (text, start, end)
         right, wrong = right + bool(want), wrong + (not want)
     assert right > 60 and wrong > 20
     assert scan("licensed under CC BY-ND 4.0")[5] == "cc-by-nd" and scan("small rights reserved")[5] == ""
