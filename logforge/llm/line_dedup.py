@@ -1,175 +1,151 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A hash rolls over a document's lines, two neighbouring ones at a time (those that are not blank, with the blank ones
-between them), and a chunk's boundaries are where it stops recurring: a chunk is a run of lines whose every window
-occurs elsewhere in the corpus too. So boundaries depend on nearby lines alone, and text that is put in or taken out
-elsewhere shifts no other boundary. A chunk has two lines or more and is removed but for its first occurrence. Windows are
-found equal by a hash, and their bytes are compared before anything goes.
-
-With runs=False boundaries are where the rolling hash of a line and those before it falls on a fixed value, wherever
-text recurs or not. They seldom are where a repeated passage begins and ends, so short passages mostly stay.
+A hash rolls over the line hashes of a document, two neighbouring lines at a time (those that are not blank, with the
+blank ones between them). It chooses the boundaries, from nearby lines and their windows alone, so text put in or taken
+out elsewhere shifts none:
+
+* where a window recurs less often in the corpus than one beside it: there a passage that many documents share begins
+  or ends, and whole short passages become chunks;
+* inside a passage, where the hash is the least of its neighbours': there long shared passages are cut alike, whatever
+  each document has around them.
+
+Chunks are disjoint. A chunk of two lines or more that occurs again is removed but for its first occurrence, which stays
+whole: nothing that is removed is lost. Chunks are found equal by a hash, and their bytes are compared before any goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logforge.llm.common import hot_keys, materialise, read_table, spread_join
 
-#: Without runs: lines that a boundary depends on, and the mean number of lines of a chunk.
-WINDOW, DIVISOR = 2, 2
-#: Lines with other characters than white space that a chunk needs.
-LEAST_LINES = 2
-_BASE, _MODULUS = 1_000_003, 1 << 31
+#: A boundary inside a passage is the least hash among so many windows on either side, so chunks there have over REACH lines.
+REACH = 3
 #: What a line has that is not blank, in Spark's and SQL engines' expressions alike.
 _MARK = r"[^\x09-\x0D\x20]"
 
 
-def _line_hash(line: Column) -> Column:
-    """31 bits of a line's MD5, which SQL engines agree on."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(_MODULUS - 1))
-
-
-def _chunks(lines: Column, window: int, divisor: int, least: int) -> Column:
-    """array<struct<first_line, n_lines, solid>>: all chunks of a text's lines; solid: it has the lines it needs."""
-    hashes = F.transform(lines, _line_hash)
-
-    def ends(hashed: Column) -> Column:
-        def rolled(i: Column) -> Column:
-            value = F.lit(0).cast("long")
-            for back in range(window - 1, -1, -1):
-                at = F.when(i >= back, F.get(hashed, i - back)).otherwise(F.lit(0).cast("long"))
-                value = (value * F.lit(_BASE) + at) % F.lit(_MODULUS)
-            return value
-
-        last = F.size(hashed) - 1
-        # the high bits: the low ones hang on the last line alone
-        cut = lambda i: (i == last) | (F.shiftright(rolled(i), 8) % F.lit(divisor) == 0)
-        return F.filter(F.sequence(F.lit(0), last), cut)
-
-    def chunk(stops: Column) -> Column:
-        def one(stop: Column, k: Column) -> Column:
-            first = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
-            n = stop - first + 1
-            some = F.size(F.filter(F.slice(lines, first + 1, n), lambda x: x.rlike(_MARK)))
-            return F.struct(first.alias("first_line"), n.alias("n_lines"), (some >= least).alias("solid"))
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-        return F.transform(stops, one)
 
-    return _let(_let(hashes, ends), chunk)
+def _split(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def _pairs(lines: Column) -> Column:
-    """The same of each two neighbouring lines that are not blank, with the blank ones between them."""
+def _windows(lines: Column) -> Column:
+    """array<struct<k, first_line, last_line, h>>: the k-th two neighbouring lines that are not blank, and the first 60
+    bits of the MD5 of the line hashes from the one to the other, which SQL engines agree on."""
 
-    def pair(full: Column) -> Column:
-        one = lambda i, k: F.struct(
-            i.alias("first_line"), (F.get(full, k + 1) - i + 1).alias("n_lines"), F.lit(True).alias("solid"))
-        return F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), one)
+    def windows(hashes: Column) -> Column:
+        def one(full: Column) -> Column:
+            def window(i: Column, k: Column) -> Column:
+                last = F.get(full, k + 1)
+                rolled = F.md5(F.array_join(F.slice(hashes, i + 1, last - i + 1), ""))
+                return F.struct(k.alias("k"), i.alias("first_line"), last.alias("last_line"), F.conv(F.substring(rolled, 1, 15), 16, 10).cast("long").alias("h"))
 
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    return _let(F.filter(numbers, lambda i: F.get(lines, i).rlike(_MARK)), pair)
+            return F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), window)
 
+        return _let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(_MARK)), one)
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return _let(F.transform(lines, F.md5), windows)
 
 
-def _hash(text: Column) -> Column:
-    """The hash that chunks are found equal by; a collision costs a comparison of bytes, no more."""
-    return F.xxhash64(text)
+def _hash(*window: Column) -> Column:
+    """What a chunk's hash is summed up from, for each window and its place in the chunk; a collision costs a comparison of
+    bytes, no more."""
+    return F.xxhash64(*window)
 
 
 def _chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first_line"] + 1, chunk["n_lines"]), "\n")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                divisor: int = DIVISOR, least_lines: int = LEAST_LINES, runs: bool = True) -> DataFrame:
+    return F.array_join(F.slice(lines, chunk["first_line"] + 1, chunk["last_line"] - chunk["first_line"] + 1), "\n")
+
+
+def _chunks(base: DataFrame, ident: Column, text: Column, reach: int) -> DataFrame:
+    """(doc, first_line, last_line, key) of all chunks of two lines or more that may occur again."""
+    found = materialise(  # three numbers and a hash for each line
+        base.where(text.isNotNull()).select(ident.alias("doc"), F.explode(_let(_split(text), _windows)).alias("w")).select("doc", "w.*"))
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a very common window's places are dealt over many tasks; rows that agree in id and text are one document
+    met = spread_join(found, counts, ["h"], hot_keys(counts, ["h"], found.count()), ["doc", "k"]).dropDuplicates(["doc", "k"])
+
+    place = Window.partitionBy("doc").orderBy("k")
+    beside = lambda c, step: F.when(F.lag("k", step).over(place) == F.col("k") - step, F.lag(c, step).over(place))
+    rarer = (F.col("n") < F.coalesce(beside("n", 1), F.lit(0))) | (F.col("n") < F.coalesce(beside("n", -1), F.lit(0)))
+    met = met.select("*", rarer.alias("rarer"))
+    # whether all windows up to so many steps away are of one passage with this one, and have higher hashes
+    least = ~F.col("rarer")
+    for step in [s for s in range(-reach, reach + 1) if s]:
+        least = least & F.coalesce((beside("n", step) == F.col("n")) & ~beside("rarer", step) & (beside("h", step) > F.col("h")), F.lit(False))
+    met = met.select("doc", "k", "first_line", "last_line", "h", (F.col("rarer") | least).alias("cut"))
+    # a chunk is a run of windows that follow each other and are no cuts
+    runs = met.where(~F.col("cut")).withColumn("run", F.col("k") - F.row_number().over(place))
+    inside = Window.partitionBy("doc", "run").orderBy("k")
+    runs = runs.withColumn("at", F.row_number().over(inside))
+    return runs.groupBy("doc", "run").agg(
+        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.bit_xor(_hash(F.col("h"), F.col("at"))).alias("key")).drop("run")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """docs with the repeated chunks of two lines or more cut from the text, and n_lines and n_removed (long): the lines of
     the text as it was, and those removed. They replace columns of those names. Lines end at a line feed; a line of
     nothing but spaces, tabs, carriage returns and the like is blank.
 
-    The occurrence of the smallest (id, place) stays; a null id comes last. An occurrence that overlaps the first one
-    stays, so a line's first occurrence is never removed. Rows that agree in id and text are one document: they keep and
-    lose the same lines. A null text stays null with 0 lines; an empty text has one (empty) line. Single lines and blank
-    ones are never removed by themselves. An empty table gives an empty table.
+    The occurrence of the smallest (id, place) stays, whole; a null id comes last. Chunks don't overlap, so a chunk that
+    is removed still stands where it occurs first. Rows that agree in id and text are one document: they keep and lose
+    the same lines. A null text stays null with 0 lines; an empty text has one (empty) line. Single lines and blank ones
+    are never removed by themselves; those between two lines of a chunk go with it. An empty table gives an empty table.
 
-    window, divisor and least_lines are those of runs=False: lines that a boundary depends on, the mean number of lines
-    of a chunk, and the lines that are not blank which a chunk needs.
+    reach: on how many windows on either side a boundary inside a shared passage depends.
     """
-    units = _pairs if runs else lambda x: _chunks(x, window, divisor, least_lines)
-    split = lambda text: F.split(text, "\n", -1)
     names = {"n_lines", "n_removed"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
-    base = base.withColumn("__lf_hash", F.xxhash64(text_col))
-    ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__lf_hash").alias("hash"))
-
-    def keys(lines: Column) -> Column:
-        one = lambda c: _let(_chunk_text(lines, c), lambda x: F.struct(
-            c["first_line"].alias("first_line"), c["n_lines"].alias("n_lines"), _hash(x).alias("key")))
-        return F.transform(F.filter(units(lines), lambda c: c["solid"]), one)
-
-    found = (
-        base.where(F.col(text_col).isNotNull())
-        .select(ident.alias("doc"), F.explode(_let(split(F.col(text_col)), keys)).alias("chunk"))
-        .select("doc", "chunk.*")
-    )
-    found = materialise(found)  # a few numbers for each chunk
-    where = F.struct("doc", "first_line", "n_lines")
-    first = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
-    stays = where == F.col("first")
-    if runs:  # the next window begins with the last line of the first one
-        stays = stays | ((F.col("doc") == F.col("first.doc")) & (F.col("first_line") == F.col("first.first_line") + F.col("first.n_lines") - 1))
-    # a very common chunk's places are dealt over many tasks
-    again = spread_join(found, first.drop("n"), ["key"], hot_keys(first, ["key"], found.count()), ["doc", "first_line"])
-    asked = again.groupBy("doc").agg(F.collect_set(F.struct("first_line", "n_lines", stays.alias("stays"), "first")).alias("asked"))
-
-    # one shuffle of the texts: each document meets the list of its chunks that occur again
-    met = base.withColumn("__lf_doc", ident).join(
-        asked.select(F.col("doc").alias("__lf_doc"), F.col("asked").alias("__lf_asked")), "__lf_doc", "left")
-    met = materialise(met)
+    text = F.col(f"`{text_col}`")
+    ident = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"))
+    base = base.withColumn("__lf_doc", ident)
+    chunks = materialise(_chunks(base, F.col("__lf_doc"), text, reach))
+    where = F.struct("doc", "first_line", "last_line")
+    first = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("first")).where("n > 1")
+    # a very common chunk's places are dealt over many tasks, as are the rows of a document that is there many times
+    again = spread_join(chunks, first.drop("n"), ["key"], hot_keys(first, ["key"], chunks.count()), ["doc", "first_line"])
+    asked = again.groupBy(F.col("doc").alias("__lf_doc")).agg(F.collect_list(F.struct("first_line", "last_line", (where == F.col("first")).alias("stays"), "key")).alias("__lf_asked"))
+    sizes = base.groupBy("__lf_doc").agg(F.count(F.lit(1)).alias("n"))
+    met = spread_join(base.withColumn("__lf_row", F.monotonically_increasing_id()), asked, ["__lf_doc"], hot_keys(sizes, ["__lf_doc"], base.count()), ["__lf_row"], "left")
+    met = materialise(met.drop("__lf_row"))  # one shuffle of the texts: each document meets the list of its chunks that occur again
 
     # byte comparison: of chunks with one hash, those of other bytes than the first have a first occurrence of their own
     def asked_bytes(lines: Column) -> Column:
         return F.transform("__lf_asked", lambda a: F.struct(
-            a["first_line"].alias("first_line"), a["n_lines"].alias("n_lines"), a["first"].alias("first"), _chunk_text(lines, a).alias("bytes")))
+            a["first_line"].alias("first_line"), a["last_line"].alias("last_line"), a["stays"].alias("stays"), a["key"].alias("key"), _chunk_text(lines, a).alias("bytes")))
 
     cut = (
         met.where(F.col("__lf_asked").isNotNull())
-        .select(F.col("__lf_doc").alias("doc"), F.explode(_let(split(F.col(text_col)), asked_bytes)).alias("ask"))
+        .select(F.col("__lf_doc").alias("doc"), F.explode(_let(_split(text), asked_bytes)).alias("ask"))
         .select("doc", "ask.*")
     )
-    other = cut.groupBy("first", "bytes").agg(F.min(where).alias("own")).where("own != first")
-    spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set(F.struct("own.first_line", "own.n_lines")).alias("__lf_spared")))
-
-    text = F.col(text_col)
-
-    def spared_too(lines: Column, a: Column) -> Column:
-        """Whether a is a first occurrence by its bytes, or overlaps one in its own document."""
-        beside = lambda o: (a["first_line"] == o["first_line"] + o["n_lines"] - 1) & (_chunk_text(lines, o) == _chunk_text(lines, a))
-        return F.exists("__lf_spared", lambda o: (o["first_line"] == a["first_line"]) | (beside(o) if runs else F.lit(False)))
+    other = cut.groupBy("key", "bytes").agg(F.min(where).alias("own"), F.max("stays").alias("has_first")).where(~F.col("has_first"))
+    spared = materialise(other.groupBy(F.col("own.doc").alias("__lf_doc")).agg(F.collect_set("own.first_line").alias("__lf_spared")))
 
     # collisions are rare: elsewhere nothing is spared
-    gone = F.when(F.col("__lf_spared").isNull(), F.filter("__lf_asked", lambda a: ~a["stays"])).otherwise(
-        _let(split(text), lambda lines: F.filter("__lf_asked", lambda a: ~a["stays"] & ~spared_too(lines, a))))
+    none = F.array().cast("array<int>")
+    gone = F.filter("__lf_asked", lambda a: ~a["stays"] & ~F.array_contains(F.coalesce("__lf_spared", none), a["first_line"]))
 
     def left(lines: Column) -> Column:
-        numbers = F.flatten(F.transform("__lf_gone", lambda c: F.sequence(c["first_line"], c["first_line"] + c["n_lines"] - 1)))
+        numbers = F.flatten(F.transform("__lf_gone", lambda c: F.sequence(c["first_line"], c["last_line"])))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
         return F.transform(kept, lambda i: F.get(lines, i))
 
     out = (
         met.join(spared, "__lf_doc", "left")
         .withColumn("__lf_gone", F.when(F.col("__lf_asked").isNotNull(), gone))
-        .withColumn("__lf_left", F.when(F.size("__lf_gone") > 0, _let(split(text), left)))
-        .withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(split(text))).cast("long"))
+        .withColumn("__lf_left", F.when(F.size("__lf_gone") > 0, _let(_split(text), left)))
+        .withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(_split(text))).cast("long"))
         .withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("__lf_left"), F.lit(0)).cast("long"))
         .withColumn(text_col, F.when(F.col("__lf_left").isNotNull(), F.array_join("__lf_left", "\n")).otherwise(text))
     )
-    return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "__lf_hash"], "n_lines", "n_removed")
+    return out.select(*[F.col(f"`{c}`") for c in base.columns if c != "__lf_doc"], "n_lines", "n_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,16 +153,35 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
-def op6_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_removed") -> str:
+def op6_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_removed", reach: int = REACH) -> str:
     """The same in DuckDB, for unique ids."""
+    steps = [s for s in range(-reach, reach + 1) if s]
+    beside = "\n".join(
+        f"            AND coalesce(lead(n, {s}) OVER w = n AND NOT lead(rarer, {s}) OVER w AND lead(h, {s}) OVER w > h, false)" if s > 0 else
+        f"            AND coalesce(lag(n, {-s}) OVER w = n AND NOT lag(rarer, {-s}) OVER w AND lag(h, {-s}) OVER w > h, false)" for s in steps)
     return f"""
         WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {source} WHERE text IS NOT NULL),
         lines AS (SELECT doc_id, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
-        windows AS (
-            SELECT doc_id, i, lead(i) OVER w AS j, array_to_string(lines[i : lead(i) OVER w], chr(10)) AS bytes, row_number() OVER w AS k
+        spans AS (
+            SELECT doc_id, lines, i, lead(i) OVER w AS j, row_number() OVER w AS k
             FROM lines WHERE regexp_matches(line, '{_MARK}') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        firsts AS (SELECT *, arg_min(doc_id, (doc_id, k)) OVER (PARTITION BY bytes) AS first_doc, arg_min(k, (doc_id, k)) OVER (PARTITION BY bytes) AS first_k FROM windows WHERE j IS NOT NULL),
-        gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM firsts WHERE NOT (doc_id = first_doc AND k - first_k IN (0, 1))),
+        windows AS (
+            SELECT doc_id, i, j, k, ('0x' || substr(md5(array_to_string(list_transform(lines[i : j], lambda x: md5(x)), '')), 1, 15))::bigint AS h
+            FROM spans WHERE j IS NOT NULL),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM windows),
+        judged AS (
+            SELECT *, n < coalesce(lag(n) OVER w, 0) OR n < coalesce(lead(n) OVER w, 0) AS rarer
+            FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        cuts AS (
+            SELECT *, n = 1 OR rarer OR (true
+{beside}) AS cut
+            FROM judged WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        runs AS (SELECT doc_id, i, j, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM cuts WHERE NOT cut),
+        chunks AS (SELECT doc_id, min(i) AS i, max(j) AS j FROM runs GROUP BY doc_id, run),
+        firsts AS (
+            SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(lines[i : j], chr(10)) ORDER BY doc_id, i) AS place
+            FROM chunks JOIN split USING (doc_id)),
+        gone AS (SELECT doc_id, unnest(range(i, j + 1)) AS i FROM firsts WHERE place > 1),
         kept AS (
             SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (g.i IS NULL) AS left_text, count(*) AS n_lines, count(g.i) AS n_removed
             FROM lines LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
@@ -194,33 +189,3 @@ def op6_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_
             SELECT d.* EXCLUDE (text), CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END AS text,
                    coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
             FROM {source} d LEFT JOIN kept k USING (doc_id))"""
-
-
-def chunk_sql(source: str = "documents", columns: str = "doc_id, text, n_lines, n_removed") -> str:
-    """dedup_lines(runs=False) in DuckDB, for unique ids."""
-    return f"""
-        WITH lines AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-            FROM {source} WHERE text IS NOT NULL),
-        hashed AS (
-            SELECT *, ('0x' || substr(md5(line), 1, 8))::bigint & {_MODULUS - 1} AS h FROM lines),
-        rolled AS (
-            SELECT *, (coalesce(lag(h) OVER w, 0) * {_BASE} + h) % {_MODULUS} AS r, lead(i) OVER w IS NULL AS final
-            FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        cut AS (
-            SELECT *, coalesce(sum((final OR (r >> 8) % {DIVISOR} = 0)::int) OVER (
-                PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM rolled),
-        chunks AS (
-            SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY i) AS bytes, count(*) AS n,
-                   count(*) FILTER (regexp_matches(line, '{_MARK}')) >= {LEAST_LINES} AS solid
-            FROM cut GROUP BY ALL),
-        ranked AS (
-            SELECT *, row_number() OVER (PARTITION BY solid, bytes ORDER BY doc_id, chunk_no) AS k FROM chunks),
-        kept AS (
-            SELECT doc_id, string_agg(bytes, chr(10) ORDER BY chunk_no) FILTER (NOT (solid AND k > 1)) AS left_text,
-                   sum(n)::bigint AS n_lines, coalesce(sum(n) FILTER (solid AND k > 1), 0)::bigint AS n_removed
-            FROM ranked GROUP BY doc_id)
-        SELECT {columns} FROM (
-            SELECT d.* EXCLUDE (text), CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') END AS text,
-                   coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
-            FROM {source} d LEFT JOIN kept k USING (doc_id))"""

@@ -178,9 +178,9 @@ def test_line_dedup_is_sql(spark):
     docs += [(105, "same\nsame\nsame\nsame"), (106, "x\nx\ny\ny\nx\nx"), (107, "\n\nx\n\ny\n"), (108, "x\n\ny\n\n\nx\n\ny")]
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_lines int")
     documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
-    for runs, sql in ((True, line_dedup.op6_sql()), (False, line_dedup.chunk_sql())):
-        got = line_dedup.dedup_lines(df, runs=runs).select("doc_id", "text", "n_lines", "n_removed").toPandas().sort_values("doc_id", ignore_index=True)
-        want = duckdb.sql(sql).df().sort_values("doc_id", ignore_index=True)
+    for reach in (line_dedup.REACH, 1):
+        got = line_dedup.dedup_lines(df, reach=reach).select("doc_id", "text", "n_lines", "n_removed").toPandas().sort_values("doc_id", ignore_index=True)
+        want = duckdb.sql(line_dedup.op6_sql(reach=reach)).df().sort_values("doc_id", ignore_index=True)
         pd.testing.assert_frame_equal(got, want, check_dtype=False)
         assert got.n_removed.sum() > 100
     again = line_dedup.dedup_lines(df.union(df.where("doc_id = 3")).unionByName(df.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long"))))
@@ -194,15 +194,16 @@ def test_line_dedup_keeps_blank_lines(spark):
     rng = random.Random(21)
     lines = ["".join(rng.choice("abcdef") for _ in range(12)) for _ in range(40)]
     plain = [(i, "\n".join(x for _ in range(12) for x in (rng.choice(lines), "", " "))) for i in range(12)]
+    plain += [(i + 12, t) for i, t in plain[:6]]
     for end in ("\r", "\t", " ", "\x0b", ""):
         docs = [(i, t.replace("\n", end + "\n")) for i, t in plain]
-        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), runs=False).select("doc_id", "text", "n_lines", "n_removed").toPandas()
+        got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_removed").toPandas()
         documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
-        pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), duckdb.sql(line_dedup.chunk_sql()).df().sort_values("doc_id", ignore_index=True), check_dtype=False)
+        pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), duckdb.sql(line_dedup.op6_sql()).df().sort_values("doc_id", ignore_index=True), check_dtype=False)
+        assert got.n_removed.sum() > 60
     heads = [(i, f"head {i}\r\n\r\n\r\n\r\ntail {i}\r") for i in range(6)]
-    for runs in (False, True):
-        got = line_dedup.dedup_lines(spark.createDataFrame(heads, "doc_id long, text string"), runs=runs)
-        assert {r.doc_id: r.text for r in got.collect()} == dict(heads)
+    got = line_dedup.dedup_lines(spark.createDataFrame(heads, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(heads)
 
 
 def test_line_dedup_compares_bytes(spark, monkeypatch):
@@ -211,11 +212,36 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     words = [f"{c}{k}" for c in "ab" for k in range(10, 13)]
     docs = [(i, "\n".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(60)] + [(60, "long\n" * 20_000), (61, "long\n" * 20_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = {runs: sorted(map(tuple, line_dedup.dedup_lines(df, runs=runs).collect())) for runs in (False, True)}
-    assert sum(r[3] for r in want[False]) > 0
-    monkeypatch.setattr(line_dedup, "_hash", lambda text: F.length(text) % 2)
-    for runs in (False, True):
-        assert sorted(map(tuple, line_dedup.dedup_lines(df, runs=runs).collect())) == want[runs]
+    want = sorted(map(tuple, line_dedup.dedup_lines(df).collect()))
+    assert sum(r[3] for r in want) > 0
+    monkeypatch.setattr(line_dedup, "_hash", lambda h, at: h % 2)
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).collect())) == want
+
+
+def test_line_dedup_loses_nothing(spark):
+    """Every chunk of every document still stands somewhere, whole, whatever overlaps what."""
+    one = lambda rows: {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    chain = [(1, "a\nX\nY\nb"), (2, "c\nX\nY\nZ\nd"), (3, "e\nY\nZ\nf"), (4, "P\nQ"), (5, "P\nQ\nR"), (6, "Q\nR\nS"), (7, "R\nS")]
+    left = one(chain).values()
+    for pair in ("X\nY", "Y\nZ", "P\nQ", "Q\nR", "R\nS"):
+        assert any(pair in t for t in left), pair
+    rng = random.Random(30)
+    source = [f"line {k}" for k in range(120)]
+    docs = []
+    for i in range(150):  # overlapping stretches of one source, among lines of their own
+        parts = [source[at : at + rng.randint(2, 30)] for at in (rng.randrange(100), rng.randrange(100))]
+        docs.append((i, "\n".join([f"own {i}", *parts[0], f"mine {i}", "", *parts[1], f"end {i}"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = line_dedup.dedup_lines(df).collect()
+    text, left = dict(docs), [f"\n{r.text}\n" for r in rows]
+    ident = F.struct(F.lit(False).alias("no_id"), F.col("doc_id").alias("id"), F.lit(0).alias("hash"))
+    chunks = line_dedup._chunks(df, ident, F.col("text"), line_dedup.REACH).collect()
+    assert len(chunks) > 300 and sum(r.n_removed for r in rows) > 300
+    for c in chunks:
+        chunk = "\n".join(text[c.doc.id].split("\n")[c.first_line : c.last_line + 1])
+        assert any(f"\n{chunk}\n" in t for t in left), chunk
+    taken = {(c.doc.id, i) for c in chunks for i in range(c.first_line, c.last_line + 1)}
+    assert len(taken) == sum(c.last_line + 1 - c.first_line for c in chunks)  # chunks are disjoint
 
 
 def test_line_dedup_takes_whole_runs(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logforge.llm import byte_bpe, line_dedup, simhash
+from logforge.llm import byte_bpe, simhash
 
 
 @pytest.fixture(scope="module")
@@ -89,4 +89,3 @@ def test_empty_corpus(spark, corpus, tmp_path):
     df = spark.read.parquet(f"{path}/documents.parquet").where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, path).count() == 0, name
-    assert line_dedup.LEAST_LINES >= 2
