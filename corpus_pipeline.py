@@ -23,10 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of two lines or more that an earlier one has; n_chars is counted anew (null for a
-    null text). Empty texts and blank lines stay as they are; rows that agree in id and text keep and lose the same runs;
-    the first occurrence is that of the smallest id, null ids last."""
-    out = line_dedup.dedup_lines(docs, runs=True)
+    """All documents, without the chunks of two lines or more that an earlier one has; n_chars is counted anew (null for a
+    null text). Empty texts and blank lines stay as they are; rows that agree in id and text keep and lose the same
+    chunks; the first occurrence is that of the smallest id, null ids last, and stays whole."""
+    out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
