@@ -137,8 +137,9 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, block: int = BLOCK)
     rows = distinct.select("fp", F.posexplode(masks).alias("table", "mask")).select(
         F.col("table").cast("short").alias("table"), F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp")
     sizes = rows.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # merged: sizes grow with the rows, and a small shuffle of them would still be a large relation to broadcast
-    shared = rows.join(sizes.hint("merge"), ["table", "bucket"])
+    # sizes grow with the rows, so they are merged; a large bucket's rows are dealt over many tasks
+    key = ["table", "bucket"]
+    shared = spread_join(rows, sizes.hint("merge"), key, hot_keys(sizes, key, len(covering_masks(radius)) * distinct.count()), ["fp"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     groups = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("block_a"), F.lit(0).alias("block_b")))).otherwise(
