@@ -28,3 +28,12 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: Dat
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
     right = table.join(hot, list(keys), "left").withColumn("__part", copies).drop("__parts")
     return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
+def lookup(rows: DataFrame, table: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows with the columns of a table that has one row for each value of its column `name`, which is left out; null where
+    `value` is null or not there. The rows of a frequent value are dealt over many tasks by a hash of all their columns."""
+    keyed = rows.withColumn(name, value)
+    counts = keyed.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(keyed, table, [name], hot_keys(counts, [name], rows.count()), [F.col(f"`{c}`") for c in rows.columns], "left").select(
+        *[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"`{c}`") for c in table.columns if c != name])

@@ -214,11 +214,14 @@ def retrain_compare(spark, d):
 
 @query("model_roundtrip")
 def model_roundtrip(spark, d):
+    """Scores of the test rows by a model of each family, saved and loaded again."""
     train, test = _split(spark, d)
-    fitted = models.pipeline(models.estimators()["logistic"]).fit(models.weighted(train))
-    path = f"{scratch_dir(spark)}/logforge-model-{uuid.uuid4().hex}"
-    models.save(fitted, DOC_FEATURES, path, spark)
-    return models.scores(models.load(path, spark)[0], test)
+    parts = []
+    for name, fitted in models.train_and_compare(train, test)[1].items():
+        path = f"{scratch_dir(spark)}/logforge-model-{uuid.uuid4().hex}"
+        models.save(fitted, DOC_FEATURES, path, spark)
+        parts.append(models.scores(models.load(path, spark)[0], test).select(F.lit(name).alias("model"), "id", "label", "score", "predicted"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("rff_svm")
@@ -303,7 +306,9 @@ def prepare_reports(spark, d):
 
 @query("model_pipeline")
 def model_pipeline(spark, d):
-    table, again = pipelines.model(materialise(documents(spark, d)), DOC_FEATURES, "id", "label", f"{scratch_dir(spark)}/logforge-model-{uuid.uuid4().hex}")
+    """The workload on a prepared table of documents: numbers of the text, and its language and source, which are coded."""
+    more = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    table, again = pipelines.model(materialise(documents(spark, d).join(more, "id")), "label", "id", f"{scratch_dir(spark)}/logforge-model-{uuid.uuid4().hex}")
     return table.unionByName(again, allowMissingColumns=True)
 
 

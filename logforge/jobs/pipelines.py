@@ -101,21 +101,22 @@ def load_prepared(df: DataFrame, target: str, id_col: str, leakage: tuple[str, .
     return rows, names
 
 
-def model(df: DataFrame, names: list[str], id_col: str, label: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Measures of every model family on held-out rows beside those of cross-validation, and of a retrained forest.
+def model(df: DataFrame, target: str, id_col: str, path: str | None = None, leakage: tuple[str, ...] = ("actor_bot_ratio",)) -> tuple[DataFrame, DataFrame]:
+    """Measures of every model family on held-out rows beside those of cross-validation, and of a retrained forest. df is a
+    prepared table, read as load_prepared() does: all text columns coded, gaps filled with medians, known leakage left out.
     Parameters are searched over the training rows' folds; splits are stratified; scalers and weights are fitted on
-    training rows; the threshold is tuned on validation rows. With a path, the best model that Spark ML has is saved."""
-    rows = to_vector(missing.fill_numeric(df, "zero", names), names).select(col(id_col).cast("long").alias("id"), "features", col(label).cast("int").alias("label"))
+    training rows; the threshold is tuned on validation rows. With a path, the best model is saved, of whatever family."""
+    rows, names = load_prepared(df, target, id_col, leakage)
     split = materialise(sampling.train_test_split(rows, "label", "id"))
     train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     folds = materialise(sampling.folds(train, "label", "id"))
-    best, searched = models.search_all(folds)
+    best, searched, known = models.search_all(folds)
     tuned = models.tuned(searched)
     scored = [models.scores(m, test).withColumn("model", F.lit(n)) for n, m in best.items()]
     table = models.measures_by(materialise(reduce(DataFrame.unionByName, scored)), ["model"])
-    table = materialise(models.with_cv(table, models.cross_validate(folds, tuned)))
+    table = materialise(models.with_cv(table, models.cross_validate(folds, tuned, known=known)))
     if path is not None:
-        first = table.where(F.col("model").isin(*models.estimators())).orderBy(F.desc("f1"), "model").first()["model"]
+        first = table.orderBy(F.desc("f1"), "model").first()["model"]
         models.save(best[first], names, path, df.sparkSession)
     inner = materialise(sampling.train_test_split(train, "label", "id", seed=43))
     again = models.retrain(inner.where("split = 'train'").drop("split"), inner.where("split = 'test'").drop("split"), test)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logforge.functions.ordered import QUARTILES, exact_quantiles, grouped_medians
+from logforge.functions.passes import blocks, summed
 from logforge.functions.stats import kurtosis_corrected, skew_corrected
 from logforge.operators.missing import batches, col, numeric_columns
 from logforge.operators.quality import _long
@@ -82,23 +84,31 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) for every pair a < b in the order of names: Pearson's r over rows that have both, in one pass; null where
-    a column doesn't vary."""
+def _products(block: dict, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Over the rows that have both of two columns: how many, the sums and squares of the one, and the products."""
+    x = block["x"].astype(float) - shift
+    there = np.isfinite(x)
+    x = np.where(there, x, 0.0)
+    there = there.astype(float)
+    return there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
 
-    def pearson(a: str, b: str) -> Column:
-        x, y = col(a).cast("double"), col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
 
-    pairs = [(a, b) for a, b in combinations(names, 2)]
-    parts = []
-    for k in range(0, len(pairs), 100):
-        part = pairs[k : k + 100]
-        wide = df.agg(*[pearson(a, b).alias(str(i)) for i, (a, b) in enumerate(part)])
-        rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("r")) for i, (a, b) in enumerate(part)])
-        parts.append(wide.select(F.explode(rows).alias("p")).select("p.*"))
-    return reduce(DataFrame.unionByName, parts)
+def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, r) for every pair a < b in the order of names: Pearson's r over rows that have both (finite) values; null where
+    a column doesn't vary. One scan for all pairs: partitions add up four products of the columns' matrix and of its mask."""
+    schema = "a string, b string, r double"
+    pairs = list(combinations(range(len(names)), 2))
+    values = df.select(F.array(*[col(c).cast("double") for c in names]).alias("x"))
+    if not pairs or (start := values.first()) is None:
+        return df.sparkSession.createDataFrame([(names[i], names[j], None) for i, j in pairs], schema)
+    shift = np.array([0.0 if v is None or not np.isfinite(v) else v for v in start.x])  # near the values, so that sums keep their digits
+    n, sums, squares, products = summed(blocks(values), _products, shift)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - sums**2 / n
+        spread = np.where(spread > 1e-13 * squares, spread, np.nan)
+        r = (products - sums * sums.T / n) / np.sqrt(spread * spread.T)
+    rows = [(names[i], names[j], float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, j in pairs]  # a row for each pair of columns
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def top_correlations(df: DataFrame, names: list[str], most: int = 10) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+import pandas as pd
+from pyspark import RDD
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.functions.passes import blocks, summed, uniform
 from logforge.operators.cluster_quality import silhouette_by_clusters
 from logforge.operators.graph import connected_components
 from logforge.operators.knn import within
@@ -19,40 +24,257 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.select("id", "x", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
 
 
+#: Rows whose distances to all centres are held at once.
+_AT_ONCE = 2_048
+
+
+def _blocks(df: DataFrame) -> tuple[RDD, int]:
+    """Blocks of x, its squared length and a key of the id, and the number of rows."""
+    rows = materialise(df.select(F.col("x").cast("array<double>").alias("x"), F.xxhash64("id").alias("key")))
+    n = rows.count()
+    return blocks(rows, n), n
+
+
+def _parts(block: dict):
+    for at in range(0, len(block["x"]), _AT_ONCE):
+        yield block["x"][at : at + _AT_ONCE], block["key"][at : at + _AT_ONCE]
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)[None, :], 0)
+
+
+def _drawn(block: dict, state: list) -> tuple[np.ndarray, ...]:
+    """For each set of centres the row that a race draws: with chances as the squared distances to the nearest centre."""
+    best, rows = np.full(len(state), np.inf), np.zeros((len(state), block["x"].shape[1]))
+    for x, key in _parts(block):
+        for k, (salt, centres) in enumerate(state):
+            far = _distances(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
+            race = np.full(len(x), np.inf)
+            some = far > 0
+            race[some] = -np.log1p(-uniform(key[some], salt)) / far[some]
+            first = race.argmin()
+            if race[first] < best[k]:
+                best[k], rows[k] = race[first], x[first]
+    return best, rows
+
+
+def _first(a: tuple, b: tuple) -> tuple:
+    return np.minimum(a[0], b[0]), np.where((a[0] <= b[0])[:, None], a[1], b[1])
+
+
+def _seeds(rows: RDD, sets: list[tuple[int, int]]) -> list[np.ndarray]:
+    """k-means++ seeds for many (k, salt): every pass over the rows draws the next seed of all sets."""
+    found = [np.empty((0, 0)) for _ in sets]
+    for step in range(max(k for k, _ in sets)):
+        wanted = [j for j, (k, _) in enumerate(sets) if k > step]
+        race, drawn = summed(rows, _drawn, [(sets[j][1] * 1_009 + step, found[j]) for j in wanted], _first)
+        for j, r, row in zip(wanted, race, drawn):
+            if np.isfinite(r):  # else there are fewer different rows than that
+                found[j] = np.vstack([found[j].reshape(-1, len(row)), row])
+    return found
+
+
+def _moved(block: dict, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """For each set of centres: rows and their sum by centre, and the inertia."""
+    every = np.vstack(sets)
+    ends = np.cumsum([len(s) for s in sets])
+    n, sums, inertia = np.zeros(len(every)), np.zeros(every.shape), np.zeros(len(sets))
+    for x, _ in _parts(block):
+        far = _distances(x, every)  # of all sets in one product
+        for k, (end, own) in enumerate(zip(ends, sets)):
+            part = far[:, end - len(own) : end]
+            near = part.argmin(axis=1)
+            inertia[k] += part[np.arange(len(x)), near].sum()
+            mark = np.zeros((len(own), len(x)))
+            mark[near, np.arange(len(x))] = 1
+            n[end - len(own) : end] += mark.sum(axis=1)
+            sums[end - len(own) : end] += mark @ x
+    return n, sums, inertia
+
+
+def _kmeans(rows: RDD, sets: list[np.ndarray], most: int = 50, near: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
+    """Lloyd's iterations of all sets of centres, one pass for each; sets that have settled take no further part. Also the
+    inertia of each."""
+    sets, inertia, open_ = list(sets), np.zeros(len(sets)), list(range(len(sets)))
+    for step in range(most + 1):
+        n, sums, costs = summed(rows, _moved, [sets[j] for j in open_])
+        ends, left = np.cumsum([len(sets[j]) for j in open_]), []
+        for j, end, cost in zip(open_, ends, costs):
+            own = slice(end - len(sets[j]), end)
+            inertia[j] = cost
+            new = np.where(n[own, None] > 0, sums[own] / np.maximum(n[own, None], 1), sets[j])
+            if step < most and np.sqrt(((new - sets[j]) ** 2).sum(axis=1)).max() > near:
+                sets[j] = new
+                left.append(j)
+        open_ = left
+        if not open_:
+            break
+    return sets, inertia
+
+
+def _silhouettes(rows: RDD, sets: list[np.ndarray]) -> list[float | None]:
+    """The mean silhouette of each set's clustering, by squared distances: two passes for all sets. None with one cluster."""
+
+    def totals(block: dict, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        n, sums, squares = [], [], []
+        for c in sets:
+            near = _distances(block["x"], c).argmin(axis=1)
+            n.append(np.bincount(near, minlength=len(c)))
+            sums.append(np.stack([block["x"][near == k].sum(axis=0) for k in range(len(c))]))
+            squares.append(np.bincount(near, (block["x"] ** 2).sum(axis=1), len(c)))
+        return np.concatenate(n), np.concatenate(sums), np.concatenate(squares)
+
+    def widths(block: dict, state: tuple) -> tuple[np.ndarray, ...]:
+        sets, n, sums, squares = state
+        x, out, at = block["x"], np.zeros(len(sets)), 0
+        for k, c in enumerate(sets):
+            own = slice(at, at + len(c))
+            at += len(c)
+            near, each = _distances(x, c).argmin(axis=1), np.arange(len(x))
+            whole = n[own] * (x**2).sum(axis=1)[:, None] + squares[own] - 2 * x @ sums[own].T
+            mean = np.where(n[own] > 0, whole / np.maximum(n[own], 1), np.inf)
+            alone = n[own][near] < 2
+            a = whole[each, near] / np.maximum(n[own][near] - 1, 1)
+            mean[each, near] = np.inf
+            b = mean.min(axis=1)
+            top = np.maximum(a, b)
+            out[k] = np.where(alone | (top <= 0) | ~np.isfinite(b), 0, (b - a) / np.where(top > 0, top, 1)).sum()
+        return (out,)
+
+    n, sums, squares = summed(rows, totals, sets)
+    found = summed(rows, widths, (sets, n, sums, squares))[0]
+    ends = np.cumsum([len(c) for c in sets])
+    used = [(n[e - len(c) : e] > 0).sum() for e, c in zip(ends, sets)]
+    return [float(f / n[: len(sets[0])].sum()) if u > 1 else None for f, u in zip(found, used)]
+
+
+def _assigned(df: DataFrame, f) -> DataFrame:
+    """(id, cluster), where f gives the clusters of a matrix of rows."""
+
+    @F.pandas_udf("int")
+    def cluster(x: pd.Series) -> pd.Series:
+        return pd.Series(f(np.stack(x.to_numpy()).astype(float)) if len(x) else [], dtype="int32")
+
+    return df.select("id", cluster(F.col("x").cast("array<double>")).alias("cluster"))
+
+
 def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), restarts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(k, inertia, silhouette) for each k, best of some restarts by inertia; and (id, cluster) of the best silhouette."""
-    rows = _vectors(df).persist()
-    judge, found, best = ClusteringEvaluator(predictionCol="cluster"), [], None
-    for k in ks:
-        tries = [KMeans(k=k, seed=seed + r, predictionCol="cluster", maxIter=50).fit(rows) for r in range(restarts)]
-        model = min(tries, key=lambda m: m.summary.trainingCost)
-        out = model.transform(rows)
-        value = judge.evaluate(out) if out.select("cluster").distinct().limit(2).count() > 1 else float("nan")
-        found.append((k, float(model.summary.trainingCost), float(value)))
-        if best is None or value > best[0]:
-            best = value, model
-    labels = materialise(best[1].transform(rows).select("id", "cluster"))
+    """(k, inertia, silhouette) for each k, best of some restarts by inertia; and (id, cluster) of the best silhouette.
+
+    All restarts of all k go together: a pass over the rows draws the next k-means++ seed of each, or moves the centres of
+    each. With fewer different rows than k there are fewer clusters."""
+    rows, _ = _blocks(df)
+    runs = [(k, seed + r) for k in ks for r in range(restarts)]
+    sets, inertia = _kmeans(rows, _seeds(rows, runs))
+    best = [min((j for j, (own, _) in enumerate(runs) if own == k), key=lambda j: (inertia[j], j)) for k in ks]
+    widths = _silhouettes(rows, [sets[j] for j in best])
     rows.unpersist()
+    found = [(k, float(inertia[j]), w) for k, j, w in zip(ks, best, widths)]
+    chosen = sets[max(zip(best, widths), key=lambda p: -2.0 if p[1] is None else p[1])[0]]
+    labels = materialise(_assigned(df, lambda x: _distances(x, chosen).argmin(axis=1)))
     return df.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double"), labels
 
 
+@dataclass
+class Mixture:
+    """Weights, means and covariances of Gaussian components."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """The log of weight times density, of each row and component."""
+        out = np.empty((len(x), len(self.weights)))
+        for k, (w, mean, cov) in enumerate(zip(self.weights, self.means, self.covariances)):
+            low = np.linalg.cholesky(cov)
+            z = np.linalg.solve(low, (x - mean).T)
+            out[:, k] = np.log(max(w, 1e-300)) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * len(mean) * np.log(2 * np.pi)
+        return out
+
+
+def _expected(block: dict, state: list) -> tuple[np.ndarray, ...]:
+    """For each mixture (or set of centres, at the start): the sums that its components are estimated from, and the log
+    likelihood."""
+    d = block["x"].shape[1]
+    sizes = [len(m) if isinstance(m, np.ndarray) else len(m.weights) for m in state]
+    n, sums, products, logs = np.zeros(sum(sizes)), np.zeros((sum(sizes), d)), np.zeros((sum(sizes), d, d)), np.zeros(len(state))
+    for x, _ in _parts(block):
+        at = 0
+        for j, (m, size) in enumerate(zip(state, sizes)):
+            if isinstance(m, np.ndarray):
+                share = np.zeros((len(x), size))
+                share[np.arange(len(x)), _distances(x, m).argmin(axis=1)] = 1
+            else:
+                log = m.logs(x)
+                top = log.max(axis=1)
+                total = top + np.log(np.exp(log - top[:, None]).sum(axis=1))
+                logs[j] += total.sum()
+                share = np.exp(log - total[:, None])
+            for k in range(size):
+                products[at + k] += (x * share[:, k, None]).T @ x
+            n[at : at + size] += share.sum(axis=0)
+            sums[at : at + size] += share.T @ x
+            at += size
+    return n, sums, products, logs
+
+
+def _mixtures(rows: RDD, n_rows: int, starts: list[np.ndarray], most: int = 100, near: float = 1e-3, ridge: float = 1e-6) -> tuple[list[Mixture], np.ndarray]:
+    """Expectation and maximisation of all mixtures from their starting centres, one pass for each round; those whose mean log
+    likelihood gains less than `near` take no further part. Also the log likelihood of each."""
+    state, logs, open_ = list(starts), np.full(len(starts), -np.inf), list(range(len(starts)))
+    for step in range(most + 1):
+        n, sums, products, found = summed(rows, _expected, [state[j] for j in open_])
+        at, left = 0, []
+        for j, log in zip(open_, found):
+            size = len(state[j]) if isinstance(state[j], np.ndarray) else len(state[j].weights)
+            own, at = slice(at, at + size), at + size
+            if step:
+                gain, logs[j] = (log - logs[j]) / n_rows, log
+                if gain < near or step == most:
+                    continue
+            count = np.maximum(n[own], 1e-10)[:, None]
+            means = sums[own] / count
+            covs = products[own] / count[:, :, None] - means[:, :, None] * means[:, None, :] + ridge * np.eye(means.shape[1])
+            covs = (covs + covs.transpose(0, 2, 1)) / 2
+            state[j] = Mixture(n[own] / n_rows, means, np.stack([_definite(c, ridge) for c in covs]))
+            left.append(j)
+        open_ = left
+        if not open_:
+            break
+    return state, logs
+
+
+def _definite(c: np.ndarray, ridge: float) -> np.ndarray:
+    """c, with eigenvalues of `ridge` at least: a component of few rows has a flat covariance."""
+    values, vectors = np.linalg.eigh(c)
+    return c if values[0] >= ridge / 2 else (vectors * np.maximum(values, ridge)) @ vectors.T
+
+
 def gmm_sweep(df: DataFrame, ks: range = range(2, 9), restarts: int = 3, seed: int = 42, final: int = 5) -> tuple[DataFrame, DataFrame]:
     """(k, log_likelihood, bic) for each k, best of some restarts; and (id, cluster) of the least BIC, best of `final`
-    restarts."""
-    rows = _vectors(df).persist()
-    n, d = rows.count(), rows.select(F.size("x")).first()[0]
-    found, best = [], None
+    restarts. A restart begins with a k-means clustering. All restarts of all k go together, in the same passes."""
+    rows, n = _blocks(df)
+    runs = [(k, seed + r) for k in ks for r in range(max(restarts, final))]
+    starts, _ = _kmeans(rows, _seeds(rows, runs), most=10)
+    d = starts[0].shape[1]
+    early = [j for j, (_, s) in enumerate(runs) if s < seed + restarts]
+    fitted, logs = _mixtures(rows, n, [starts[j] for j in early])
+    found, chosen = [], None
     for k in ks:
-        tries = [GaussianMixture(k=k, seed=seed + r, predictionCol="cluster", maxIter=50).fit(rows) for r in range(restarts)]
-        model = max(tries, key=lambda m: m.summary.logLikelihood)
+        j = max((j for j, e in enumerate(early) if runs[e][0] == k), key=lambda j: (logs[j], -j))
         free = k * d * (d + 1) / 2 + k * d + k - 1
-        bic = -2 * model.summary.logLikelihood + free * np.log(n)
-        found.append((k, float(model.summary.logLikelihood), float(bic)))
-        if best is None or bic < best[0]:
-            best = bic, model, k
-    more = [GaussianMixture(k=best[2], seed=seed + r, predictionCol="cluster", maxIter=50).fit(rows) for r in range(restarts, final)]
-    labels = materialise(max([best[1], *more], key=lambda m: m.summary.logLikelihood).transform(rows).select("id", "cluster"))
+        bic = -2 * logs[j] + free * np.log(n)
+        found.append((k, float(logs[j]), float(bic)))
+        if chosen is None or bic < chosen[0]:
+            chosen = bic, k, logs[j], fitted[j]
+    late = [j for j, (k, s) in enumerate(runs) if k == chosen[1] and s >= seed + restarts]
+    more, logs = _mixtures(rows, n, [starts[j] for j in late]) if late else ([], [])
     rows.unpersist()
+    model = max([(chosen[2], 0, chosen[3]), *[(log, -j - 1, m) for j, (log, m) in enumerate(zip(logs, more))]], key=lambda c: c[:2])[2]
+    labels = materialise(_assigned(df, lambda x: model.logs(x).argmax(axis=1)))
     return df.sparkSession.createDataFrame(found, "k int, log_likelihood double, bic double"), labels
 
 

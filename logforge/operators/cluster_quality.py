@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.functions.skew import hot_keys, spread_join
 from logforge.operators.knn import block_pairs, distances
 from logforge.operators.missing import col
 
@@ -40,7 +41,9 @@ def davies_bouldin(df: DataFrame, cluster: str = "cluster", vector: str = "x") -
     clusters meet, however many clusters there are."""
     rows = _members(df, cluster, vector)
     c = centroids(df, cluster, vector)
-    spread = rows.join(c, "cluster").groupBy("cluster", "centroid").agg(F.avg(F.sqrt(_square(F.col("x"), F.col("centroid")))).alias("s"))
+    # a large cluster's rows meet copies of its centroid in many tasks
+    hot = hot_keys(c, ["cluster"], c.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    spread = spread_join(rows, c, ["cluster"], hot, ["x"]).groupBy("cluster", "centroid").agg(F.avg(F.sqrt(_square(F.col("x"), F.col("centroid")))).alias("s"))
     spread = materialise(spread.select(F.col("cluster").alias("id"), F.col("centroid").alias("x"), "s"))
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logforge.functions.skew import lookup
 from logforge.operators.missing import col
 
 #: Texts that mean there is no access type.
@@ -35,9 +36,9 @@ def actor_table(df: DataFrame, actor: str, ts: str, label: str | None = None, gr
 
 
 def attach_actor(df: DataFrame, table: DataFrame, actor: str) -> DataFrame:
-    """df with an actor table's columns; null for a null or unknown actor. The join is of the events with a row for
-    each actor: Spark broadcasts that table if it is small, and splits the hot actors' partitions if it isn't."""
-    return df.join(table, col(actor) == F.col("__actor"), "left").drop("__actor")
+    """df with an actor table's columns; null for a null or unknown actor. A hot actor's events meet copies of its row in
+    many tasks."""
+    return lookup(df, table, col(actor), "__actor")
 
 
 def programmatic_flag(access: str) -> Column:
@@ -51,7 +52,7 @@ def integration_flag(name: str) -> Column:
 def flag_members(df: DataFrame, name: str, members: DataFrame, out: str) -> DataFrame:
     """df with a flag: whether the column's value is in a table of distinct values, which has the same column name."""
     known = members.select(col(name).alias("__value")).distinct().withColumn("__in", F.lit(True))
-    return df.join(known, col(name) == F.col("__value"), "left").withColumn(out, F.coalesce("__in", F.lit(False))).drop("__value", "__in")
+    return lookup(df, known, col(name), "__value").withColumn(out, F.coalesce("__in", F.lit(False))).drop("__in")
 
 
 def drop_flagged(df: DataFrame, flag: str) -> DataFrame:

@@ -12,19 +12,22 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.functions.passes import blocks
 from logforge.operators import evaluate as ev
+from logforge.operators import linear, trees
 from logforge.operators.balance import class_weights, smote
 from logforge.operators.knn import nearest, vote
 from logforge.operators.sampling import learning_steps
+from logforge.operators.trees import Boosting
 
 #: Spark's trees are at most this deep; "no limit" means this.
 DEEPEST = 30
@@ -39,16 +42,16 @@ def estimators(seed: int = 42) -> dict:
     """One untuned estimator of each family that Spark ML has."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": LogisticRegression(maxIter=50, weightCol="weight", **common),
+        # the pipeline's scaler has standardised the features
+        "logistic": LogisticRegression(maxIter=50, weightCol="weight", standardization=False, **common),
         "tree": DecisionTreeClassifier(maxDepth=8, weightCol="weight", seed=seed, **common),
         "forest": RandomForestClassifier(numTrees=20, maxDepth=8, weightCol="weight", seed=seed, **common),
-        "boosting": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common),
     }
 
 
 def families(seed: int = 42) -> dict:
     """One untuned estimator of each of the six families."""
-    return estimators(seed) | {"svm": KernelSvm(seed=seed), "neighbours": Neighbours()}
+    return estimators(seed) | {"boosting": Boosting(seed=seed), "svm": KernelSvm(seed=seed), "neighbours": Neighbours()}
 
 
 def grids(rows: int) -> dict[str, list[dict]]:
@@ -62,7 +65,7 @@ def grids(rows: int) -> dict[str, list[dict]]:
         "logistic": every(regParam=[1 / (c * max(1, rows)) for c in (0.01, 0.1, 1.0, 10.0)], elasticNetParam=[0.0, 1.0]),
         "tree": every(maxDepth=[3, 5, 10, DEEPEST], minInstancesPerNode=[1, 5, 10], impurity=["gini", "entropy"]),
         "forest": every(numTrees=[100, 200], maxDepth=[10, 20, DEEPEST], minInstancesPerNode=[1, 5]),
-        "boosting": every(maxIter=[50, 100], maxDepth=[3, 5, 7], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0]),
+        "boosting": every(rounds=[50, 100], depth=[3, 5, 7], rate=[0.05, 0.1], share=[0.8, 1.0]),
         "svm": every(c=[1.0, 10.0]),
         "neighbours": every(k=[5, 11], by_distance=[False, True]),
     }
@@ -82,7 +85,7 @@ def pipeline(estimator) -> Pipeline:
 
 def fit(estimator, train: DataFrame):
     """A fitted model, classes weighted; its scaler is fitted on the training rows alone."""
-    return estimator.fit(train) if isinstance(estimator, (KernelSvm, Neighbours)) else pipeline(estimator).fit(weighted(train))
+    return estimator.fit(train) if isinstance(estimator, OWN) else pipeline(estimator).fit(weighted(train))
 
 
 def scores(model, df: DataFrame) -> DataFrame:
@@ -125,6 +128,17 @@ class Neighbours:
     def scores(self, df: DataFrame) -> DataFrame:
         return self.voted(self.near(df), df, self.k, self.by_distance)
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.scaler.write().overwrite().save(f"{path}/scaler")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        _write_own(spark, path, {"k": self.k, "by_distance": self.by_distance})
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Neighbours:
+        model = cls(**_read_own(spark, path))
+        model.scaler, model.rows = StandardScalerModel.load(f"{path}/scaler"), spark.read.parquet(f"{path}/rows")
+        return model
+
 
 class KernelSvm:
     """A linear SVM on random Fourier features of standardised features, which approximates an RBF SVM with gamma
@@ -149,6 +163,32 @@ class KernelSvm:
     def scores(self, df: DataFrame) -> DataFrame:
         return scores(self.model, self._mapped(df))
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.scaler.write().overwrite().save(f"{path}/scaler")
+        self.model.write().overwrite().save(f"{path}/svm")
+        # the random features are drawn again from their seed
+        _write_own(spark, path, {"c": self.c, "n": self.n, "seed": self.seed, "size": self.size, "gamma": self.gamma})
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> KernelSvm:
+        own = _read_own(spark, path)
+        model = cls(own["c"], own["n"], own["seed"])
+        model.size, model.gamma = own["size"], own["gamma"]
+        model.scaler, model.model = StandardScalerModel.load(f"{path}/scaler"), LinearSVCModel.load(f"{path}/svm")
+        return model
+
+
+#: The families that are no Spark ML pipelines; they fit, score, save and load themselves.
+OWN = (Neighbours, KernelSvm, Boosting)
+
+
+def _write_own(spark: SparkSession, path: str, own: dict) -> None:
+    spark.createDataFrame([(json.dumps(own),)], "own string").coalesce(1).write.mode("overwrite").text(f"{path}/own")
+
+
+def _read_own(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/own").first()[0])
+
 
 MEASURES = ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")
 
@@ -244,15 +284,92 @@ def search_own(df: DataFrame, family: str, combinations: Sequence[dict]):
     return model, _searched(df.sparkSession, combinations, [f1[k] for k in range(len(combinations))])
 
 
-def search_all(df: DataFrame, seed: int = 42) -> tuple[dict, DataFrame]:
-    """The best model of every family, and (family, parameters, f1) of all combinations searched: whole grids, but for
-    forest and boosting 20 combinations that are drawn, or all if there are fewer."""
-    found = {}
-    for family, grid in grids(df.where("fold <> 0").count()).items():
-        own = draw(grid, 20, seed) if family in ("forest", "boosting") else grid
-        found[family] = search_own(df, family, own) if family in ("svm", "neighbours") else search(df, estimators(seed)[family], own)
-    table = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("family"), "parameters", "f1") for n, (_, t) in found.items()])
-    return {n: m for n, (m, _) in found.items()}, table
+def _f1(counts: np.ndarray, combinations: int) -> list[float]:
+    """The mean F1 over folds of each combination, from (combinations x folds, 4) counts of outcomes."""
+    _, fp, fn, tp = counts.T
+    f1 = np.divide(2 * tp, 2 * tp + fp + fn, out=np.zeros(len(tp)), where=tp > 0)
+    return f1.reshape(combinations, -1).mean(axis=1).tolist()
+
+
+def _folds_of(df: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    rows = df.withColumn("fold", F.col("fold").cast("int")).persist()
+    n, last = rows.agg(F.count(F.lit(1)), F.max("fold")).first()
+    return rows, n, list(range(last + 1))
+
+
+def search_logistic(df: DataFrame, combinations: Sequence[dict], seed: int = 42):
+    """As search(), with all combinations and folds fitted in the same passes over the rows."""
+    rows, n, folds = _folds_of(df)
+    held = blocks(rows.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"), "fold"), n)
+    fits = [linear.Fit(f, c["regParam"], c["elasticNetParam"]) for c in combinations for f in folds]
+    thetas, scale, _ = linear.fit_many(held, fits)
+    f1 = _f1(linear.validated(held, fits, thetas, scale), len(combinations))
+    held.unpersist()
+    base = estimators(seed)["logistic"]
+    best = combinations[max(range(len(f1)), key=lambda k: (f1[k], -k))]
+    model = fit(base.copy({base.getParam(k): v for k, v in best.items()}), df)
+    rows.unpersist()
+    return model, _searched(df.sparkSession, combinations, f1)
+
+
+def search_trees(df: DataFrame, combinations: Sequence[dict], seed: int = 42):
+    """As search(): trees of all folds grow side by side, and those that differ by depth alone are one tree, cut at each."""
+    rows, n, folds = _folds_of(df)
+    bounds = trees.edges(rows, "features", len(rows.select("features").first()[0]))
+    held = trees.prepared(rows, bounds, n)
+    deepest = max(c["maxDepth"] for c in combinations)
+    kinds = list(dict.fromkeys((c["minInstancesPerNode"], c["impurity"]) for c in combinations))
+    runs = {(kind, f): trees.Run(f, deepest, *kind) for kind in kinds for f in folds}
+    trees.grow(held, list(runs.values()))
+    asked = [(runs[(c["minInstancesPerNode"], c["impurity"]), f], None, c["maxDepth"]) for c in combinations for f in folds]
+    f1 = _f1(trees.validated(held, asked), len(combinations))
+    held.unpersist()
+    base = estimators(seed)["tree"]
+    best = combinations[max(range(len(f1)), key=lambda k: (f1[k], -k))]
+    model = fit(base.copy({base.getParam(k): v for k, v in best.items()}), df)
+    rows.unpersist()
+    return model, _searched(df.sparkSession, combinations, f1)
+
+
+def search_boosting(df: DataFrame, combinations: Sequence[dict], seed: int = 42):
+    """As search(): boosted trees of all folds, and of all rows, grow side by side, and combinations that differ by the number
+    of rounds alone are one sequence of trees. Also gives the best one's scores of the rows that each fold left out."""
+    rows, n, folds = _folds_of(df)
+    bounds = trees.edges(rows, "features", len(rows.select("features").first()[0]))
+    held = trees.prepared(rows, bounds, n)
+    most = max(c["rounds"] for c in combinations)
+    kinds = list(dict.fromkeys((c["depth"], c["rate"], c["share"]) for c in combinations))
+    runs = {(kind, f): Boosting(most, *kind, seed=seed).run(f) for kind in kinds for f in [*folds, -1]}
+    trees.grow(held, list(runs.values()))
+    own = lambda c, f: runs[(c["depth"], c["rate"], c["share"]), f]
+    f1 = _f1(trees.validated(held, [(own(c, f), c["rounds"], None) for c in combinations for f in folds]), len(combinations))
+    held.unpersist()
+    best = combinations[max(range(len(f1)), key=lambda k: (f1[k], -k))]
+
+    def model(out: int) -> Boosting:
+        made = Boosting(**best, seed=seed)
+        made.bounds, made.grown = bounds, made.run(out)
+        made.grown.start, made.grown.trees = own(best, out).start, own(best, out).trees[: best["rounds"]]
+        return made
+
+    left_out = [model(f).scores(rows.where(F.col("fold") == f)).withColumn("fold", F.lit(f)) for f in folds]
+    scored = materialise(reduce(DataFrame.unionByName, left_out))
+    rows.unpersist()
+    return model(-1), _searched(df.sparkSession, combinations, f1), scored
+
+
+def search_all(df: DataFrame, seed: int = 42) -> tuple[dict, DataFrame, dict[str, DataFrame]]:
+    """The best model of every family; (family, parameters, f1) of all combinations searched: whole grids, but for forest and
+    boosting 20 combinations that are drawn, or all if there are fewer; and, of the families whose search keeps them, the
+    scores of the rows that each fold left out."""
+    whole = grids(df.where("fold <> 0").count())
+    own = {n: draw(g, 20, seed) if n in ("forest", "boosting") else g for n, g in whole.items()}
+    found = dict(zip(own, _together([
+        partial(search_logistic, df, own["logistic"], seed), partial(search_trees, df, own["tree"], seed),
+        partial(search, df, estimators(seed)["forest"], own["forest"]), partial(search_boosting, df, own["boosting"], seed),
+        partial(search_own, df, "svm", own["svm"]), partial(search_own, df, "neighbours", own["neighbours"])])))
+    table = reduce(DataFrame.unionByName, [f[1].select(F.lit(n).alias("family"), "parameters", "f1") for n, f in found.items()])
+    return {n: f[0] for n, f in found.items()}, table, {n: f[2] for n, f in found.items() if len(f) > 2}
 
 
 def tuned(searched: DataFrame, seed: int = 42) -> dict:
@@ -262,13 +379,15 @@ def tuned(searched: DataFrame, seed: int = 42) -> dict:
         if r.family not in out:
             own = json.loads(r.parameters)
             base = plain[r.family]
-            out[r.family] = type(base)(**own) if r.family in ("svm", "neighbours") else base.copy({base.getParam(k): v for k, v in own.items()})
+            out[r.family] = type(base)(**own) if isinstance(base, OWN) else base.copy({base.getParam(k): v for k, v in own.items()})
     return out
 
 
-def cross_validate(df: DataFrame, models: dict, resample: bool = False, seed: int = 42) -> DataFrame:
+def cross_validate(df: DataFrame, models: dict, resample: bool = False, seed: int = 42, known: dict[str, DataFrame] | None = None) -> DataFrame:
     """(model, metric, mean, std) of each of the models (name: estimator) over the folds in column fold; std is the
-    population's. With resample, synthetic rows are made inside each fold's training rows only."""
+    population's. With resample, synthetic rows are made inside each fold's training rows only. known: models whose
+    scores of the rows left out are there already (id, label, score, predicted, fold)."""
+    known = known or {}
     rows = df.persist()
 
     def of_fold(fold: int, name: str, estimator) -> DataFrame:
@@ -279,7 +398,8 @@ def cross_validate(df: DataFrame, models: dict, resample: bool = False, seed: in
         return scores(fit(estimator, train), rows.where(F.col("fold") == fold)).withColumns({"model": F.lit(name), "fold": F.lit(fold)})
 
     folds = range(rows.agg(F.max("fold")).first()[0] + 1)
-    scored = _together([partial(of_fold, k, n, e) for n, e in models.items() for k in folds])
+    scored = _together([partial(of_fold, k, n, e) for n, e in models.items() if n not in known for k in folds])
+    scored += [df.withColumn("model", F.lit(n)) for n, df in known.items() if n in models]
     names = ("accuracy", "f1", "roc_auc")
     each = measures_by(materialise(reduce(DataFrame.unionByName, scored)), ["model", "fold"], names)
     long = each.unpivot(["model", "fold"], list(names), "metric", "value")
@@ -349,14 +469,22 @@ def retrain(train: DataFrame, valid: DataFrame, test: DataFrame, estimator=None,
     return _table(train.sparkSession, rows, _METRICS)
 
 
-def save(model: PipelineModel, names: Sequence[str], path: str, spark: SparkSession) -> None:
-    """Model, scaler and the ordered list of features, in one folder of any file system that Spark writes to."""
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(json.dumps(list(names)),)], "features string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+def save(model, names: Sequence[str], path: str, spark: SparkSession) -> None:
+    """A model of any family with its scaler, and the ordered list of features, in one folder of any file system that Spark
+    writes to."""
+    if isinstance(model, OWN):
+        model.save(f"{path}/model", spark)
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    kept = json.dumps({"kind": type(model).__name__, "features": list(names)})
+    spark.createDataFrame([(kept,)], "features string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
 
 
-def load(path: str, spark: SparkSession) -> tuple[PipelineModel, list[str]]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/features").first()[0])
+def load(path: str, spark: SparkSession) -> tuple:
+    """(model, feature names) of what save() wrote."""
+    kept = json.loads(spark.read.text(f"{path}/features").first()[0])
+    own = {c.__name__: c for c in OWN}.get(kept["kind"])
+    return PipelineModel.load(f"{path}/model") if own is None else own.load(f"{path}/model", spark), kept["features"]
 
 
 def fourier_features(df: DataFrame, features: str, size: int, gamma: float, n: int = 256, seed: int = 42) -> DataFrame:

@@ -57,16 +57,19 @@ def test_ward_merges_the_nearest():
 def test_searches_are_whole(spark, monkeypatch):
     seen = {}
 
-    def search(rows, family, combinations):
-        seen[family if isinstance(family, str) else type(family).__name__] = rows, list(combinations)
-        return None, spark.createDataFrame([("{}", 1.0)], "parameters string, f1 double")
+    def spy(name):
+        def search(rows, *rest):
+            family = name or (rest[0] if isinstance(rest[0], str) else type(rest[0]).__name__)
+            seen[family] = rows, list(rest[0] if name else rest[1])
+            return None, spark.createDataFrame([("{}", 1.0)], "parameters string, f1 double")
 
-    monkeypatch.setattr(models, "search", search)
-    monkeypatch.setattr(models, "search_own", search)
+        return search
+
+    for function, name in (("search", None), ("search_own", None), ("search_logistic", "logistic"), ("search_trees", "tree"), ("search_boosting", "boosting")):
+        monkeypatch.setattr(models, function, spy(name))
     assert {r.family for r in learn_queries.QUERIES["grid_search"](spark, DATA).collect()} == {"logistic", "tree", "forest", "boosting", "svm", "neighbours"}
-    assert {k: len(c) for k, (_, c) in seen.items()} == {
-        "LogisticRegression": 8, "DecisionTreeClassifier": 24, "RandomForestClassifier": 12, "GBTClassifier": 20, "svm": 2, "neighbours": 4}
-    rows, logistic = seen["LogisticRegression"]
+    assert {k: len(c) for k, (_, c) in seen.items()} == {"logistic": 8, "tree": 24, "RandomForestClassifier": 12, "boosting": 20, "svm": 2, "neighbours": 4}
+    rows, logistic = seen["logistic"]
     assert {r.fold for r in rows.select("fold").distinct().collect()} == set(range(5))
     n = rows.where("fold <> 0").count()
     assert sorted({c["regParam"] for c in logistic}) == sorted(1 / (c * n) for c in (0.01, 0.1, 1.0, 10.0))
