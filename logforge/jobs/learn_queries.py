@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logforge.functions.lineage import materialise, scratch_dir
 from logforge.jobs import pipelines
 from logforge.jobs.prepare_queries import masked, rounded
-from logforge.operators import anomaly, balance, cluster, knn, models, sampling, typing_rules
+from logforge.operators import anomaly, balance, cluster, knn, models, sampling, scale, typing_rules
 from logforge.operators import reduce as dr
 from logforge.sources.tables import read_prepared, read_table, write_csv
 from logforge.streaming import volume
@@ -236,9 +236,7 @@ def kmeans_sweep(spark, d):
 
 @query("gmm_bic")
 def gmm_bic(spark, d):
-    p = dr.to_vector(points(spark, d), ["x"])
-    flat = dr.Pca(p, "features", 4).transform(p)
-    return cluster.gmm_sweep(flat.select("id", F.array("PC_1", "PC_2", "PC_3", "PC_4").alias("x")))[0]
+    return cluster.gmm_sweep(scaled_documents(spark, d))[0]
 
 
 @query("ward_two_stage")
@@ -256,26 +254,55 @@ def _dbscan_sql(eps: float, least: int, source: str) -> str:
     SELECT e.id, coalesce(any_value(c.cluster), min(o.cluster), -1) AS cluster FROM e LEFT JOIN cores c ON c.id = e.id LEFT JOIN near ON near.a = e.id LEFT JOIN cores o ON o.id = near.b GROUP BY 1"""
 
 
-#: Two coordinates of each vector, where neighbourhoods are neither empty nor everything.
-_FLAT = "(SELECT vec_id AS id, [embedding[1], embedding[2]]::double[] AS x FROM embeddings)"
+#: Features of documents, standardised: there the surveyed pairs of parameters differ.
+_Z = f"""(SELECT id, [{', '.join(f'(x[{k}] - avg(x[{k}]) OVER ()) / nullif(stddev_pop(x[{k}]) OVER (), 0)' for k in range(1, len(DOC_FEATURES) + 1))}]::double[] AS x FROM {_DOCS})"""
+_SWEEP = f"""
+    WITH RECURSIVE z AS MATERIALIZED {_Z},
+         p AS (SELECT * FROM (SELECT unnest([0.3, 0.5, 0.7, 1.0, 1.5])::double AS eps), (SELECT unnest([3, 5, 10]) AS least)),
+         near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.x, b.x) AS d FROM z a, z b WHERE a.id <> b.id AND d <= 1.5),
+         core AS MATERIALIZED (SELECT eps, least, z.id FROM p, z LEFT JOIN near ON a = z.id WHERE coalesce(d <= eps, true) GROUP BY ALL HAVING count(b) + 1 >= least),
+         inside AS MATERIALIZED (SELECT c.eps, c.least, a, b FROM near JOIN core c ON c.id = a JOIN core o ON o.id = b AND o.eps = c.eps AND o.least = c.least WHERE d <= c.eps),
+         cores(eps, least, id, cluster) USING KEY (eps, least, id) AS (
+             SELECT eps, least, id, id FROM core
+             UNION (SELECT DISTINCT ON (u.eps, u.least, u.id) u.eps, u.least, u.id, v.cluster FROM recurring.cores u JOIN inside i ON i.eps = u.eps AND i.least = u.least AND i.a = u.id
+                 JOIN cores v ON v.eps = i.eps AND v.least = i.least AND v.id = i.b WHERE v.cluster < u.cluster ORDER BY u.eps, u.least, u.id, v.cluster)),
+         edge AS (SELECT c.eps, c.least, near.a AS id, min(c.cluster) AS cluster FROM near JOIN cores c ON c.id = near.b WHERE d <= c.eps GROUP BY ALL),
+         labels AS (SELECT p.eps, p.least, z.id, coalesce(c.cluster, e.cluster, -1) AS cluster FROM p CROSS JOIN z LEFT JOIN cores c ON c.eps = p.eps AND c.least = p.least AND c.id = z.id
+             LEFT JOIN edge e ON e.eps = p.eps AND e.least = p.least AND e.id = z.id)"""
 
 
-@query("dbscan", _dbscan_sql(0.02, 5, _FLAT))
-def dbscan(spark, d):
-    p = points(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
-    return cluster.dbscan_labels(p, materialise(cluster.within(p, 0.02)), 0.02, 5)
+def scaled_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(id, x): the features of documents, standardised."""
+    rows = dense(spark, d).select("id", *[F.col("x")[k].alias(c) for k, c in enumerate(DOC_FEATURES)])
+    own = scale.fit_standard(rows, DOC_FEATURES)
+    return scale.apply_scale(rows, own).select("id", F.array(*[F.col(f"{c}_scaled") for c in DOC_FEATURES]).alias("x"))
 
 
-@query("dbscan_sweep")
-def dbscan_sweep(spark, d):
-    return cluster.dbscan_sweep(points(spark, d))[0]
+@query("dbscan", _dbscan_sql(0.5, 5, _Z))
+def dbscan(spark, d):
+    p = scaled_documents(spark, d)
+    return cluster.dbscan_many(p, [(0.5, 5)]).drop("run")
 
 
-@query("dbscan_clusters", "SELECT id, cluster FROM (" + _dbscan_sql(0.3, 3, _FLAT) + ")")
+@query("dbscan_sweep", _SWEEP + """
+    SELECT eps, least, count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters, count(*) FILTER (cluster < 0) AS noise FROM labels GROUP BY ALL""")
+def dbscan_sweep(spark, d):
+    return cluster.dbscan_sweep(scaled_documents(spark, d))[0].drop("silhouette")
+
+
+@query("dbscan_clusters", _SWEEP + """,
+         l AS MATERIALIZED (SELECT l.*, x FROM labels l JOIN z USING (id) WHERE cluster >= 0),
+         many AS MATERIALIZED (SELECT l.* FROM l WHERE (eps, least) IN (SELECT (eps, least) FROM l GROUP BY eps, least HAVING count(DISTINCT cluster) > 1)),
+         each AS (SELECT a.eps, a.least, a.id, a.cluster, b.cluster AS other, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
+             FROM many a JOIN many b ON a.eps = b.eps AND a.least = b.least GROUP BY ALL),
+         ab AS (SELECT eps, least, id, max(CASE WHEN cluster = other THEN n END) AS n, max(CASE WHEN cluster = other THEN s / greatest(1, n - 1) END) AS a,
+             min(CASE WHEN cluster <> other THEN s / n END) AS b FROM each GROUP BY ALL),
+         widths AS (SELECT eps, least, avg(CASE WHEN n < 2 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS width FROM ab GROUP BY ALL),
+         best AS (SELECT first(eps ORDER BY round(width, 9) DESC, eps, least) AS eps, first(least ORDER BY round(width, 9) DESC, eps, least) AS least FROM widths)
+    SELECT id, cluster FROM labels WHERE (eps, least) = (SELECT (coalesce(eps, 0.5), coalesce(least, 5)) FROM best)""")
 def dbscan_clusters(spark, d):
-    """The clustering that a sweep chooses, of the pairs it is given."""
-    p = points(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
-    return cluster.dbscan_sweep(p, (0.3,), (3,), (0.3, 3))[1]
+    """The clustering that the sweep chooses."""
+    return cluster.dbscan_sweep(scaled_documents(spark, d))[1]
 
 
 RULES = typing_rules.TypingRules(datetimes=("ts",), identifiers=("event_id", "actor"), categories=("action", "category"), booleans=("value", "sparse", "label"))
@@ -314,9 +341,7 @@ def model_pipeline(spark, d):
 
 @query("cluster_pipeline")
 def cluster_pipeline(spark, d):
-    p = dr.to_vector(points(spark, d), ["x"], "v")
-    flat = dr.Pca(p, "v", 4).transform(p).select("id", F.array("PC_1", "PC_2", "PC_3", "PC_4").alias("x"), "label")
-    return pipelines.cluster_all(flat, "label")
+    return pipelines.cluster_all(scaled_documents(spark, d).join(dense(spark, d).select("id", "label"), "id"), "label")
 
 
 @query("stream_volume", """WITH h AS (SELECT date_trunc('hour', ts)::timestamp AS bucket, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(ts) AS last FROM events)

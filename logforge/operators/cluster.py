@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +19,10 @@ from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
 from logforge.functions.passes import blocks, summed, uniform
+from logforge.functions.skew import hot_keys, lookup, spread_join
 from logforge.operators.cluster_quality import silhouette_by_clusters
 from logforge.operators.graph import connected_components
-from logforge.operators.knn import within
+from logforge.operators.knn import cell_pairs, distances, nearest, within
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -334,24 +339,113 @@ def dbscan_labels(df: DataFrame, edges: DataFrame, eps: float, least: int) -> Da
     return out.select("id", F.coalesce("cluster", "beside", F.lit(-1).cast("long")).alias("cluster"))
 
 
+def reach_forest(df: DataFrame, least: Sequence[int], most: float, near: DataFrame | None = None) -> DataFrame:
+    """(m, a, b, w): for each place m of `least` a spanning forest of the rows by mutual reachability up to `most`. Rows a
+    and b are mutually reachable from the distance on from which they are that near and both have least[m] rows, themselves
+    included, as near. Edges of w up to any eps connect the core rows of DBSCAN's clusters for that eps.
+
+    Borůvka's rounds: every component finds its least edge to another one, and they merge. Candidates are compared where
+    blocks of rows meet and only the best of each component leaves, so pairs of rows are never listed. near: as from
+    nearest(), for max(least) - 1 neighbours."""
+    near = near if near is not None else nearest(df, df, max(least) - 1)
+    ranks = F.array(*[F.coalesce(F.max(F.when(F.col("rank") == m - 1, F.col("distance"))), F.lit(math.inf)) if m > 1 else F.lit(0.0) for m in least])
+    cores = near.groupBy(F.col("query").alias("id")).agg(ranks.alias("core"))
+    alone = F.array(*[F.lit(0.0 if m < 2 else math.inf) for m in least])
+    rows = materialise(df.select("id", "x").join(cores, "id", "left").withColumns({"core": F.coalesce("core", alone), "key": F.monotonically_increasing_id()}))
+    state = rows.withColumn("comp", F.transform("core", lambda c: F.when(c <= most, F.col("key")).otherwise(F.lit(-1))))  # -1: never a core row
+    found, schema = [], "m int, comp long, w double, lo long, hi long, beside long"
+
+    def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            ids, own = b["other"].to_numpy(), a["own"].to_numpy()
+            core_a, core_b, comp_a, comp_b = (np.stack(v.to_numpy()) for v in (a["own_core"], b["other_core"], a["own_comp"], b["other_comp"]))
+            order = np.argsort(ids, kind="stable")  # of equal edges that to the smallest id
+            ids, core_b, comp_b = ids[order], core_b[order], comp_b[order]
+            for at, d in distances(np.stack(a["own_x"].to_numpy()).astype(float), np.stack(b["other_x"].to_numpy()).astype(float)[order]):
+                part = slice(at, at + len(d))
+                for m in range(core_a.shape[1]):
+                    w = np.maximum(np.maximum(d, core_a[part, m][:, None]), core_b[:, m])
+                    w[(comp_a[part, m][:, None] == comp_b[:, m]) | (comp_a[part, m][:, None] < 0) | (comp_b[:, m] < 0)] = np.inf
+                    j = w.argmin(axis=1)
+                    i = np.flatnonzero(w[np.arange(len(d)), j] <= most)
+                    j, i_own, other = j[i], own[part][i], ids[j[i]]
+                    out.append(pd.DataFrame({"m": m, "comp": comp_a[part, m][i], "w": w[i, j], "lo": np.minimum(i_own, other), "hi": np.maximum(i_own, other), "beside": comp_b[j, m]}))
+        if not out:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        every = pd.concat(out).sort_values(["m", "comp", "w", "lo", "hi"])
+        return every.drop_duplicates(["m", "comp"])
+
+    while True:
+        pairs, _, _ = cell_pairs(state, state, radius=most, own=("core", "comp"), other=("core", "comp"))
+        best = pairs.applyInPandas(local, schema).groupBy("m", "comp").agg(F.min(F.struct("w", "lo", "hi", "beside")).alias("e"))
+        best = materialise(best.select("m", "comp", "e.*"))
+        if not best.limit(1).count():
+            break
+        found.append(best.select("m", F.col("lo").alias("a"), F.col("hi").alias("b"), "w").distinct())
+        size = len(least)
+        joined = connected_components(best.select((F.col("comp") * size + F.col("m")).alias("a"), (F.col("beside") * size + F.col("m")).alias("b")))
+        long = state.select("id", "x", "core", "key", F.posexplode("comp").alias("m", "comp")).withColumn("node", F.when(F.col("comp") >= 0, F.col("comp") * size + F.col("m")))
+        moved = lookup(long, joined.withColumnRenamed("node", "__node"), F.col("node"), "__node")
+        comp = F.when(F.col("component").isNull(), F.col("comp")).otherwise(F.floor(F.col("component") / size).cast("long"))
+        state = moved.groupBy("id").agg(F.first("x").alias("x"), F.first("core").alias("core"), F.first("key").alias("key"),
+                                        F.transform(F.array_sort(F.collect_list(F.struct("m", comp.alias("comp")))), lambda p: p["comp"]).alias("comp"))
+        state = materialise(state)
+    edges = reduce(DataFrame.unionByName, found) if found else df.sparkSession.createDataFrame([], "m int, a long, b long, w double")
+    return edges.select("m", "a", "b", "w")
+
+
+def dbscan_many(df: DataFrame, pairs: Sequence[tuple[float, int]]) -> DataFrame:
+    """(run, id, cluster) of DBSCAN for each place `run` of the pairs (eps, least): as dbscan_labels() gives them, all from
+    one forest of mutual reachability and from lists of neighbours. A row that is no core row has fewer neighbours within
+    eps than its list is long, so the lists hold all that border rows need."""
+    least, most = sorted({m for _, m in pairs}), max(e for e, _ in pairs)
+    rows = materialise(df.select("id", "x"))
+    near = materialise(nearest(rows, rows, max(1, max(least) - 1)))
+    forest = materialise(reach_forest(rows, least, most, near))
+    keyed = materialise(rows.select("id", F.monotonically_increasing_id().alias("key")))
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(float(e)).alias("eps"), F.lit(least.index(m)).alias("m"), F.lit(m).alias("least")) for r, (e, m) in enumerate(pairs)])
+    # core rows of each run
+    far = near.groupBy(F.col("query").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "distance"))).alias("at"))
+    reach = F.when(F.col("r.least") <= 1, F.lit(0.0)).otherwise(F.element_at("at", F.col("r.least") - 1))
+    cores = keyed.join(far, "id", "left").select("id", "key", "at", F.explode(runs).alias("r")).where(reach <= F.col("r.eps")).select("r.run", "id", "key")
+    cores = materialise(cores)
+    # one run of connected components for all pairs
+    ends = forest.join(keyed.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keyed.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
+    cut = ends.select("*", F.explode(runs).alias("r")).where((F.col("r.m") == F.col("m")) & (F.col("w") <= F.col("r.eps")))
+    node = lambda k: F.col(k) * len(pairs) + F.col("r.run")
+    joined = connected_components(cut.select(node("ka").alias("a"), node("kb").alias("b")))
+    named = cores.withColumn("node", F.col("key") * len(pairs) + F.col("run")).join(joined, "node", "left").select("run", "id", F.coalesce("component", "node").alias("component"))
+    named = materialise(named)
+    first = named.groupBy("component").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("n"))
+    inner = spread_join(named, first.drop("n"), ["component"], hot_keys(first, ["component"], named.count()), ["id"]).select("run", "id", "cluster")
+    inner = materialise(inner)
+    beside = near.select(F.col("query").alias("row"), F.col("neighbour").alias("id"), "distance").join(inner, "id")
+    eps = F.element_at(F.array(*[F.lit(float(e)) for e, _ in pairs]), F.col("run") + 1)
+    border = beside.where(F.col("distance") <= eps).groupBy("run", F.col("row").alias("id")).agg(F.min("cluster").alias("beside"))
+    every = rows.select("id", F.explode(F.array(*[F.lit(r) for r in range(len(pairs))])).alias("run"))
+    out = every.join(inner, ["run", "id"], "left").join(border, ["run", "id"], "left")
+    return out.select("run", "id", F.coalesce("cluster", "beside", F.lit(-1).cast("long")).alias("cluster"))
+
+
 def dbscan_sweep(df: DataFrame, eps: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0, 1.5), least: tuple[int, ...] = (3, 5, 10),
                  fallback: tuple[float, int] = (0.5, 5)) -> tuple[DataFrame, DataFrame]:
     """(eps, least, n_clusters, noise, silhouette) for each pair of parameters, and (id, cluster) of the best silhouette
-    without noise. Pairs of rows are found once, for the largest eps. Any number of clusters is counted and judged in the
-    same way; with fewer than two there is no silhouette."""
-    rows = df.select("id", "x")
-    edges = materialise(within(rows, max(eps)))
-    found, best = [], None
-    for e in eps:
-        for m in least:
-            labels = materialise(dbscan_labels(rows, edges, e, m))
-            n, noise = labels.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.count_if(F.col("cluster") < 0)).first()
-            value = silhouette_by_clusters(rows.join(labels, "id"), "id").first()[0] if n > 1 else None
-            found.append((float(e), int(m), int(n), int(noise), value))
-            if value is not None and (best is None or value > best[0]):
-                best = value, labels
-    labels = best[1] if best else dbscan_labels(rows, edges, *fallback)
-    return df.sparkSession.createDataFrame(found, "eps double, least int, n_clusters long, noise long, silhouette double"), labels
+    without noise; of `fallback` if there is none. All pairs come from one forest. Any number of clusters is counted and
+    judged in the same way; with fewer than two there is no silhouette."""
+    rows = materialise(df.select("id", "x"))
+    pairs = [(float(e), int(m)) for e in eps for m in least]
+    labels = materialise(dbscan_many(rows, [*pairs, (float(fallback[0]), int(fallback[1]))]))
+    counts = labels.groupBy("run").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n"), F.count_if(F.col("cluster") < 0).alias("noise"))
+    counts = {r.run: (r.n, r.noise) for r in counts.collect()}  # a row for each pair
+    of = lambda run: labels.where(F.col("run") == run).select("id", "cluster")
+    judged = [r for r in range(len(pairs)) if counts.get(r, (0, 0))[0] > 1]
+    with ThreadPoolExecutor(4) as pool:
+        widths = dict(zip(judged, pool.map(lambda r: silhouette_by_clusters(rows.join(of(r), "id"), "id").first()[0], judged)))
+    found = [(e, m, *counts.get(r, (0, 0)), widths.get(r)) for r, (e, m) in enumerate(pairs)]
+    known = [r for r in judged if widths[r] is not None]
+    chosen = max(known, key=lambda r: (widths[r], -r)) if known else len(pairs)
+    return df.sparkSession.createDataFrame(found, "eps double, least int, n_clusters long, noise long, silhouette double"), materialise(of(chosen))
 
 
 def compare(metrics: dict[str, dict[str, float]], df: DataFrame) -> DataFrame:

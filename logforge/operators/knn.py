@@ -1,5 +1,5 @@
-"""Exact nearest neighbours and neighbourhoods in blocks: every block of queries meets every block of rows in a task of
-its own, whose memory is that of two blocks."""
+"""Exact nearest neighbours and neighbourhoods by pivots: rows are copied to the cells of queries that bounds cannot rule out,
+and blocks of a cell's queries meet blocks of its rows in tasks whose memory is that of two blocks."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logforge.functions.lineage import materialise
+
 #: Rows of a block.
 BLOCK = 2048
 _AT_ONCE = 1 << 21  # coordinate differences that are held at once
@@ -45,9 +47,109 @@ def block_pairs(queries: DataFrame, data: DataFrame, block: int = BLOCK, own: Se
     return left.groupBy("own_block", "pair").cogroup(right.groupBy("pair", "other_block")), b
 
 
+#: Rows of a cell, about, and cells at most: what is broadcast are the cells' pivots.
+CELL, MOST_CELLS = 512, 1_024
+#: Bounds are rounded up by this share, as distances are rounded.
+_SLACK = 1e-9
+
+
+class Cells:
+    """Voronoi cells around rows of the data as pivots. pivots: a matrix; radius: the largest distance of a query of each cell
+    from its pivot; reach: no wanted row is farther than this from a query of the cell (one number for each)."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.radius = np.full(len(pivots), -np.inf)
+        self.reach = np.full(len(pivots), np.inf)
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        return np.vstack([d for _, d in distances(x, self.pivots)]) if len(x) else np.empty((0, len(self.pivots)))
+
+
+def _pivots(data: DataFrame, rows: int) -> np.ndarray:
+    """As many rows as there are to be cells, those of the smallest hashes. Which they are changes the work, not the result."""
+    wanted = max(1, min(MOST_CELLS, -(-rows // CELL)))
+    found = data.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(wanted).select("x").toPandas()  # MOST_CELLS rows at most
+    return _matrix(found["x"])
+
+
+def _celled(df: DataFrame, cells: Cells, kept: Sequence[str]) -> DataFrame:
+    """id, x and the kept columns, with the cell of the nearest pivot and the distance from it."""
+    held = df.sparkSession.sparkContext.broadcast(cells.pivots)
+
+    @F.pandas_udf("cell int, far double")
+    def cell(x: pd.Series) -> pd.DataFrame:
+        far = Cells(held.value).far(_matrix(x)) if len(x) else np.empty((0, 1))
+        near = far.argmin(axis=1)
+        return pd.DataFrame({"cell": near.astype("int32"), "far": far[np.arange(len(far)), near]})
+
+    return df.select("id", "x", *kept, cell("x").alias("c")).select("id", "x", *kept, "c.cell", "c.far")
+
+
+def _least(rows: DataFrame, k: int) -> dict[int, np.ndarray]:
+    """For each cell the k + 1 smallest distances from its pivot, merged in parallel: a row may be a query itself."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, np.ndarray] = {}
+        for b in batches:
+            for cell, far in b.groupby("cell")["far"]:
+                kept[cell] = np.sort(np.append(kept.get(cell, np.empty(0)), far.to_numpy()))[: k + 1]
+        yield pd.DataFrame({"cell": list(kept), "far": pd.Series([v.tolist() for v in kept.values()], dtype=object)})
+
+    def merged(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": [b["cell"].iloc[0]], "far": pd.Series([np.sort(np.concatenate(b["far"].to_list()))[: k + 1].tolist()], dtype=object)})
+
+    schema = "cell int, far array<double>"
+    found = rows.select("cell", "far").mapInPandas(part, schema).groupBy("cell").applyInPandas(merged, schema)
+    return {r.cell: np.array(r.far) for r in found.collect()}  # a row for each cell
+
+
+def cell_pairs(queries: DataFrame, data: DataFrame, k: int | None = None, radius: float | None = None, own: Sequence[str] = (), other: Sequence[str] = (),
+               block: int = BLOCK):
+    """Queries cogrouped with the rows that may be among their k nearest, or within the radius; and (block pairs of a cell at
+    most, the share of all pairs of a query and a row that bounds rule out). Columns of the sides as in block_pairs().
+
+    Each query is in the cell of its nearest pivot. A row is copied to the cells that the triangle inequality cannot rule
+    out: its distance from the pivot is at most the cell's radius and reach. Within a cell, blocks of queries meet blocks of
+    rows, so that no task holds more than two blocks of a large cell."""
+    n = data.count()
+    cells = Cells(_pivots(data, n)) if n else None
+    if cells is None:
+        return *block_pairs(queries, data, block, own, other), 0.0
+    asked = materialise(_celled(queries, cells, own))
+    sizes = {r.cell: (r.n, r.radius) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # a row for each cell
+    for c, (_, r) in sizes.items():
+        cells.radius[c] = r
+    if k is None:
+        cells.reach[:] = radius
+    elif n > k:
+        apart, least = cells.far(cells.pivots), _least(_celled(data, cells, ()), k)
+        for c, (_, r) in sizes.items():
+            bounds = np.sort(np.concatenate([apart[c, j] + far for j, far in least.items()]))
+            cells.reach[c] = r + bounds[k]  # so many rows are that near at least, whichever query it is
+    held = data.sparkSession.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("array<int>")
+    def wanted(x: pd.Series) -> pd.Series:
+        cells = held.value
+        edge = (cells.radius + cells.reach) * (1 + _SLACK) + 1e-12
+        return pd.Series([np.flatnonzero(row <= edge) for row in cells.far(_matrix(x))] if len(x) else [], dtype=object)
+
+    copies = materialise(data.select(F.col("id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("x", *other)], F.explode(wanted("x")).alias("cell")))
+    sent = {r.cell: r.n for r in copies.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cell
+    counts = [(c, max(1, -(-m // block)), max(1, -(-sent.get(c, 0) // block))) for c, (m, _) in sizes.items()]
+    table = F.broadcast(data.sparkSession.createDataFrame(counts, "cell int, q int, b int"))  # a row for each cell
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = asked.select("cell", F.col("id").alias("own"), *[F.col(c).alias(f"own_{c}") for c in ("x", *own)]).join(table, "cell")
+    left = left.withColumn("own_block", deal("own", "q")).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).drop("q", "b")
+    right = copies.join(table, "cell").withColumn("other_block", deal("other", "b")).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).drop("q", "b")
+    share = 1 - sum(m * sent.get(c, 0) for c, (m, _) in sizes.items()) / max(1, n * sum(m for m, _ in sizes.values()))
+    return left.groupBy("cell", "own_block", "pair").cogroup(right.groupBy("cell", "pair", "other_block")), max([b for *_, b in counts], default=1), share
+
+
 def nearest(queries: DataFrame, data: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query, rank, neighbour, distance): the k nearest rows of each query, Euclidean, ties by the neighbour's id. A row
-    is no neighbour of a query of its own id. Both tables have id (long) and x (array of double, without nulls)."""
+    is no neighbour of a query of its own id. Both tables have id (long, unique) and x (array of double, without nulls)."""
     names = ["query", "part", "neighbour", "distance"]
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +169,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, block: int = BLOCK) ->
         found = np.concatenate(query)
         return pd.DataFrame({"query": found, "part": np.full(len(found), a["pair"].iloc[0]), "neighbour": np.concatenate(near), "distance": np.concatenate(far)})
 
-    pairs, b = block_pairs(queries, data, block)
+    pairs, b, _ = cell_pairs(queries, data, k=k, block=block)
     found = pairs.applyInPandas(local, "query long, part int, neighbour long, distance double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     if b > 16:  # lists of blocks are merged in two steps, so that none grows with the table
@@ -78,25 +180,18 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, block: int = BLOCK) ->
 
 
 def within(data: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, distance), a < b, for all pairs of rows at most `radius` apart. Each pair of blocks meets once."""
+    """(a, b, distance), a < b, for all pairs of rows at most `radius` apart: as many rows as there are such pairs."""
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(a) and len(b):
             ids, own = b["other"].to_numpy(), a["own"].to_numpy()
-            same = a["own_block"].iloc[0] == b["other_block"].iloc[0]
             for at, d in distances(_matrix(a["own_x"]), _matrix(b["other_x"])):
-                close = d <= radius
-                if same:
-                    close &= own[at : at + len(d), None] < ids[None, :]
-                i, j = np.nonzero(close)
-                out.append(pd.DataFrame({"a": np.minimum(own[at + i], ids[j]), "b": np.maximum(own[at + i], ids[j]), "distance": d[i, j]}))
+                i, j = np.nonzero((d <= radius) & (own[at : at + len(d), None] < ids[None, :]))
+                out.append(pd.DataFrame({"a": own[at + i], "b": ids[j], "distance": d[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
-    b = _blocks(data, block)
-    left = _side(data, "own", "b", b, ()).withColumn("pair", F.explode(F.sequence(F.col("own_block"), F.lit(b - 1))))
-    right = _side(data, "other", "b", b, ()).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("other_block"))))
-    return left.groupBy("own_block", "pair").cogroup(right.groupBy("pair", "other_block")).applyInPandas(local, "a long, b long, distance double")
+    return cell_pairs(data, data, radius=radius, block=block)[0].applyInPandas(local, "a long, b long, distance double")
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:

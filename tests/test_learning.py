@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logforge.functions import lineage
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import anomaly, cluster, models, sampling
+from logforge.operators import anomaly, cluster, knn, models, sampling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,11 +26,9 @@ def test_sweeps_are_whole(spark, monkeypatch):
 
         monkeypatch.setattr(cluster, name, spy)
     pipelines.cluster_all(plain)
-    for name in ("kmeans_sweep", "gmm_bic", "ward_two_stage", "dbscan_sweep"):
+    for name in ("kmeans_sweep", "gmm_bic", "ward_two_stage", "dbscan_sweep", "dbscan_clusters"):
         learn_queries.QUERIES[name](spark, DATA)
-    learn_queries.QUERIES["dbscan_clusters"](spark, DATA)
-    assert (seen["dbscan_sweep"].pop()["eps"]) == (0.3,)  # a single pair, whose labels SQL repeats
-    assert all(len(calls) == 2 for calls in seen.values()) and len(seen) == 4
+    assert {n: len(calls) for n, calls in seen.items()} == {"kmeans_sweep": 2, "gmm_sweep": 2, "ward_two_stage": 2, "dbscan_sweep": 3}
     assert all((a["ks"], a["restarts"]) == (range(2, 11), 10) for a in seen["kmeans_sweep"])
     assert all((a["ks"], a["restarts"], a["final"]) == (range(2, 9), 3, 5) for a in seen["gmm_sweep"])
     assert all((a["ks"], a["micro"]) == (range(2, 7), 300) for a in seen["ward_two_stage"])
@@ -141,6 +139,65 @@ def test_measures_by_model(spark):
         assert models.measures(df.where(F.col("model") == m)) == pytest.approx({k: got[m][k] for k in models.MEASURES})
 
 
+def _brute_dbscan(x, eps, least):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = (d <= eps).sum(axis=1) >= least
+    label = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = i
+                    todo += np.flatnonzero(core & (d[j] <= eps)).tolist()
+    out = label.copy()
+    for i in np.flatnonzero(~core):
+        near = label[core & (d[i] <= eps)]
+        out[i] = near.min() if len(near) else -1
+    return out
+
+
+def test_dbscan_pairs_come_from_one_forest(spark, monkeypatch):
+    """All pairs of parameters as brute force gives them, on clusters, chains, noise, copies and a far row."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 0.15, (40, 2)), rng.normal(3, 0.3, (40, 2)), [[0.22 * k, 6.0] for k in range(30)], rng.uniform(-2, 8, (40, 2)), [[9.0, 9.0]] * 6, [[50.0, 50.0]]]).round(2)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").repartition(3)
+    monkeypatch.setattr(knn, "CELL", 16)  # many cells
+    pairs = [(e, m) for e in (0.1, 0.25, 0.6, 1.5) for m in (1, 2, 4, 9)]
+    got = cluster.dbscan_many(df, pairs).toPandas()
+    assert len(got) == len(pairs) * len(x)
+    for run, (e, m) in enumerate(pairs):
+        own = got[got.run == run].sort_values("id")
+        np.testing.assert_array_equal(own.cluster.to_numpy(), _brute_dbscan(x, e, m), err_msg=f"{e} {m}")
+    forest = cluster.reach_forest(df, [2, 4], 1.5).toPandas()
+    assert all(len(f) < len(x) for _, f in forest.groupby("m"))  # a forest, not a list of pairs
+    one = cluster.dbscan_many(df.limit(1), [(0.5, 1), (0.5, 3)]).orderBy("run").collect()
+    assert [r.cluster for r in one] == [one[0].id, -1]
+    assert cluster.dbscan_many(df.limit(0), [(0.5, 3)]).count() == 0
+
+
+def test_neighbours_by_pivots(spark, monkeypatch):
+    """Nearest neighbours and near pairs as brute force gives them, in many cells and blocks; far cells are skipped."""
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(c, 0.3, (60, 3)) for c in (0, 5, 10, 15)] + [[[0.0, 0.0, 0.0]] * 40]).round(2)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").repartition(3)
+    monkeypatch.setattr(knn, "CELL", 20)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = {(int(i), int(j)) for i, j in np.argwhere(np.triu(d <= 0.3, 1))}
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")
+    for k, block in ((1, 8), (7, 64)):
+        got = {(r["query"], r["rank"]): r.neighbour for r in knn.nearest(df, df, k, block=block).collect()}
+        assert got == {(i, j + 1): order[i, j] for i in range(len(x)) for j in range(k)}
+    some = knn.nearest(df.where("id % 20 = 0"), df, 3).collect()
+    assert {(r["query"], r["rank"]): r.neighbour for r in some} == {(i, j + 1): order[i, j] for i in range(0, len(x), 20) for j in range(3)}
+    assert {(r.a, r.b) for r in knn.within(df, 0.3, block=16).collect()} == near
+    assert knn.cell_pairs(df, df, k=5)[2] > 0.5 and knn.cell_pairs(df, df, radius=0.3)[2] > 0.5
+    assert knn.nearest(df.limit(3), df.limit(3), 5).count() == 6  # fewer rows than neighbours asked for
+    assert knn.nearest(df, df.limit(0), 5).count() == 0 and knn.nearest(df.limit(0), df, 5).count() == 0
+
+
 def test_dbscan_of_many_clusters(spark):
     """Hundreds and thousands of clusters are found, counted and judged like few."""
     for n, eps in ((300, 0.5), (12_000, 0.5)):
