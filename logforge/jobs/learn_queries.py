@@ -128,7 +128,9 @@ def smote_sizes(spark, d):
     return smote(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("resample_report")
+@query("resample_report", f"""
+    SELECT label, original, smote, adasyn FROM (SELECT 1 - quality AS label, count(*) AS original FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1)
+    JOIN (SELECT label, count(*) AS smote FROM ({SQL['smote']}) GROUP BY 1) USING (label) JOIN (SELECT label, count(*) AS adasyn FROM ({SQL['adasyn']}) GROUP BY 1) USING (label)""")
 def resample_report(spark, d):
     return balance.resample_report(dense(spark, d))
 

@@ -12,7 +12,7 @@ from logforge.functions.lineage import materialise
 from logforge.operators import aggregates, anomaly, balance, cluster, encode, features, missing, models, outliers, quality, sampling, scale, typing_rules
 from logforge.operators import cluster_quality as cq
 from logforge.operators.missing import col
-from logforge.operators.reduce import to_vector
+from logforge.operators.reduce import Pca, anova_top, to_vector
 from logforge.sources import tables
 
 
@@ -44,8 +44,10 @@ def read_log(spark: SparkSession, path: str, rules: typing_rules.TypingRules = t
 def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contamination: float = 0.05, keep: list[str] | None = None) -> Prepared:
     """A typed log to a table that models can read: sparse columns dropped, gaps filled, duplicates removed, a
     stratified sample taken, features derived, text coded, numbers scaled, outliers flagged by all detectors, columns
-    selected. Reports: quality, duplicates, actors, actions, hours, summary, correlation, classes (before and after
-    each resampler), severity, outliers, and nulls (columns with missing values that the table still has).
+    selected. Reports: quality, duplicates, actors, actions, hours, summary, correlation, bins (rows by part of the day),
+    selected (the features that tell the label best, by analysis of variance), classes (before and after each resampler),
+    components (principal ones, up to 95 % of the variance), severity, outliers, and nulls (columns with missing values that the
+    table still has).
 
     The label and what derives from it take no part in the outlier tests, and the label's ratio of an actor is no
     feature of the result. Event ids are numbers, or texts of numbers."""
@@ -67,12 +69,16 @@ def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contaminat
     coded = encode.apply_codes(featured, encode.fit_codes(featured, narrow), narrow) if narrow else featured
     numeric = [c for c in missing.numeric_columns(coded) if c not in (roles.event_id, roles.label)]
     scaled = materialise(scale.apply_scale(coded, scale.fit_standard(coded, numeric)))
-    found |= {"summary": aggregates.numeric_summary(scaled, numeric), "correlation": aggregates.correlation_pairs(scaled, numeric)}
+    parted = scaled.withColumn("day_part", encode.bin_right_closed(F.col("event_hour"), *encode.DAY_PARTS))
+    found |= {"summary": aggregates.numeric_summary(scaled, numeric), "correlation": aggregates.correlation_pairs(scaled, numeric),
+              "bins": aggregates.counts(parted, "day_part"), "selected": anova_top(scaled, numeric, roles.label)}
 
     wide = [c for c in scaled.columns if c.endswith("_scaled")]
     ident = col(roles.event_id).cast("long")
     x = scaled.select(ident.alias("id"), F.array(*[F.coalesce(col(c), F.lit(0.0)) for c in wide]).alias("x"), col(roles.label).cast("int").alias("label"))
     found["classes"] = balance.resample_report(x)
+    v = to_vector(x.select("id", "x"), ["x"])
+    found["components"] = Pca(v, "features", 0.95).explained(v)
     keys = missing.key_columns(scaled.select(*[col(c) for c in scaled.columns if not c.endswith("_scaled")]), exclude=(roles.label,))
     flagged = outliers.zscore_flags(outliers.iqr_flags(scaled, keys), keys)
     for c in dict.fromkeys([roles.action, *[n for n in narrow if n.endswith("type")]]):

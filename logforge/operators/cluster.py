@@ -11,9 +11,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import RDD
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +22,6 @@ from logforge.operators.graph import connected_components
 from logforge.operators.knn import cell_pairs, distances, nearest, within
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.select("id", "x", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
-
-
 #: Rows whose distances to all centres are held at once.
 _AT_ONCE = 2_048
 
@@ -119,25 +112,28 @@ def _kmeans(rows: RDD, sets: list[np.ndarray], most: int = 50, near: float = 1e-
     return sets, inertia
 
 
-def _silhouettes(rows: RDD, sets: list[np.ndarray]) -> list[float | None]:
-    """The mean silhouette of each set's clustering, by squared distances: two passes for all sets. None with one cluster."""
+def _silhouettes(rows: RDD, sets: list[np.ndarray], groups: list[np.ndarray] | None = None) -> list[float | None]:
+    """The mean silhouette of each set's clustering, by squared distances: two passes for all sets. None with one cluster.
+    A row is in the cluster of its nearest centre or, with groups, in that centre's group."""
+    groups = [np.arange(len(c)) for c in sets] if groups is None else groups
+    sizes = [int(g.max()) + 1 for g in groups]
 
-    def totals(block: dict, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    def totals(block: dict, state: tuple) -> tuple[np.ndarray, ...]:
         n, sums, squares = [], [], []
-        for c in sets:
-            near = _distances(block["x"], c).argmin(axis=1)
-            n.append(np.bincount(near, minlength=len(c)))
-            sums.append(np.stack([block["x"][near == k].sum(axis=0) for k in range(len(c))]))
-            squares.append(np.bincount(near, (block["x"] ** 2).sum(axis=1), len(c)))
+        for c, g, size in zip(*state):
+            mark = np.eye(size)[g[_distances(block["x"], c).argmin(axis=1)]]
+            n.append(mark.sum(axis=0))
+            sums.append(mark.T @ block["x"])
+            squares.append(mark.T @ (block["x"] ** 2).sum(axis=1))
         return np.concatenate(n), np.concatenate(sums), np.concatenate(squares)
 
     def widths(block: dict, state: tuple) -> tuple[np.ndarray, ...]:
-        sets, n, sums, squares = state
+        sets, groups, sizes, n, sums, squares = state
         x, out, at = block["x"], np.zeros(len(sets)), 0
-        for k, c in enumerate(sets):
-            own = slice(at, at + len(c))
-            at += len(c)
-            near, each = _distances(x, c).argmin(axis=1), np.arange(len(x))
+        for k, (c, g, size) in enumerate(zip(sets, groups, sizes)):
+            own = slice(at, at + size)
+            at += size
+            near, each = g[_distances(x, c).argmin(axis=1)], np.arange(len(x))
             whole = n[own] * (x**2).sum(axis=1)[:, None] + squares[own] - 2 * x @ sums[own].T
             mean = np.where(n[own] > 0, whole / np.maximum(n[own], 1), np.inf)
             alone = n[own][near] < 2
@@ -148,11 +144,11 @@ def _silhouettes(rows: RDD, sets: list[np.ndarray]) -> list[float | None]:
             out[k] = np.where(alone | (top <= 0) | ~np.isfinite(b), 0, (b - a) / np.where(top > 0, top, 1)).sum()
         return (out,)
 
-    n, sums, squares = summed(rows, totals, sets)
-    found = summed(rows, widths, (sets, n, sums, squares))[0]
-    ends = np.cumsum([len(c) for c in sets])
-    used = [(n[e - len(c) : e] > 0).sum() for e, c in zip(ends, sets)]
-    return [float(f / n[: len(sets[0])].sum()) if u > 1 else None for f, u in zip(found, used)]
+    n, sums, squares = summed(rows, totals, (sets, groups, sizes))
+    found = summed(rows, widths, (sets, groups, sizes, n, sums, squares))[0]
+    ends = np.cumsum(sizes)
+    used = [(n[e - size : e] > 0).sum() for e, size in zip(ends, sizes)]
+    return [float(f / n[: sizes[0]].sum()) if u > 1 else None for f, u in zip(found, used)]
 
 
 def _assigned(df: DataFrame, f) -> DataFrame:
@@ -301,27 +297,56 @@ def _ward(centres: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
     return np.searchsorted(np.unique(group), group)
 
 
+#: Rows whose summaries are condensed together.
+_CONDENSED = 1_024
+
+
+def _condense(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """At most so many clustering features (rows, their sum, their squared lengths) in place of many. Features that are each
+    other's nearest by Ward's cost merge, the cheapest first: merges that Ward's criterion makes too, in some order."""
+    while len(n) > most:
+        far = _distances(sums / n[:, None], sums / n[:, None]) * (n[:, None] * n[None, :] / (n[:, None] + n[None, :]))
+        np.fill_diagonal(far, np.inf)
+        near = far.argmin(axis=1)
+        i = np.flatnonzero((near[near] == np.arange(len(n))) & (np.arange(len(n)) < near))
+        i = i[np.argsort(far[i, near[i]], kind="stable")][: len(n) - most]
+        j = near[i]
+        keep = np.ones(len(n), bool)
+        keep[j] = False
+        for v in (n, sums, squares):
+            v[i] += v[j]
+        n, sums, squares = n[keep], sums[keep], squares[keep]
+    return n, sums, squares
+
+
+def features_of(rows: RDD, most: int) -> tuple[np.ndarray, ...]:
+    """At most so many clustering features of all rows, in one scan: each block's are condensed, and those of blocks merge in
+    a tree of tasks."""
+
+    def own(block: dict, most: int) -> tuple[np.ndarray, ...]:
+        found = None
+        for at in range(0, len(block["x"]), _CONDENSED):
+            x = block["x"][at : at + _CONDENSED].astype(float)
+            part = np.ones(len(x)), x.copy(), (x**2).sum(axis=1)
+            found = _condense(*(part if found is None else tuple(np.concatenate(p) for p in zip(found, part))), most)
+        return found
+
+    return summed(rows, own, most, lambda a, b: _condense(*(np.concatenate(p) for p in zip(a, b)), most))
+
+
 def ward_two_stage(df: DataFrame, ks: range = range(2, 7), micro: int = 300, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(k, silhouette), and (id, cluster) of the best. Rows go to at most `micro` small clusters by k-means, which Ward's
-    criterion then merges; so the merging doesn't grow with the table."""
-    rows = _vectors(df).persist()
-    model = KMeans(k=micro, seed=seed, predictionCol="micro", maxIter=30).fit(rows)
-    out = model.transform(rows).select("id", "features", "micro").persist()
-    sizes = {r.micro: r.n for r in out.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `micro` rows
-    used = sorted(sizes)
-    centres = np.array([model.clusterCenters()[m] for m in used])
-    judge, found, best = ClusteringEvaluator(predictionCol="cluster"), [], None
-    for k in ks:
-        groups = _ward(centres, np.array([sizes[m] for m in used]), k)
-        code = F.create_map(*[F.lit(int(v)) for pair in zip(used, groups) for v in pair])
-        labelled = out.withColumn("cluster", code[F.col("micro")])
-        value = judge.evaluate(labelled) if len(set(groups.tolist())) > 1 else float("nan")
-        found.append((k, float(value)))
-        if best is None or value > best[0]:
-            best = value, labelled.select("id", "cluster")
-    labels = materialise(best[1])
-    out.unpersist(), rows.unpersist()
-    return df.sparkSession.createDataFrame(found, "k int, silhouette double"), labels
+    """(k, silhouette), and (id, cluster) of the best. One scan condenses the rows to at most `micro` clustering features,
+    which Ward's criterion merges; rows go to the nearest feature. So the merging doesn't grow with the table, and a table
+    of no more rows than that is merged exactly."""
+    rows, _ = _blocks(df)
+    n, sums, _ = features_of(rows, micro)
+    centres = sums / n[:, None]
+    groups = [_ward(centres, n, min(k, len(n))) for k in ks]
+    widths = _silhouettes(rows, [centres] * len(groups), groups)
+    rows.unpersist()
+    best = groups[max(range(len(groups)), key=lambda j: (-2.0 if widths[j] is None else widths[j], -j))]
+    labels = materialise(_assigned(df, lambda x: best[_distances(x, centres).argmin(axis=1)]))
+    return df.sparkSession.createDataFrame([(k, w) for k, w in zip(ks, widths)], "k int, silhouette double"), labels
 
 
 def dbscan_labels(df: DataFrame, edges: DataFrame, eps: float, least: int) -> DataFrame:

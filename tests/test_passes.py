@@ -195,7 +195,7 @@ def test_kmeans_is_a_numpy_twins(spark):
             inertias.append(((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
         assert abs(got[k].inertia - min(inertias)) < 1e-6
     assert max(got.values(), key=lambda r: r.silhouette).k == 3
-    judged = cluster._vectors(df).join(labels, "id").withColumn("cluster", F.col("cluster").cast("double"))
+    judged = df.withColumn("features", array_to_vector("x")).join(labels, "id").withColumn("cluster", F.col("cluster").cast("double"))
     assert abs(ClusteringEvaluator(predictionCol="cluster").evaluate(judged) - got[3].silhouette) < 1e-9
     # fewer different rows than clusters, and rows that are all alike
     few, _ = cluster.kmeans_sweep(_points(spark, [[0.0, 0.0]] * 5 + [[1.0, 1.0]] * 5), range(2, 5), 2)
@@ -274,3 +274,32 @@ def test_one_key_of_most_rows_is_dealt_out(spark):
     c = [x[x[:, 1] == v].mean(axis=0) for v in (0, 5)]
     s = [np.sqrt(((x[x[:, 1] == v] - m) ** 2).sum(axis=1)).mean() for v, m in zip((0, 5), c)]
     assert abs(cluster_quality.davies_bouldin(flat).first()[0] - sum(s) / np.linalg.norm(c[0] - c[1])) < 1e-9
+
+
+def test_ward_of_few_rows_is_exact_and_of_many_close(spark):
+    """Rows that are no more than the features merge as by brute force; blobs of many rows are found from one scan."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2)) + 3 * rng.integers(0, 3, (60, 1))
+    parts = [[i] for i in range(60)]
+    squares = lambda p: float(((x[p] - x[p].mean(axis=0)) ** 2).sum())
+    while len(parts) > 4:
+        _, i, j = min((squares(a + b) - squares(a) - squares(b), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j)
+        parts[i] += parts.pop(j)
+    table, labels = cluster.ward_two_stage(_points(spark, x), range(4, 5))
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r.cluster, set()).add(r.id)
+    assert {frozenset(v) for v in found.values()} == {frozenset(p) for p in parts}
+    judged = _points(spark, x).withColumn("features", array_to_vector("x")).join(labels, "id").withColumn("cluster", F.col("cluster").cast("double"))
+    assert abs(ClusteringEvaluator(predictionCol="cluster").evaluate(judged) - table.first().silhouette) < 1e-9
+    many = np.vstack([rng.normal(c, 0.4, (900, 3)) for c in (0, 4, 8)])
+    rows, n = cluster._blocks(_points(spark, many))
+    size, sums, squares = cluster.features_of(rows, 50)
+    assert len(size) == 50 and size.sum() == n == 2700
+    np.testing.assert_allclose(sums.sum(axis=0), many.sum(axis=0))
+    np.testing.assert_allclose(squares.sum(), (many**2).sum())
+    table, labels = cluster.ward_two_stage(_points(spark, many), range(2, 5), micro=50)
+    assert max(table.collect(), key=lambda r: r.silhouette).k == 3
+    assert len({(r.id // 900, r.cluster) for r in labels.collect()}) == 3
+    same, labels = cluster.ward_two_stage(_points(spark, [[1.0, 1.0]] * 5), range(2, 3))
+    assert labels.count() == 5 and same.count() == 1

@@ -194,7 +194,7 @@ def test_prepare_workload(spark, tmp_path):
     assert len(rows) == sum(round(0.8 * n) for n in counts.values()) and rows.event_id.is_unique
     assert "sparse" not in rows.columns and {"action_code", "value", "event_hour", "actor_event_count", "is_outlier", "label"} <= set(rows.columns)
     reports = {n: df.collect() for n, df in done.reports.items()}
-    assert set(reports) == {"quality", "duplicates", "actors", "actions", "hours", "summary", "correlation", "classes", "severity", "outliers", "nulls"}
+    assert set(reports) == {"quality", "duplicates", "actors", "actions", "hours", "summary", "correlation", "bins", "selected", "classes", "components", "severity", "outliers", "nulls"}
     assert reports["duplicates"][0].duplicate_rows == sum(i % 17 != 0 for i in (10, 11, 12))
     assert sum(r.n for r in reports["severity"]) == len(rows)
     assert {r["column"] for r in reports["nulls"]} <= {"event_hour", "event_dayofweek", "event_month", "event_year", "is_weekend"}
