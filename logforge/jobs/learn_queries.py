@@ -14,7 +14,7 @@ from logforge.jobs.prepare_queries import masked, rounded
 from logforge.operators import anomaly, balance, cluster, knn, models, sampling, scale, typing_rules
 from logforge.operators import reduce as dr
 from logforge.sources.tables import read_prepared, read_table, write_csv
-from logforge.streaming import volume
+from logforge.streaming import filled, volume
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -346,12 +346,25 @@ def cluster_pipeline(spark, d):
     return pipelines.cluster_all(scaled_documents(spark, d).join(dense(spark, d).select("id", "label"), "id"), "label")
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = read_table(spark, d, "events").schema
+    # one file is a folder's only match, so the stream reads just this table
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("stream_volume", """WITH h AS (SELECT date_trunc('hour', ts)::timestamp AS bucket, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(ts) AS last FROM events)
     SELECT bucket, n FROM h, m WHERE bucket + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR""")
 def stream_volume(spark, d):
     base = f"{scratch_dir(spark)}/logforge-stream-{uuid.uuid4().hex}"
-    schema = read_table(spark, d, "events").schema
-    # one file is a folder's only match, so the stream reads just this table
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    volume.run_available(volume.volume(stream, "ts"), f"{base}/out", f"{base}/checkpoint")
+    volume.run_available(volume.volume(_event_stream(spark, d), "ts"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query("stream_volume_filled", """WITH m AS (SELECT max(ts) AS last FROM events), h AS (SELECT event_type AS series, date_trunc('hour', ts)::timestamp AS bucket, count(DISTINCT event_id) AS n FROM events GROUP BY ALL),
+         spine AS (SELECT series, unnest(range(min(bucket), last, INTERVAL 1 HOUR)) AS bucket FROM h, m GROUP BY series, last)
+    SELECT series, bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN h USING (series, bucket), m WHERE bucket + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR""")
+def stream_volume_filled(spark, d):
+    """The volume of each type of event, with empty hours."""
+    base = f"{scratch_dir(spark)}/logforge-stream-{uuid.uuid4().hex}"
+    volume.run_available(filled.filled_volume(_event_stream(spark, d), "ts", "event_id", "event_type"), f"{base}/out", f"{base}/checkpoint")
+    return filled.sum_volume(spark.read.parquet(f"{base}/out")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
