@@ -20,6 +20,8 @@ from logforge.llm.common import connected_components, hot_keys, materialise, rea
 
 #: Bytes of an interval of the sequence, at 8 for each component, and rows of the pieces at which halving ends.
 INTERVAL_BYTES, LEAF = 2 << 20, 128
+#: Intervals on either side of a tile of pairs, which a task holds.
+TILE = 4
 #: Principal dimensions; vectors that the rotation is fitted on, which no result depends on.
 DIMENSIONS, ROTATION_SAMPLE = 8, 4096
 _SLACK = 1e-6  # what rounding may take from a distance
@@ -156,21 +158,18 @@ _FOUND = "a long, k long, b long, n long"
 
 
 def _compare(axes: dict[int, np.ndarray], least: float, epsilon: float, leaf: int, kind: str):
-    """Links between two intervals, or within one where only one is given: rows (a, k, null, n) count the links of the
-    class of smallest id a and key k, rows (a, null, b, 0) connect ids."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                s = _Side(axes[r.size], r.size, kind, *(getattr(r, f"{c}_a") for c in _HELD))
-                t = _Side(axes[r.size], r.size, kind, *(getattr(r, f"{c}_b") for c in _HELD)) if hasattr(r, "raw_b") else s
-                edges = _ego_join(s, t, least, epsilon, leaf)
-                sides = [s] if s is t else [s, t]
-                some = [(x, x.links > 0) for x in sides]
-                out = pd.DataFrame({"a": np.concatenate([x.ids[m] for x, m in some]), "k": np.concatenate([x.keys[m] for x, m in some]),
-                                    "n": np.concatenate([x.links[m] for x, m in some])})
-                out = pd.concat([out.assign(b=None), pd.DataFrame(edges, columns=["a", "b"]).assign(k=None, n=0)], ignore_index=True)
-                yield out[["a", "k", "b", "n"]].astype({"a": "int64", "k": "Int64", "b": "Int64", "n": "int64"})
+    """Links of a tile's pairs of intervals: rows (a, k, null, n) count the links of the class of smallest id a and key k,
+    rows (a, null, b, 0) connect ids."""
+
+    def run(intervals: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        sides = {r.interval: _Side(axes[r.size], r.size, kind, *(getattr(r, c) for c in _HELD)) for r in intervals.itertuples(index=False)}
+        edges = []
+        for p, q in zip(pairs["interval_a"], pairs["interval_b"]):
+            edges += _ego_join(sides[p], sides[q], least, epsilon, leaf)
+        some = [(x, x.links > 0) for x in sides.values()]
+        parts = [pd.DataFrame({"a": x.ids[m], "k": x.keys[m], "n": x.links[m]}) for x, m in some if m.any()]
+        out = pd.concat([*[part.assign(b=None) for part in parts], pd.DataFrame(edges, columns=["a", "b"]).assign(k=None, n=0)], ignore_index=True)
+        return out[["a", "k", "b", "n"]].astype({"a": "int64", "k": "Int64", "b": "Int64", "n": "int64"})
 
     return run
 
@@ -228,16 +227,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     here = [F.col(f"cell{k}") == F.greatest(F.col("from_cells_a")[k], F.col("from_cells_b")[k] - 1) for k in (0, 1)]
     met = spread_join(left, right, keys, hot_keys(many, keys, left.count()), ["interval_a"])
     met = met.where((F.col("interval_a") < F.col("interval_b")) & here[0] & here[1] & (gap <= (epsilon + _SLACK) ** 2))
-    # either may be the one that travels, so that none is asked for by all that follow it
-    turn = F.xxhash64("interval_a", "interval_b") % 2 == 0
-    pairs = materialise(met.select(F.when(turn, F.col("interval_a")).otherwise(F.col("interval_b")).alias("interval_a"),
-                                   F.when(turn, F.col("interval_b")).otherwise(F.col("interval_a")).alias("interval_b")))
-    a = intervals.select("size", F.col("interval").alias("interval_a"), *[F.col(c).alias(f"{c}_a") for c in _HELD])
-    b = intervals.select(F.col("interval").alias("interval_b"), *[F.col(c).alias(f"{c}_b") for c in _HELD])
+    # pairs are dealt to tiles of a grid; an interval travels once to each tile of its row and column, and once to meet itself
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    pairs = met.select(tile("interval_a").alias("row"), tile("interval_b").alias("column"), "interval_a", "interval_b")
+    own = intervals.select((-F.col("interval") - 1).alias("row"), F.col("interval").alias("column"), F.col("interval").alias("interval_a"), F.col("interval").alias("interval_b"))
+    pairs = materialise(pairs.unionByName(own))
+    asked = pairs.select(F.col("row").alias("to_row"), F.col("column").alias("to_column"), F.explode(F.array("interval_a", "interval_b")).alias("interval")).distinct()
+    sent = asked.join(intervals.select("interval", "size", *_HELD), "interval")
     compare = _compare(axes, least_cosine, epsilon, leaf, kind)
-    within = a.drop("interval_a").mapInPandas(compare, _FOUND)
-    between = pairs.join(a, "interval_a").join(b, "interval_b").drop("interval_a", "interval_b").mapInPandas(compare, _FOUND)
-    found = materialise(within.unionByName(between))
+    found = materialise(sent.groupBy("to_row", "to_column").cogroup(pairs.groupBy("row", "column")).applyInPandas(compare, _FOUND))
 
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("low"), F.col("k").alias("key")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where(F.col("b").isNotNull()).select("a", "b"))
