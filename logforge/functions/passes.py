@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 LEAST_ROWS = 20_000
 
 
-def blocks(df: DataFrame, rows: int | None = None) -> RDD:
+def blocks(df: DataFrame, rows: int | None = None, least: int = LEAST_ROWS) -> RDD:
     """The rows of df as blocks: dicts of a numpy array for each column (a matrix for a column of arrays of one length, with
-    NaN for null). With the number of rows given they are for many passes: kept in memory, and made again if lost."""
+    NaN for null). With the number of rows given they are for many passes: kept in memory, made again if lost, and in
+    partitions of about `least` rows or more."""
     names = df.columns
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +33,9 @@ def blocks(df: DataFrame, rows: int | None = None) -> RDD:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
     if rows is not None:
-        df = df.coalesce(max(1, min(rows // LEAST_ROWS, df.rdd.getNumPartitions())))
+        parts, now = max(1, rows // least), df.rdd.getNumPartitions()
+        more = min(parts, 2 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(parts) if parts < now else df.repartition(more) if more > now else df
     made = df.mapInArrow(packed, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
     return made if rows is None else made.persist()
 
