@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
@@ -64,54 +65,118 @@ def _bucket() -> Column:
     return F.size(F.filter("edges", lambda e: e <= F.col("x")))
 
 
-#: What percentile_approx may be off by, as a share of the rows, is one in so many.
-ACCURACY = 10_000
+#: Size of a column's KLL sketch, which takes at most some 100 KB, and its rank error as a share of the rows (99 times in 100).
+SKETCH = 4096
+SKETCH_ERROR = 2.296 / SKETCH**0.9723
+#: Tasks that merge the sketches of partitions.
+MERGERS = 64
+#: Values inside a bracket that one task may rank; beyond them, ranges of values are ranked in many tasks.
+RANKED = 1_000_000
 
 
-def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list[float] | None]:
+@dataclass(frozen=True)
+class Sketches:
+    """Quantile sketches of columns: how many values each has, and its sketch. Made by one read of a table, they serve every
+    later question about quantiles of that table. They merge, so a table may be sketched part by part."""
+
+    rows: dict[str, int]
+    made: dict[str, bytes]
+
+    def near(self, spark: SparkSession, names: Sequence[str], ranks: Sequence[float]) -> list[list[float]]:
+        """For each of the columns, the values whose ranks, from 0 to 1, are about the given ones."""
+        asked = F.array(*map(F.lit, ranks))
+        return [list(v) for v in spark.sql("SELECT 1").select(*[F.kll_sketch_get_quantile_double(F.lit(bytearray(self.made[c])), asked) for c in names]).first()]
+
+    def merged(self, spark: SparkSession, other: Sketches) -> Sketches:
+        """The sketches of both tables' rows together, of the columns that both have."""
+        names = [c for c in self.rows if c in other.rows]
+        both = spark.createDataFrame([(k, bytearray(x.made[c])) for k, c in enumerate(names) for x in (self, other)], "k int, s binary")
+        found = {names[r.k]: bytes(r.s) for r in both.groupBy("k").agg(F.kll_merge_agg_double("s", SKETCH).alias("s")).collect()}  # one for each column
+        return Sketches({c: self.rows[c] + other.rows[c] for c in names}, found)
+
+
+def sketches(df: DataFrame, columns: Mapping[str, Column]) -> Sketches:
+    """KLL sketches of columns, taken as doubles, by one read of df. NaN, which is greatest, is sketched as infinity. The
+    partitions' sketches are merged in MERGERS tasks before one merges what those have made."""
+    values = [c.cast("double") for c in columns.values()]
+    if not values:
+        return Sketches({}, {})
+    finite = [F.when(F.isnan(x), F.lit(math.inf)).otherwise(x) for x in values]
+    flat = df.select(F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("__part"), *[y.alias(str(k)) for k, y in enumerate(finite)])
+    each = range(len(values))
+    parts = flat.groupBy("__part").agg(*[e for k in each for e in (F.count(f"`{k}`").alias(f"n{k}"), F.kll_sketch_agg_double(f"`{k}`", SKETCH).alias(f"s{k}"))])
+    row = parts.agg(*[e for k in each for e in (F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}"), F.kll_merge_agg_double(f"s{k}", SKETCH).alias(f"s{k}"))]).first()
+    return Sketches({c: row[f"n{k}"] for k, c in enumerate(columns)}, {c: bytes(row[f"s{k}"]) for k, c in enumerate(columns)})
+
+
+def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float], held: Sketches | None = None) -> dict[str, list[float] | None]:
     """The quantiles of each column, as F.percentile gives them: interpolated between neighbours. None without values.
 
-    Approximate quantiles bracket each wanted rank; the values below a bracket are only counted, so just the few rows
-    inside the brackets are shuffled, and ranked in ranges. A bracket that missed its rank is opened to all values.
-    df is read three times."""
+    Sketches bracket each wanted rank: they are made by one read of df, or given, if those of the same rows are held. A
+    second read counts the values below and at both ends of each bracket, and writes the few between them, which are then
+    ranked; frequent values are ends. A bracket that missed its rank is opened to all values, by a read of its own."""
     names, values = list(columns), [c.cast("double") for c in columns.values()]
-    if not names:
-        return {}
-    # each rank lies between two approximate quantiles that are a few errors apart
-    marks = [v for s in shares for v in (max(0.0, s - 3 / accuracy), min(1.0, s + 3 / accuracy))]
-    rough = df.agg(*[F.struct(F.count(x), F.percentile_approx(x, marks, accuracy)).alias(str(k)) for k, x in enumerate(values)]).first()
-    rows = [rough[k][0] for k in range(len(names))]
+    held = sketches(df, columns) if held is None else held
+    rows = [held.rows[c] for c in names]
     places = {(k, j): (rows[k] - 1) * s for k in range(len(names)) if rows[k] for j, s in enumerate(shares)}
     if not places:
         return dict.fromkeys(names)
-    brackets = {(k, j): (rough[k][1][2 * j], rough[k][1][2 * j + 1]) for k, j in places}
-    counts = df.agg(*[F.struct(F.count_if(values[k] < low), F.count_if(values[k] <= high)).alias(f"{k}_{j}") for (k, j), (low, high) in brackets.items()]).first()
-    below = {}
-    for (k, j), place in places.items():
-        under, upto = counts[f"{k}_{j}"]
-        if not under <= math.floor(place) <= math.ceil(place) < upto:
-            brackets[k, j], under = None, 0
-        below[k, j] = under
-    inside = {key: values[key[0]].isNotNull() if b is None else values[key[0]].between(*b) for key, b in brackets.items()}
-    some = [F.when(c, F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), values[k].alias("x"))) for (k, j), c in inside.items()]
-    near = df.where(reduce(lambda a, b: a | b, inside.values())).select(F.explode(F.array_compact(F.array(*some))).alias("p")).select("p.*")
-    near = in_ranges(near.groupBy("k", "j", "x").agg(F.count(F.lit(1)).alias("n")), F.col("x"))
-    ranked = running_totals(near, F.col("range"), [F.col("x")], {"upto": F.col("n")}, ["k", "j"])
-    wanted = [(k, j, sorted({math.floor(p) - below[k, j], math.ceil(p) - below[k, j]})) for (k, j), p in places.items()]
-    small = df.sparkSession.createDataFrame(wanted, "k int, j int, at array<long>")
-    own = F.filter("at", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
-    met = ranked.join(F.broadcast(small), ["k", "j"])  # a row for each column and share
-    at = {(r.k, r.j, r.p): r.x for r in met.select("k", "j", "x", F.explode(own).alias("p")).collect()}  # two for each
+    marks = [v for s in shares for v in (max(0.0, s - 2 * SKETCH_ERROR), min(1.0, s + 2 * SKETCH_ERROR))]
+    filled = [k for k in range(len(names)) if rows[k]]
+    about = dict(zip(filled, held.near(df.sparkSession, [names[k] for k in filled], marks)))
+    nan = float("nan")  # no value is greater
+    brackets = {(k, j): (about[k][2 * j], nan if about[k][2 * j + 1] == math.inf else about[k][2 * j + 1]) for k, j in places}
+    ends = {key: (math.floor(p), math.ceil(p)) for key, p in places.items()}
+    near, counts = _inside(df, values, brackets)
+    missed = {key: (-math.inf, nan) for key, (a, b) in ends.items() if not counts[key][0] <= a <= b < counts[key][3]}
+    if missed:
+        again, opened = _inside(df, values, missed)
+        near = near.where(~F.struct("k", "j").isin(*[F.struct(F.lit(k), F.lit(j)) for k, j in missed])).unionByName(again)
+        counts, brackets = counts | opened, brackets | missed
+    at, wanted = {}, {}
+    for key, pair in ends.items():
+        below, low, high, _ = counts[key]
+        for p in pair:
+            if p < low or p >= high:
+                at[*key, p] = brackets[key][0 if p < low else 1]
+            else:
+                wanted.setdefault(key, set()).add(p - low)
+    if wanted:
+        grouped = near.groupBy("k", "j", "x").agg(F.count(F.lit(1)).alias("n"))
+        if max(counts[key][2] - counts[key][1] for key in wanted) <= RANKED:
+            order = Window.partitionBy("k", "j").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ranked = grouped.withColumn("upto", F.sum("n").over(order))
+        else:
+            ranked = running_totals(in_ranges(grouped, F.col("x")), F.col("range"), [F.col("x")], {"upto": F.col("n")}, ["k", "j"])
+        small = df.sparkSession.createDataFrame([(*key, sorted(p)) for key, p in wanted.items()], "k int, j int, at array<long>")
+        own = F.filter("at", lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
+        met = ranked.join(F.broadcast(small), ["k", "j"])  # a row for each column and share
+        at |= {(r.k, r.j, r.p + counts[r.k, r.j][1]): r.x for r in met.select("k", "j", "x", F.explode(own).alias("p")).collect()}  # two for each
 
     def value(k: int, j: int) -> float:
-        place = places[k, j]
-        low, high = math.floor(place), math.ceil(place)
-        a, b = at[k, j, low - below[k, j]], at[k, j, high - below[k, j]]
-        return a if low == high or a == b else (high - place) * a + (place - low) * b
+        low, high = ends[k, j]
+        a, b = at[k, j, low], at[k, j, high]
+        return a if low == high or a == b else (high - places[k, j]) * a + (places[k, j] - low) * b
 
     return {c: [value(k, j) for j in range(len(shares))] if rows[k] else None for k, c in enumerate(names)}
 
 
+def _inside(df: DataFrame, values: Sequence[Column], brackets: Mapping[tuple[int, int], tuple[float, float]]) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, ...]]]:
+    """By one read: the values between the ends of each bracket, as written rows of k, j and x; and how many values lie
+    below its low end, up to that, below its high end, and up to that. The counts are observed by the tasks that write the
+    rows, whose results count once however often a task runs."""
+    seen = Observation()
+    x = {k: F.col(f"`{k}`") for k in range(len(values))}
+    tests = {key: (x[key[0]] < F.lit(low), x[key[0]] <= F.lit(low), x[key[0]] < F.lit(high), x[key[0]] <= F.lit(high)) for key, (low, high) in brackets.items()}
+    counts = [F.count_if(t).alias(f"{k}_{j}_{i}") for (k, j), found in tests.items() for i, t in enumerate(found)]
+    between = {(k, j): (x[k] > F.lit(brackets[k, j][0])) & t[2] for (k, j), t in tests.items()}
+    some = [F.when(c, F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"), x[k].alias("x"))) for (k, j), c in between.items()]
+    met = df.select(*[c.alias(str(k)) for k, c in enumerate(values)]).observe(seen, *counts).where(reduce(lambda a, b: a | b, between.values()))
+    near = materialise(met.select(F.explode(F.array_compact(F.array(*some))).alias("p")).select("p.*"))
+    found = seen.get
+    return near, {(k, j): tuple(found[f"{k}_{j}_{i}"] for i in range(4)) for k, j in brackets}
+
+
 def grouped_medians(df: DataFrame, buckets: int = 128) -> DataFrame:
     """(key, median) of the columns key and x, without nulls. A key of many rows is ranked in many tasks."""
     counted = materialise(df.where("key is not null and x is not null").groupBy("key", "x").agg(F.count(F.lit(1)).alias("n")))

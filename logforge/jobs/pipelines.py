@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
+from logforge.functions.ordered import sketches
 from logforge.operators import aggregates, anomaly, balance, cluster, encode, features, missing, models, outliers, quality, sampling, scale, typing_rules
 from logforge.operators import cluster_quality as cq
 from logforge.operators.missing import col
@@ -70,7 +71,9 @@ def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contaminat
     numeric = [c for c in missing.numeric_columns(coded) if c not in (roles.event_id, roles.label)]
     scaled = materialise(scale.apply_scale(coded, scale.fit_standard(coded, numeric)))
     parted = scaled.withColumn("day_part", encode.bin_right_closed(F.col("event_hour"), *encode.DAY_PARTS))
-    found |= {"summary": aggregates.numeric_summary(scaled, numeric), "correlation": aggregates.correlation_pairs(scaled, numeric),
+    keys = missing.key_columns(scaled.select(*[col(c) for c in scaled.columns if not c.endswith("_scaled")]), exclude=(roles.label,))
+    held = sketches(scaled, {c: col(c) for c in dict.fromkeys([*numeric, *keys])})  # summary and fences share them
+    found |= {"summary": aggregates.numeric_summary(scaled, numeric, held), "correlation": aggregates.correlation_pairs(scaled, numeric),
               "bins": aggregates.counts(parted, "day_part"), "selected": anova_top(scaled, numeric, roles.label)}
 
     wide = [c for c in scaled.columns if c.endswith("_scaled")]
@@ -79,8 +82,7 @@ def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contaminat
     found["classes"] = balance.resample_report(x)
     v = to_vector(x.select("id", "x"), ["x"])
     found["components"] = Pca(v, "features", 0.95).explained(v)
-    keys = missing.key_columns(scaled.select(*[col(c) for c in scaled.columns if not c.endswith("_scaled")]), exclude=(roles.label,))
-    flagged = outliers.zscore_flags(outliers.iqr_flags(scaled, keys), keys)
+    flagged = outliers.zscore_flags(outliers.iqr_flags(scaled, keys, held=held), keys)
     for c in dict.fromkeys([roles.action, *[n for n in narrow if n.endswith("type")]]):
         flagged = outliers.rare_flags(flagged, c)
     # the covariance of coded and scaled columns may be singular; key columns' is not where they differ

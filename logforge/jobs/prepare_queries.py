@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logforge.functions.heavy import top_values
 from logforge.functions.lineage import scratch_dir
 from logforge.operators import aggregates as ag
 from logforge.operators import encode, features, missing, quality, sampling, scale, typing_rules
@@ -176,7 +177,7 @@ def events_per_actor(spark, d):
 
 @query("top_actors", f"""SELECT actor, count(ts) AS event_count FROM {MASKED_SQL} WHERE actor IS NOT NULL GROUP BY actor ORDER BY 2 DESC, 1 LIMIT 10""")
 def top_actors(spark, d):
-    return ag.top(ag.by_actor(masked(spark, d), "actor", "ts", "label"), "event_count", "actor").select("actor", "event_count")
+    return ag.top_actors(masked(spark, d), "actor", "ts")
 
 
 @query("events_per_action", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
@@ -264,8 +265,7 @@ def weekday_counts(spark, d):
 def top_actions(spark, d):
     part = read_table(spark, d, "part").select("p_partkey", "p_type")
     n = read_table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("k"))
-    found = n.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("value")).agg(F.sum("k").alias("n"))
-    return ag.top(found, "n", "value", 15)
+    return top_values(n.join(part, F.col("l_partkey") == F.col("p_partkey")), F.col("p_type"), 15, F.col("k"))
 
 
 # samples, in the order of a hash of the id

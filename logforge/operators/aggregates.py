@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logforge.functions.ordered import QUARTILES, exact_quantiles, grouped_medians
+from logforge.functions.heavy import top_values
+from logforge.functions.ordered import QUARTILES, Sketches, exact_quantiles, grouped_medians
 from logforge.functions.passes import blocks, summed
 from logforge.functions.stats import kurtosis_corrected, skew_corrected
 from logforge.operators.missing import batches, col, numeric_columns
@@ -32,6 +33,11 @@ def top(df: DataFrame, by: str, ties: str, most: int = 10) -> DataFrame:
     return df.orderBy(F.desc(by), ties).limit(most)
 
 
+def top_actors(df: DataFrame, actor: str, ts: str, most: int = 10) -> DataFrame:
+    """(actor, event_count): the actors of most events with a time, ties in the order of actors."""
+    return top_values(df, col(actor), most, col(ts).isNotNull().cast("long")).select(F.col("value").alias("actor"), F.col("n").alias("event_count"))
+
+
 def hourly_volume(df: DataFrame, ts: str, hours: int = 1) -> DataFrame:
     """Events in each bucket of so many hours between the first event and the last; empty buckets have 0."""
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -59,11 +65,12 @@ def grouped_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     return out.join(grouped_medians(rows), "key", "left").select("key", "mean", "median", "std", "n")
 
 
-def numeric_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Describe, missing values, bias-corrected skewness and excess kurtosis of each numeric column."""
+def numeric_summary(df: DataFrame, names: list[str] | None = None, held: Sketches | None = None) -> DataFrame:
+    """Describe, missing values, bias-corrected skewness and excess kurtosis of each numeric column. held: sketches of these
+    rows, if there are any."""
     parts = []
     for part in batches(numeric_columns(df) if names is None else names, 40):
-        found = exact_quantiles(df, {c: col(c) for c in part}, QUARTILES)
+        found = exact_quantiles(df, {c: col(c) for c in part}, QUARTILES, held)
 
         def stats(c):
             x = col(c).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logforge.functions.ordered import exact_quantiles
+from logforge.functions.ordered import Sketches, exact_quantiles
 
 #: Columns that one aggregation takes at most, so that wide tables stay within generated code's limits.
 BATCH = 150
@@ -52,15 +52,16 @@ def drop_sparse(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if rates[c] <= threshold])
 
 
-def fit_medians(df: DataFrame, names: list[str] | None = None, exact: bool = True) -> dict[str, float]:
-    """Medians of numeric columns, 0 for a column without values."""
+def fit_medians(df: DataFrame, names: list[str] | None = None, exact: bool = True, held: Sketches | None = None) -> dict[str, float]:
+    """Medians of numeric columns, 0 for a column without values. held: sketches of these rows, if there are any; NaN counts
+    as missing here, so they may not have been made of columns with NaN."""
     names = numeric_columns(df) if names is None else names
     out: dict[str, float] = {}
     for part in batches(names):
         clean = [F.when(~is_missing(df, c), col(c).cast("double")) for c in part]
         if exact:
-            found = exact_quantiles(df, {str(k): c for k, c in enumerate(clean)}, (0.5,))
-            row = [(found[str(k)] or [None])[0] for k in range(len(part))]
+            found = exact_quantiles(df, dict(zip(part, clean)), (0.5,), held)
+            row = [(found[c] or [None])[0] for c in part]
         else:
             row = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(str(k)) for k, c in enumerate(clean)]).first()
         out |= {c: row[k] if row[k] is not None else 0.0 for k, c in enumerate(part)}
