@@ -30,25 +30,28 @@ class LogColumns:
 
 @dataclass(frozen=True)
 class Prepared:
-    """A table that models can read, and reports on the way to it, by name."""
+    """A table that models can read, reports on the way to it, and other tables of the same rows, by name."""
 
     table: DataFrame
     reports: dict[str, DataFrame]
+    tables: dict[str, DataFrame]
 
 
-def read_log(spark: SparkSession, path: str, rules: typing_rules.TypingRules = typing_rules.AUDIT_LOG, columns: list[str] | None = None) -> DataFrame | None:
+def read_log(spark: SparkSession, path: str, rules: typing_rules.TypingRules = typing_rules.AUDIT_LOG, columns: list[str] | None = None,
+             line_feeds: bool = True) -> DataFrame | None:
     """A raw CSV log with types and standard names; None where there is no file."""
-    raw = tables.load_raw_csv(spark, path, columns)
+    raw = tables.load_raw_csv(spark, path, columns, line_feeds)
     return None if raw is None else typing_rules.standardise_names(typing_rules.apply_types(raw, rules))
 
 
 def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contamination: float = 0.05, keep: list[str] | None = None) -> Prepared:
     """A typed log to a table that models can read: sparse columns dropped, gaps filled, duplicates removed, a
     stratified sample taken, features derived, text coded, numbers scaled, outliers flagged by all detectors, columns
-    selected. Reports: quality, duplicates, actors, actions, hours, summary, correlation, bins (rows by part of the day),
+    selected. Reports: quality, duplicates, actors, actions, hours, summary, correlation, bins (rows by part of the day), subsets (rows of each),
     selected (the features that tell the label best, by analysis of variance), classes (before and after each resampler),
     components (principal ones, up to 95 % of the variance), severity, outliers, and nulls (columns with missing values that the
-    table still has).
+    table still has). Other tables: components (id, label and the rows' scores on them) and selected (event id, the selected
+    features and the label).
 
     The label and what derives from it take no part in the outlier tests, and the label's ratio of an actor is no
     feature of the result. Event ids are numbers, or texts of numbers."""
@@ -72,16 +75,21 @@ def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contaminat
     scaled = materialise(scale.apply_scale(coded, scale.fit_standard(coded, numeric)))
     parted = scaled.withColumn("day_part", encode.bin_right_closed(F.col("event_hour"), *encode.DAY_PARTS))
     keys = missing.key_columns(scaled.select(*[col(c) for c in scaled.columns if not c.endswith("_scaled")]), exclude=(roles.label,))
-    held = sketches(scaled, {c: col(c) for c in dict.fromkeys([*numeric, *keys])})  # summary and fences share them
+    held = sketches(scaled, {c: col(c) for c in dict.fromkeys([*numeric, *keys])})  # summary, subsets and fences share them
+    best = anova_top(scaled, numeric, roles.label)
     found |= {"summary": aggregates.numeric_summary(scaled, numeric, held), "correlation": aggregates.correlation_pairs(scaled, numeric),
-              "bins": aggregates.counts(parted, "day_part"), "selected": anova_top(scaled, numeric, roles.label)}
+              "bins": aggregates.counts(parted, "day_part"), "selected": best,
+              "subsets": missing.subset_counts(scaled, roles.label, held)}
 
     wide = [c for c in scaled.columns if c.endswith("_scaled")]
     ident = col(roles.event_id).cast("long")
     x = scaled.select(ident.alias("id"), F.array(*[F.coalesce(col(c), F.lit(0.0)) for c in wide]).alias("x"), col(roles.label).cast("int").alias("label"))
     found["classes"] = balance.resample_report(x)
-    v = to_vector(x.select("id", "x"), ["x"])
-    found["components"] = Pca(v, "features", 0.95).explained(v)
+    v = to_vector(x, ["x"])
+    axes = Pca(v, "features", 0.95)
+    found["components"] = axes.explained(v)
+    chosen = [r.feature for r in best.collect()]  # 20 at most
+    more = {"components": axes.transform(v).drop("x", "features"), "selected": missing.project(scaled, [roles.event_id, *chosen], roles.label)}
     flagged = outliers.zscore_flags(outliers.iqr_flags(scaled, keys, held=held), keys)
     for c in dict.fromkeys([roles.action, *[n for n in narrow if n.endswith("type")]]):
         flagged = outliers.rare_flags(flagged, c)
@@ -94,7 +102,7 @@ def prepare(raw: DataFrame, roles: LogColumns, fraction: float = 0.8, contaminat
     found |= {"severity": outliers.severity_counts(judged), "outliers": outliers.report(judged)}
     wanted = keep or [roles.event_id, roles.action, roles.actor, *[f"{c}_code" for c in narrow], *[c for c in numeric if c in judged.columns], "is_outlier"]
     table = missing.project(judged, list(dict.fromkeys(wanted)), roles.label).dropna(subset=[roles.label])
-    return Prepared(table, found | {"nulls": quality.nulls_left(table)})
+    return Prepared(table, found | {"nulls": quality.nulls_left(table)}, more)
 
 
 def load_prepared(df: DataFrame, target: str, id_col: str, leakage: tuple[str, ...] = ("actor_bot_ratio",)) -> tuple[DataFrame, list[str]]:

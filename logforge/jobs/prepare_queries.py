@@ -370,13 +370,7 @@ def drop_flagged(spark, d):
     ("bot_events", "label = 1"), ("human_events", "label = 0"), ("weekend_events", "is_weekend = 1"), ("programmatic", "is_programmatic = 1"),
     ("high_activity", f"actor_event_count >= (SELECT quantile_cont(actor_event_count, 0.75) FROM {FEATURES_SQL})"))))
 def row_subsets(spark, d):
-    df = event_features(spark, d)
-    parts = [missing.subset(df, k, "label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("subset"), "n")
-             for k in ("bot_events", "human_events", "weekend_events", "programmatic", "high_activity")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return missing.subset_counts(event_features(spark, d), "label")
 
 
 @query("final_projection", f"SELECT action, actor, event_hour, label FROM {FEATURES_SQL} WHERE label IS NOT NULL")

@@ -132,7 +132,8 @@ def cell_pairs(queries: DataFrame, data: DataFrame, k: int | None = None, radius
     @F.pandas_udf("array<int>")
     def wanted(x: pd.Series) -> pd.Series:
         cells = held.value
-        edge = (cells.radius + cells.reach) * (1 + _SLACK) + 1e-12
+        with np.errstate(invalid="ignore"):  # a cell without queries takes no rows
+            edge = (cells.radius + cells.reach) * (1 + _SLACK) + 1e-12
         return pd.Series([np.flatnonzero(row <= edge) for row in cells.far(_matrix(x))] if len(x) else [], dtype=object)
 
     copies = materialise(data.select(F.col("id").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("x", *other)], F.explode(wanted("x")).alias("cell")))

@@ -138,11 +138,29 @@ def key_columns(df: DataFrame, keywords: tuple[str, ...] = KEYWORDS, most: int =
     return names
 
 
+#: Subsets that a column's value tells: None stands for the target.
+SUBSETS = {"bot_events": (None, 1), "human_events": (None, 0), "weekend_events": ("is_weekend", 1), "programmatic": ("is_programmatic", 1)}
+
+
+def _in_subset(df: DataFrame, kind: str, target: str, held: Sketches | None = None) -> Column:
+    if kind == "high_activity":
+        edge = (exact_quantiles(df, {"actor_event_count": F.col("actor_event_count")}, (0.75,), held)["actor_event_count"] or [None])[0]
+        return F.col("actor_event_count") >= F.lit(edge)
+    column, value = SUBSETS[kind]
+    return col(column or target) == value
+
+
 def subset(df: DataFrame, kind: str, target: str = "actor_is_bot") -> DataFrame:
     """A named subset of rows: bot_events, human_events, high_activity (events at or over the upper quartile of
     actor_event_count), weekend_events, programmatic."""
-    if kind == "high_activity":
-        edge = (exact_quantiles(df, {"n": F.col("actor_event_count")}, (0.75,))["n"] or [None])[0]
-        return df.where(F.col("actor_event_count") >= F.lit(edge))
-    column, value = {"bot_events": (target, 1), "human_events": (target, 0), "weekend_events": ("is_weekend", 1), "programmatic": ("is_programmatic", 1)}[kind]
-    return df.where(F.col(column) == value)
+    return df.where(_in_subset(df, kind, target))
+
+
+def subset_counts(df: DataFrame, target: str = "actor_is_bot", held: Sketches | None = None) -> DataFrame:
+    """(subset, n) of the subsets whose columns df has, all in one read beside that for the quartile. held: sketches of these
+    rows, if there are any."""
+    kinds = [k for k, c in [*((k, c or target) for k, (c, _) in SUBSETS.items()), ("high_activity", "actor_event_count")] if c in df.columns]
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "subset string, n long")
+    wide = df.agg(*[F.count_if(_in_subset(df, k, target, held)).alias(k) for k in kinds])
+    return wide.unpivot([], kinds, "subset", "n")

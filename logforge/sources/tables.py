@@ -11,20 +11,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None, line_feeds: bool = True) -> DataFrame:
     """A raw log: a CSV file or folder with a header, every column as text. Types are applied by rules afterwards, so
-    no pass over the data infers them. columns names the header's fields where it is known; else one line is read."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    no pass over the data infers them. columns names the header's fields where it is known; else one line is read.
+
+    With line_feeds a quoted field may hold line feeds, and one task reads a whole file: a large log should be many files.
+    Without, a file's lines are its rows, and many tasks read a large file."""
+    reader = spark.read.option("header", True).option("multiLine", line_feeds).option("quote", '"').option("escape", '"')
     if columns is None:
         columns = reader.option("inferSchema", False).csv(path).columns
     return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
 
 
-def load_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame | None:
+def load_raw_csv(spark: SparkSession, path: str, columns: list[str] | None = None, line_feeds: bool = True) -> DataFrame | None:
     """read_raw_csv(), or None where nothing is at the path, in whatever store it names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
-    return read_raw_csv(spark, path, columns) if there is not None and len(there) else None
+    return read_raw_csv(spark, path, columns, line_feeds) if there is not None and len(there) else None
 
 
 def write_features(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -157,6 +157,20 @@ def test_csv_keeps_quotes_and_line_ends(spark, tmp_path):
     assert {tuple(r) for r in tables.read_raw_csv(spark, str(tmp_path / "t")).collect()} == {tuple(r) for r in df.collect()}
 
 
+def test_large_csv_without_line_feeds_is_split(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("cast(id as string) as a", "concat('x, \"', id % 7, '\"') as b").coalesce(1)
+    tables.write_csv(df, str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    try:
+        whole, split = (tables.read_raw_csv(spark, str(tmp_path / "t"), df.columns, line_feeds=t) for t in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect())) == sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_missing_file_is_none(spark, tmp_path):
     assert tables.load_raw_csv(spark, f"{tmp_path}/none.csv") is None and pipelines.read_log(spark, f"{tmp_path}/none.csv") is None
     (tmp_path / "some.csv").write_text('a.b,A B\n1,"x ""y"""\n')
@@ -194,9 +208,18 @@ def test_prepare_workload(spark, tmp_path):
     assert len(rows) == sum(round(0.8 * n) for n in counts.values()) and rows.event_id.is_unique
     assert "sparse" not in rows.columns and {"action_code", "value", "event_hour", "actor_event_count", "is_outlier", "label"} <= set(rows.columns)
     reports = {n: df.collect() for n, df in done.reports.items()}
-    assert set(reports) == {"quality", "duplicates", "actors", "actions", "hours", "summary", "correlation", "bins", "selected", "classes", "components", "severity", "outliers", "nulls"}
+    assert set(reports) == {"quality", "duplicates", "actors", "actions", "hours", "summary", "correlation", "bins", "subsets", "selected", "classes", "components", "severity", "outliers", "nulls"}
     assert reports["duplicates"][0].duplicate_rows == sum(i % 17 != 0 for i in (10, 11, 12))
     assert sum(r.n for r in reports["severity"]) == len(rows)
+    subsets = {r.subset: r.n for r in reports["subsets"]}
+    assert set(subsets) == {"bot_events", "human_events", "weekend_events", "high_activity"} and subsets["bot_events"] == rows.label.sum()
+    assert subsets["weekend_events"] == (rows.is_weekend == 1).sum() and subsets["high_activity"] == (rows.actor_event_count >= rows.actor_event_count.quantile(0.75)).sum()
+    scores, chosen = done.tables["components"].toPandas(), done.tables["selected"].toPandas()
+    assert len(scores) == len(chosen) == len(rows) and list(scores.columns) == ["id", "label", *[f"PC_{r.component}" for r in reports["components"]]]
+    spread = scores[[c for c in scores if c.startswith("PC_")]].var().to_numpy()  # a component's variance is its share of the whole
+    share = [r.variance for r in reports["components"]]
+    assert all(abs(spread[k] / spread[0] - share[k] / share[0]) < 1e-6 for k in range(len(share)))
+    assert list(chosen.columns) == ["event_id", *[r.feature for r in reports["selected"]], "label"]
     assert {r["column"] for r in reports["nulls"]} <= {"event_hour", "event_dayofweek", "event_month", "event_year", "is_weekend"}
     classes = {r.label: r.asDict() for r in reports["classes"]}
     assert classes[1]["smote"] == classes[0]["smote"] == classes[0]["original"] > classes[1]["original"]
