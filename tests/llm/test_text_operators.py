@@ -24,16 +24,26 @@ def _random(n, seed=1):
     return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(n)]
 
 
+#: Hundreds of thousands of characters: of many words, and of few places where a text may be cut.
+LONG = [" ".join(f"w{k % 997}é it's\n" for k in range(60_000)), "x" * 200_000 + " " * 200_000, "<|endoftext|>" * 20_000]
+
+
 def _docs(spark, texts):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
 
 
+def _without_ids(spark, texts):
+    return _docs(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+
+
 def test_token_counts_are_the_librarys(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
     texts = ODD + _random(100) + ["x"] * 3
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(_docs(spark, texts), path).collect()}
     assert got == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    rows = token_counts.count_tokens(_without_ids(spark, LONG + ["a b"]), path).collect()
+    assert [(r.doc_id, r.n_tokens) for r in rows] == [(None, len(lib.encode(t, add_special_tokens=False).ids)) for t in LONG + ["a b"]]
 
 
 def test_whole_tokens_are_proved():
@@ -65,6 +75,8 @@ def test_bpe_is_tiktokens(spark):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    rows = byte_bpe.encode_checked(_without_ids(spark, LONG + ["a b"]), path, public_tokenizers.PATTERN).collect()
+    assert [(r.doc_id, r.ids) for r in rows] == [(None, lib.encode_ordinary(t)) for t in LONG + ["a b"]]
     # other columns keep their types, and slices of a batch their order
     odd = _docs(spark, ["a b"] * 1000).selectExpr("doc_id", "text", "timestamp'2024-01-02 03:04:05' as t", "array(named_struct('x', doc_id)) as s", "cast(null as decimal(5,2)) as d", "'old' as ids")
     out = byte_bpe.encode(odd, path, public_tokenizers.PATTERN)
@@ -250,6 +262,9 @@ def test_leaks_are_those_of_brute_force(spark, monkeypatch):
             assert (i in got) == (cost <= k), (i, cost, k)
             if i in got:
                 assert got[i].edits == cost and _edits(item, text[got[i].start : got[i].end]) == cost
+    # an item at the end of a very long text
+    far = decontaminate.find_leaks(_without_ids(spark, [prose(80_000) + " " + items[3][1], prose(80_000)]), bench).collect()
+    assert [[(x.item_id, x.edits) for x in r.leaks] for r in far] == [[(3, 0)], []] and all(r.doc_id is None for r in far)
     # slice by slice, with string ids, gives the same; and a worker keeps one slice's searcher only
     small = decontaminate.find_leaks(_docs(spark, docs), bench)
     want = sorted((r.doc_id, sorted((x.item_id, x.edits, x.start, x.end) for x in r.leaks)) for r in small.collect())
