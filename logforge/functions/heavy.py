@@ -28,7 +28,8 @@ class Summary:
 
 def _merge(tables: list[pa.Table], held: int) -> tuple[pa.Table, int]:
     """Counters of value and n added up, and what all of them lost so that no more than `held` stay."""
-    found = pa.concat_tables(tables).group_by("value").aggregate([("n", "sum")]).rename_columns(["value", "n"])
+    plain = [pa.table({"value": t["value"], "n": t["n"]}) for t in tables]  # batches may say that a column has no nulls
+    found = pa.concat_tables(plain).group_by("value").aggregate([("n", "sum")]).rename_columns(["value", "n"])
     if found.num_rows <= held:
         return found, 0
     cut = pc.sort_indices(found["n"], sort_keys=[("", "descending")])[held]

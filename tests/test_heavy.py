@@ -29,7 +29,7 @@ def test_top_values_of_many(spark, monkeypatch, kind):
 
 
 def test_summaries_bound_every_weight(spark):
-    df = _skewed(spark)
+    df = _skewed(spark, 150_000)  # several batches of each partition
     found = heavy.summarise(df, F.col("v"), held=50)
     true = {r.v: r["count"] for r in df.where("v is not null").groupBy("v").count().collect()}
     held = dict(zip(found.counts["value"].to_pylist(), found.counts["n"].to_pylist()))
