@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from logforge.functions import ordered
-from logforge.operators import aggregates, encode, missing, outliers, scale
+from logforge.operators import aggregates, encode, missing, models, outliers, scale
 
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
 
@@ -74,3 +76,12 @@ def test_no_aggregate_holds_a_column(spark, monkeypatch):
     monkeypatch.setattr(F, "percentile", refuse)
     monkeypatch.setattr(F, "median", refuse)
     assert scale.fit_robust(spark.range(5).toDF("x"), ["x"]) == {"x": (2.0, 2.0)}
+
+
+def test_models_score_after_quantiles(spark):
+    """Fitted forests and machines hold the session by their summaries, which must stay fit to be sent to tasks."""
+    df = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("label"), array_to_vector(F.array((F.col("id") % 2 + F.col("id") / 200).cast("double"))).alias("features"))
+    assert ordered.exact_quantiles(df, {"id": F.col("id")}, [0.5]) == {"id": [99.5]}
+    for model in (LinearSVC(maxIter=5).fit(df), RandomForestClassifier(numTrees=2, maxDepth=2).fit(df)):
+        assert models.scores(model, df).count() == model.transform(df).where("prediction is not null").count() == 200
+        assert models.scores(model, df).agg(F.max("score")).first()[0] > 0.5
