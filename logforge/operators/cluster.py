@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
 from logforge.functions.passes import blocks, summed, uniform
-from logforge.functions.skew import hot_keys, lookup, spread_join
+from logforge.functions.skew import lookup
 from logforge.operators.cluster_quality import silhouette_by_clusters
+from logforge.operators.density import dbscan_many
 from logforge.operators.graph import connected_components
 from logforge.operators.knn import cell_pairs, distances, nearest, within
 
@@ -420,43 +421,10 @@ def reach_forest(df: DataFrame, least: Sequence[int], most: float, near: DataFra
     return edges.select("m", "a", "b", "w")
 
 
-def dbscan_many(df: DataFrame, pairs: Sequence[tuple[float, int]]) -> DataFrame:
-    """(run, id, cluster) of DBSCAN for each place `run` of the pairs (eps, least): as dbscan_labels() gives them, all from
-    one forest of mutual reachability and from lists of neighbours. A row that is no core row has fewer neighbours within
-    eps than its list is long, so the lists hold all that border rows need."""
-    least, most = sorted({m for _, m in pairs}), max(e for e, _ in pairs)
-    rows = materialise(df.select("id", "x"))
-    near = materialise(nearest(rows, rows, max(1, max(least) - 1)))
-    forest = materialise(reach_forest(rows, least, most, near))
-    keyed = materialise(rows.select("id", F.monotonically_increasing_id().alias("key")))
-    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(float(e)).alias("eps"), F.lit(least.index(m)).alias("m"), F.lit(m).alias("least")) for r, (e, m) in enumerate(pairs)])
-    # core rows of each run
-    far = near.groupBy(F.col("query").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "distance"))).alias("at"))
-    reach = F.when(F.col("r.least") <= 1, F.lit(0.0)).otherwise(F.element_at("at", F.col("r.least") - 1))
-    cores = keyed.join(far, "id", "left").select("id", "key", "at", F.explode(runs).alias("r")).where(reach <= F.col("r.eps")).select("r.run", "id", "key")
-    cores = materialise(cores)
-    # one run of connected components for all pairs
-    ends = forest.join(keyed.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(keyed.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-    cut = ends.select("*", F.explode(runs).alias("r")).where((F.col("r.m") == F.col("m")) & (F.col("w") <= F.col("r.eps")))
-    node = lambda k: F.col(k) * len(pairs) + F.col("r.run")
-    joined = connected_components(cut.select(node("ka").alias("a"), node("kb").alias("b")))
-    named = cores.withColumn("node", F.col("key") * len(pairs) + F.col("run")).join(joined, "node", "left").select("run", "id", F.coalesce("component", "node").alias("component"))
-    named = materialise(named)
-    first = named.groupBy("component").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("n"))
-    inner = spread_join(named, first.drop("n"), ["component"], hot_keys(first, ["component"], named.count()), ["id"]).select("run", "id", "cluster")
-    inner = materialise(inner)
-    beside = near.select(F.col("query").alias("row"), F.col("neighbour").alias("id"), "distance").join(inner, "id")
-    eps = F.element_at(F.array(*[F.lit(float(e)) for e, _ in pairs]), F.col("run") + 1)
-    border = beside.where(F.col("distance") <= eps).groupBy("run", F.col("row").alias("id")).agg(F.min("cluster").alias("beside"))
-    every = rows.select("id", F.explode(F.array(*[F.lit(r) for r in range(len(pairs))])).alias("run"))
-    out = every.join(inner, ["run", "id"], "left").join(border, ["run", "id"], "left")
-    return out.select("run", "id", F.coalesce("cluster", "beside", F.lit(-1).cast("long")).alias("cluster"))
-
-
 def dbscan_sweep(df: DataFrame, eps: tuple[float, ...] = (0.3, 0.5, 0.7, 1.0, 1.5), least: tuple[int, ...] = (3, 5, 10),
                  fallback: tuple[float, int] = (0.5, 5)) -> tuple[DataFrame, DataFrame]:
     """(eps, least, n_clusters, noise, silhouette) for each pair of parameters, and (id, cluster) of the best silhouette
-    without noise; of `fallback` if there is none. All pairs come from one forest. Any number of clusters is counted and
+    without noise; of `fallback` if there is none. All pairs come from one grid. Any number of clusters is counted and
     judged in the same way; with fewer than two there is no silhouette."""
     rows = materialise(df.select("id", "x"))
     pairs = [(float(e), int(m)) for e in eps for m in least]

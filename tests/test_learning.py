@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logforge.functions import lineage
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import anomaly, cluster, knn, models, sampling
+from logforge.operators import anomaly, cluster, density, knn, models, sampling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -212,3 +212,14 @@ def test_trees_draw_from_the_whole_table(spark):
     dealt = anomaly._deal(spark.range(30_000).selectExpr("id", "array(double(id)) as x"), 30_000, 250, 42)
     ids, rows = dealt.selectExpr("count(distinct id)", "count(*)").first()
     assert ids > 25_000 and 60_000 < rows < 68_000
+
+
+def test_dbscan_seeks_neighbours_of_few_rows(spark, monkeypatch):
+    """Cells tell what dense rows are; neighbours are sought for the rest, though a dense cluster grows."""
+    rng = np.random.default_rng(14)
+    x = np.vstack([rng.normal(c, 0.1, (1500, 2)) for c in (0, 4)] + [[[20.0, 20.0], [20.1, 20.0], [float("nan"), 0.0]]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    asked, plain = [], density.nearest
+    monkeypatch.setattr(density, "nearest", lambda q, *a, **k: asked.append(q.count()) or plain(q, *a, **k))
+    got = cluster.dbscan_many(df, [(0.5, 5)]).orderBy("id").toPandas()
+    assert got.cluster.tolist() == [0] * 1500 + [1500] * 1500 + [-1] * 3 and sum(asked) < 100
