@@ -223,3 +223,14 @@ def test_dbscan_seeks_neighbours_of_few_rows(spark, monkeypatch):
     monkeypatch.setattr(density, "nearest", lambda q, *a, **k: asked.append(q.count()) or plain(q, *a, **k))
     got = cluster.dbscan_many(df, [(0.5, 5)]).orderBy("id").toPandas()
     assert got.cluster.tolist() == [0] * 1500 + [1500] * 1500 + [-1] * 3 and sum(asked) < 100
+
+
+def test_few_queries_take_few_copies(spark, monkeypatch):
+    """Rows spread evenly over many dimensions: each goes to as many cells as there are CELL queries, not CELL rows."""
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (400, 32)))], "id long, x array<double>")
+    monkeypatch.setattr(knn, "CELL", 10)
+    copies, plain = [], knn.materialise
+    monkeypatch.setattr(knn, "materialise", lambda d: copies.append(d) or plain(d))
+    got = {(r["query"], r["rank"]): r.neighbour for r in knn.nearest(df.where("id % 20 = 0"), df, 3).collect()}
+    assert sum(d.count() for d in copies if "other" in d.columns) <= 2 * 400 and len(got) == 60
