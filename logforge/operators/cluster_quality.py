@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logforge.functions.lineage import materialise
 from logforge.functions.skew import hot_keys, spread_join
-from logforge.operators.knn import block_pairs, distances
+from logforge.operators.knn import apart, block_pairs, distances, squares, wide
 from logforge.operators.missing import col
 
 
@@ -120,24 +120,39 @@ def silhouette_by_clusters(df: DataFrame, id_col: str, cluster: str = "cluster",
 
 def euclidean_silhouette(df: DataFrame, id_col: str, cluster: str = "cluster", vector: str = "x") -> DataFrame:
     """Mean silhouette under Euclidean distance, whose means don't follow from sums: every block of rows meets every
-    other, so the work grows with the square of the table. Each pair of blocks leaves a row for each row and cluster."""
+    other once, so the work grows with the square of the table. Blocks grow with it up to a bound, so that less is shuffled. Each pair
+    of blocks leaves a row for each row and cluster. Distances are from products of matrices, and from differences where those
+    would tell too little of a small one."""
     rows = df.select(col(id_col).cast("long").alias("id"), col(cluster).cast("long").alias("c"), col(vector).cast("array<double>").alias("x"))
     rows = rows.where("c is not null and c >= 0 and x is not null")
+    n = rows.count()
+    last = max(1, -(-n // wide(n))) - 1
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(last + 1)).cast("int"))
+    left = dealt.select("id", "c", "x", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(last))).alias("j"))
+    right = dealt.select("id", "c", "x", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            found, code = np.unique(b["other_c"].to_numpy(), return_inverse=True)
-            member = np.zeros((len(b), len(found)))
-            member[np.arange(len(b)), code] = 1
-            n = member.sum(axis=0)
-            for at, d in distances(np.stack(a["own_x"].to_numpy()), np.stack(b["other_x"].to_numpy())):
-                part = a.iloc[at : at + len(d)]
-                out.append(pd.DataFrame({"id": np.repeat(part["own"].to_numpy(), len(found)), "own": np.repeat(part["own_c"].to_numpy(), len(found)),
-                                         "cluster": np.tile(found, len(d)), "s": (d @ member).ravel(), "n": np.tile(n, len(d))}))
-        return pd.concat(out) if out else pd.DataFrame({n: [] for n in ("id", "own", "cluster", "s", "n")})
-
-    pairs, _ = block_pairs(rows, rows, own=("c",), other=("c",))
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in ("id", "own", "cluster", "s", "n")})
+        x, y, sides = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()), []
+        for side, other in ((a, b), (b, a)):
+            found, code = np.unique(other["c"].to_numpy(), return_inverse=True)
+            member = np.zeros((len(other), len(found)))
+            member[np.arange(len(other)), code] = 1
+            sides.append((side, found, member, np.zeros((len(side), len(found)))))
+        for at, d, wrong in squares(x, y):
+            i, j = np.divmod(np.flatnonzero((d < 1e9 * wrong[:, None]).ravel()), d.shape[1])
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            d[i, j] = apart(x, y, at + i, j)
+            part = slice(at, at + len(d))
+            sides[0][3][part] = d @ sides[0][2]
+            sides[1][3][:] += d.T @ sides[1][2][part]
+        if a["i"].iloc[0] == a["j"].iloc[0]:
+            sides.pop()  # a block that meets itself
+        return pd.concat([pd.DataFrame({"id": np.repeat(side["id"].to_numpy(), len(found)), "own": np.repeat(side["c"].to_numpy(), len(found)), "cluster": np.tile(found, len(side)),
+                                        "s": s.ravel(), "n": np.tile(member.sum(axis=0), len(side))}) for side, found, member, s in sides])
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
     sums = pairs.applyInPandas(local, "id long, own long, cluster long, s double, n double").groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("own") == F.col("cluster")
     return _mean_silhouette(sums.groupBy("id", "own").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logforge.functions import lineage
 from logforge.jobs import learn_queries, pipelines
-from logforge.operators import anomaly, cluster, density, knn, models, sampling
+from logforge.operators import anomaly, cluster, cluster_quality, density, knn, models, sampling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -234,3 +234,25 @@ def test_few_queries_take_few_copies(spark, monkeypatch):
     monkeypatch.setattr(knn, "materialise", lambda d: copies.append(d) or plain(d))
     got = {(r["query"], r["rank"]): r.neighbour for r in knn.nearest(df.where("id % 20 = 0"), df, 3).collect()}
     assert sum(d.count() for d in copies if "other" in d.columns) <= 2 * 400 and len(got) == 60
+
+
+def test_products_tell_the_nearest(spark, monkeypatch):
+    """What shares a query's block of cells bounds its neighbours; blocks that all meet grow with the table, and each pair of rows is compared once."""
+    rng = np.random.default_rng(16)
+    x = np.vstack([rng.normal(0, 1, (300, 12)), 1e6 + rng.normal(0, 1e-4, (60, 12)), np.zeros((30, 12))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    own = np.arange(len(x))
+    i, j, far = knn._best(own, x, own, x, 4, np.full(len(x), np.inf))
+    order = np.argsort(np.where(np.eye(len(x), dtype=bool), np.inf, d), axis=1, kind="stable")[:, :4]
+    assert (j.reshape(-1, 4) == order).all() and (far.reshape(-1, 4) == np.take_along_axis(d, order, 1)).all()
+    monkeypatch.setattr(knn, "CELL", 20)
+    monkeypatch.setattr(knn, "MANY", 3)  # a sample of the rows comes first
+    df = spark.createDataFrame([(k, [float(v) for v in r], k % 3) for k, r in enumerate(x)], "id long, x array<double>, cluster int")
+    got = {(r["query"], r["rank"]): r.neighbour for r in knn.nearest(df, df, 4, block=32).collect()}
+    assert got == {(k, r + 1): order[k, r] for k in range(len(x)) for r in range(4)}
+    assert knn.wide(1_000_000) > 4 * knn.BLOCK  # a table of 100 times the rows isn't shuffled 10,000 times
+    of = [np.column_stack([d[:, own % 3 == c].sum(axis=1) / np.where(own % 3 == c, (own % 3 == c).sum() - 1, (own % 3 == c).sum()) for c in range(3)])][0]
+    a = of[own, own % 3]
+    b = np.where(np.eye(3, dtype=bool)[own % 3], np.inf, of).min(axis=1)
+    monkeypatch.setattr(cluster_quality, "wide", lambda rows: 64)  # many blocks
+    assert cluster_quality.euclidean_silhouette(df, "id").first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), rel=1e-9)
