@@ -256,3 +256,14 @@ def test_products_tell_the_nearest(spark, monkeypatch):
     b = np.where(np.eye(3, dtype=bool)[own % 3], np.inf, of).min(axis=1)
     monkeypatch.setattr(cluster_quality, "wide", lambda rows: 64)  # many blocks
     assert cluster_quality.euclidean_silhouette(df, "id").first()[0] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), rel=1e-9)
+
+
+def test_queries_go_to_few_cells(spark, monkeypatch):
+    """In few dimensions a query goes to the cells around it, however many there are, and no row to another cell than its own."""
+    x = np.random.default_rng(17).uniform(0, 1, (1500, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    monkeypatch.setattr(knn, "CELL", 25)
+    written, plain = [], knn.materialise
+    monkeypatch.setattr(knn, "materialise", lambda d: written.append(plain(d)) or written[-1])
+    assert knn.nearest(df, df, 5).count() == 7500
+    assert max(d.count() for d in written) < 1500 * 6
