@@ -41,17 +41,16 @@ def _gridded(rows: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
     return materialise(met.select("id", "x", "cell")), cells.drop("key")
 
 
-def _boxes(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """The least and the largest distances that rows of two cells may have, by slices of a."""
+def _boxes(a: pd.DataFrame, b: pd.DataFrame, far: bool) -> Iterator[tuple[slice, np.ndarray]]:
+    """The largest distances that rows of two cells may have (or the least ones), by slices of a."""
     a_lo, a_hi, b_lo, b_hi = (np.stack(v.to_numpy()).astype(float) for v in (a["own_lo"], a["own_hi"], b["other_lo"], b["other_hi"]))
     for at in range(0, len(a_lo), _AT_ONCE):
         part = slice(at, min(len(a_lo), at + _AT_ONCE))
-        near, far = np.zeros((part.stop - at, len(b_lo))), np.zeros((part.stop - at, len(b_lo)))
+        found = np.zeros((part.stop - at, len(b_lo)))
         for i in range(a_lo.shape[1]):
             up, down = b_hi[:, i] - a_lo[part, i, None], a_hi[part, i, None] - b_lo[:, i]
-            near += np.maximum(0, np.maximum(-up, -down)) ** 2
-            far += np.maximum(up, down) ** 2
-        yield part, np.sqrt(near), np.sqrt(far)
+            found += (np.maximum(up, down) if far else np.maximum(0, np.maximum(-up, -down))) ** 2
+        yield part, np.sqrt(found)
 
 
 def _matrix(x: pd.Series) -> np.ndarray:
@@ -109,6 +108,14 @@ def _merged(cells: DataFrame, links: DataFrame, size: int) -> DataFrame:
     return materialise(cells.drop("comp").join(new, "cell"))
 
 
+def _asked(cells: DataFrame, size: int) -> DataFrame:
+    """The cells that are, for some place of `least`, in another component than that of most cells: of two components that may
+    be linked one at least is such a one."""
+    large = cells.select(F.posexplode("comp").alias("m", "comp")).where("comp >= 0").groupBy("m", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("m").agg(F.max_by("comp", "n").alias("c"))
+    most = {r.m: r.c for r in large.collect()}  # a row for each place
+    return cells.where(reduce(lambda a, b: a | b, [(F.col("comp")[m] >= 0) & (F.col("comp")[m] != F.lit(most.get(m, -1))) for m in range(size)]))
+
+
 def _sure(cells: DataFrame, eps: float, size: int) -> DataFrame:
     """(m, a, b): components of cells all of whose rows are within eps of each other."""
 
@@ -116,13 +123,13 @@ def _sure(cells: DataFrame, eps: float, size: int) -> DataFrame:
         out: list[pd.DataFrame] = []
         if len(a) and len(b):
             comp_a, comp_b = _matrix(a["own_comp"]), _matrix(b["other_comp"])
-            for part, _, far in _boxes(a, b):
+            for part, far in _boxes(a, b, True):
                 met = far <= eps * (1 - _SLACK)
                 for m in range(size):
                     _links(comp_a[part, m], comp_b[:, m], met, out, m)
         return _every(out)
 
-    return block_pairs(cells, cells, _BLOCK, own=("lo", "hi", "comp"), other=("lo", "hi", "comp"))[0].applyInPandas(local, "m int, a long, b long").distinct()
+    return block_pairs(_asked(cells, size), cells, _BLOCK, own=("lo", "hi", "comp"), other=("lo", "hi", "comp"))[0].applyInPandas(local, "m int, a long, b long").distinct()
 
 
 def _open(cells: DataFrame, eps: float, size: int) -> DataFrame:
@@ -130,17 +137,21 @@ def _open(cells: DataFrame, eps: float, size: int) -> DataFrame:
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"cell": [], "open": []})
-        comp_a, comp_b, found = _matrix(a["own_comp"]), _matrix(b["other_comp"]), np.zeros((len(a), size), bool)
-        for part, near, _ in _boxes(a, b):
+            return pd.DataFrame({"cell": [], "open": pd.Series([], dtype=object)})
+        comp_a, comp_b = _matrix(a["own_comp"]), _matrix(b["other_comp"])
+        own_open, other_open = np.zeros((len(a), size), bool), np.zeros((len(b), size), bool)
+        for part, near in _boxes(a, b, False):
             met = near <= eps * (1 + _SLACK)
             for m in range(size):
                 own, other = comp_a[part, m], comp_b[:, m]
-                found[part, m] = (met & (own[:, None] != other) & (own >= 0)[:, None] & (other >= 0)).any(axis=1)
+                apart = met & (own[:, None] != other) & (own >= 0)[:, None] & (other >= 0)
+                own_open[part, m] = apart.any(axis=1)
+                other_open[:, m] |= apart.any(axis=0)
+        ids, found = np.concatenate((a["own"].to_numpy(), b["other"].to_numpy())), np.concatenate((own_open, other_open))
         some = found.any(axis=1)
-        return pd.DataFrame({"cell": a["own"].to_numpy()[some], "open": pd.Series(found[some].tolist(), dtype=object)})
+        return pd.DataFrame({"cell": ids[some], "open": pd.Series(found[some].tolist(), dtype=object)})
 
-    pairs, _ = block_pairs(cells, cells, _BLOCK, own=("lo", "hi", "comp"), other=("lo", "hi", "comp"))
+    pairs, _ = block_pairs(_asked(cells, size), cells, _BLOCK, own=("lo", "hi", "comp"), other=("lo", "hi", "comp"))
     return pairs.applyInPandas(local, "cell long, open array<boolean>").groupBy("cell").agg(F.array(*[F.bool_or(F.col("open")[m]) for m in range(size)]).alias("open"))
 
 
@@ -184,9 +195,9 @@ def _counts(cells: DataFrame, eps: Sequence[float]) -> DataFrame:
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"cell": [], "sure": []})
+            return pd.DataFrame({"cell": [], "sure": pd.Series([], dtype=object)})
         found, n = np.zeros((len(a), len(eps))), b["other_n"].to_numpy(dtype=float)
-        for part, _, far in _boxes(a, b):
+        for part, far in _boxes(a, b, True):
             for k, e in enumerate(eps):
                 found[part, k] = (far <= e * (1 - _SLACK)) @ n
         return pd.DataFrame({"cell": a["own"], "sure": pd.Series(found.tolist(), dtype=object)})

@@ -198,6 +198,20 @@ def test_neighbours_by_pivots(spark, monkeypatch):
     assert knn.nearest(df, df.limit(0), 5).count() == 0 and knn.nearest(df.limit(0), df, 5).count() == 0
 
 
+def test_dbscan_asks_for_cells_outside_the_largest_component(spark, monkeypatch):
+    """Once cells have merged, only those of the smaller components meet all others."""
+    x = [[0.2 * k, 0.0] for k in range(60)] + [[0.2 * k, 1.4] for k in range(8)] + [[40.0, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, x array<double>")
+    met, plain = [], density.block_pairs
+    monkeypatch.setattr(density, "block_pairs", lambda a, b, *k, **kw: met.append((a.count(), b.count())) or plain(a, b, *k, **kw))
+    pairs = [(0.5, 2), (1.0, 2), (1.5, 2)]
+    got = density.dbscan_many(df, pairs).toPandas()
+    for run, (e, m) in enumerate(pairs):
+        own = got[got.run == run].sort_values("id")
+        np.testing.assert_array_equal(own.cluster.to_numpy(), _brute_dbscan(np.array(x), e, m), err_msg=f"{e} {m}")
+    assert all(a < b / 2 for a, b in met[2:])  # the first two: bounds of rows, and cells that are components of their own
+
+
 def test_dbscan_of_many_clusters(spark):
     """Hundreds and thousands of clusters are found, counted and judged like few."""
     for n, eps in ((300, 0.5), (12_000, 0.5)):
