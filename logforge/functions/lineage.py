@@ -20,19 +20,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """The folder in it of what this application writes for itself; clear() removes it."""
     return f"{scratch_dir(spark)}/logforge-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, so that what follows recomputes nothing. The files
     stay while results that read them may be wanted; clear() removes them."""
-    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes what materialise() wrote in this application. DataFrames that came from it can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
@@ -13,7 +14,7 @@ from math import ceil, sqrt
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +22,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logforge.functions.lineage import materialise
+from logforge.functions.lineage import materialise, own_dir
 from logforge.functions.passes import blocks
 from logforge.operators import evaluate as ev
 from logforge.operators import forests, linear, trees
@@ -78,10 +79,27 @@ def draw(combinations: list[dict], n: int, seed: int = 42) -> list[dict]:
     return [combinations[i] for i in sorted(order[:n])]
 
 
+def alone(model, spark: SparkSession):
+    """A fitted model without its training summary. That holds the session, which can't be sent to tasks once anything in it
+    has used an Observation. Copies have no summary, but for logistic models; those are written and read."""
+    if isinstance(model, LogisticRegressionModel):
+        path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+        model.write().save(path)
+        return LogisticRegressionModel.load(path)
+    return model.copy() if getattr(model, "hasSummary", False) else model
+
+
+class Alone(Pipeline):
+    """A pipeline whose models have no training summaries."""
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return PipelineModel([alone(m, dataset.sparkSession) for m in super()._fit(dataset).stages])
+
+
 def pipeline(estimator) -> Pipeline:
     """Scaler and model together, so that whoever scores with one scores with the other."""
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled")
-    return Pipeline(stages=[scaled, estimator.copy().setFeaturesCol("scaled")])
+    return Alone(stages=[scaled, estimator.copy().setFeaturesCol("scaled")])
 
 
 def fit(estimator, train: DataFrame):
@@ -155,7 +173,8 @@ class KernelSvm:
         spread = scaled.select(F.explode(vector_to_array("scaled")).alias("v")).agg(F.var_pop("v")).first()[0]
         self.gamma = 1 / (self.size * spread) if spread else 1.0 / self.size
         rows = materialise(weighted(self._mapped(train)))
-        self.model = LinearSVC(featuresCol="fourier", weightCol="weight", regParam=1 / (self.c * max(1, rows.count())), maxIter=50).fit(rows)
+        svm = LinearSVC(featuresCol="fourier", weightCol="weight", regParam=1 / (self.c * max(1, rows.count())), maxIter=50)
+        self.model = alone(svm.fit(rows), rows.sparkSession)
         return self
 
     def _mapped(self, df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from logforge.functions import ordered
@@ -85,3 +86,16 @@ def test_models_score_after_quantiles(spark):
     for model in (LinearSVC(maxIter=5).fit(df), RandomForestClassifier(numTrees=2, maxDepth=2).fit(df)):
         assert models.scores(model, df).count() == model.transform(df).where("prediction is not null").count() == 200
         assert models.scores(model, df).agg(F.max("score")).first()[0] > 0.5
+
+
+def test_models_score_after_an_observation(spark):
+    """Whoever used it in the session."""
+    own, seen = spark.newSession(), Observation()
+    df = own.range(200).select("id", (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("fold"),
+                               array_to_vector(F.array((F.col("id") % 2 + F.col("id") / 200).cast("double"))).alias("features"))
+    df.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 200}
+    for estimator in [*models.estimators().values(), models.KernelSvm(n=16)]:
+        fitted = models.fit(estimator, df)
+        assert models.scores(fitted, df).agg(F.max("score")).first()[0] > 0.5
+    assert models.search(df, models.estimators()["logistic"], [{"regParam": 0.1}, {"regParam": 0.01}])[1].count() == 2
