@@ -21,13 +21,16 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], total: int, least: int = LE
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], hot: DataFrame, by: Sequence[str | Column], how: str = "inner") -> DataFrame:
     """rows joined with table on keys, of which the table has few rows for each key (how: inner or left). The rows of a
-    hot key are dealt into parts by a hash of the columns `by`, and each part meets a copy of the key's rows of the table."""
+    hot key are dealt into parts by a hash of the columns `by`, and each part meets a copy of the key's rows of the table.
+
+    The two sides are merged, never broadcast: either may grow with the input, and Spark sizes it too low after an explode or
+    by compressed files. A hint on `table` would be spent on the join with hot."""
     hot = F.broadcast(hot)  # at most MOST_HOT rows
     part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")).cast("int"), F.lit(0))
     left = rows.join(hot, list(keys), "left").withColumn("__part", part).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
     right = table.join(hot, list(keys), "left").withColumn("__part", copies).drop("__parts")
-    return left.join(right, [*keys, "__part"], how).drop("__part")
+    return left.join(right.hint("merge"), [*keys, "__part"], how).drop("__part")
 
 
 def lookup(rows: DataFrame, table: DataFrame, value: Column, name: str) -> DataFrame:

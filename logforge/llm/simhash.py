@@ -137,9 +137,9 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, block: int = BLOCK)
     rows = distinct.select("fp", F.posexplode(masks).alias("table", "mask")).select(
         F.col("table").cast("short").alias("table"), F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp")
     sizes = rows.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # sizes grow with the rows, so they are merged; a large bucket's rows are dealt over many tasks
+    # both grow with the rows and are merged; a large bucket's rows are dealt over many tasks
     key = ["table", "bucket"]
-    shared = spread_join(rows, sizes.hint("merge"), key, hot_keys(sizes, key, len(covering_masks(radius)) * distinct.count()), ["fp"])
+    shared = spread_join(rows, sizes, key, hot_keys(sizes, key, len(covering_masks(radius)) * distinct.count()), ["fp"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     groups = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("block_a"), F.lit(0).alias("block_b")))).otherwise(
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
                          .select(id_col, "fp"))
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")))
     labels = connected_components(link_fingerprints(classes.select("fp"), radius))
-    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = spread_join(named.drop("low"), lowest.drop("n"), ["component"], hot_keys(lowest, ["component"], classes.count()), ["fp"])
     found = spread_join(prints, named.select("fp", "component_id"), ["fp"], hot_keys(classes, ["fp"], prints.count()), [id_col])
@@ -178,7 +178,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_co
     groups = near_duplicates(docs, radius, words, id_col, text_col).select(id_col, "component_id")
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__lf_id")).distinct()
     same = Window.partitionBy("__lf_id", "__lf_text").orderBy("__lf_id")
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__lf_id"))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), F.col(id_col) == F.col("__lf_id"))
     named = named.withColumn("__lf_text", F.xxhash64(text_col)).withColumn("__lf_row", F.row_number().over(same)).where("__lf_row = 1")
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
 

@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = materialise(small.where(F.col("u") != F.col("v")).distinct())
         # done when the edges form stars: no parent is a child and no child has two parents
         parents = pairs.select(F.col("v").alias("u")).distinct().withColumn("parent", F.lit(1))
-        kinds = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(parents, "u", "left")
+        kinds = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(parents.hint("merge"), "u", "left")
         if not kinds.where((F.col("n") > 1) | F.col("parent").isNotNull()).limit(1).count():
             break
     else:
