@@ -64,10 +64,12 @@ def _keys(words: pd.Series) -> pd.Series:
 def near_words(counts: DataFrame) -> DataFrame:
     """(word, near, near_n): all pairs of words of counts (word, n), in both directions, that are exactly one inserted,
     deleted or replaced letter apart. Those that share a key are no more than the letters of the alphabet times their
-    length, however large the corpus: a key is a string, and the words are what one insertion makes of it."""
+    length, however large the corpus: a key is a string, and the words are what one insertion makes of it.
+
+    Both sides are merged: Spark takes a word's keys for one, and would broadcast them all."""
     keyed = counts.select("word", "n", F.explode(_keys("word")).alias("key"))
     other = keyed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    met = keyed.drop("n").join(other, "key").where((F.col("word") != F.col("near")) & (F.abs(F.length("word") - F.length("near")) <= 1))
+    met = keyed.drop("n").join(other.hint("merge"), "key").where((F.col("word") != F.col("near")) & (F.abs(F.length("word") - F.length("near")) <= 1))
     # two words may share more than one key
     return met.where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n").distinct()
 
@@ -101,11 +103,11 @@ def group_spellings(found: DataFrame, least_letters: int = LEAST_LETTERS, least_
     counts = materialise(counts.where(F.col("n") >= least_count))
     first = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("first")
     best = near_words(counts).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), first)
-    own = counts.join(best, "word", "left").withColumn("near_n", -F.col("first.less"))
+    own = counts.join(best.hint("merge"), "word", "left").withColumn("near_n", -F.col("first.less"))
     chosen = F.col("near_n") >= F.col("n") * ratio
     forms = materialise(own.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
                                    F.when(chosen, F.col("first.near")).alias("form"), F.when(chosen, F.col("near_n")).alias("form_n")))
-    return forms.join(_roots(forms, forms.count()), "word")
+    return forms.join(_roots(forms, forms.count()).hint("merge"), "word")
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

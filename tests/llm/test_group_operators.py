@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logforge.llm import common, embedding_dedup, line_dedup, quality, simhash, toxicity
+from logforge.llm import common, embedding_dedup, line_dedup, quality, simhash, spelling, toxicity
 
 
 def _components(links, nodes):
@@ -124,6 +124,29 @@ def test_hot_keys_are_spread(spark):
     assert out.count() == 4000 and out.where("n <> if(k = 7, 3000, 1)").count() == 0 and set(out.columns) == {"id", "k", "other", "n"}
 
 
+def _joins(df):
+    """Of the joins as planned: broadcast ones, and merged ones."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+
+def test_what_grows_is_merged(spark):
+    """Files that Spark takes for small, of which an explode makes 31 times as many rows: only hot keys are broadcast."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    distinct = common.materialise(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    assert _joins(simhash.link_fingerprints(distinct)) == (2, 1)
+    rows = common.materialise(spark.range(100).selectExpr("id", "id % 7 as k"))
+    hot = common.hot_keys(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], 100)
+    assert _joins(common.spread_join(rows, rows.selectExpr("id as k", "id as v"), ["k"], hot, ["id"], "left")) == (2, 1)
+
+
+def test_keys_of_words_are_merged(spark):
+    counts = common.materialise(spark.createDataFrame([("spelling", 9), ("speling", 4)], "word string, n long"))
+    near = spelling.near_words(counts)
+    assert _joins(near) == (0, 1)
+    assert sorted((r.word, r.near, r.near_n) for r in near.collect()) == [("speling", "spelling", 9), ("spelling", "speling", 4)]
+
+
 def test_drop_near_duplicates_keeps_one(spark):
     rows = [(1, "a b c d e f", "m"), (2, "a b c d e f", "n"), (3, "something else that is long enough", "o"), (2, "a b c d e f", "n"), (3, "something else that is long enough", "o"), (None, "a b c d e f", "p")]
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
