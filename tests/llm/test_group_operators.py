@@ -140,6 +140,14 @@ def test_what_grows_is_merged(spark):
     assert _joins(common.spread_join(rows, rows.selectExpr("id as k", "id as v"), ["k"], hot, ["id"], "left")) == (2, 1)
 
 
+def test_near_duplicates_stage_is_merged(spark):
+    """Two joins with hot keys, both sides of each; the others are merged."""
+    docs = common.materialise(spark.range(300).selectExpr("id as doc_id", "concat('some words of text ', id div 2) as text"))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert _joins(out)[0] == 4
+    assert out.count() == 150
+
+
 def test_keys_of_words_are_merged(spark):
     counts = common.materialise(spark.createDataFrame([("spelling", 9), ("speling", 4)], "word string, n long"))
     near = spelling.near_words(counts)
