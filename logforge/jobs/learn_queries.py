@@ -60,20 +60,20 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 _E = "(SELECT vec_id AS id, embedding::double[] AS x, label FROM embeddings)"
 _NEAR = f"""(SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour)::int AS rank, neighbour, distance FROM (
-    SELECT a.id AS query, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM {_E} a, {_E} b WHERE a.id <> b.id AND a.id % 20 = 0) QUALIFY rank <= 5)"""
+    SELECT a.id AS query, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM {_E} a, {_E} b WHERE a.id <> b.id) QUALIFY rank <= 5)"""
 
 
 @query("knn", f"SELECT query, rank, neighbour, round(distance, 6) AS distance FROM {_NEAR}")
 def nearest(spark, d):
     p = points(spark, d)
-    return rounded(knn.nearest(p.where("id % 20 = 0"), p, 5), "distance")
+    return rounded(knn.nearest(p, p, 5), "distance")
 
 
 @query("knn_classify", f"""SELECT query, CASE WHEN sum(label % 2) * 2 > count(*) THEN 1 ELSE 0 END AS predicted, round(sum(label % 2) / count(*), 6) AS probability
     FROM {_NEAR} JOIN (SELECT vec_id AS neighbour, label FROM embeddings) USING (neighbour) GROUP BY query""")
 def knn_classify(spark, d):
     p = points(spark, d)
-    near = knn.nearest(p.where("id % 20 = 0"), p, 5)
+    near = knn.nearest(p, p, 5)
     return rounded(knn.vote(near, p.select("id", (F.col("label") % 2).alias("label"))), "probability")
 
 

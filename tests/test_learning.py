@@ -198,6 +198,13 @@ def test_neighbours_by_pivots(spark, monkeypatch):
     assert knn.nearest(df, df.limit(0), 5).count() == 0 and knn.nearest(df.limit(0), df, 5).count() == 0
 
 
+@pytest.mark.parametrize("name, rows", [("knn", 5), ("knn_classify", 1)])
+def test_every_vector_is_asked(spark, name, rows):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    got = learn_queries.QUERIES[name](spark, DATA).select("query").toPandas()
+    assert got["query"].nunique() == n and len(got) == rows * n
+
+
 def test_dbscan_asks_for_cells_outside_the_largest_component(spark, monkeypatch):
     """Once cells have merged, only those of the smaller components meet all others."""
     x = [[0.2 * k, 0.0] for k in range(60)] + [[0.2 * k, 1.4] for k in range(8)] + [[40.0, 0.0]]
